@@ -7,13 +7,21 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import neural_lm, packing, token_codec, token_count
+from . import near_dedup, neural_lm, packing, suffix_dedup, token_codec, token_count
 from .common import documents
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 BYTE_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(documents(spark, sf_dir), width=4, percent=80)
+
+
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(documents(spark, sf_dir))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), WORD_TOKENIZER, end_id=1)
 
@@ -31,7 +39,7 @@ def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op6_packing, op8_token_counts, op9_token_blocks, op10_lm_scores]
+    found = [op3_near_dedup, op5_suffix_dedup, op6_packing, op8_token_counts, op9_token_blocks, op10_lm_scores]
     return {f.__name__: f for f in found}
 
 
