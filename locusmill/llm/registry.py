@@ -7,17 +7,25 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import near_dedup, neural_lm, packing, suffix_dedup, token_codec, token_count
-from .common import documents
+from . import decontaminate, line_cleaning, near_dedup, neural_lm, packing, pii, suffix_dedup, token_codec, token_count
+from .common import documents, read_table
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 BYTE_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op2_line_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_cleaning.digest(documents(spark, sf_dir))
+
+
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(documents(spark, sf_dir), width=4, percent=80)
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(documents(spark, sf_dir))
+
+
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(documents(spark, sf_dir))
 
@@ -26,6 +34,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), WORD_TOKENIZER, end_id=1)
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_items(documents(spark, sf_dir), read_table(spark, sf_dir, "benchmark"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(documents(spark, sf_dir), WORD_TOKENIZER)
 
@@ -39,9 +51,9 @@ def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op3_near_dedup, op5_suffix_dedup, op6_packing, op8_token_counts, op9_token_blocks, op10_lm_scores]
+    found = [op2_line_cleaning, op3_near_dedup, op4_pii, op5_suffix_dedup, op6_packing, op7_decontamination, op8_token_counts, op9_token_blocks, op10_lm_scores]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_line_cleaning": line_cleaning.ORACLE}
