@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import small_batches, stored
-from .token_codec import CachedEncoder
+from .token_codec import encoder
 from .token_count import pre_tokens
 
 SEQUENCE = 2048
@@ -45,7 +45,7 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 1, sequence:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, uid = None, TaskContext.get().partitionId() << 40
         for batch in batches:
-            encode = encode or CachedEncoder(tokenizer_path, pre_tokens)
+            encode = encode or encoder(tokenizer_path, pre_tokens)
             cols: list[list] = [[] for _ in names]
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 ids = memoryview(encode(text.as_py()) + end)

@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import os
 import re
+import string
 import struct
 import zlib
 from collections.abc import Iterator
@@ -255,7 +256,10 @@ def byte_units(text: str) -> list[str]:
 
 class CachedEncoder:
     """Ids as little-endian u32 bytes; the library encodes each distinct unit once per worker.
-    The cache is emptied when it reaches its bound, which changes the speed only."""
+
+    A unit made of letters and closing punctuation is two pre-tokens for every tokenizer used here,
+    so its parts are looked up on their own.  The cache is emptied when it reaches its bound, which
+    changes the speed only."""
 
     def __init__(self, path: str, split=byte_units, bound: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -273,14 +277,34 @@ class CachedEncoder:
         try:
             return b"".join(found)
         except TypeError:  # some are not cached yet
-            missing = list({u for u, v in zip(units, found, strict=True) if v is None})
-            if len(self.cache) + len(missing) > self.bound:
+            if len(self.cache) + len(units) > self.bound:
                 self.cache = {"": b""}
-                missing = list(set(units))
-            for u, e in zip(missing, self.library.encode_batch_fast(missing, add_special_tokens=False), strict=True):
-                self.cache[u] = np.array(e.ids, "<u4").tobytes()
+                found = [None] * len(units)
+            self._learn({u for u, v in zip(units, found, strict=True) if v is None})
             return b"".join(map(self.cache.__getitem__, units))
 
+    def _learn(self, missing: set[str]) -> None:
+        parts = {}
+        for u in missing:
+            core = u.rstrip(string.punctuation)
+            parts[u] = (core, u[len(core) :]) if core != u and core.lstrip(" ").isalpha() else (u,)
+        new = list({p for ps in parts.values() for p in ps if p not in self.cache})
+        for p, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
+            self.cache[p] = np.array(e.ids, "<u4").tobytes()
+        for u, ps in parts.items():
+            self.cache[u] = b"".join(map(self.cache.__getitem__, ps))
+
+
+_ENCODERS: dict[tuple, CachedEncoder] = {}
+
+
+def encoder(path: str, split=byte_units) -> CachedEncoder:
+    """This worker process's encoder; its cache outlives the task."""
+    key = (path, split.__name__)
+    if key not in _ENCODERS:
+        _ENCODERS[key] = CachedEncoder(path, split)
+    return _ENCODERS[key]
+
 
 # ----------------------------------------------------------------------------- Spark side
 
@@ -308,7 +332,7 @@ def write_blocks(docs: DataFrame, tokenizer_path: str, end_id: int, block_ids: i
             )
 
         for batch in batches:
-            encode = encode or CachedEncoder(tokenizer_path)
+            encode = encode or encoder(tokenizer_path)
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 ids = encode(text.as_py())
                 held.append(ids + end)
