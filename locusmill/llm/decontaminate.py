@@ -169,22 +169,45 @@ class Matcher:
         return sorted(kept, key=lambda x: (x[1], x[2], x[0]))
 
 
+def _item_blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[int, str]]]:
+    """The usable items in blocks of about block_bytes."""
+    items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), "text").filter(F.char_length("text") >= MIN_ITEM)
+    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = total // block_bytes + 1
+    for block in range(blocks):
+        mine = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("text"), F.lit(blocks)) == block)
+        rows = [(r["item_id"] if r["item_id"] is not None else -1, r["text"]) for r in mine.collect()]
+        if rows:
+            yield rows
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of docs without a passage of an item; no shuffle."""
+    small_batches(docs.sparkSession)
+    out, at = docs, docs.columns.index("text")
+    for rows in _item_blocks(benchmark, block_bytes):
+        shared = docs.sparkSession.sparkContext.broadcast(rows)
+
+        def drop(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            match = None
+            for batch in batches:
+                match = match or Matcher(shared.value)
+                found = match([t or "" for t in batch.column(at).to_pylist()])
+                yield batch.filter(pa.array([not f for f in found]))
+
+        out = out.mapInArrow(drop, docs.schema)
+    return out
+
+
 def find_items(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, contaminated, n_passages, item_id, edits, passages per row of docs(doc_id, text);
     passages is item:start:end:edits, comma-joined, in code points."""
     small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), "text").filter(F.char_length("text") >= MIN_ITEM)
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = total // block_bytes + 1
     out = docs.withColumn("hits", F.array().cast("array<struct<item_id:bigint,start:bigint,stop:bigint,edits:bigint>>"))
     hit_type = pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int64()), ("stop", pa.int64()), ("edits", pa.int64())]))
 
-    for block in range(blocks):
-        mine = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("text"), F.lit(blocks)) == block)
-        rows = [(r["item_id"] if r["item_id"] is not None else -1, r["text"]) for r in mine.collect()]
-        if not rows:
-            continue
+    for rows in _item_blocks(benchmark, block_bytes):
         shared = docs.sparkSession.sparkContext.broadcast(rows)
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:

@@ -64,13 +64,12 @@ def line_fails(line: Column) -> Column:
 
 
 def clean_lines(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept,
-    n_lines, n_failed_lines, cleaned_text per row of docs(doc_id, text)."""
-    text = F.coalesce("text", F.lit(""))
-    d = docs.select("doc_id", text.alias("text"))
+    """row (the whole input row), n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+    base_failed, kept, n_lines, n_failed_lines, cleaned_text per row of docs(doc_id, text, ...)."""
+    d = docs.select(F.struct("*").alias("row"), F.coalesce("text", F.lit("")).alias("text"))
     d = d.withColumn("words", F.array_remove(F.split("text", WORD_BREAK), "")).withColumn("lines", F.split("text", "\n"))
     d = d.select(
-        "doc_id",
+        "row",
         "words",
         F.size("words").alias("n_words"),
         F.char_length(F.array_join("words", "")).alias("word_chars"),
@@ -89,7 +88,7 @@ def clean_lines(docs: DataFrame) -> DataFrame:
     reach = F.transform("at", lambda p, k: F.least(F.lit(3), F.coalesce(F.get("at", k + 1) - p, F.lit(3))))
     total = lambda a: F.aggregate(F.transform(a, lambda x: F.char_length(x)), F.lit(0), lambda s, x: s + x)
     d = d.select(
-        "doc_id",
+        "row",
         F.col("n_words").cast("bigint").alias("n_words"),
         F.col("word_chars").cast("bigint").alias("word_chars"),
         F.col("n_symbols").cast("bigint").alias("n_symbols"),
@@ -103,7 +102,7 @@ def clean_lines(docs: DataFrame) -> DataFrame:
     )
     base = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MOST_REPEATED)
     return d.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "row", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         base.alias("base_failed"),
         (~base & (F.col("lost") * 100 <= F.col("chars") * MOST_LOST)).alias("kept"),
         "n_lines", "n_failed_lines", "cleaned_text",
@@ -112,7 +111,15 @@ def clean_lines(docs: DataFrame) -> DataFrame:
 
 def digest(docs: DataFrame) -> DataFrame:
     """The registered query's columns: the verdicts without the texts."""
-    return clean_lines(docs).drop("cleaned_text")
+    found = clean_lines(docs.select("doc_id", "text"))
+    return found.select(F.col("row.doc_id").alias("doc_id"), *(c for c in found.columns if c not in ("row", "cleaned_text")))
+
+
+def keep_clean(docs: DataFrame) -> DataFrame:
+    """The rows of docs that pass, with their failing lines removed; n_chars follows the text."""
+    found = clean_lines(docs).filter("kept")
+    new = {"text": F.col("cleaned_text"), "n_chars": F.char_length("cleaned_text").cast("bigint")}
+    return found.select(*(new.get(c, F.col("row")[c]).alias(c) for c in docs.columns))
 
 
 ORACLE = r"""

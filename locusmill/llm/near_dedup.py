@@ -10,18 +10,18 @@ Candidates are found without listing the pairs of a bucket:
 
 1. every member of a bucket is compared with one pivot, the one it shares most buckets with;
 2. buckets whose members are then all in one component are done;
-3. in the others, members outside the pivot's component are compared with that pivot;
-4. what is still unresolved is paired across components if the bucket is small, or split by second
-   band keys (two members stay together where they agree on another band) and taken from step 3.
+3. in the others, small buckets pair their members across components; large ones are cut into
+   blocks, and each pair of blocks counts all its intersections by matrix products and returns only
+   a spanning forest of the links found.
 
-Every pair passes the sketch test, which is lenient by six standard deviations, and is confirmed on
-the full sets.  With 42 bands of 6 rows, a pair at similarity exactly 0.8 shares no band with
+Pairs pass the sketch test, which is lenient by six standard deviations, and every link is confirmed
+on the full sets.  With 42 bands of 6 rows, a pair at similarity exactly 0.8 shares no band with
 probability 3e-6; at 0.9, below 1e-13.  Components come from label propagation with pointer
 jumping.  Nothing whose size follows the corpus reaches the driver.
 
 Edge cases: null and empty texts and texts without words have no shingles, are linked with nothing
 and keep their own id as component; texts of fewer words than a shingle are one shingle; repeated
-rows share a component; null doc_ids never name a component unless a class has no other id; empty
+rows share a component; a null doc_id names a component only where no row of it has an id; empty
 tables give an empty result; extra columns are ignored.
 """
 
@@ -42,6 +42,7 @@ MINHASHES = BANDS * ROWS
 SKETCH_BITS = 1024
 MAX_DIFFERENCE = 184  # expected 92 at similarity 0.8, plus six standard deviations
 SMALL_BUCKET = 32
+BLOCK = 512
 BITMAP = 1 << 22
 _EMPTY = np.zeros(0, np.uint64)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -156,23 +157,26 @@ class _Finder:
         different = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
         close = pairs.filter(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * self.percent).filter(different <= MAX_DIFFERENCE)
         close = stored(close.select("a", "b", "n_a", "n_b", "member_a", "member_b"), "candidates")
-        place = lambda c: F.pmod(F.xxhash64(c), F.lit(BITMAP))
-        places = close.select(F.explode(F.array(place("member_a"), place("member_b"))).alias("p")).distinct()
-        wanted = np.zeros(BITMAP, bool)  # at most BITMAP bits, whatever the number of candidates
-        wanted[places.toArrow().column("p").to_numpy()] = True
-        if not wanted.any():
-            return
-        sets = self._sets(np.packbits(wanted), place)
+        sets = self._sets(close.select(F.explode(F.array("member_a", "member_b")).alias("member")))
         both = close.join(sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b")
         shared = F.size(F.array_intersect("set_a", "set_b"))
         links = both.withColumn("shared", shared).filter(F.col("shared") * 100 >= self.percent * (F.col("n_a") + F.col("n_b") - F.col("shared"))).select("a", "b")
+        self._add(links)
+
+    def _add(self, links: DataFrame) -> None:
         links = stored(links, "links")
         self.edges = links if self.edges is None else self.edges.unionByName(links)
         self.found = None
 
-    def _sets(self, wanted: np.ndarray, place) -> DataFrame:
-        """(node, set) of the classes' members whose bit is set (others by chance; joins drop them)."""
-        shared, width = self.docs.sparkSession.sparkContext.broadcast(wanted.tobytes()), self.width
+    def _sets(self, members: DataFrame) -> DataFrame:
+        """(node, set) of the classes with the given members.  The texts are filtered by a bitmap of
+        BITMAP bits, whatever the number of members; what passes by chance is dropped by the joins
+        that follow."""
+        place = lambda c: F.pmod(F.xxhash64(c), F.lit(BITMAP))
+        places = members.select(place("member").alias("p")).distinct().toArrow().column("p").to_numpy()
+        wanted = np.zeros(BITMAP, bool)
+        wanted[places] = True
+        shared, width = self.docs.sparkSession.sparkContext.broadcast(np.packbits(wanted).tobytes()), self.width
 
         def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bits, shingle = np.unpackbits(np.frombuffer(shared.value, np.uint8)), Shingler(width)
@@ -194,20 +198,75 @@ class _Finder:
         return self.found
 
     def unresolved(self, buckets: DataFrame, labels: DataFrame | None) -> DataFrame:
-        """(key, node, component, pivot, pivot_component, size) of buckets that hold several components."""
+        """(key, node, component, size) of buckets that hold several components."""
         if labels is None:
             b = buckets.withColumn("component", F.col("node"))
         else:
             b = buckets.join(labels, "node", "left").withColumn("component", F.coalesce("label", "node")).drop("label")
         w = Window.partitionBy("key")
-        b = b.select("key", "node", "component", F.min(F.struct("node", "component")).over(w).alias("first"), F.count("*").over(w).alias("size"), F.max("component").over(w).alias("top"), F.min("component").over(w).alias("bottom"))
-        return b.filter("top <> bottom").select("key", "node", "component", F.col("first.node").alias("pivot"), F.col("first.component").alias("pivot_component"), "size")
-
-    def split(self, big: DataFrame) -> DataFrame:
-        """Large buckets, divided by the members' other band keys."""
-        keys = self.classes.select("node", F.explode("keys").alias("second"))
-        finer = big.select("key", "node").join(keys, "node").filter("key <> second")
-        return finer.select(F.xxhash64("key", "second").alias("key"), "node")
+        b = b.select("key", "node", "component", F.count("*").over(w).alias("size"), F.max("component").over(w).alias("top"), F.min("component").over(w).alias("bottom"))
+        return b.filter("top <> bottom").select("key", "node", "component", "size")
+
+    def compare_blocks(self, big: DataFrame) -> None:
+        """Large buckets: blocks of members are compared with one another, without listing pairs;
+        each block pair returns a spanning forest of its links."""
+        members = big.select("node").distinct().join(self.classes.select("node", "member"), "node")
+        sets = self._sets(members.select("member"))
+        blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+        block = F.pmod(F.xxhash64("node"), blocks)
+        rows = big.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        rows = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "component").join(sets, "node")
+        percent = self.percent
+
+        def compare(table: pa.Table) -> pa.Table:
+            order = np.argsort(table.column("node").to_numpy(), kind="stable")
+            node, component, block = (table.column(c).to_numpy()[order] for c in ("node", "component", "block"))
+            sets = [table.column("set")[int(k)].values.to_numpy() for k in order]
+            n = np.array([len(s) for s in sets], np.int64)
+            found = shared_counts(sets)
+            linked = found * 100 >= percent * (n[:, None] + n[None, :] - found)
+            linked &= component[:, None] != component[None, :]
+            if table.column("i")[0].as_py() != table.column("j")[0].as_py():
+                linked &= block[:, None] != block[None, :]
+            a, b = spanning_forest(linked)
+            return pa.table({"a": pa.array(node[a], pa.int64()), "b": pa.array(node[b], pa.int64())})
+
+        self._add(rows.groupBy("key", "i", "j").applyInArrow(compare, "a bigint, b bigint"))
+
+
+def shared_counts(sets: list[np.ndarray], columns: int = 4096) -> np.ndarray:
+    """Sizes of all intersections, by products of 0/1 matrices over the elements that two sets share."""
+    values, of, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    place = np.cumsum(times > 1) - 1
+    keep = times[of] > 1
+    row, col = row[keep], place[of[keep]]
+    order = np.argsort(col, kind="stable")
+    row, col = row[order], col[order]
+    out = np.zeros((len(sets), len(sets)), np.float32)
+    for c in range(0, int(col[-1]) + 1 if len(col) else 0, columns):
+        a, b = np.searchsorted(col, [c, c + columns])
+        part = np.zeros((len(sets), columns), np.float32)
+        part[row[a:b], col[a:b] - c] = 1
+        out += part @ part.T
+    return np.rint(out).astype(np.int64)
+
+
+def spanning_forest(linked: np.ndarray) -> tuple[list[int], list[int]]:
+    """Edges that connect what a symmetric boolean matrix connects."""
+    new, a, b = np.ones(len(linked), bool), [], []
+    for start in range(len(linked)):
+        if not new[start]:
+            continue
+        new[start], front = False, [start]
+        while front:
+            x = front.pop()
+            for y in np.flatnonzero(linked[x] & new).tolist():
+                new[y] = False
+                front.append(y)
+                a.append(x)
+                b.append(y)
+    return a, b
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -241,21 +300,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, small_bu
     shared = buckets.filter("node <> pivot").groupBy("node", "pivot").agg(F.count("*").alias("bands"))
     best = shared.groupBy("node").agg(F.max_by("pivot", F.struct("bands", "pivot")).alias("pivot"))
     find.test(best.select(F.col("pivot").alias("a"), F.col("node").alias("b")))
-    level = buckets.select("key", "node")
-    while True:
-        open_ = stored(find.unresolved(level, find.labels()), "open")
-        if open_.isEmpty():
-            break
-        find.test(open_.filter("component <> pivot_component").select(F.col("pivot").alias("a"), F.col("node").alias("b")))
-        open_ = stored(find.unresolved(open_.select("key", "node"), find.labels()), "open")
-        small = open_.filter(F.col("size") <= small_bucket).select("key", "node", "component")
-        if not small.isEmpty():
-            other = small.select("key", F.col("node").alias("b"), F.col("component").alias("component_b"))
-            find.test(small.join(other, "key").filter("node < b and component <> component_b").select(F.col("node").alias("a"), "b"))
-        big = open_.filter(F.col("size") > small_bucket)
-        if big.isEmpty():
-            break
-        level = stored(find.split(big), "finer")
+    open_ = stored(find.unresolved(buckets.select("key", "node"), find.labels()), "open")
+    small = open_.filter(F.col("size") <= small_bucket).select("key", "node", "component")
+    other = small.select("key", F.col("node").alias("b"), F.col("component").alias("component_b"))
+    pairs = small.join(other, "key").filter("node < b and component <> component_b").select(F.col("node").alias("a"), "b")
+    find.test(pairs)
+    big = open_.filter(F.col("size") > small_bucket)
+    if not big.isEmpty():
+        find.compare_blocks(big)
     labels = find.labels()
     if labels is None:
         named = classes.select("node", F.col("member").alias("component_id"))
@@ -265,4 +317,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, small_bu
         named = full.join(least, "label").select("node", "component_id")
     out = signed.select("doc_id", "n", "node").join(named, "node", "left")
     component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
+
+
+def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """One row of docs for each group of near duplicates: the one with the smallest doc_id; of equal
+    rows one stays."""
+    kept = near_duplicates(docs, width, percent).filter("kept").select(F.col("doc_id").alias("_kept"))
+    same = F.col("doc_id").eqNullSafe(F.col("_kept"))
+    return docs.join(kept, same, "left_semi").dropDuplicates(["doc_id", "text"])

@@ -23,6 +23,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .boosting import compile_trees, train_trees, tree_values
+
 MARK = "\ue000"
 # fixed values: kinds and their patterns.  Possessive quantifiers and the start conditions keep the
 # search linear; they accept the same leftmost matches as the plain patterns.
@@ -42,7 +44,6 @@ GENERATORS = {
 KINDS = BASE + list(GENERATORS)
 NEEDS = {"email": ["@"], "phone": ["+"]}  # a text without these characters cannot match
 LEFT, RIGHT = 24, 8
-TREES, DEPTH, RATE = 24, 3, 0.3
 TARGET_PRECISION = 0.99
 N_FEATURES = 12 + len(GENERATORS)
 
@@ -153,59 +154,6 @@ def _examples(seed: int = 5) -> list[tuple[str, int]]:
     return out
 
 
-def train_trees(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH, rate: float = RATE) -> tuple[float, list]:
-    """Logistic gradient boosting with exact splits on a bounded example set: (base score, trees).
-    A tree is a leaf value or (feature, threshold, left, right); left is x <= threshold."""
-    p = y.mean()
-    base = float(np.log(p / (1 - p)))
-    f = np.full(len(y), base)
-    cuts = [np.unique(np.round((u[1:] + u[:-1]) / 2, 6)) for u in (np.unique(np.quantile(c, np.linspace(0, 1, 17))) for c in x.T)]
-
-    def grow(rows: np.ndarray, g: np.ndarray, h: np.ndarray, left: int):
-        leaf = lambda r: float(rate * g[r].sum() / (h[r].sum() + 1.0))
-        if left == 0 or len(rows) < 20:
-            return leaf(rows)
-        score = lambda r: g[r].sum() ** 2 / (h[r].sum() + 1.0)
-        best = (1e-6, None)
-        for j, edges in enumerate(cuts):
-            for c in edges:
-                low = x[rows, j] <= c
-                a, b = rows[low], rows[~low]
-                if len(a) >= 5 and len(b) >= 5 and (gain := score(a) + score(b) - score(rows)) > best[0]:
-                    best = (gain, (j, float(c), a, b))
-        if best[1] is None:
-            return leaf(rows)
-        j, c, a, b = best[1]
-        return j, c, grow(a, g, h, left - 1), grow(b, g, h, left - 1)
-
-    def value(tree, v: np.ndarray) -> float:
-        while isinstance(tree, tuple):
-            tree = tree[2] if v[tree[0]] <= tree[1] else tree[3]
-        return tree
-
-    made = []
-    for _ in range(trees):
-        q = 1 / (1 + np.exp(-f))
-        tree = grow(np.arange(len(y)), y - q, q * (1 - q), depth)
-        made.append(tree)
-        f += np.array([value(tree, v) for v in x])
-    return base, made
-
-
-def compile_trees(base: float, trees: list, feature: list[Column]) -> Column:
-    """The boosted score as one expression."""
-
-    def one(tree) -> Column:
-        if not isinstance(tree, tuple):
-            return F.lit(tree)
-        return F.when(feature[tree[0]] <= tree[1], one(tree[2])).otherwise(one(tree[3]))
-
-    out = F.lit(base)
-    for t in trees:
-        out = out + one(t)
-    return out
-
-
 def _candidates(text: Column, pieces: dict[str, Column]) -> Column:
     empty = F.array().cast("array<struct<kind:string,span:struct<start:int,stop:int,match:string,left:string,right:string>>>")
     named = lambda kind: lambda s: F.struct(F.lit(kind).alias("kind"), s.alias("span"))
@@ -226,7 +174,7 @@ class Model:
         y = np.array([r["label"] for r in found], float)
         held = np.arange(len(y)) % 4 == 3
         self.base, self.trees = train_trees(x[~held], y[~held])
-        score = np.array([self._score(v) for v in x[held]])
+        score = self.base + sum(tree_values(t, x[held]) for t in self.trees)
         # the lowest threshold whose held-out precision reaches the target
         self.threshold = 0.0
         for t in np.sort(score):
@@ -234,14 +182,6 @@ class Model:
                 self.threshold = float(t) - 1e-9
                 break
 
-    def _score(self, v: np.ndarray) -> float:
-        total = self.base
-        for tree in self.trees:
-            while isinstance(tree, tuple):
-                tree = tree[2] if v[tree[0]] <= tree[1] else tree[3]
-            total += tree
-        return total
-
     def selects(self, kind: Column, span: Column) -> Column:
         """Features are bound once per candidate, then the trees read them."""
         bound = F.array(F.array(*features(kind, span)))
@@ -249,11 +189,12 @@ class Model:
 
 
 def find_spans(docs: DataFrame, model: Model | None = None) -> DataFrame:
-    """The rows of docs with `base` and `spans`: arrays of struct(start, rank, stop), in order; rank
-    is the kind's place in KINDS."""
+    """row (the whole input row), text, `base` and `spans`: arrays of struct(start, rank, stop), in
+    order; rank is the kind's place in KINDS."""
     model = model or Model(docs.sparkSession)
     text = F.coalesce("text", F.lit(""))
-    d = docs.withColumn("_t", F.when(F.contains(text, F.lit(MARK)), F.replace(text, F.lit(MARK), F.lit("\n"))).otherwise(text))
+    d = docs.select(F.struct("*").alias("row"), "text")
+    d = d.withColumn("_t", F.when(F.contains(text, F.lit(MARK)), F.replace(text, F.lit(MARK), F.lit("\n"))).otherwise(text))
     for k, p in (PATTERNS | GENERATORS).items():
         d = d.withColumn(f"_p_{k}", _matches(F.col("_t"), k, p))
     piece = {k: F.col(f"_p_{k}") for k in KINDS}
@@ -285,14 +226,13 @@ def digest(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans per row of docs(doc_id, text)."""
     d = find_spans(docs.select("doc_id", "text"), model)
     count = lambda i: F.size(F.filter("base", lambda s: s["rank"] == i)).cast("bigint")
-    return d.select("doc_id", *(count(i).alias(f"n_{k}") for i, k in enumerate(BASE)), F.sha2(_listed(F.col("base")), 256).alias("base_sha256"), _listed(F.col("spans")).alias("spans"))
+    return d.select(F.col("row.doc_id").alias("doc_id"), *(count(i).alias(f"n_{k}") for i, k in enumerate(BASE)), F.sha2(_listed(F.col("base")), 256).alias("base_sha256"), _listed(F.col("spans")).alias("spans"))
 
 
 def redact(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """The rows of docs with every span's text replaced by <KIND>; overlapping spans share one mark
     of the first kind."""
     names = F.array(*(F.lit(f"<{k.upper()}>") for k in KINDS))
-    columns = docs.columns
     d = find_spans(docs, model)
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
@@ -302,4 +242,6 @@ def redact(docs: DataFrame, model: Model | None = None) -> DataFrame:
         return F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), F.concat(acc["out"], gap).alias("out"))
 
     whole = F.aggregate("spans", start, step, lambda a: F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, F.char_length("text"))))
-    return d.withColumn("text", F.when(F.size("spans") > 0, whole).otherwise(F.col("text"))).select(*columns)
+    d = d.withColumn("text", F.when(F.size("spans") > 0, whole).otherwise(F.col("text")))
+    new = {"text": F.col("text"), "n_chars": F.coalesce(F.char_length("text").cast("bigint"), F.col("row.n_chars").cast("bigint")) if "n_chars" in docs.columns else None}
+    return d.select(*((F.col("row")[c] if new.get(c) is None else new[c]).alias(c) for c in docs.columns))

@@ -7,13 +7,17 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, line_cleaning, near_dedup, neural_lm, packing, pii, suffix_dedup, token_codec, token_count
+from . import decontaminate, line_cleaning, near_dedup, neural_lm, packing, pii, quality_classifier, suffix_dedup, token_codec, token_count
 from .common import documents, read_table
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 BYTE_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.classify(documents(spark, sf_dir), read_table(spark, sf_dir, "labels"))
+
+
 def op2_line_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_cleaning.digest(documents(spark, sf_dir))
 
@@ -51,7 +55,7 @@ def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_line_cleaning, op3_near_dedup, op4_pii, op5_suffix_dedup, op6_packing, op7_decontamination, op8_token_counts, op9_token_blocks, op10_lm_scores]
+    found = [op1_rule_ensemble, op2_line_cleaning, op3_near_dedup, op4_pii, op5_suffix_dedup, op6_packing, op7_decontamination, op8_token_counts, op9_token_blocks, op10_lm_scores]
     return {f.__name__: f for f in found}
 
 

@@ -174,6 +174,11 @@ def _ids(column: pa.ChunkedArray) -> np.ndarray:
     return column.fill_null(LAST).to_numpy()
 
 
+def _in_order(table: pa.Table) -> pa.Table:
+    """A chunk's rows in an order of their own: shuffles deliver them in any."""
+    return table.sort_by([("doc_id", "ascending"), ("text", "ascending")])
+
+
 def _by_part(hashes: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
     part = ((hashes >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
     return part, np.argsort(part, kind="stable")
@@ -239,6 +244,7 @@ def remove_repeats(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame
     def make_contexts(left: pa.Table, right: pa.Table) -> pa.Table:
         """Per chunk: contexts by part (kind 0) and, for the last step, where they occur (kind 1)."""
         out = {"kind": [], "chunk": [], "part": [], "n": [], "data": []}
+        left = _in_order(left)
         if left.num_rows and right.num_rows:
             chunk = left.column("chunk")[0].as_py()
             shared = np.unique(np.concatenate([_unblob(d, k, np.uint64)[0] for d, k in zip(right.column("data").to_pylist(), right.column("n").to_pylist(), strict=True)]))
@@ -309,6 +315,7 @@ def remove_repeats(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame
         return pa.table({"chunk": pa.array(ids, pa.int32()), "n": pa.array(np.diff(edge), pa.int32()), "data": pa.array([_blob(ctx[keep[a:b]], window[keep[a:b]].view(np.uint8).reshape(b - a, -1)) for a, b in zip(edge[:-1], edge[1:], strict=True)], pa.binary())})
 
     def apply(left: pa.Table, right: pa.Table) -> pa.Table:
+        left = _in_order(left)
         ids = _ids(left.column("doc_id"))
         hits: dict[int, list] = {}
         kinds = right.column("kind").to_pylist()
