@@ -1,11 +1,618 @@
-"""Registered queries and their SQL oracles."""
+"""Registered queries and their SQL oracles: one entry per operator."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import fragments as frag
+from ..operators import intervals, metrics, peaks, profile, reads, vectors
+from ..streaming import events
+from . import adapters as a
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def _add(name: str, sql: str | None = None, *views: str) -> Callable[[Query], Query]:
+    def keep(f: Query) -> Query:
+        _QUERIES[name] = f
+        if sql is not None:
+            _SQL[name] = a.with_views(sql, *views) if views else sql
+        return f
+
+    return keep
+
+
+GENOME = a.CONTIG_LENGTH * len(a.CONTIGS)
+
+# ----------------------------------------------------------------------------- fragments
+
+_RANK = "min(CASE WHEN cum > floor((total - 1) * {q}) THEN length END)"
+
+
+@_add(
+    "fragment_sizes",
+    f"""WITH h AS (SELECT stop - start AS length, count(*) AS n FROM fragments WHERE stop - start BETWEEN 1 AND 1000 GROUP BY 1),
+    c AS (SELECT length, n, sum(n) OVER (ORDER BY length) AS cum, sum(n) OVER () AS total FROM h)
+    SELECT CAST(sum(n) AS BIGINT) AS fragments, round(sum(length * n) / sum(n), 6) AS mean_length,
+      round(coalesce(sum(CASE WHEN length BETWEEN 1 AND 99 THEN n END), 0) / sum(n), 6) AS sub_nucleosomal,
+      round(coalesce(sum(CASE WHEN length BETWEEN 180 AND 247 THEN n END), 0) / sum(n), 6) AS mono_nucleosomal,
+      CAST(coalesce(sum(CASE WHEN length > 2000 THEN n END), 0) AS BIGINT) AS overflow,
+      {_RANK.format(q=0.1)} AS p10, {_RANK.format(q=0.5)} AS median, {_RANK.format(q=0.9)} AS p90 FROM c""",
+    "fragments",
+)
+def _(s, d):
+    return frag.size_report(frag.kept(a.fragments(s, d)))
+
+
+@_add("size_histogram", "SELECT stop - start AS length, count(*) AS n FROM fragments GROUP BY 1", "fragments")
+def _(s, d):
+    return frag.size_histogram(a.fragments(s, d))
+
+
+_FILTER = frag.FragmentFilter(min_mapq=10, min_length=80, max_length=330)
+
+
+@_add(
+    "drop_reasons",
+    """SELECT CASE WHEN start < 0 OR stop > 2147483647 THEN 'malformed' WHEN mapq < 10 THEN 'low_mapq' WHEN stop - start < 80 THEN 'too_short'
+    WHEN stop - start > 330 THEN 'too_long' ELSE 'kept' END AS reason, count(*) AS n FROM fragments GROUP BY 1""",
+    "fragments",
+)
+def _(s, d):
+    return frag.drop_reasons(a.fragments(s, d), _FILTER)
+
+
+@_add(
+    "markdup_stats",
+    """WITH k AS (SELECT contig, start, stop, reverse, count(*) AS copies FROM fragments GROUP BY ALL), l AS (SELECT contig, start, count(*) AS live, sum(copies) AS copies FROM k GROUP BY 1, 2)
+    SELECT CAST(sum(copies) AS BIGINT) AS examined, CAST(sum(live) AS BIGINT) AS unique_fragments, CAST(sum(copies) - sum(live) AS BIGINT) AS duplicates,
+    round((sum(copies) - sum(live)) / sum(copies), 6) AS duplicate_rate, max(live) AS peak_live_keys FROM l""",
+    "fragments",
+)
+def _(s, d):
+    return frag.duplicate_stats(a.fragments(s, d))
+
+
+_ALL = ["order_key", "line", "mapq", "start", "stop", "reverse", "contig"]
+
+
+@_add(
+    "markdup_rows",
+    """SELECT contig, start, stop, reverse, count(*) AS copies, CAST(sum(CASE WHEN r > 1 THEN 1 ELSE 0 END) AS BIGINT) AS duplicates
+    FROM (SELECT *, row_number() OVER (PARTITION BY contig, start, stop, reverse ORDER BY order_key, line, mapq) AS r FROM fragments) GROUP BY 1, 2, 3, 4""",
+    "fragments",
+)
+def _(s, d):
+    m = frag.mark_duplicates(a.fragments(s, d), _ALL)
+    return m.groupBy("contig", "start", "stop", "reverse").agg(F.count("*").alias("copies"), F.count_if("duplicate").alias("duplicates"))
+
+
+def _numbered(s, d):
+    f = a.fragments(s, d).filter("line = 1")  # the numbering below needs a key without ties
+    return f.groupBy("order_key").agg(F.min(F.struct("contig", "start")).alias("f")).select(F.col("order_key").alias("rec_idx"), "f.contig", "f.start")
+
+
+@_add(
+    "out_of_order",
+    """WITH r AS (SELECT order_key AS rec_idx, min(struct_pack(contig := contig, start := start)) AS f FROM fragments WHERE line = 1 GROUP BY 1),
+    p AS (SELECT rec_idx, f.contig AS contig, f.start AS start, lag(f.contig) OVER (ORDER BY rec_idx) AS pc, lag(f.start) OVER (ORDER BY rec_idx) AS ps, min(rec_idx) OVER (PARTITION BY f.contig) AS fi FROM r)
+    SELECT count(*) FILTER (WHERE CASE WHEN pc IS NULL THEN FALSE WHEN pc = contig THEN start < ps ELSE fi < rec_idx END) AS out_of_order, count(*) AS records FROM p""",
+    "fragments",
+)
+def _(s, d):
+    return frag.out_of_order(_numbered(s, d))
+
+
+@_add("library_size")
+def _(s, d):
+    row = frag.duplicate_stats(a.fragments(s, d)).first()
+    size = frag.library_size(row["examined"], row["unique_fragments"])
+    return s.createDataFrame([(row["examined"], row["unique_fragments"], size)], "examined bigint, unique_fragments bigint, library_size double")
+
+
+_FRIP = """WITH k AS (SELECT contig, start, stop, reverse, count(*) AS copies FROM fragments GROUP BY ALL),
+    o AS (SELECT k.contig, k.start, k.stop, k.reverse, k.copies, sum(least(k.stop, c.stop) - greatest(k.start, c.start)) AS overlap FROM k
+      JOIN cover c ON c.contig = k.contig AND k.start < c.stop AND c.start < k.stop GROUP BY ALL),
+    t AS (SELECT k.*, coalesce(overlap, 0) AS overlap, {n} AS n FROM k LEFT JOIN o USING (contig, start, stop, reverse, copies)),
+    z AS (SELECT CAST(sum(n) AS BIGINT) AS fragments, CAST(sum(CASE WHEN overlap > 0 THEN n ELSE 0 END) AS BIGINT) AS in_peaks, CAST(sum((stop - start) * n) AS BIGINT) AS bases,
+      CAST(sum(overlap * n) AS BIGINT) AS bases_in_peaks, CAST(sum(copies - n) AS BIGINT) AS excluded FROM t),
+    c AS (SELECT CAST(sum(stop - start) AS BIGINT) AS peak_bases, count(*) AS peaks FROM cover)
+    SELECT z.*, peaks, peak_bases, round(in_peaks / fragments, 6) AS frip, round(bases_in_peaks / bases, 6) AS base_frip,
+      round((in_peaks / fragments) / (peak_bases / 500000), 6) AS enrichment FROM z, c"""
+
+
+@_add("frip", _FRIP.format(n=1), "fragments", "cover")
+def _(s, d):
+    return frag.frip(a.fragments(s, d), a.peaks_bed(s, d), GENOME, keep_duplicates=False)
+
+
+@_add("frip_keep_dups", _FRIP.format(n="copies"), "fragments", "cover")
+def _(s, d):
+    return frag.frip(a.fragments(s, d), a.peaks_bed(s, d), GENOME)
+
+
+# ----------------------------------------------------------------------------- intervals
+
+
+@_add("peak_merge", "SELECT contig, start, stop FROM cover", "cover")
+def _(s, d):
+    return intervals.merge(a.peaks_bed(s, d))
+
+
+@_add("prefix_cover", "SELECT contig, start, stop, CAST(sum(stop - start) OVER (PARTITION BY contig ORDER BY start) - (stop - start) AS BIGINT) AS covered_before FROM cover", "cover")
+def _(s, d):
+    return intervals.prefix_cover(intervals.merge(a.peaks_bed(s, d)))
+
+
+@_add(
+    "overlap_semi",
+    "SELECT contig, start, stop, reverse, count(*) AS n FROM fragments f WHERE EXISTS (SELECT 1 FROM cover c WHERE c.contig = f.contig AND f.start < c.stop AND c.start < f.stop) GROUP BY ALL",
+    "fragments", "cover",
+)
+def _(s, d):
+    k = intervals.overlap_bases(frag.duplicate_keys(a.fragments(s, d)), intervals.merge(a.peaks_bed(s, d)))
+    return k.filter("overlap > 0").select(*frag.KEY, F.col("copies").alias("n"))
+
+
+@_add(
+    "overlap_bases",
+    """SELECT f.contig, f.start, f.stop, coalesce(CAST(sum(CASE WHEN c.start IS NULL THEN 0 ELSE least(f.stop, c.stop) - greatest(f.start, c.start) END) AS BIGINT), 0) AS overlap
+    FROM (SELECT DISTINCT contig, start, stop FROM fragments) f LEFT JOIN cover c ON c.contig = f.contig AND f.start < c.stop AND c.start < f.stop GROUP BY 1, 2, 3""",
+    "fragments", "cover",
+)
+def _(s, d):
+    k = a.fragments(s, d).select("contig", "start", "stop").distinct()
+    return intervals.overlap_bases(k, intervals.merge(a.peaks_bed(s, d)))
+
+
+@_add(
+    "overlap_all",
+    """SELECT x.name AS l_name, y.name AS r_name, least(x.stop, y.stop) - greatest(x.start, y.start) AS bases FROM peaks_bed x JOIN peaks_bed y
+    ON x.contig = y.contig AND x.start < y.stop AND y.start < x.stop WHERE x.strand = '+' AND y.strand = '-'""",
+    "peaks_bed",
+)
+def _(s, d):
+    p = a.peaks_bed(s, d)
+    return intervals.overlap_join(p.filter("strand = '+'"), p.filter("strand = '-'")).select("l_name", "r_name", (F.least("l_stop", "r_stop") - F.greatest("l_start", "r_start")).alias("bases"))
+
+
+@_add(
+    "region_counts",
+    "SELECT p.name, count(x.start) AS n FROM peaks_bed p LEFT JOIN alignments x ON p.contig = x.contig AND p.start < x.stop AND x.start < p.stop GROUP BY 1",
+    "peaks_bed", "alignments",
+)
+def _(s, d):
+    return profile.count_reads(a.peaks_bed(s, d), a.alignments(s, d))
+
+
+@_add("unmatched_contigs", "SELECT contig, count(*) AS n FROM fragments WHERE contig NOT IN (SELECT contig FROM peaks_bed WHERE strand = '+' AND contig <> 'chr3') GROUP BY 1", "fragments", "peaks_bed")
+def _(s, d):
+    known = a.peaks_bed(s, d).filter("strand = '+' and contig <> 'chr3'").select("contig").distinct()
+    return a.fragments(s, d).groupBy("contig").agg(F.count("*").alias("n")).join(known, "contig", "left_anti")
+
+
+@_add("region_tiles", "SELECT contig, start // 10000 AS tile, count(*) AS n, CAST(sum(stop - start) AS BIGINT) AS bases FROM fragments GROUP BY 1, 2", "fragments")
+def _(s, d):
+    return intervals.tiles(a.fragments(s, d), 10_000).groupBy("contig", "tile").agg(F.count("*").alias("n"), F.sum(F.col("stop") - F.col("start")).alias("bases"))
+
+
+# ----------------------------------------------------------------------------- peaks
+
+_RUNS = """ev AS (SELECT contig, pos, sum(d) AS d FROM (SELECT contig, start AS pos, 1 AS d FROM fragments UNION ALL SELECT contig, stop, -1 FROM fragments) GROUP BY 1, 2),
+  runs AS (SELECT * FROM (SELECT contig, pos AS start, lead(pos) OVER (PARTITION BY contig ORDER BY pos) AS stop, CAST(sum(d) OVER (PARTITION BY contig ORDER BY pos) AS BIGINT) AS depth FROM ev) WHERE depth > 0)"""
+_DENSE = _RUNS + """,
+  cb AS (SELECT contig, unnest(range(start, stop)) AS pos, depth AS k FROM runs),
+  dense AS (SELECT contig, pos, coalesce(k, 0) AS k FROM (SELECT contig, unnest(range(0, 100000)) AS pos FROM contigs) LEFT JOIN cb USING (contig, pos)),
+  bg AS (SELECT * FROM (SELECT contig, pos, k,
+    CAST(sum(k) OVER (PARTITION BY contig ORDER BY pos ROWS BETWEEN 500 PRECEDING AND 499 FOLLOWING) AS BIGINT) AS s_1000, least(100000, pos + 500) - greatest(0, pos - 500) AS w_1000,
+    CAST(sum(k) OVER (PARTITION BY contig ORDER BY pos ROWS BETWEEN 2500 PRECEDING AND 2499 FOLLOWING) AS BIGINT) AS s_5000, least(100000, pos + 2500) - greatest(0, pos - 2500) AS w_5000,
+    CAST(sum(k) OVER (PARTITION BY contig ORDER BY pos ROWS BETWEEN 5000 PRECEDING AND 4999 FOLLOWING) AS BIGINT) AS s_10000, least(100000, pos + 5000) - greatest(0, pos - 5000) AS w_10000 FROM dense) WHERE k > 0),
+  lm AS (SELECT *, greatest((SELECT sum((stop - start) * depth) FROM runs) / 500000, s_1000 / w_1000, s_5000 / w_5000, s_10000 / w_10000) AS lam FROM bg)"""
+_SCORED = _DENSE + """,
+  pr AS (SELECT DISTINCT k, lam FROM lm WHERE k > lam - 0.6931471805599453),
+  sp AS (SELECT k, lam, CASE WHEN k > lam THEN (lam - k * ln(lam) + lgamma(k + 1) - ln(1 + list_sum(list_transform(range(1, 700), lambda i: exp(i * ln(lam) - lgamma(k + 1 + i) + lgamma(k + 1)))))) / ln(10)
+     ELSE -log10(1 - list_sum(list_transform(range(0, k), lambda j: exp(-lam + j * ln(lam) - lgamma(j + 1))))) END AS score FROM pr)"""
+_CANDIDATES = _SCORED + """,
+  sc AS (SELECT contig, pos, k, CAST(score AS FLOAT) AS s FROM lm JOIN sp USING (k, lam) WHERE CAST(score AS FLOAT) >= CAST(2 AS FLOAT)),
+  isl AS (SELECT *, sum(CASE WHEN pos - prev <= 31 THEN 0 ELSE 1 END) OVER (PARTITION BY contig ORDER BY pos) AS island FROM (SELECT *, lag(pos) OVER (PARTITION BY contig ORDER BY pos) AS prev FROM sc)),
+  pk AS (SELECT contig, island, min(pos) AS start, max(pos) + 1 AS stop, max(s) AS ss, CAST(sum(k) AS BIGINT) AS ts FROM isl GROUP BY 1, 2 HAVING max(pos) + 1 - min(pos) >= 50),
+  tp AS (SELECT contig, island, pos, pos - row_number() OVER (PARTITION BY contig, island ORDER BY pos) AS r FROM isl JOIN pk USING (contig, island) WHERE s = ss),
+  fr AS (SELECT contig, island, min(pos) AS lo, max(pos) AS hi FROM tp GROUP BY contig, island, r),
+  sm AS (SELECT contig, island, lo + (hi - lo) // 2 AS summit FROM fr QUALIFY row_number() OVER (PARTITION BY contig, island ORDER BY lo) = 1),
+  cand AS (SELECT contig, start, stop, summit, ss, ts FROM pk JOIN sm USING (contig, island)),
+  rk AS (SELECT *, row_number() OVER (ORDER BY ss DESC, contig, start) AS rk, count(*) OVER () AS m FROM cand),
+  bh AS (SELECT *, CAST(max(greatest(0.0, CAST(ss AS DOUBLE) - log10(m) + log10(rk))) OVER (ORDER BY rk ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS FLOAT) AS q FROM rk),
+  ok AS (SELECT * FROM bh WHERE q >= CAST(-log10(0.05) AS FLOAT))"""
+_O = peaks.PeakOptions()
+
+
+def _points(s, d):
+    p = peaks.runs(a.fragments(s, d))
+    return p, peaks.bases(p)
+
+
+@_add(
+    "pileup_runs",
+    f"""WITH {_RUNS}, c AS (SELECT *, CASE WHEN lag(stop) OVER w = start AND lag(depth) OVER w = depth THEN 0 ELSE 1 END AS fresh FROM runs WINDOW w AS (PARTITION BY contig ORDER BY start)),
+    i AS (SELECT *, sum(fresh) OVER (PARTITION BY contig ORDER BY start) AS island FROM c)
+    SELECT contig, min(start) AS start, max(stop) AS stop, depth FROM i GROUP BY contig, island, depth""",
+    "fragments",
+)
+def _(s, d):
+    return peaks.pileup_runs(a.fragments(s, d))
+
+
+@_add("background_sums", f"WITH {_DENSE} SELECT contig, pos, k, s_1000, w_1000, s_5000, w_5000, s_10000, w_10000 FROM bg", "fragments", "contigs")
+def _(s, d):
+    p, b = _points(s, d)
+    r = peaks.background(b, p, a.contigs(s, d))
+    return r.select("contig", "pos", "k", *(F.col(f"{x}_{n}").cast("bigint").alias(f"{x}_{n}") for n in peaks.SCALES for x in "sw"))
+
+
+@_add("local_lambda", f"WITH {_DENSE} SELECT contig, pos, k, round(lam, 6) AS lam FROM lm", "fragments", "contigs")
+def _(s, d):
+    p, b = _points(s, d)
+    return peaks.local_lambda(b, p, a.contigs(s, d)).select("contig", "pos", "k", F.round("lam", 6).alias("lam"))
+
+
+@_add("poisson_scores", f"WITH {_SCORED} SELECT k, round(lam, 6) AS lam, round(score, 4) AS score FROM sp", "fragments", "contigs")
+def _(s, d):
+    p, b = _points(s, d)
+    r = peaks.scored(peaks.local_lambda(b, p, a.contigs(s, d)), _O.cutoff)
+    return r.select("k", "lam", "score").distinct().select("k", F.round("lam", 6).alias("lam"), F.round("score", 4).alias("score"))
+
+
+@_add("candidate_peaks", f"WITH {_CANDIDATES} SELECT contig, start, stop, summit, round(CAST(ss AS DOUBLE), 4) AS summit_score, ts AS total_signal FROM cand", "fragments", "contigs")
+def _(s, d):
+    return peaks.call(a.fragments(s, d), a.contigs(s, d), _O).select("contig", "start", "stop", "summit", F.round(F.col("summit_score").cast("double"), 4).alias("summit_score"), "total_signal")
+
+
+@_add("bh_qvalues", f"WITH {_CANDIDATES} SELECT contig, start, stop, round(CAST(q AS DOUBLE), 4) AS q FROM bh", "fragments", "contigs")
+def _(s, d):
+    return peaks.call(a.fragments(s, d), a.contigs(s, d), _O).select("contig", "start", "stop", F.round(F.col("q").cast("double"), 4).alias("q"))
+
+
+@_add(
+    "narrowpeak",
+    f"""WITH {_CANDIDATES} SELECT contig AS chrom, start, stop, 'peak_' || row_number() OVER (ORDER BY contig, start) AS name, CAST(greatest(0, least(1000, floor(CAST(q AS DOUBLE) * 10))) AS BIGINT) AS score, '.' AS strand,
+    round(ts / (stop - start), 4) AS fold, round(CAST(ss AS DOUBLE), 4) AS neg_log10_p, round(CAST(q AS DOUBLE), 4) AS neg_log10_q, summit - start AS summit_offset FROM ok""",
+    "fragments", "contigs",
+)
+def _(s, d):
+    n = peaks.narrow_peak(peaks.gate(peaks.call(a.fragments(s, d), a.contigs(s, d), _O), _O.alpha))
+    return n.withColumns({c: F.round(c, 4) for c in ("fold", "neg_log10_p", "neg_log10_q")})
+
+
+@_add("extended_peaks", f"WITH {_CANDIDATES} SELECT contig, greatest(0, start - 75) AS start, least(100000, stop + 75) AS stop, summit FROM ok", "fragments", "contigs")
+def _(s, d):
+    c = a.contigs(s, d)
+    return peaks.extended(peaks.gate(peaks.call(a.fragments(s, d), c, _O), _O.alpha), c, 75).select("contig", "start", "stop", "summit")
+
+
+# ----------------------------------------------------------------------------- profile
+
+_P = profile.ProfileOptions()
+_MATRIX = """w AS (SELECT name, contig, strand, CASE WHEN strand = '-' THEN stop ELSE start END - 1000 AS ws FROM peaks_bed JOIN contigs USING (contig)),
+  al AS (SELECT contig, start, stop, count(*) AS n FROM alignments WHERE flag & 3844 = 0 AND stop > start GROUP BY 1, 2, 3),
+  h AS (SELECT name, b, start, stop, ws, n FROM w JOIN al ON al.contig = w.contig AND al.start < ws + 2000 AND ws < al.stop JOIN range(0, 20) t(b) ON al.start < ws + b * 100 + 100 AND ws + b * 100 < al.stop),
+  v AS (SELECT name, b, CAST({value} AS DOUBLE) AS value FROM h GROUP BY 1, 2),
+  m AS (SELECT w.name, CASE WHEN strand = '-' THEN 19 - t.b ELSE t.b END AS bin, coalesce(value, 0) AS value FROM w CROSS JOIN range(0, 20) t(b) LEFT JOIN v ON v.name = w.name AND v.b = t.b),
+  total AS (SELECT count(*) AS n FROM alignments)"""
+_COUNT = _MATRIX.format(value="sum(n)")
+_DEPTH = _MATRIX.format(value="sum((least(stop, ws + b * 100 + 100) - greatest(start, ws + b * 100)) * n) / 100")
+_PV = ("peaks_bed", "contigs", "alignments")
+
+
+def _matrix(s, d, o=_P):
+    return profile.matrix(a.peaks_bed(s, d), a.alignments(s, d), a.contigs(s, d), o)
+
+
+def _total(s, d):
+    return a.alignments(s, d).agg(F.count("*").alias("n"))
+
+
+@_add("profile_matrix", f"WITH {_COUNT} SELECT name, bin, -1000 + bin * 100 + 50 AS bin_offset, value FROM m", *_PV)
+def _(s, d):
+    return _matrix(s, d)
+
+
+@_add("profile_depth", f"WITH {_DEPTH} SELECT name, bin, -1000 + bin * 100 + 50 AS bin_offset, round(value, 6) AS value FROM m", *_PV)
+def _(s, d):
+    return _matrix(s, d, profile.ProfileOptions(mode="depth")).withColumn("value", F.round("value", 6))
+
+
+@_add("profile_cpm", f"WITH {_COUNT} SELECT name, bin, round(value * (1e6 / (SELECT n FROM total)), 4) AS value FROM m", *_PV)
+def _(s, d):
+    return profile.normalised(_matrix(s, d), _total(s, d), _P, "CPM").select("name", "bin", F.round("value", 4).alias("value"))
+
+
+@_add("profile_rpkm", f"WITH {_COUNT} SELECT name, bin, round(value * (1e9 / ((SELECT n FROM total) * 100.0)), 4) AS value FROM m", *_PV)
+def _(s, d):
+    return profile.normalised(_matrix(s, d), _total(s, d), _P, "RPKM").select("name", "bin", F.round("value", 4).alias("value"))
+
+
+@_add("profile_bpm", f"WITH {_COUNT} SELECT name, bin, round(value * (1e6 / (SELECT sum(value) FROM m)), 4) AS value FROM m", *_PV)
+def _(s, d):
+    return profile.normalised(_matrix(s, d), _total(s, d), _P, "BPM").select("name", "bin", F.round("value", 4).alias("value"))
+
+
+@_add("meta_profile", f"WITH {_COUNT} SELECT bin, -1000 + bin * 100 + 50 AS bin_offset, round(avg(value), 6) AS mean FROM m GROUP BY bin", *_PV)
+def _(s, d):
+    return profile.meta_profile(_matrix(s, d)).withColumn("mean", F.round("mean", 6))
+
+
+@_add("top_regions", f"WITH {_COUNT} SELECT name, round(avg(value), 6) AS mean, max(value) AS top FROM m GROUP BY name ORDER BY avg(value) DESC, name LIMIT 20", *_PV)
+def _(s, d):
+    return profile.top_regions(_matrix(s, d), 20).withColumn("mean", F.round("mean", 6))
+
+
+@_add(
+    "heatmap",
+    f"""WITH {_COUNT}, r AS (SELECT name, row_number() OVER (ORDER BY avg(value) DESC, name) - 1 AS place, count(*) OVER () AS total_rows FROM m GROUP BY name),
+    e AS (SELECT b, total_rows * b // 8 AS lo, total_rows * (b + 1) // 8 AS hi FROM range(0, 8) t(b), (SELECT max(total_rows) AS total_rows FROM r))
+    SELECT e.b AS band, bin, round(avg(value), 6) AS mean FROM m JOIN r USING (name) JOIN e ON place >= lo AND place < hi GROUP BY 1, 2""",
+    *_PV,
+)
+def _(s, d):
+    return profile.heatmap(_matrix(s, d), 8).withColumn("mean", F.round("mean", 6))
+
+
+# ----------------------------------------------------------------------------- reads
+
+_Q = "list_transform(list_filter(string_split(qual, ''), lambda c: c <> ''), lambda c: ord(c) - 33)"
+
+
+@_add(
+    "read_qc",
+    f"""WITH z AS (SELECT seq, {_Q} AS q FROM reads)
+    SELECT count(*) AS reads, CAST(sum(length(seq)) AS BIGINT) AS bases, CAST(sum(coalesce(list_sum(q), 0)) AS BIGINT) AS quality_sum,
+    CAST(sum(len(list_filter(q, lambda x: x >= 20))) AS BIGINT) AS q20_bases, CAST(sum(len(list_filter(q, lambda x: x >= 30))) AS BIGINT) AS q30_bases,
+    CAST(sum(length(seq) - length(regexp_replace(seq, '[GCgc]', '', 'g'))) AS BIGINT) AS gc_bases, CAST(sum(length(regexp_replace(seq, '[ACGTacgt]', '', 'g'))) AS BIGINT) AS n_bases FROM z""",
+    "reads",
+)
+def _(s, d):
+    return reads.totals(a.reads(s, d))
+
+
+@_add("quality_histogram", f"SELECT q, count(*) AS n FROM (SELECT CAST(unnest({_Q}) AS INTEGER) AS q FROM reads) GROUP BY 1", "reads")
+def _(s, d):
+    return reads.quality_histogram(a.reads(s, d))
+
+
+@_add(
+    "per_cycle",
+    """WITH c AS (SELECT unnest(range(1, length(qual) + 1)) AS cycle, qual, seq FROM reads WHERE length(qual) > 0),
+    b AS (SELECT cycle, ord(substr(qual, cycle, 1)) - 33 AS q, upper(substr(seq, cycle, 1)) AS b FROM c)
+    SELECT CAST(cycle AS INTEGER) AS cycle, round(avg(q), 6) AS mean_quality, count(*) FILTER (WHERE b = 'A') AS n_a, count(*) FILTER (WHERE b = 'C') AS n_c, count(*) FILTER (WHERE b = 'G') AS n_g,
+    count(*) FILTER (WHERE b = 'T') AS n_t, count(*) FILTER (WHERE b NOT IN ('A', 'C', 'G', 'T')) AS n_other FROM b GROUP BY 1""",
+    "reads",
+)
+def _(s, d):
+    return reads.per_cycle(a.reads(s, d))
+
+
+_TQ = reads.TrimOptions(front=22, tail=25, window=4, window_mean=29.0)
+_CUT = """f AS (SELECT rec_idx, seq, qual, length(regexp_extract(qual, '^[!-6]*')) AS keep_from FROM reads),
+  t AS (SELECT rec_idx, seq, keep_from, qual, regexp_replace(substr(qual, keep_from + 1), '[!-9]+$', '') AS q FROM f),
+  l AS (SELECT *, list_transform(list_filter(string_split(q, ''), lambda c: c <> ''), lambda c: ord(c) - 33) AS v FROM t),
+  k AS (SELECT *, CASE WHEN length(q) < 4 THEN length(q) ELSE coalesce(list_filter(range(0, length(q) - 3), lambda s: list_sum(list_slice(v, s + 1, s + 4)) < 116)[1], length(q)) END AS keep FROM l)"""
+
+
+@_add("trim_quality", f"WITH {_CUT} SELECT rec_idx, CAST(keep_from AS INTEGER) AS keep_from, CAST(keep_from + keep AS INTEGER) AS keep_to FROM k", "reads")
+def _(s, d):
+    return reads.trim(a.reads(s, d), _TQ).select("rec_idx", "keep_from", F.col("keep_to").cast("int").alias("keep_to"))
+
+
+_ADAPTER = "GCAATCGA"
+
+
+@_add(
+    "trim_adapter",
+    f"""SELECT rec_idx, CAST(coalesce(list_filter(range(0, greatest(length(seq) - 3, 0)), lambda p: substr(seq, p + 1, 4) = '{_ADAPTER[:4]}' AND
+      len(list_filter(range(1, least(8, length(seq) - p) + 1), lambda i: substr(seq, p + i, 1) <> substr('{_ADAPTER}', i, 1))) <= floor(least(8, length(seq) - p) * 0.25))[1], length(seq)) AS INTEGER) AS keep FROM reads""",
+    "reads",
+)
+def _(s, d):
+    return a.reads(s, d).select("rec_idx", reads.cut_adapter(F.col("seq"), (_ADAPTER,), 4, 8, 0.25).cast("int").alias("keep"))
+
+
+_RF = reads.TrimOptions(window=0, min_length=40, max_n_rate=0.02, min_mean_quality=30.5)
+
+
+@_add(
+    "read_filters",
+    f"""WITH z AS (SELECT seq, qual, {_Q} AS q FROM reads) SELECT CASE WHEN length(seq) < 40 THEN 'short' WHEN length(regexp_replace(seq, '[ACGTacgt]', '', 'g')) > 0.02 * length(seq) THEN 'n_rate'
+    WHEN coalesce(list_sum(q) / len(q), 0) < 30.5 THEN 'short' ELSE 'kept' END AS drop_reason, count(*) AS n FROM z GROUP BY 1""",
+    "reads",
+)
+def _(s, d):
+    return reads.trim(a.reads(s, d), _RF).groupBy("drop_reason").agg(F.count("*").alias("n"))
+
+
+@_add(
+    "phred64_check",
+    f"""WITH h AS (SELECT q, count(*) AS n FROM (SELECT unnest({_Q}) AS q FROM reads) GROUP BY 1)
+    SELECT CAST(coalesce(sum(n) FILTER (WHERE q < 31), 0) AS BIGINT) AS low, CAST(coalesce(sum(n) FILTER (WHERE q > 72), 0) AS BIGINT) AS high, CAST(coalesce(sum(n) FILTER (WHERE q BETWEEN 61 AND 72), 0) AS BIGINT) AS top, FALSE AS phred64 FROM h""",
+    "reads",
+)
+def _(s, d):
+    return reads.phred64(reads.quality_histogram(a.reads(s, d)))
+
+
+@_add("reverse_complement", "SELECT rec_idx, reverse(translate(seq, 'ACGTacgtNn', 'TGCAtgcaNn')) AS seq, reverse(qual) AS qual FROM reads", "reads")
+def _(s, d):
+    return a.reads(s, d).select("rec_idx", reads.reverse_complement(F.col("seq")).alias("seq"), F.reverse("qual").alias("qual"))
+
+
+# ----------------------------------------------------------------------------- vectors
+
+_K = 5
+
+
+@_add("row_norms", "SELECT row, round(sqrt(sum(value * value)), 6) AS norm FROM counts GROUP BY row", "counts")
+def _(s, d):
+    return vectors.row_norms(a.counts(s, d)).withColumn("norm", F.round("norm", 6))
+
+
+_PAIRS = """nn AS (SELECT row, sqrt(sum(value * value)) AS norm FROM counts GROUP BY row),
+  pp AS (SELECT x.row AS a, y.row AS b, sum(x.value * y.value) AS dot FROM counts x JOIN counts y ON x.col = y.col AND x.row < y.row GROUP BY 1, 2),
+  ps AS (SELECT a, b, CAST(dot / (na.norm * nb.norm) AS FLOAT) AS sim FROM pp JOIN nn na ON na.row = a JOIN nn nb ON nb.row = b)"""
+
+
+@_add("cosine_pairs", f"WITH {_PAIRS} SELECT a, b, round(CAST(sim AS DOUBLE), 5) AS sim FROM ps", "counts")
+def _(s, d):
+    return vectors.cosine_pairs(a.counts(s, d)).withColumn("sim", F.round(F.col("sim").cast("double"), 5))
+
+
+@_add(
+    "knn_exact",
+    f"""WITH {_PAIRS}, two AS (SELECT a AS src, b AS dst, sim FROM ps UNION ALL SELECT b, a, sim FROM ps)
+    SELECT src, CAST(row_number() OVER (PARTITION BY src ORDER BY sim DESC, dst) AS INTEGER) AS rank, dst, round(CAST(sim AS DOUBLE), 5) AS sim FROM two QUALIFY rank <= {_K}""",
+    "counts",
+)
+def _(s, d):
+    return vectors.knn_sparse(a.counts(s, d), _K).withColumn("sim", F.round(F.col("sim").cast("double"), 5))
+
+
+_UNIT = "un AS (SELECT id, list_transform(vec, lambda x: CAST(x AS DOUBLE)) AS v FROM cells)"
+
+
+@_add(
+    "knn_dense",
+    f"""WITH {_UNIT}, z AS (SELECT x.id AS src, y.id AS dst, CAST(list_cosine_similarity(x.v, y.v) AS FLOAT) AS sim FROM un x JOIN un y ON x.id <> y.id)
+    SELECT src, CAST(row_number() OVER (PARTITION BY src ORDER BY sim DESC, dst) AS INTEGER) AS rank, dst, round(CAST(sim AS DOUBLE), 4) AS sim FROM z QUALIFY rank <= {_K}""",
+    "cells",
+)
+def _(s, d):
+    c = a.cells(s, d)
+    return vectors.knn(c, c, _K).withColumn("sim", F.round(F.col("sim").cast("double"), 4))
+
+
+@_add(
+    "knn_query",
+    f"""WITH {_UNIT}, z AS (SELECT x.id AS src, y.id AS dst, CAST(list_cosine_similarity(x.v, y.v) AS FLOAT) AS sim FROM un x JOIN un y ON x.id % 20 = 0)
+    SELECT src, CAST(row_number() OVER (PARTITION BY src ORDER BY sim DESC, dst) AS INTEGER) AS rank, dst, round(CAST(sim AS DOUBLE), 4) AS sim FROM z QUALIFY rank <= {_K}""",
+    "cells",
+)
+def _(s, d):
+    c = a.cells(s, d)
+    return vectors.VectorIndex(c).query(c.filter("id % 20 = 0"), _K).withColumn("sim", F.round(F.col("sim").cast("double"), 4))
+
+
+@_add(
+    "graph_symmetrise",
+    f"""WITH {_PAIRS}, two AS (SELECT a AS src, b AS dst, sim FROM ps UNION ALL SELECT b, a, sim FROM ps),
+    e AS (SELECT src, dst, sim FROM two QUALIFY row_number() OVER (PARTITION BY src ORDER BY sim DESC, dst) <= {_K}), s AS (SELECT src, dst, sim FROM e UNION ALL SELECT dst, src, sim FROM e)
+    SELECT src, dst, round(CAST(max(sim) AS DOUBLE), 5) AS sim FROM s GROUP BY 1, 2""",
+    "counts",
+)
+def _(s, d):
+    return vectors.symmetrised(vectors.knn_sparse(a.counts(s, d), _K)).withColumn("sim", F.round(F.col("sim").cast("double"), 5))
+
+
+# ----------------------------------------------------------------------------- metrics
+
+
+@_add("pearson", "SELECT round(corr(l_quantity, l_extendedprice), 6) AS pearson FROM lineitem")
+def _(s, d):
+    return metrics.pearson(a.table(s, d, "lineitem"), "l_quantity", "l_extendedprice").select(F.round("pearson", 6).alias("pearson"))
+
+
+@_add(
+    "spearman",
+    """WITH r AS (SELECT rank() OVER (ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_quantity) - 1) / 2 AS x, rank() OVER (ORDER BY l_extendedprice) + (count(*) OVER (PARTITION BY l_extendedprice) - 1) / 2 AS y FROM lineitem)
+    SELECT round(corr(x, y), 6) AS spearman FROM r""",
+)
+def _(s, d):
+    return metrics.spearman(a.table(s, d, "lineitem"), "l_quantity", "l_extendedprice").select(F.round("spearman", 6).alias("spearman"))
+
+
+@_add(
+    "ks",
+    """WITH a AS (SELECT stop - start AS v, count(*) AS n FROM fragments WHERE reverse GROUP BY 1), b AS (SELECT stop - start AS v, count(*) AS n FROM fragments WHERE NOT reverse GROUP BY 1),
+    j AS (SELECT coalesce(a.v, b.v) AS v, coalesce(a.n, 0) AS na, coalesce(b.n, 0) AS nb FROM a FULL JOIN b ON a.v = b.v),
+    c AS (SELECT sum(na) OVER (ORDER BY v) / sum(na) OVER () - sum(nb) OVER (ORDER BY v) / sum(nb) OVER () AS gap FROM j) SELECT round(max(abs(gap)), 6) AS ks FROM c""",
+    "fragments",
+)
+def _(s, d):
+    f = a.fragments(s, d)
+    return metrics.histogram_ks(frag.size_histogram(f.filter("reverse")), frag.size_histogram(f.filter("not reverse")), "length").select(F.round("ks", 6).alias("ks"))
+
+
+@_add(
+    "jaccard",
+    """WITH x AS (SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_returnflag = 'R'), y AS (SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_linestatus = 'F')
+    SELECT count(*) FILTER (WHERE x.k IS NOT NULL AND y.k IS NOT NULL) AS shared, count(*) AS either, round(count(*) FILTER (WHERE x.k IS NOT NULL AND y.k IS NOT NULL) / count(*), 6) AS jaccard FROM x FULL JOIN y ON x.k = y.k""",
+)
+def _(s, d):
+    li = a.table(s, d, "lineitem").withColumnRenamed("l_partkey", "k")
+    return metrics.set_jaccard(li.filter("l_returnflag = 'R'"), li.filter("l_linestatus = 'F'"), "k").withColumn("jaccard", F.round("jaccard", 6))
+
+
+def _shifted(s, d):
+    p = a.peaks_bed(s, d).filter("strand = '+'")
+    return p.select("contig", (F.col("start") + 40).alias("start"), (F.col("stop") + 40).alias("stop"), F.concat(F.lit("q"), "name").alias("name"))
+
+
+_SHIFTED = "pb AS (SELECT contig, start + 40 AS start, stop + 40 AS stop, 'q' || name AS name FROM peaks_bed WHERE strand = '+')"
+
+
+@_add(
+    "peak_matching",
+    f"""WITH {_SHIFTED}, p AS (SELECT x.name AS a_name, y.name AS b_name, (least(x.stop, y.stop) - greatest(x.start, y.start)) / (greatest(x.stop, y.stop) - least(x.start, y.start)) AS iou
+      FROM peaks_bed x JOIN pb y ON x.contig = y.contig AND x.start < y.stop AND y.start < x.stop),
+    l AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY a_name ORDER BY iou DESC, b_name) = 1)
+    SELECT a_name, b_name, round(iou, 6) AS iou FROM l QUALIFY row_number() OVER (PARTITION BY b_name ORDER BY iou DESC, a_name) = 1""",
+    "peaks_bed",
+)
+def _(s, d):
+    return metrics.match_peaks(a.peaks_bed(s, d), _shifted(s, d)).withColumn("iou", F.round("iou", 6))
+
+
+@_add(
+    "interval_jaccard",
+    f"""WITH {_SHIFTED}, mb AS (SELECT contig, min(start) AS start, max(stop) AS stop FROM (SELECT *, sum(CASE WHEN start <= before THEN 0 ELSE 1 END) OVER (PARTITION BY contig ORDER BY start, stop ROWS UNBOUNDED PRECEDING) AS island
+        FROM (SELECT contig, start, stop, max(stop) OVER (PARTITION BY contig ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM pb)) GROUP BY contig, island),
+    z AS (SELECT CAST((SELECT sum(least(x.stop, y.stop) - greatest(x.start, y.start)) FROM cover x JOIN mb y ON x.contig = y.contig AND x.start < y.stop AND y.start < x.stop) AS BIGINT) AS shared,
+      CAST((SELECT sum(stop - start) FROM cover) AS BIGINT) AS ca, CAST((SELECT sum(stop - start) FROM mb) AS BIGINT) AS cb)
+    SELECT shared, ca + cb - shared AS either, round(shared / (ca + cb - shared), 6) AS jaccard FROM z""",
+    "cover",
+)
+def _(s, d):
+    return metrics.interval_jaccard(a.peaks_bed(s, d), _shifted(s, d)).withColumn("jaccard", F.round("jaccard", 6))
+
+
+# ----------------------------------------------------------------------------- streams
+
+
+@_add(
+    "sessions",
+    """WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events),
+    i AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e)
+    SELECT user_id, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS n_events FROM i GROUP BY user_id, k""",
+)
+def _(s, d):
+    return events.sessions(a.table(s, d, "events"))
+
+
+@_add("tumbling_windows", "SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def _(s, d):
+    return events.tumbling(a.table(s, d, "events"))
+
+
+@_add("dedup_stream", "SELECT DISTINCT user_id, event_type FROM events")
+def _(s, d):
+    return events.deduplicated(s, d, ["user_id", "event_type"])
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
