@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import poisson
+from ..storage import stored
 from . import intervals
 
 SCALES = (1000, 5000, 10000)
@@ -39,7 +40,8 @@ def runs(fragments: DataFrame) -> DataFrame:
     """(contig, start, stop, depth): maximal stretches between events, covered ones only."""
     ends = F.explode(F.array(F.struct(F.col("start").alias("pos"), F.lit(1).alias("d")), F.struct(F.col("stop").alias("pos"), F.lit(-1).alias("d"))))
     e = fragments.select("contig", ends.alias("e")).groupBy("contig", F.col("e.pos").alias("start")).agg(F.sum("e.d").alias("d"))
-    e = intervals.running(e, ["start"], F.col("d"), "sum", "depth")
+    e = stored(e, "pileup-events")
+    e = stored(intervals.running(e, ["start"], F.col("d"), "sum", "depth"), "pileup-depths")
     e = intervals.following(e, "start", "stop")
     return e.filter("depth > 0").select("contig", "start", "stop", F.col("depth").cast("bigint").alias("depth"))
 
@@ -47,7 +49,9 @@ def runs(fragments: DataFrame) -> DataFrame:
 def pileup_runs(fragments: DataFrame) -> DataFrame:
     """Runs with neighbours of equal depth joined."""
     r = runs(fragments)
+    r = stored(r, "runs")
     w = intervals.running(r, ["start"], F.struct("stop", "depth"), "max", "_last", inclusive=False)
+    w = stored(w, "runs")
     fresh = F.when((F.col("_last.stop") == F.col("start")) & (F.col("_last.depth") == F.col("depth")), 0).otherwise(1)
     d = intervals.running(w, ["start"], fresh, "sum", "island")
     return d.groupBy("contig", "island", "depth").agg(F.min("start").alias("start"), F.max("stop").alias("stop")).select("contig", "start", "stop", "depth")
@@ -68,6 +72,7 @@ def background(points: DataFrame, pileup: DataFrame, contigs: DataFrame) -> Data
     edges = [e for s in SCALES for e in edge(s // 2)]
     wanted = p.select("contig", F.explode(F.array(*edges)).alias("x")).distinct()
     prefix = intervals.weighted_below(wanted, index, F.col("x"), "below", PREFIX_BIN).select("contig", "x", "below")
+    prefix = stored(prefix, "prefix")  # six joins read it
     for s in SCALES:
         low, high = edge(s // 2)
         p = p.withColumn(f"w_{s}", high - low).withColumn("_l", low).withColumn("_h", high)
@@ -84,7 +89,7 @@ def genome_rate(pileup: DataFrame, contigs: DataFrame) -> DataFrame:
 
 def local_lambda(points: DataFrame, pileup: DataFrame, contigs: DataFrame) -> DataFrame:
     """Background plus `lam`: the largest of the genome rate and the three local rates."""
-    d = background(points, pileup, contigs).crossJoin(F.broadcast(genome_rate(pileup, contigs)))  # one row
+    d = stored(background(points, pileup, contigs), "background").crossJoin(F.broadcast(genome_rate(pileup, contigs)))  # one row
     return d.withColumn("lam", F.greatest("lambda_bg", *(F.col(f"s_{s}") / F.col(f"w_{s}") for s in SCALES)))
 
 
@@ -104,8 +109,9 @@ def candidates(d: DataFrame, o: PeakOptions) -> DataFrame:
     stretch of adjacent bases that hold the maximum."""
     d = d.withColumn("score", F.col("score").cast("float")).filter(F.col("score") >= F.lit(o.cutoff).cast("float"))
     d = intervals.running(d, ["pos"], F.col("pos"), "max", "_before", position="pos", inclusive=False)
+    d = stored(d, "above-cutoff")
     fresh = F.when(F.col("pos") - F.col("_before") <= max(2, o.max_gap + 1), 0).otherwise(1)
-    d = intervals.running(d, ["pos"], fresh, "sum", "island", position="pos")
+    d = stored(intervals.running(d, ["pos"], fresh, "sum", "island", position="pos"), "islands")
     peak = d.groupBy("contig", "island").agg(
         F.min("pos").alias("start"), (F.max("pos") + 1).alias("stop"), F.max("score").alias("summit_score"), F.sum("k").alias("total_signal")
     ).filter(F.col("stop") - F.col("start") >= o.min_length)
@@ -134,9 +140,9 @@ def benjamini_hochberg(peaks: DataFrame, order: tuple[str, ...] = ("contig", "st
 def call(fragments: DataFrame, contigs: DataFrame, o: PeakOptions = PeakOptions()) -> DataFrame:
     """All candidates with q values."""
     f = fragments.filter((F.col("stop") - F.col("start")).between(1, MAX_FRAGMENT))
-    pileup = runs(f)
-    d = scored(local_lambda(bases(pileup), pileup, contigs), o.cutoff)
-    return benjamini_hochberg(candidates(d, o))
+    pileup = stored(runs(f), "pileup")
+    d = stored(scored(local_lambda(bases(pileup), pileup, contigs), o.cutoff), "scores")
+    return benjamini_hochberg(stored(candidates(d, o), "candidates"))
 
 
 def gate(peaks: DataFrame, alpha: float) -> DataFrame:

@@ -80,15 +80,15 @@ def matrix(regions: DataFrame, alignments: DataFrame, contigs: DataFrame, o: Pro
     left = w.select("contig", F.col("w_start").alias("start"), F.col("w_stop").alias("stop"), "name", "strand")
     hit = intervals.overlap_join(left, reads)
     at = lambda x: F.floor((x - F.col("l_start")) * o.bins / o.width).cast("bigint")
-    first = F.greatest(at(F.greatest("r_start", "l_start")) - 1, F.lit(0))
-    last = F.least(at(F.least("r_stop", "l_stop")) + 1, F.lit(o.bins - 1))
+    first = F.greatest(at(F.greatest("r_start", "l_start")) - 1, F.lit(0).cast("bigint"))
+    last = F.least(at(F.least("r_stop", "l_stop")) + 1, F.lit(o.bins - 1).cast("bigint"))
     hit = hit.withColumn("bin", F.explode(F.sequence(first, last)))
     lo, hi = bin_bounds(F.col("bin"), o)
     over = F.least(F.col("r_stop"), F.col("l_start") + hi) - F.greatest(F.col("r_start"), F.col("l_start") + lo)
     hit = hit.withColumn("over", over).filter("over > 0")
     value = F.sum("r_n").cast("double") if o.mode == "reads" else F.sum(F.col("over") * F.col("r_n")) / F.first(hi - lo)
     found = hit.groupBy(F.col("l_name").alias("name"), "bin").agg(value.alias("value"))
-    grid = w.select("name", "strand").withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(o.bins - 1))).cast("bigint"))
+    grid = w.select("name", "strand").withColumn("bin", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(o.bins - 1).cast("bigint"))))
     d = grid.join(found, ["name", "bin"], "left").withColumn("value", F.coalesce("value", F.lit(0.0)))
     minus = (F.col("strand") == "-") if o.stranded else F.lit(False)
     d = d.withColumn("bin", F.when(minus, F.lit(o.bins - 1) - F.col("bin")).otherwise(F.col("bin")))

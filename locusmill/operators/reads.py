@@ -127,12 +127,21 @@ def cut_window(qual: Column, window: int, mean: float) -> Column:
     if window == 0:
         return n
     least = int(mean * window)
-    q = qualities(qual)
-    # sums of all windows from one pass of running sums
-    run = F.aggregate(q, F.array(F.lit(0)), lambda a, x: F.array_append(a, F.element_at(a, -1) + x))
-    starts = F.sequence(F.lit(0), n - window)
-    bad = F.filter(starts, lambda s: F.get(run, s + window) - F.get(run, s) < least)
-    return F.when(n < window, n).otherwise(F.coalesce(F.get(bad, F.lit(0)), n))
+
+    def first_bad(q: Column) -> Column:
+        """One pass with a moving sum."""
+
+        def step(a: Column, x: Column) -> Column:
+            total = a["total"] + x - F.coalesce(F.get(q, a["i"] - window), F.lit(0))
+            bad = (a["cut"] < 0) & (a["i"] >= window - 1) & (total < least)
+            return F.struct((a["i"] + 1).alias("i"), total.alias("total"), F.when(bad, a["i"] - (window - 1)).otherwise(a["cut"]).alias("cut"))
+
+        start = F.struct(F.lit(0).alias("i"), F.lit(0).alias("total"), F.lit(-1).alias("cut"))
+        return F.aggregate(q, start, step, lambda a: a["cut"])
+
+    # the one-element array binds the qualities to a name, so they are computed once a read
+    cut = F.get(F.transform(F.array(qualities(qual)), first_bad), F.lit(0))
+    return F.when(cut >= 0, cut).otherwise(n)
 
 
 def cut_adapter(seq: Column, adapters: tuple[str, ...], min_overlap: int = 4, seed: int = 8, rate: float = 0.1) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import fragments as frag
 from ..operators import intervals, metrics, peaks, profile, reads, vectors
+from ..storage import stored
 from ..streaming import events
 from . import adapters as a
 
@@ -232,7 +233,7 @@ _O = peaks.PeakOptions()
 
 
 def _points(s, d):
-    p = peaks.runs(a.fragments(s, d))
+    p = stored(peaks.runs(a.fragments(s, d)), "pileup")
     return p, peaks.bases(p)
 
 
@@ -280,12 +281,11 @@ def _(s, d):
 @_add(
     "narrowpeak",
     f"""WITH {_CANDIDATES} SELECT contig AS chrom, start, stop, 'peak_' || row_number() OVER (ORDER BY contig, start) AS name, CAST(greatest(0, least(1000, floor(CAST(q AS DOUBLE) * 10))) AS BIGINT) AS score, '.' AS strand,
-    round(ts / (stop - start), 4) AS fold, round(CAST(ss AS DOUBLE), 4) AS neg_log10_p, round(CAST(q AS DOUBLE), 4) AS neg_log10_q, summit - start AS summit_offset FROM ok""",
+    round(ts / (stop - start), 5) AS fold, round(CAST(ss AS DOUBLE), 5) AS neg_log10_p, round(CAST(q AS DOUBLE), 5) AS neg_log10_q, summit - start AS summit_offset FROM ok""",
     "fragments", "contigs",
 )
 def _(s, d):
-    n = peaks.narrow_peak(peaks.gate(peaks.call(a.fragments(s, d), a.contigs(s, d), _O), _O.alpha))
-    return n.withColumns({c: F.round(c, 4) for c in ("fold", "neg_log10_p", "neg_log10_q")})
+    return peaks.narrow_peak(peaks.gate(peaks.call(a.fragments(s, d), a.contigs(s, d), _O), _O.alpha))
 
 
 @_add("extended_peaks", f"WITH {_CANDIDATES} SELECT contig, greatest(0, start - 75) AS start, least(100000, stop + 75) AS stop, summit FROM ok", "fragments", "contigs")

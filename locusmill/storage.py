@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession, label: str) -> str:
@@ -14,3 +15,20 @@ def shared_folder(spark: SparkSession, label: str) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     root = root or "file://" + tempfile.mkdtemp(prefix="locusmill-")
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:  # noqa: BLE001 - the session may be gone at exit; nothing depends on the removal
+        pass
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """Write df to the shared folder and read it back: it is computed once, however often it is used
+    later, and no longer depends on the executors that made it."""
+    path = shared_folder(df.sparkSession, label)
+    df.write.parquet(path)
+    atexit.register(_remove, df.sparkSession, path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
