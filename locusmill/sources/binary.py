@@ -177,12 +177,12 @@ def register(spark: SparkSession) -> None:
 
 def read_fastq(spark: SparkSession, path: str) -> DataFrame:
     register(spark)
-    return spark.read.format("fastq").option("path", path).load(path)
+    return spark.read.format("fastq").load(path)
 
 
 def read_bam(spark: SparkSession, path: str) -> DataFrame:
     register(spark)
-    return spark.read.format("bam").option("path", path).load(path)
+    return spark.read.format("bam").load(path)
 
 
 def looks_binary(path: str) -> bool:
