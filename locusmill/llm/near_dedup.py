@@ -326,3 +326,19 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     kept = near_duplicates(docs, width, percent).filter("kept").select(F.col("doc_id").alias("_kept"))
     same = F.col("doc_id").eqNullSafe(F.col("_kept"))
     return docs.join(kept, same, "left_semi").dropDuplicates(["doc_id", "text"])
+
+
+#: For width 4 and 80 percent.
+ORACLE = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, sh FROM (SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+  ELSE list_transform(range(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3]) END) AS sh FROM w)),
+n AS (SELECT doc_id, count(*) AS c FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS x FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * x >= 80 * (na.c + nb.c - x)),
+t AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r(id, reach) AS (SELECT a, b FROM t UNION SELECT r.id, t.b FROM r JOIN t ON t.a = r.reach),
+c AS (SELECT id, min(reach) AS least FROM r GROUP BY 1)
+SELECT w.doc_id, coalesce(n.c, 0) AS n_shingles, least(w.doc_id, coalesce(c.least, w.doc_id)) AS component_id, w.doc_id <= coalesce(c.least, w.doc_id) AS kept
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.id = w.doc_id
+"""

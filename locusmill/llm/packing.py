@@ -80,34 +80,62 @@ def best_pattern(value: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
     return float(f[capacity]), counts
 
 
-def solve_patterns(demand: np.ndarray, capacity: int, rounds: int = 4000) -> list[tuple[np.ndarray, int]]:
-    """Patterns (counts per class) with whole multiplicities that together cover the demand."""
+def greedy_basis(need: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """A first basis and its amounts.  Each pattern holds the largest class left and fills the
+    sequence exactly where the classes left allow; it is used until one class runs out, so the
+    patterns are triangular in the order in which classes run out."""
+    left, columns, amount = need.copy(), [], []
+    for _ in range(len(sizes)):
+        open_ = np.flatnonzero(left > 0)
+        reach = np.zeros(capacity + 1, bool)
+        reach[0] = True
+        for j in range(1, capacity + 1):
+            inside = sizes[open_][sizes[open_] <= j]
+            reach[j] = reach[j - inside].any()
+        counts, room = np.zeros(len(sizes)), capacity
+        for i in open_[::-1]:
+            size = int(sizes[i])
+            while size <= room and counts[i] < max(1.0, left[i]) and (not counts.any() or reach[room - size] or not reach[room]):
+                counts[i] += 1
+                room -= size
+        times, first = min((left[i] / counts[i], i) for i in np.flatnonzero(counts))
+        left = np.maximum(left - times * counts, 0)
+        left[first] = 0
+        # a class that runs out at the same time keeps a trace, so that it gets a pattern of its own
+        ties = np.flatnonzero((left == 0) & (need > 0) & (counts > 0))
+        left[ties[ties != first]] = 1e-9
+        columns.append(counts)
+        amount.append(times)
+    return np.array(columns).T, np.array(amount)
+
+
+def solve_patterns(demand: np.ndarray, capacity: int, rounds: int = 3000, gap: float = 5e-4) -> list[tuple[np.ndarray, int]]:
+    """Patterns (counts per class) with whole multiplicities that together cover the demand.  Columns
+    are generated until none improves, or the dual bound proves the gap."""
     sizes = np.flatnonzero(demand)
     if not len(sizes):
         return []
     m, need = len(sizes), demand[sizes].astype(float)
-    columns = np.zeros((m, m))  # the basis, one pattern a column
-    np.fill_diagonal(columns, capacity // sizes)
-    inverse = np.diag(1.0 / (capacity // sizes))
-    amount = inverse @ need
+    columns, amount = greedy_basis(need, sizes, capacity)
+    inverse = np.linalg.inv(columns)
     for _ in range(rounds):
         price = inverse.sum(0)  # every pattern costs one sequence
         value = np.zeros(capacity + 1)
         value[sizes] = np.maximum(price, 0)
         worth, counts = best_pattern(value, capacity)
-        if worth <= 1 + 1e-7:
+        if worth <= 1 + 1e-7 or amount.sum() * (1 - gap) <= (need @ value[sizes]) / worth:
             break
         new = counts[sizes].astype(float)
         step = inverse @ new
-        with np.errstate(divide="ignore", invalid="ignore"):
-            ratio = np.where(step > 1e-9, amount / step, np.inf)
+        ratio = np.full(m, np.inf)
+        np.divide(amount, step, out=ratio, where=step > 1e-9)
         out = int(ratio.argmin())
         if not np.isfinite(ratio[out]):
             break
         pivot = inverse[out] / step[out]
         inverse -= np.outer(step, pivot)
         inverse[out] = pivot
-        amount = amount - step * ratio[out]
+        amount = np.maximum(amount - step * ratio[out], 0)
         amount[out] = ratio[out]
         columns[:, out] = new
     whole = np.floor(np.maximum(amount, 0) + 1e-6).astype(np.int64)

@@ -60,4 +60,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_cleaning": line_cleaning.ORACLE}
+    return {"op2_line_cleaning": line_cleaning.ORACLE, "op3_near_dedup": near_dedup.ORACLE, "op5_suffix_dedup": suffix_dedup.ORACLE}
