@@ -141,3 +141,35 @@ def count_reads(regions: DataFrame, alignments: DataFrame) -> DataFrame:
     hit = intervals.overlap_join(regions.select("contig", "start", "stop", "name"), alignments.filter("stop > start").groupBy("contig", "start", "stop").agg(F.count("*").alias("n")))
     n = hit.groupBy(F.col("l_name").alias("name")).agg(F.sum("r_n").alias("n"))
     return regions.select("name").join(n, "name", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+
+
+# ----------------------------------------------------------------------------- alignments
+
+
+def alignment_spans(alignments: DataFrame, extend: int = 0, fragments: bool = True) -> DataFrame:
+    """What each alignment covers: the fragment, told once by its leftmost mate; else the aligned part
+    extended along the strand; else the aligned part."""
+    reverse = F.col("flag").bitwiseAND(F.lit(16)) > 0
+    proper = (F.col("flag").bitwiseAND(F.lit(2)) > 0) & (F.col("tlen") != 0) if fragments else F.lit(False)
+    left = F.col("tlen") > 0
+    long_enough = F.col("stop") - F.col("start") >= extend
+    start = F.when(proper, F.col("start")).when(reverse & ~long_enough, F.greatest(F.lit(0), F.col("stop") - extend)).otherwise(F.col("start"))
+    stop = F.when(proper, F.col("start") + F.col("tlen")).when(~reverse & ~long_enough, F.col("start") + extend).otherwise(F.col("stop"))
+    return alignments.filter(~proper | left).withColumn("span_start", start).withColumn("span_stop", stop)
+
+
+def cigar_blocks(alignments: DataFrame) -> DataFrame:
+    """The reference stretches that M, = and X operations align; D and N skip, I, S, H and P take no
+    reference."""
+    empty = F.array().cast("array<struct<start:bigint,stop:bigint>>")
+    first = F.struct(F.col("start").cast("bigint").alias("at"), empty.alias("made"))
+
+    def step(a: Column, c: Column) -> Column:
+        moves, aligned = c["op"].isin("M", "=", "X", "D", "N"), c["op"].isin("M", "=", "X")
+        after = a["at"] + F.when(moves, c["len"]).otherwise(0)
+        block = F.struct(a["at"].alias("start"), after.alias("stop"))
+        return F.struct(after.alias("at"), F.when(aligned, F.array_append(a["made"], block)).otherwise(a["made"]).alias("made"))
+
+    keep = [c for c in alignments.columns if c not in ("start", "stop", "cigar")]
+    d = alignments.withColumn("_b", F.aggregate("cigar", first, step, lambda a: a["made"]))
+    return d.select(*keep, F.explode("_b").alias("_b")).select(*keep, "_b.start", "_b.stop")

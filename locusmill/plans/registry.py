@@ -610,6 +610,116 @@ def _(s, d):
     return events.deduplicated(s, d, ["user_id", "event_type"])
 
 
+# ----------------------------------------------------------------------------- further operators
+
+
+@_add("alignment_flags", "SELECT flag & 2820 = 0 AND flag & 2 = 2 AS passes, count(*) AS n, count(*) FILTER (WHERE flag & 3844 = 0) AS profile_passes FROM alignments GROUP BY 1", "alignments")
+def _(s, d):
+    f = F.col("flag")
+    return a.alignments(s, d).groupBy(frag.flags_pass(f).alias("passes")).agg(F.count("*").alias("n"), F.count_if(frag.flags_pass(f, 0, 0xF04)).alias("profile_passes"))
+
+
+@_add(
+    "alignment_spans",
+    """WITH z AS (SELECT *, flag & 2 = 2 AND tlen <> 0 AS proper, flag & 16 = 16 AS rev FROM alignments),
+    y AS (SELECT contig, CASE WHEN proper THEN start WHEN rev THEN greatest(0, stop - 150) ELSE start END AS span_start, CASE WHEN proper THEN start + tlen WHEN NOT rev THEN start + 150 ELSE stop END AS span_stop FROM z WHERE NOT proper OR tlen > 0)
+    SELECT contig, span_start, span_stop, count(*) AS n FROM y GROUP BY 1, 2, 3""",
+    "alignments",
+)
+def _(s, d):
+    return profile.alignment_spans(a.alignments(s, d), extend=150).groupBy("contig", "span_start", "span_stop").agg(F.count("*").alias("n"))
+
+
+@_add(
+    "off_contig_windows",
+    """SELECT name, ws AS w_start, ws + 2000 AS w_stop, contig_length IS NULL AS skipped, coalesce(ws < 0 OR ws + 2000 > contig_length, TRUE) AS off_contig FROM
+    (SELECT name, CASE WHEN strand = '-' THEN stop ELSE start END - 1000 AS ws, contig_length FROM peaks_bed LEFT JOIN (SELECT * FROM contigs WHERE contig <> 'chr5') USING (contig))""",
+    "peaks_bed", "contigs",
+)
+def _(s, d):
+    c = a.contigs(s, d).filter("contig <> 'chr5'")
+    w = profile.windows(a.peaks_bed(s, d), c, _P).join(c, "contig", "left")
+    off = F.coalesce((F.col("w_start") < 0) | (F.col("w_stop") > F.col("contig_length")), F.lit(True))
+    return w.select("name", "w_start", "w_stop", "skipped", off.alias("off_contig"))
+
+
+@_add("top_decile", f"WITH {_COUNT} SELECT name, round(avg(value), 6) AS mean, max(value) AS top FROM m GROUP BY name QUALIFY row_number() OVER (ORDER BY avg(value) DESC, name) <= greatest(1, floor(count(*) OVER () * 0.1))", *_PV)
+def _(s, d):
+    return profile.top_share(_matrix(s, d), 0.1).withColumn("mean", F.round("mean", 6))
+
+
+@_add("mate_pairs", """SELECT f.rec_idx AS rec_idx, f.seq AS seq_1, g.seq AS seq_2 FROM reads f JOIN reads g ON f.rec_idx % 2 = 0 AND g.rec_idx = f.rec_idx + 1""", "reads")
+def _(s, d):
+    from ..sources import binary
+
+    r = a.reads(s, d)
+    pair = r.select(F.col("rec_idx").bitwiseAND(F.lit(-2)).cast("string").alias("id"), F.when(F.col("rec_idx") % 2 == 0, 64).otherwise(128).alias("flag"), "seq", "qual")
+    return binary.mates(pair).select(F.col("id").cast("bigint").alias("rec_idx"), "seq_1", "seq_2")
+
+
+@_add("quality_report", f"SELECT least(q, 30) AS q, count(*) AS n FROM (SELECT CAST(unnest({_Q}) AS INTEGER) AS q FROM reads) GROUP BY 1", "reads")
+def _(s, d):
+    h = reads.quality_histogram(a.reads(s, d), fold=True)  # folds at 63; these qualities end at 40
+    return h.groupBy(F.least("q", F.lit(30)).alias("q")).agg(F.sum("n").alias("n"))
+
+
+@_add("csr_validation", "SELECT l_suppkey AS row FROM (SELECT l_suppkey, l_partkey, count(*) AS n FROM lineitem GROUP BY 1, 2) GROUP BY 1 HAVING max(n) > 1")
+def _(s, d):
+    li = a.table(s, d, "lineitem")
+    return vectors.invalid_rows(li.select(F.col("l_suppkey").alias("row"), F.col("l_partkey").alias("col"), F.col("l_quantity").alias("value")))
+
+
+@_add(
+    "knn_padded",
+    f"""WITH {_PAIRS}, two AS (SELECT a AS src, b AS dst, sim FROM ps UNION ALL SELECT b, a, sim FROM ps), e AS (SELECT src, dst, sim, row_number() OVER (PARTITION BY src ORDER BY sim DESC, dst) AS rank FROM two),
+    g AS (SELECT DISTINCT row AS src FROM counts) SELECT g.src, CAST(t.r AS INTEGER) AS rank, coalesce(e.dst, -1) AS dst, round(coalesce(CAST(e.sim AS DOUBLE), 0), 5) AS sim FROM g CROSS JOIN range(1, 13) t(r) LEFT JOIN e ON e.src = g.src AND e.rank = t.r""",
+    "counts",
+)
+def _(s, d):
+    c = a.counts(s, d)
+    p = vectors.padded(vectors.knn_sparse(c, 12), c.select(F.col("row").alias("id")).distinct(), 12)
+    return p.withColumn("sim", F.round(F.col("sim").cast("double"), 5))
+
+
+@_add(
+    "cosine_distances",
+    f"""WITH {_PAIRS}, two AS (SELECT a AS src, b AS dst, sim FROM ps UNION ALL SELECT b, a, sim FROM ps), e AS (SELECT src, dst, sim FROM two QUALIFY row_number() OVER (PARTITION BY src ORDER BY sim DESC, dst) <= {_K})
+    SELECT src, dst, round(1 - CAST(sim AS DOUBLE), 5) AS distance FROM e""",
+    "counts",
+)
+def _(s, d):
+    return vectors.distances(vectors.knn_sparse(a.counts(s, d), _K)).withColumn("distance", F.round("distance", 5))
+
+
+@_add(
+    "knn_recall",
+    f"""WITH {_UNIT}, z AS (SELECT x.id AS src, y.id AS dst, CAST(list_cosine_similarity(x.v, y.v) AS FLOAT) AS sim FROM un x JOIN un y ON x.id <> y.id),
+    k AS (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY sim DESC, dst) AS r FROM z), b AS (SELECT src, count(*) FILTER (WHERE r <= 3) AS hit, count(*) AS n FROM k WHERE r <= {_K} GROUP BY 1)
+    SELECT round(sum(hit) / sum(n), 6) AS recall, round(avg(hit / n), 6) AS jaccard FROM b""",
+    "cells",
+)
+def _(s, d):
+    c = a.cells(s, d)
+    exact = vectors.knn(c, c, _K)
+    return vectors.recall(exact.filter("rank <= 3"), exact).select(F.round("recall", 6).alias("recall"), F.round("jaccard", 6).alias("jaccard"))
+
+
+@_add(
+    "least_squares_scale",
+    """WITH s AS (SELECT sum(l_quantity * l_extendedprice) / sum(l_quantity * l_quantity) AS scale, max(abs(l_extendedprice)) AS top FROM lineitem)
+    SELECT round(any_value(scale), 4) AS scale, round(100 * max(abs(l_extendedprice - scale * l_quantity)) / any_value(top), 4) AS max_residual_percent FROM lineitem, s""",
+)
+def _(s, d):
+    r = metrics.least_squares_scale(a.table(s, d, "lineitem"), "l_quantity", "l_extendedprice")
+    return r.select(*(F.round(c, 4).alias(c) for c in r.columns))
+
+
+@_add("region_union", "SELECT contig, CAST(sum(n) AS BIGINT) AS n FROM (SELECT contig, count(*) AS n FROM fragments WHERE start < 50000 GROUP BY 1 UNION ALL SELECT contig, count(*) FROM fragments WHERE start >= 50000 GROUP BY 1) GROUP BY 1", "fragments")
+def _(s, d):
+    f = a.fragments(s, d)
+    return f.filter("start < 50000").unionByName(f.filter("start >= 50000")).groupBy("contig").agg(F.count("*").alias("n"))
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
