@@ -247,13 +247,28 @@ _UNITS = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 
 
 def byte_units(text: str) -> list[str]:
-    """Pieces across which a byte-level tokenizer with optional leading space never merges.  Empty
-    pieces may occur; they have no ids."""
-    if " ".join(text.split()) == text.replace("\n", " ") and "\0" not in text:  # single breaks only
-        return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
+    """Pieces across which a byte-level tokenizer with optional leading space never merges."""
     return [text] if ODD_SPACE.search(text) else _UNITS.findall(text)
 
 
+def even(text: str) -> bool:
+    """Are all breaks of the text single spaces and single line ends, and no space beside a line end?
+    isprintable() rejects every other white space and control character."""
+    return (
+        text.replace("\n", "").isprintable() and "  " not in text and "\n\n" not in text and " \n" not in text and "\n " not in text and text[:1] != " " and text[-1:] != " "
+    )
+
+
+def _byte_signs() -> dict[int, int]:
+    """The sign by which byte-level vocabularies write each byte: printable Latin-1 stands for
+    itself, the other bytes are numbered from 256."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in plain)}
+
+
+_BYTE_SIGNS = _byte_signs()
+
+
 class CachedEncoder:
     """Ids as little-endian u32 bytes; the library encodes each distinct unit once per worker.
 
@@ -261,38 +276,79 @@ class CachedEncoder:
     so its parts are looked up on their own.  The cache is emptied when it reaches its bound, which
     changes the speed only."""
 
-    def __init__(self, path: str, split=byte_units, bound: int = 1_000_000):
+    def __init__(self, path: str, split=byte_units, bound: int = 1_500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library, self.split, self.bound = Tokenizer.from_file(path), split, bound
+        self.lower = '"Lowercase"' in self.library.to_str()[:20_000]
         self.cache: dict[str, bytes] = {"": b""}
+        self.spaced: dict[str, bytes] = {}  # what follows a space, without it
+        self.line_end = np.array(self.library.encode("\n", add_special_tokens=False).ids, "<u4").tobytes()
         self.vocabulary = self.library.get_vocab_size(with_added_tokens=True)
 
     def __call__(self, text: str | None) -> bytes:
         if not text:
             return b""
+        if self.split is byte_units and even(text):
+            # line by line: a line's first word stands bare, the others follow a space
+            spaced, out = self.spaced.get, []
+            for line in text.split("\n"):
+                units = line.split(" ")
+                found = list(map(spaced, units))
+                found[0] = self.cache.get(units[0])
+                try:
+                    out.append(b"".join(found))
+                except TypeError:
+                    new = self._learn({f" {u}" for u, v in zip(units[1:], found[1:], strict=True) if v is None} | {units[0]})
+                    out.append(b"".join([new[units[0]], *(new[f" {u}"] if v is None else v for u, v in zip(units[1:], found[1:], strict=True))]))
+            return self.line_end.join(out)
         units = self.split(text)
         found = list(map(self.cache.get, units))
         try:
             return b"".join(found)
         except TypeError:  # some are not cached yet
-            if len(self.cache) + len(units) > self.bound:
-                self.cache = {"": b""}
-                found = [None] * len(units)
-            self._learn({u for u, v in zip(units, found, strict=True) if v is None})
-            return b"".join(map(self.cache.__getitem__, units))
+            new = self._learn({u for u, v in zip(units, found, strict=True) if v is None})
+            return b"".join([new[u] if v is None else v for u, v in zip(units, found, strict=True)])
+
+    def _letters(self, word: str) -> list[int]:
+        """Ids of Latin letters, one pre-token, by the library's model alone."""
+        word = (word.lower() if self.lower else word).encode().decode("latin-1").translate(_BYTE_SIGNS)
+        return [t.id for t in self.library.model.tokenize(word)]
+
+    def _learn(self, missing: set[str]) -> dict[str, bytes]:
+        """Ids of units the cache lacks.  Letters with closing punctuation are cached as a whole only
+        if the letters were known before, so that what occurs once takes one entry."""
+        if len(self.cache) + len(self.spaced) + len(missing) > self.bound:
+            self.cache, self.spaced = {"": b""}, {}
+        have = lambda p: self.spaced.get(p[1:]) if p[:1] == " " else self.cache.get(p)
+
+        def keep(p: str, ids: bytes) -> None:
+            if p[:1] == " ":
+                self.spaced[p[1:]] = ids
+            else:
+                self.cache[p] = ids
 
-    def _learn(self, missing: set[str]) -> None:
         parts = {}
         for u in missing:
             core = u.rstrip(string.punctuation)
             parts[u] = (core, u[len(core) :]) if core != u and core.lstrip(" ").isalpha() else (u,)
-        new = list({p for ps in parts.values() for p in ps if p not in self.cache})
-        for p, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.cache[p] = np.array(e.ids, "<u4").tobytes()
-        for u, ps in parts.items():
-            self.cache[u] = b"".join(map(self.cache.__getitem__, ps))
+        known = [u for u, p in parts.items() if len(p) == 2 and have(p[0]) is not None]
+        ids, rest = {p: have(p) for ps in parts.values() for p in ps}, []
+        for p in [p for p, v in ids.items() if v is None]:
+            if p.lstrip(" ").isalpha() and max(p) <= "\xff" and p[-1] != " " and p[:2] != "  ":
+                found = self._letters(p)
+                ids[p] = struct.pack(f"<{len(found)}I", *found)
+                keep(p, ids[p])
+            else:
+                rest.append(p)
+        for p, e in zip(rest, self.library.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+            ids[p] = np.array(e.ids, "<u4").tobytes()
+            keep(p, ids[p])
+        out = {u: b"".join(map(ids.__getitem__, ps)) for u, ps in parts.items()}
+        for u in known:
+            keep(u, out[u])
+        return out
 
 
 _ENCODERS: dict[tuple, CachedEncoder] = {}

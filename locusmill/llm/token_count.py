@@ -26,10 +26,8 @@ LIMIT = 2048
 
 
 def pre_tokens(text: str) -> list[str]:
-    units = text.split()
-    if " ".join(units) == text.replace("\n", " ") or not ODD_SPACE.search(text):
-        return units
-    return [text]
+    plain = text.replace("\n", "").isprintable() or not ODD_SPACE.search(text)
+    return text.split() if plain else [text]
 
 
 class Pieces:
