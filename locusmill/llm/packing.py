@@ -80,6 +80,23 @@ def best_pattern(value: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
     return float(f[capacity]), counts
 
 
+def inverted(matrix: np.ndarray) -> np.ndarray:
+    """Gauss-Jordan with row pivoting; the basis is small and its threads need no library's."""
+    n = len(matrix)
+    work = np.hstack([matrix.astype(float), np.eye(n)])
+    for k in range(n):
+        p = k + int(np.abs(work[k:, k]).argmax())
+        if abs(work[p, k]) < 1e-12:
+            raise ValueError("the patterns do not form a basis")
+        work[[k, p]] = work[[p, k]]
+        work[k] /= work[k, k]
+        others = work[:, k].copy()
+        others[k] = 0
+        rows = np.flatnonzero(others)
+        work[rows] -= others[rows, None] * work[k]
+    return work[:, n:]
+
+
 def greedy_basis(need: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
     """A first basis and its amounts.  Each pattern holds the largest class left and fills the
     sequence exactly where the classes left allow; it is used until one class runs out, so the
@@ -117,7 +134,7 @@ def solve_patterns(demand: np.ndarray, capacity: int, rounds: int = 3000, gap: f
         return []
     m, need = len(sizes), demand[sizes].astype(float)
     columns, amount = greedy_basis(need, sizes, capacity)
-    inverse = np.linalg.inv(columns)
+    inverse = inverted(columns)
     for _ in range(rounds):
         price = inverse.sum(0)  # every pattern costs one sequence
         value = np.zeros(capacity + 1)
