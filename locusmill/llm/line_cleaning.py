@@ -99,8 +99,11 @@ def clean_lines(docs: DataFrame) -> DataFrame:
         total("full").alias("chars"),
         total("failed").alias("lost"),
         F.when(F.size("failed") == 0, F.array_join("lines", "\n")).otherwise(F.array_join(F.filter("lines", lambda x: ~(x.rlike(WORD) & line_fails(x))), "\n")).alias("cleaned_text"),
+        # the verdicts depend on this, so no later filter is pushed below and the arrays above, which
+        # are read inside lambdas, are never inlined into its condition
+        F.monotonically_increasing_id().alias("_id"),
     )
-    base = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MOST_REPEATED)
+    base = (F.col("_id") >= 0) & ((F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MOST_REPEATED))
     return d.select(
         "row", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         base.alias("base_failed"),

@@ -195,8 +195,10 @@ def find_spans(docs: DataFrame, model: Model | None = None) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     d = docs.select(F.struct("*").alias("row"), "text")
     d = d.withColumn("_t", F.when(F.contains(text, F.lit(MARK)), F.replace(text, F.lit(MARK), F.lit("\n"))).otherwise(text))
-    for k, p in (PATTERNS | GENERATORS).items():
-        d = d.withColumn(f"_p_{k}", _matches(F.col("_t"), k, p))
+    pieces = {f"_p_{k}": _matches(F.col("_t"), k, p) for k, p in (PATTERNS | GENERATORS).items()}
+    # the spans depend on _id, so no later filter is pushed below and the pieces, which are read
+    # inside lambdas, are never inlined into its condition
+    d = d.select("*", *(c.alias(n) for n, c in pieces.items()), F.monotonically_increasing_id().alias("_id"))
     piece = {k: F.col(f"_p_{k}") for k in KINDS}
     empty = F.array().cast("array<struct<start:int,rank:int,stop:int>>")
     brief = lambda rank: lambda s: F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), s["stop"].alias("stop"))
@@ -206,7 +208,7 @@ def find_spans(docs: DataFrame, model: Model | None = None) -> DataFrame:
         F.when(F.size(piece[k]) > 1, F.transform(F.filter(_spans(piece[k], k), holds(k)), brief(i))).otherwise(empty)
         for i, k in enumerate(BASE)
     ]
-    d = d.withColumn("base", F.sort_array(F.concat(*base)))
+    d = d.withColumn("base", F.when(F.col("_id") >= 0, F.sort_array(F.concat(*base))))
     more = []
     for i, k in enumerate(GENERATORS, len(BASE)):
         chosen = F.filter(_spans(piece[k], k), selects(k))
@@ -214,7 +216,7 @@ def find_spans(docs: DataFrame, model: Model | None = None) -> DataFrame:
     d = d.withColumn("_more", F.concat(*more))
     free = F.filter("_more", lambda m: ~F.exists("base", lambda b: (m["start"] < b["stop"]) & (b["start"] < m["stop"])))
     d = d.withColumn("spans", F.when(F.size("_more") > 0, F.sort_array(F.concat("base", free))).otherwise(F.col("base")))
-    return d.drop("_t", "_more", *(f"_p_{k}" for k in KINDS))
+    return d.drop("_t", "_id", "_more", *(f"_p_{k}" for k in KINDS))
 
 
 def _listed(spans: Column) -> Column:
