@@ -127,6 +127,8 @@ def with_views(query: str, *views: str) -> str:
         add(v)
     body = ",\n".join(f"{v} AS ({SQL[v]})" for v in order)
     query = query.strip()
+    if query.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {body},\n{query[15:]}"
     if query.upper().startswith("WITH "):
         return f"WITH {body},\n{query[5:]}"
     return f"WITH {body}\n{query}"

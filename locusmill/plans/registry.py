@@ -109,11 +109,19 @@ def _(s, d):
     return frag.out_of_order(_numbered(s, d))
 
 
-@_add("library_size")
+@_add(
+    "library_size",
+    """WITH RECURSIVE s AS (SELECT count(*) AS n, count(DISTINCT (contig, start, stop, reverse)) AS u FROM fragments),
+    b(i, lo, hi) AS (SELECT 0, CAST(u AS DOUBLE), u * 1e7 FROM s UNION ALL
+      SELECT i + 1, CASE WHEN u / ((lo + hi) / 2) - 1 + exp(-n / ((lo + hi) / 2)) > 0 THEN (lo + hi) / 2 ELSE lo END,
+        CASE WHEN u / ((lo + hi) / 2) - 1 + exp(-n / ((lo + hi) / 2)) > 0 THEN hi ELSE (lo + hi) / 2 END FROM b, s WHERE i < 120)
+    SELECT n AS examined, u AS unique_fragments, round((lo + hi) / 2 / 100) AS library_hundreds FROM b, s WHERE i = 120""",
+    "fragments",
+)
 def _(s, d):
     row = frag.duplicate_stats(a.fragments(s, d)).first()
     size = frag.library_size(row["examined"], row["unique_fragments"])
-    return s.createDataFrame([(row["examined"], row["unique_fragments"], size)], "examined bigint, unique_fragments bigint, library_size double")
+    return s.createDataFrame([(row["examined"], row["unique_fragments"], float(round(size / 100)))], "examined bigint, unique_fragments bigint, library_hundreds double")
 
 
 _FRIP = """WITH k AS (SELECT contig, start, stop, reverse, count(*) AS copies FROM fragments GROUP BY ALL),
