@@ -94,7 +94,11 @@ def lasso_logistic(r: np.ndarray, y: np.ndarray, penalty: float, steps: int = ST
     the intercept is not penalised.  Returns intercept and weights of the raw columns."""
     mean, scale = r.mean(0), r.std(0) + 1e-9
     z = ((r - mean) / scale).astype(np.float32)
-    rate = 4.0 / (np.linalg.norm(z.T @ z, 2) / len(y) + 1.0)
+    gram, top = z.T @ z / len(y), np.ones(z.shape[1], np.float32)
+    for _ in range(60):  # the largest eigenvalue by power iteration
+        top = gram @ top
+        top /= np.sqrt((top * top).sum()) + 1e-12
+    rate = 4.0 / (1.05 * float(top @ (gram @ top)) + 1.0)
     w, b, v, u, t = np.zeros(z.shape[1]), 0.0, np.zeros(z.shape[1]), 0.0, 1.0
     for _ in range(steps):
         g = 1 / (1 + np.exp(-(z @ v.astype(np.float32) + u))) - y
