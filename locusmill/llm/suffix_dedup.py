@@ -39,6 +39,8 @@ from .common import small_batches, stored
 WIDTH, ANCHOR = 50, 20
 SPAN = WIDTH - ANCHOR + 1  # windows an anchor can lie in
 CHUNK_BYTES = 2_000_000
+CHUNKS_PER_PART = 1  # more saves disk (larger messages compress better) and takes memory
+SHORT = 16  # hash bits left out where a chance match only costs a context
 LAST = np.iinfo(np.int64).max
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -191,6 +193,7 @@ def remove_repeats(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(3 * spark.sparkContext.defaultParallelism, total // chunk_bytes + 1)
+    parts = max(3 * spark.sparkContext.defaultParallelism, n // CHUNKS_PER_PART)  # hash ranges
     # rows of one doc_id may repeat, so the chunk also looks at the text
     texts = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int"))
 
@@ -203,14 +206,16 @@ def remove_repeats(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame
             chunk = np.repeat(np.array([c for _, _, c in held], np.int32), [len(a) for a, _, _ in held])
             order = np.lexsort((doc, chunk, h))
             h, doc, chunk = h[order], doc[order], chunk[order]
-            # one entry per (anchor, chunk); documents matter only as "another one holds it too"
+            # one entry per (anchor, chunk) and whether several of its documents hold the anchor;
+            # an anchor found in two chunks is in two documents anyway
             same = np.concatenate([[False], (h[1:] == h[:-1]) & (chunk[1:] == chunk[:-1])])
             start = np.flatnonzero(~same)
             least, most = np.minimum.reduceat(doc, start), np.maximum.reduceat(doc, start)
             h, chunk, several = h[start], chunk[start], (least != most).astype(np.uint8)
-            part, by = _by_part(h, n)
-            edges = np.searchsorted(part[by], np.arange(n + 1))
-            rows = [(p, e - s, _blob(h[by[s:e]], least[by[s:e]], chunk[by[s:e]], several[by[s:e]])) for p, (s, e) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if e > s]
+            part, by = _by_part(h, parts)
+            h >>= np.uint64(SHORT)
+            edges = np.searchsorted(part[by], np.arange(parts + 1))
+            rows = [(p, e - s, _blob(h[by[s:e]], chunk[by[s:e]], several[by[s:e]])) for p, (s, e) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if e > s]
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([int(r[1]) for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], names=["part", "n", "data"])
 
         for batch in batches:
@@ -227,12 +232,12 @@ def remove_repeats(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame
             yield out()
 
     def find_shared(table: pa.Table) -> pa.Table:
-        found = [_unblob(d, k, np.uint64, np.int64, np.int32, np.uint8) for d, k in zip(table.column("data").to_pylist(), table.column("n").to_pylist(), strict=True)]
-        h, doc, chunk, several = (np.concatenate([f[k] for f in found]) for k in range(4))
+        found = [_unblob(d, k, np.uint64, np.int32, np.uint8) for d, k in zip(table.column("data").to_pylist(), table.column("n").to_pylist(), strict=True)]
+        h, chunk, several = (np.concatenate([f[k] for f in found]) for k in range(3))
         order = np.argsort(h, kind="stable")
-        h, doc, chunk, several = h[order], doc[order], chunk[order], several[order]
+        h, chunk, several = h[order], chunk[order], several[order]
         start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-        shared = (np.minimum.reduceat(doc, start) != np.maximum.reduceat(doc, start)) | (np.maximum.reduceat(several, start) > 0)
+        shared = (np.minimum.reduceat(chunk, start) != np.maximum.reduceat(chunk, start)) | (np.maximum.reduceat(several, start) > 0)
         keep = np.repeat(shared, np.diff(np.append(start, len(h))))
         h, chunk = h[keep], chunk[keep]
         order = np.argsort(chunk, kind="stable")
@@ -254,7 +259,8 @@ def remove_repeats(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame
                 h, pos, first, last = anchors(data)
                 if not len(h):
                     continue
-                hit = shared[np.minimum(np.searchsorted(shared, h), len(shared) - 1)] == h
+                short = h >> np.uint64(SHORT)
+                hit = shared[np.minimum(np.searchsorted(shared, short), len(shared) - 1)] == short
                 if not hit.any():
                     continue
                 h, pos, first, last = h[hit], pos[hit], first[hit], last[hit]
@@ -274,8 +280,8 @@ def remove_repeats(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame
                 np.maximum.at(most, of, doc)
                 out["kind"].append(1), out["chunk"].append(chunk), out["part"].append(-1), out["n"].append(len(row))
                 out["data"].append(_blob(row, pos, of.astype(np.int32)))
-                part, by = _by_part(h[one], n)
-                edges = np.searchsorted(part[by], np.arange(n + 1))
+                part, by = _by_part(h[one], parts)
+                edges = np.searchsorted(part[by], np.arange(parts + 1))
                 for p in np.flatnonzero(np.diff(edges)):
                     b = by[edges[p] : edges[p + 1]]
                     o = one[b]
@@ -358,3 +364,18 @@ def remove_repeats(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame
     scanned = contexts.filter("kind = 0").select("part", "chunk", "n", "data").groupBy("part").applyInArrow(scan_tree, "chunk int, n int, data binary")
     verdicts = scanned.select("chunk", F.lit(0).alias("kind"), "n", "data").unionByName(contexts.filter("kind = 1").select("chunk", "kind", "n", "data"))
     return texts.groupBy("chunk").cogroup(verdicts.groupBy("chunk")).applyInArrow(apply, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+
+
+ORACLE = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS hx, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+w AS (SELECT doc_id, i, substr(hx, 2 * i + 1, 100) AS s FROM (SELECT doc_id, hx, unnest(range(0, n - 49)) AS i FROM d)),
+g AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY s) AS least FROM w),
+c AS (SELECT doc_id, i FROM g WHERE least < doc_id),
+k AS (SELECT doc_id, i, sum(CASE WHEN i <= before + 50 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS island FROM (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM c)),
+x AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS b FROM k GROUP BY doc_id, island),
+y AS (SELECT doc_id, CAST(sum(b - a) AS BIGINT) AS n_removed, count(*) AS n_spans FROM x GROUP BY 1),
+z AS (SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS a, a AS b FROM (SELECT doc_id, a, b FROM x UNION ALL SELECT doc_id, n, n FROM d)),
+t AS (SELECT doc_id, string_agg(substr(hx, 2 * a + 1, 2 * (b - a)), '' ORDER BY a) AS kept FROM z JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT d.doc_id, CAST(n AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(t.kept)) AS kept_sha256
+FROM d JOIN t USING (doc_id) LEFT JOIN y USING (doc_id)
+"""
