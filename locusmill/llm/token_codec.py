@@ -291,18 +291,22 @@ class CachedEncoder:
         if not text:
             return b""
         if self.split is byte_units and even(text):
-            # line by line: a line's first word stands bare, the others follow a space
-            spaced, out = self.spaced.get, []
+            # a line's first word stands bare, the others follow a space
+            units = text.replace("\n", " ").split(" ")
+            found, starts, at = list(map(self.spaced.get, units)), [], 0
             for line in text.split("\n"):
-                units = line.split(" ")
-                found = list(map(spaced, units))
-                found[0] = self.cache.get(units[0])
-                try:
-                    out.append(b"".join(found))
-                except TypeError:
-                    new = self._learn({f" {u}" for u, v in zip(units[1:], found[1:], strict=True) if v is None} | {units[0]})
-                    out.append(b"".join([new[units[0]], *(new[f" {u}"] if v is None else v for u, v in zip(units[1:], found[1:], strict=True))]))
-            return self.line_end.join(out)
+                starts.append(at)
+                found[at] = self.cache.get(units[at])
+                at += line.count(" ") + 1
+            if None in found:
+                first = set(starts)
+                named = {i: units[i] if i in first else f" {units[i]}" for i, v in enumerate(found) if v is None}
+                new = self._learn(set(named.values()))
+                for i, u in named.items():
+                    found[i] = new[u]
+            for at in starts[1:]:
+                found[at] = self.line_end + found[at]
+            return b"".join(found)
         units = self.split(text)
         found = list(map(self.cache.get, units))
         try:
@@ -321,33 +325,33 @@ class CachedEncoder:
         if the letters were known before, so that what occurs once takes one entry."""
         if len(self.cache) + len(self.spaced) + len(missing) > self.bound:
             self.cache, self.spaced = {"": b""}, {}
-        have = lambda p: self.spaced.get(p[1:]) if p[:1] == " " else self.cache.get(p)
-
-        def keep(p: str, ids: bytes) -> None:
-            if p[:1] == " ":
-                self.spaced[p[1:]] = ids
-            else:
-                self.cache[p] = ids
-
-        parts = {}
+        bare, spaced = self.cache, self.spaced
+        out, rest = {}, []
         for u in missing:
-            core = u.rstrip(string.punctuation)
-            parts[u] = (core, u[len(core) :]) if core != u and core.lstrip(" ").isalpha() else (u,)
-        known = [u for u, p in parts.items() if len(p) == 2 and have(p[0]) is not None]
-        ids, rest = {p: have(p) for ps in parts.values() for p in ps}, []
-        for p in [p for p, v in ids.items() if v is None]:
-            if p.lstrip(" ").isalpha() and max(p) <= "\xff" and p[-1] != " " and p[:2] != "  ":
-                found = self._letters(p)
-                ids[p] = struct.pack(f"<{len(found)}I", *found)
-                keep(p, ids[p])
+            held, name = (spaced, u[1:]) if u[:1] == " " else (bare, u)
+            core = name.rstrip(string.punctuation)
+            if core.isalpha() and max(core) <= "\xff":
+                ids, known = held.get(core), core in held
+                if ids is None:
+                    found = self._letters(u[: len(u) - len(name) + len(core)])
+                    ids = held[core] = struct.pack(f"<{len(found)}I", *found)
+                if core != name:
+                    tail = name[len(core) :]
+                    end = bare.get(tail)
+                    if end is None:
+                        end = bare[tail] = np.array(self.library.encode(tail, add_special_tokens=False).ids, "<u4").tobytes()
+                    ids += end
+                    if known:
+                        held[name] = ids
+                out[u] = ids
+            else:
+                rest.append(u)
+        for u, e in zip(rest, self.library.encode_batch_fast(rest, add_special_tokens=False) if rest else [], strict=True):
+            out[u] = np.array(e.ids, "<u4").tobytes()
+            if u[:1] == " ":
+                spaced[u[1:]] = out[u]
             else:
-                rest.append(p)
-        for p, e in zip(rest, self.library.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-            ids[p] = np.array(e.ids, "<u4").tobytes()
-            keep(p, ids[p])
-        out = {u: b"".join(map(ids.__getitem__, ps)) for u, ps in parts.items()}
-        for u in known:
-            keep(u, out[u])
+                bare[u] = out[u]
         return out
 
 
