@@ -206,8 +206,8 @@ def remove_repeats(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame
             chunk = np.repeat(np.array([c for _, _, c in held], np.int32), [len(a) for a, _, _ in held])
             order = np.lexsort((doc, chunk, h))
             h, doc, chunk = h[order], doc[order], chunk[order]
-            # one entry per (anchor, chunk) and whether several of its documents hold the anchor;
-            # an anchor found in two chunks is in two documents anyway
+            # one entry per (anchor, chunk) of this flush and whether several documents hold the
+            # anchor; entries of different chunks or flushes come from different rows anyway
             same = np.concatenate([[False], (h[1:] == h[:-1]) & (chunk[1:] == chunk[:-1])])
             start = np.flatnonzero(~same)
             least, most = np.minimum.reduceat(doc, start), np.maximum.reduceat(doc, start)
@@ -237,7 +237,7 @@ def remove_repeats(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame
         order = np.argsort(h, kind="stable")
         h, chunk, several = h[order], chunk[order], several[order]
         start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-        shared = (np.minimum.reduceat(chunk, start) != np.maximum.reduceat(chunk, start)) | (np.maximum.reduceat(several, start) > 0)
+        shared = (np.diff(np.append(start, len(h))) > 1) | (np.maximum.reduceat(several, start) > 0)
         keep = np.repeat(shared, np.diff(np.append(start, len(h))))
         h, chunk = h[keep], chunk[keep]
         order = np.argsort(chunk, kind="stable")

@@ -165,6 +165,25 @@ def test_repeats(docs, empty):
     assert key((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got) == key(_without_repeats(texts()))
 
 
+def test_repeats_of_one_chunk_listed_in_different_tasks(spark):
+    r = random.Random(31)
+    passage = prose(r, 30)
+    rows = [(i, prose(r, 40) + " " + passage + " " + prose(r, 40)) for i in range(40)]
+    n = 3 * spark.sparkContext.defaultParallelism  # the least number of chunks
+    d = spark.createDataFrame(rows, "doc_id bigint, text string")
+    by_chunk = collections.defaultdict(list)
+    for x in d.selectExpr("doc_id", f"pmod(xxhash64(doc_id, text), {n}) AS chunk").collect():
+        by_chunk[x["chunk"]].append(x["doc_id"])
+    pair = next(v[:2] for v in by_chunk.values() if len(v) > 1)
+    two = [rows[i] for i in pair]
+    parted = spark.createDataFrame(spark.sparkContext.parallelize(two, 2), d.schema)
+    assert parted.rdd.getNumPartitions() == 2
+    got = suffix_dedup.remove_repeats(parted).collect()
+    want = _without_repeats(two)
+    assert want[1][2] >= len(passage)
+    assert key((x["doc_id"], x["n_bytes"], x["n_removed"], x["n_spans"], x["kept_sha256"]) for x in got) == key(want)
+
+
 def test_anchors_follow_content():
     r = random.Random(2)
     for data in (prose(r, 200).encode(), b"ab" * 200, b"x" * 90, bytes(60)):
