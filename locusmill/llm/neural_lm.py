@@ -9,7 +9,8 @@ The first factor is the log-bilinear model: the context predicts a vector, its p
 symbol vectors give the scores.  Its training counts - how often each symbol follows each pair - are
 taken over ALL training texts in one distributed pass; the fixed number of cells (SYMBOLS**3) bounds
 what reaches the driver.  Training minimises the noise-contrastive loss with the symbols' own
-frequencies as noise; afterwards one batched matrix product over all contexts and a log-softmax
+frequencies as noise, over all counts in every step, so no training token is left to a draw;
+afterwards one batched matrix product over all contexts and a log-softmax
 give exactly normalised log-probabilities, which scoring looks up.  The second factor is an add-one
 estimate inside the symbol with one place for unseen words, so it needs the corpus-wide word counts,
 which reach the documents by the frequency-split join of `wordjoin`.
@@ -38,8 +39,7 @@ FREQUENT = 95  # own symbols; then the end mark; the rest are shared
 END = FREQUENT
 DIM = 24
 NOISE = 10
-BATCH = 4096
-STEPS = 800
+STEPS = 800  # passes over all training counts
 
 
 class Symbols:
@@ -105,43 +105,39 @@ def triple_counts(docs: DataFrame, frequent: list[bytes]) -> np.ndarray:
 
 
 def train(counts: np.ndarray, steps: int = STEPS, seed: int = 7) -> np.ndarray:
-    """Normalised log10-probability table [pairs, symbol] of the log-bilinear model."""
+    """Normalised log10-probability table [pairs, symbol] of the log-bilinear model.  Every step sees
+    every training token: the loss is linear in the counts, and the noise enters by its expectation."""
     rng = np.random.default_rng(seed)
-    r = rng.normal(0, 0.1, (SYMBOLS, DIM))  # context vectors
-    q = rng.normal(0, 0.1, (SYMBOLS, DIM))  # predicted vectors
-    c = np.stack([np.eye(DIM), np.eye(DIM)]) * 0.7  # one matrix a position
+    r = rng.normal(0, 0.1, (SYMBOLS, DIM)).astype(np.float32)  # context vectors
+    q = rng.normal(0, 0.1, (SYMBOLS, DIM)).astype(np.float32)  # predicted vectors
+    c = (np.stack([np.eye(DIM), np.eye(DIM)]) * 0.7).astype(np.float32)  # one matrix a position
     unigram = counts.sum(0) + 1.0
     unigram /= unigram.sum()
-    b = np.log(unigram)
+    b = np.log(unigram).astype(np.float32)
     total = counts.sum()
     if total:
-        cells = np.flatnonzero(counts)
-        edge = np.cumsum(counts.ravel()[cells] / total)
-        noise_edge, log_noise = np.cumsum(unigram), np.log(NOISE * unigram)
+        seen = np.flatnonzero(counts.any(1))
+        w2, w1 = seen // SYMBOLS, seen % SYMBOLS
+        of2, of1 = (np.equal.outer(np.arange(SYMBOLS), w).astype(np.float32) for w in (w2, w1))
+        share = counts[seen] / total
+        log_noise = np.log(NOISE * unigram).astype(np.float32)
+        both = (share + share.sum(1, keepdims=True) * NOISE * unigram).astype(np.float32)  # tokens and noise
+        share = share.astype(np.float32)
         params = [r, q, c, b]
-        sums = [np.full_like(p, 1e-2) for p in params]
+        sums = [np.full_like(p, 1e-30) for p in params]  # no floor: the rarest symbols learn as well
         for step in range(steps):
-            cell = cells[np.minimum(np.searchsorted(edge, rng.random(BATCH)), len(cells) - 1)]
-            pair, target = cell // SYMBOLS, cell % SYMBOLS
-            w2, w1 = pair // SYMBOLS, pair % SYMBOLS
-            noise = np.minimum(np.searchsorted(noise_edge, rng.random((BATCH, NOISE))), SYMBOLS - 1)
-            h = r[w2] @ c[0] + r[w1] @ c[1]
-            score = h @ q.T + b  # all symbols at once: one matrix product
-            rows = np.arange(BATCH)
-            g = np.zeros((BATCH, SYMBOLS))
-            g[rows, target] = 1 - 1 / (1 + np.exp(-(score[rows, target] - log_noise[target])))
-            fake = 1 / (1 + np.exp(-(np.take_along_axis(score, noise, 1) - log_noise[noise])))
-            np.add.at(g, (rows[:, None], noise), -fake)
-            g /= BATCH
+            h = (r @ c[0])[w2] + (r @ c[1])[w1]
+            score = h @ q.T + b  # all contexts and symbols at once: one matrix product
+            with np.errstate(over="ignore"):  # an infinite odds against is a share of 0
+                g = share - both / (1 + np.exp(log_noise - score))
             gh = g @ q
-            gr = np.zeros_like(r)
-            np.add.at(gr, w2, gh @ c[0].T)
-            np.add.at(gr, w1, gh @ c[1].T)
-            grads = [gr, g.T @ h, np.stack([r[w2].T @ gh, r[w1].T @ gh]), g.sum(0)]
-            rate = 0.3 * (1 - 0.9 * step / steps)
+            g2, g1 = of2 @ gh, of1 @ gh
+            grads = [g2 @ c[0].T + g1 @ c[1].T, g.T @ h, np.stack([r.T @ g2, r.T @ g1]), g.sum(0)]
+            rate = np.float32(0.1 * (1 - 0.9 * step / steps))
             for p, s, d in zip(params, sums, grads, strict=True):
                 s += d * d
                 p += rate * d / np.sqrt(s)
+        r, q, c, b = (p.astype(np.float64) for p in params)
     vec = ((r @ c[0])[:, None, :] + (r @ c[1])[None, :, :]).reshape(-1, DIM)
     score = vec @ q.T + b
     score -= score.max(1, keepdims=True)

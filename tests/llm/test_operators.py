@@ -340,6 +340,19 @@ def test_lm_is_normalised_and_learns():
     assert (counts * table).sum() > (counts * unigram).sum() * 0.6
 
 
+def test_lm_learns_from_every_training_token():
+    counts = np.zeros((neural_lm.SYMBOLS**2, neural_lm.SYMBOLS), np.int64)
+    counts[:, 0] = 10**11 // len(counts)
+    follows = {5: 7, 6: 8}  # one in 2.5 billion tokens: draws of a few million miss them
+    for last, then in follows.items():
+        counts[last * neural_lm.SYMBOLS + last, [0, then]] = 0, 20
+    table = neural_lm.train(counts)
+    for last, then in follows.items():
+        row = table[last * neural_lm.SYMBOLS + last]
+        other = table[11 * neural_lm.SYMBOLS + 11]
+        assert row[then] > other[then] + 1
+
+
 def test_quality(docs, empty, spark):
     r = random.Random(1)
     rows = edge_rows()
