@@ -311,6 +311,24 @@ def test_decontamination_recall():
     assert decontaminate.distance_within("kitten", "xxsittingxx", 3)[0] == 2
 
 
+def test_decontamination_recall_against_brute_force():
+    r = random.Random(6)
+    items = [(i, prose(r, 50)) for i in range(60)]
+    cases = []
+    for _ in range(3000):
+        i, t = r.choice(items)
+        s = list(t)
+        for _ in range(int(len(t) * decontaminate.BUDGET)):
+            p, kind = r.randrange(len(s)), r.randrange(3)
+            s[p : p + (kind != 1)] = [] if kind == 0 else [r.choice("aeinorst qz")]
+        cases.append((i, prose(r, 5) + " " + "".join(s) + " " + prose(r, 5)))
+    by_id = {i: decontaminate.fold(t) for i, t in items}
+    true = [decontaminate.distance_within(by_id[i], decontaminate.fold(t), int(len(by_id[i]) * decontaminate.BUDGET)) is not None for i, t in cases]
+    found = decontaminate.Matcher(items)([t for _, t in cases])
+    hit = [any(f[0] == i for f in fs) for (i, _), fs in zip(cases, found, strict=True)]
+    assert sum(true) >= 2900 and sum(h for h, w in zip(hit, true, strict=True) if w) >= decontaminate.RECALL * sum(true)
+
+
 def test_lm_scores(docs, empty, spark):
     assert neural_lm.score_texts(empty).count() == 0
     words = lambda t: (t or "").encode().lower().split()
