@@ -37,7 +37,7 @@ PATTERNS = {
 }
 BASE = list(PATTERNS)
 GENERATORS = {
-    "secret": r"(?i)(?<![a-z])(?:api[_-]?key|token|secret|password|passwd|pwd)\s{0,3}+[=:]\s{0,3}+[\"']?[A-Za-z0-9_./+=-]{8,256}+|(?<![0-9a-z])[0-9a-f]{32,128}+(?![0-9a-z])",
+    "secret": r"(?i)(?<![a-z])(?:api[_-]?key|token|secret|password|passwd|pwd)\s{0,3}+[=:]\s{0,3}+[\"']?[A-Za-z0-9_./+=-]{8,}+|(?<![0-9a-z])[0-9a-f]{32,}+(?![0-9a-z])",
     "identity": r"(?<![0-9A-Za-z.-])(?:[0-9]{3}-[0-9]{2}-[0-9]{4}|[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7})(?![0-9A-Za-z-])",
     "contact": r"(?<![0-9A-Za-z.+-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9-])|(?i)[a-z0-9._-]{2,64}+ ?[(\[]at[)\]] ?[a-z0-9-]{2,64}+ ?[(\[]dot[)\]] ?[a-z]{2,10}",
 }

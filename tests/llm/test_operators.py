@@ -252,6 +252,18 @@ def test_personal_data_model_marks_secrets(spark):
     assert got[1].startswith("secret:2:") and got[2] == "" and got[3] == ""
 
 
+def test_personal_data_marks_long_secrets_whole(spark):
+    r = random.Random(3)
+    token = "".join(r.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(600))
+    hexa = "".join(r.choice("0123456789abcdef") for _ in range(512))
+    d = spark.createDataFrame([(1, f'x token = "{token}" y'), (2, f'the secret key: "{hexa}" y')], "doc_id bigint, text string")
+    model = pii.Model(spark)
+    got = {x["doc_id"]: x["spans"] for x in pii.digest(d, model).collect()}
+    text = {x["doc_id"]: x["text"] for x in pii.redact(d, model).collect()}
+    assert token[-40:] not in text[1] and hexa[-40:] not in text[2], got
+    assert got[1].startswith("secret:2:") and got[2].startswith("secret:")
+
+
 def test_line_cleaning(docs, empty):
     assert line_cleaning.digest(empty).count() == 0
     got = line_cleaning.digest(docs).collect()
