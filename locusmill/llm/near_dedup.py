@@ -189,7 +189,8 @@ class _Finder:
                 )
 
         found = self.docs.select("doc_id", "text", place("doc_id").alias("p")).mapInArrow(build, "member bigint, node bigint, set array<bigint>")
-        found = found.join(self.classes.select("node", "member"), ["node", "member"])
+        own = self.classes.select(F.col("node").alias("_node"), F.col("member").alias("_member"))
+        found = found.join(own, (F.col("node") == F.col("_node")) & F.col("member").eqNullSafe(F.col("_member")))  # null where no row has an id
         return stored(found.dropDuplicates(["node"]).select("node", "set"), "sets")
 
     def labels(self) -> DataFrame | None:

@@ -131,6 +131,17 @@ def test_near_duplicates(docs, empty, spark, small):
     assert sorted(x["doc_id"] for x in kept.filter("doc_id is not null").collect()) == sorted(i for i in want if want[i] == i)
 
 
+@pytest.mark.parametrize("small", [32, 1])
+def test_near_copies_without_id_are_linked(spark, small):
+    r = random.Random(15)
+    base = prose(r, 150).split()
+    near = " ".join([*base[:70], "changed", *base[71:]])
+    d = spark.createDataFrame([(7, " ".join(base)), (None, near), (8, prose(r, 100))], "doc_id bigint, text string")
+    got = {x["doc_id"]: x for x in near_dedup.near_duplicates(d, 4, small_bucket=small).collect()}
+    assert (got[None]["component_id"], got[None]["kept"]) == (7, False)
+    assert sorted(x["doc_id"] for x in near_dedup.keep_one(d, 4).collect()) == [7, 8]
+
+
 def test_odd_sketch_estimates_similarity():
     r = np.random.default_rng(3)
     shared, own = r.integers(0, 1 << 62, 900, dtype=np.uint64), r.integers(0, 1 << 62, 200, dtype=np.uint64)
