@@ -13,6 +13,7 @@ table gives an empty result; extra columns are ignored.  A null doc_id stays nul
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -20,14 +21,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import wordjoin
-from .common import ODD_SPACE, small_batches, stored
+from .common import ODD_SPACE, WORD_BREAK, small_batches, stored
 
 LIMIT = 2048
+_BREAK = re.compile(WORD_BREAK)
 
 
 def pre_tokens(text: str) -> list[str]:
     plain = text.replace("\n", "").isprintable() or not ODD_SPACE.search(text)
-    return text.split() if plain else [text]
+    return text.split() if plain else [u for u in _BREAK.split(text) if u]
 
 
 class Pieces:
@@ -44,16 +46,19 @@ class Pieces:
 
 
 def piece_table(docs: DataFrame, tokenizer_path: str) -> DataFrame:
-    """(unit, n, pieces) for every distinct pre-token of the corpus."""
+    """(unit, n, pieces) for every distinct pre-token of the corpus; long ones, which later steps know
+    by a digest, are measured where they are counted."""
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = None
         for batch in batches:
             count = count or Pieces(tokenizer_path)
-            units = batch.column(0).to_pylist()
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(count(units), pa.int64())], names=["unit", "n", "pieces"])
+            known = batch.column(2).to_pylist()
+            found = iter(count([u for u, v in zip(batch.column(0).to_pylist(), known, strict=True) if v is None]))
+            pieces = [next(found) if v is None else v for v in known]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(pieces, pa.int64())], names=["unit", "n", "pieces"])
 
-    return stored(wordjoin.count_units(docs, pre_tokens).mapInArrow(measure, "unit string, n bigint, pieces bigint"), "pieces")
+    return stored(wordjoin.count_units(docs, pre_tokens, lambda: Pieces(tokenizer_path)).mapInArrow(measure, "unit string, n bigint, pieces bigint"), "pieces")
 
 
 def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = LIMIT, hot_limit: int = wordjoin.HOT_UNITS) -> DataFrame:

@@ -4,16 +4,18 @@ Both token counting and language-model scoring need "one number per distinct uni
 every document".  Exploding every (document, unit) pair would shuffle the corpus several times
 over, so the join is split by frequency:
 
-* the HOT units - at most HOT_UNITS of them, none longer than HOT_CHARS characters, so the size of
-  the broadcast has a fixed bound whatever the input - are joined inside the scan;
+* the HOT units - the at most HOT_UNITS most frequent ones - are joined inside the scan;
 * every other unit is rare by construction, so its (document, unit, n) rows are few and unskewed;
   they meet the unit table in an ordinary shuffle join and are summed per document.
 
-No unit is dropped: hot and tail together are all units.
+No unit is dropped: hot and tail together are all units.  Units of more than KEY_CHARS characters
+are known by a 128-bit digest, so that keys are short, the broadcast has a fixed bound, and a long
+unit that every document holds becomes hot like a short one.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections import Counter
 from collections.abc import Callable, Iterator
 
@@ -22,45 +24,67 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-HOT_UNITS = 262_144
-HOT_CHARS = 64
-FLUSH_UNITS = 400_000
+HOT_UNITS = 131_072
+KEY_CHARS = 64
+FLUSH_UNITS = 200_000  # distinct units a counter holds
+FLUSH_BYTES = 32_000_000  # text a counter covers
+OUT_ROWS = 50_000
 
 
-def _strings(units: list) -> pa.Array:
-    return pa.array(units, pa.binary()).cast(pa.string()) if units and isinstance(units[0], bytes) else pa.array(units, pa.string())
+def unit_key(unit: str | bytes) -> str:
+    r"""The unit itself if short, else its length and digest.  A leading \x01 marks digests only."""
+    text = unit.decode() if isinstance(unit, bytes) else unit
+    if len(text) <= KEY_CHARS and text[:1] != "\x01":
+        return text
+    return f"\x01{len(text)}:{hashlib.blake2b(text.encode(), digest_size=16).hexdigest()}"
 
 
-def count_units(docs: DataFrame, split: Callable[[str], list]) -> DataFrame:
-    """(unit, n): occurrences over all texts; counted per task before the shuffle."""
+def count_units(docs: DataFrame, split: Callable[[str], list], measure: Callable[[], Callable[[list], list]] | None = None) -> DataFrame:
+    """(unit, n): occurrences over all texts; counted per task before the shuffle.  With `measure`
+    also (value): what it gives for units known by a digest, taken where they are seen; null for
+    all others."""
+    schema = "unit string, n bigint" + (", value bigint" if measure else "")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
+        held, seen, of = Counter(), 0, None
 
         def out() -> pa.RecordBatch:
-            b = pa.RecordBatch.from_arrays([_strings(list(held)), pa.array(list(held.values()), pa.int64())], names=["unit", "n"])
+            nonlocal of, seen
+            units = list(held)
+            keys = list(map(unit_key, units))
+            columns = [pa.array(keys, pa.string()), pa.array(list(held.values()), pa.int64())]
+            if measure:
+                digests = [i for i, k in enumerate(keys) if k[:1] == "\x01"]
+                values: list = [None] * len(keys)
+                if digests:
+                    of = of or measure()
+                    for i, v in zip(digests, of([units[i] for i in digests]), strict=True):
+                        values[i] = v
+                columns.append(pa.array(values, pa.int64()))
             held.clear()
-            return b
+            seen = 0
+            return pa.RecordBatch.from_arrays(columns, names=["unit", "n", "value"][: len(columns)])
 
         for batch in batches:
             for text in batch.column(0):
                 text = text.as_py()
                 if text:
                     held.update(split(text))
-            if len(held) > FLUSH_UNITS:
-                yield out()
+                    seen += len(text)
+                    if len(held) > FLUSH_UNITS or seen > FLUSH_BYTES:
+                        yield out()
         if held:
             yield out()
 
-    return docs.select("text").mapInArrow(count, "unit string, n bigint").groupBy("unit").agg(F.sum("n").alias("n"))
+    also = [F.max("value").alias("value")] if measure else []
+    return docs.select("text").mapInArrow(count, schema).groupBy("unit").agg(F.sum("n").alias("n"), *also)
 
 
 def hot_units(table: DataFrame, *values: str, limit: int = HOT_UNITS) -> dict[str, tuple]:
     """The most frequent units, at most `limit`, found by a histogram of log-spaced counts (a few
     hundred rows) rather than a sort."""
     level = F.floor(F.log2(F.col("n").cast("double")) * 16)
-    short = table.filter(F.char_length("unit") <= HOT_CHARS)
-    steps = short.groupBy(level.alias("level")).agg(F.count("*").alias("units")).collect()
+    steps = table.groupBy(level.alias("level")).agg(F.count("*").alias("units")).collect()
     held, least = 0, None
     for row in sorted(steps, key=lambda r: -r["level"]):
         if held + row["units"] > limit:
@@ -68,7 +92,7 @@ def hot_units(table: DataFrame, *values: str, limit: int = HOT_UNITS) -> dict[st
         held, least = held + row["units"], row["level"]
     if least is None:
         return {}
-    rows = short.filter(level >= F.lit(least)).select("unit", *values).toPandas()
+    rows = table.filter(level >= F.lit(least)).select("unit", *values).toPandas()
     return dict(zip(rows["unit"], zip(*(rows[v].tolist() for v in values), strict=True), strict=True))
 
 
@@ -89,8 +113,15 @@ def split_rows(
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
         uid = TaskContext.get().partitionId() << 40
+        cols: list[list] = [[] for _ in names]
+
+        def out() -> pa.RecordBatch:
+            found = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
+            for c in cols:
+                c.clear()
+            return found
+
         for batch in batches:
-            cols: list[list] = [[] for _ in names]
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 text = text.as_py() or ""
                 uid += 1
@@ -98,19 +129,26 @@ def split_rows(
                 for unit, n in Counter(split(text)).items():
                     v = table.get(unit)
                     if v is None:
-                        tail.append((unit, n))
-                    else:
-                        total += v * n
+                        key = unit_key(unit)
+                        if key[:1] == "\x01":
+                            v = table.get(key.encode() if isinstance(unit, bytes) else key)
+                        if v is None:
+                            tail.append((key, n))
+                            continue
+                    total += v * n
                 for c, v in zip(cols, (uid, f"\0{uid}", 0, doc_id, total, *extra(text)), strict=True):
                     c.append(v)
                 if tail:
                     k = len(tail)
                     cols[0] += [uid] * k
-                    cols[1] += [u.decode() if isinstance(u, bytes) else u for u, _ in tail]
+                    cols[1] += [u for u, _ in tail]
                     cols[2] += [n for _, n in tail]
                     for c in cols[3:]:
                         c += [None] * k
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
+                if len(cols[0]) > OUT_ROWS:
+                    yield out()
+        if cols[0]:
+            yield out()
 
     schema = "uid bigint, unit string, n bigint, doc_id bigint, hot double" + "".join(f", {n} {s}" for n, _, s in extra_schema)
     assert n_extra == len(names) - 5
