@@ -38,13 +38,16 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, as the session names it; a temporary one only where unset."""
+    """The folder all executors share, as the session names it; where unset, a temporary one if the
+    master is this process, else an error."""
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not found:
         have = sc._jsc.sc().getCheckpointDir()
         found = have.get() if have.isDefined() else None
     if not found:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="locusmill-")
         sc.setCheckpointDir(found)
     return found
@@ -62,11 +65,23 @@ def _remove(spark: SparkSession, path: str) -> None:
 def stored(df: DataFrame, label: str, n_files: int | None = None) -> DataFrame:
     """Write df to the shared folder as Parquet and read it back: the result is computed once and
     no longer depends on executors that made it."""
+    return df.sparkSession.read.schema(df.schema).parquet(store(df, label, n_files=n_files))
+
+
+def store(df: DataFrame, label: str, by: str | None = None, n_files: int | None = None) -> str:
+    """The folder df is written to, one subfolder per value of `by`; removed at the interpreter's
+    exit unless release() does so earlier."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    (df.coalesce(n_files) if n_files else df).write.parquet(path)
+    out = (df.coalesce(n_files) if n_files else df).write
+    (out.partitionBy(by) if by else out).parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def release(spark: SparkSession, path: str) -> None:
+    """Delete a stored table whose last reader is done."""
+    _remove(spark, path)
 
 
 def remainder(id_column: str, modulus: int):
@@ -74,7 +89,10 @@ def remainder(id_column: str, modulus: int):
     return F.pmod(F.crc32(F.col(id_column).cast("string")), F.lit(modulus))
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bound the Arrow batches: whole texts can be long."""
+def small_batches(spark: SparkSession, rows: int = 1000, size: str = "16m") -> None:
+    """Bound the Arrow batches by rows and by bytes: whole texts can be long.  Plans are made when
+    results are asked for, so the bound stays in the session; it changes no result."""
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) != size:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -31,10 +31,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, stored
+from .common import release, small_batches, store, stored
 
 WIDTH, ANCHOR = 50, 20
 SPAN = WIDTH - ANCHOR + 1  # windows an anchor can lie in
@@ -181,6 +181,14 @@ def _in_order(table: pa.Table) -> pa.Table:
     return table.sort_by([("doc_id", "ascending"), ("text", "ascending")])
 
 
+def _kind(spark: SparkSession, path: str, kind: int, schema: str) -> DataFrame:
+    """One kind's rows of a table stored by kind; without a folder there are none."""
+    folder = f"{path}/kind={kind}"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    there = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+    return spark.read.schema(schema).parquet(folder) if there else spark.createDataFrame([], schema)
+
+
 def _by_part(hashes: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
     part = ((hashes >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
     return part, np.argsort(part, kind="stable")
@@ -360,9 +368,12 @@ def remove_repeats(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame
 
     listed = texts.select("doc_id", "text", "chunk").mapInArrow(list_anchors, "part int, n int, data binary")
     shared = listed.groupBy("part").applyInArrow(find_shared, "chunk int, n int, data binary")
-    contexts = stored(texts.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(make_contexts, "kind int, chunk int, part int, n int, data binary"), "contexts")
-    scanned = contexts.filter("kind = 0").select("part", "chunk", "n", "data").groupBy("part").applyInArrow(scan_tree, "chunk int, n int, data binary")
-    verdicts = scanned.select("chunk", F.lit(0).alias("kind"), "n", "data").unionByName(contexts.filter("kind = 1").select("chunk", "kind", "n", "data"))
+    made = texts.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(make_contexts, "kind int, chunk int, part int, n int, data binary")
+    contexts, blobs = store(made, "contexts", by="kind"), "chunk int, part int, n int, data binary"
+    scanned = _kind(spark, contexts, 0, blobs).groupBy("part").applyInArrow(scan_tree, "chunk int, n int, data binary")
+    found = stored(scanned, "repeats")
+    release(spark, f"{contexts}/kind=0")  # the bulk of what is stored; nothing reads it any more
+    verdicts = found.select("chunk", F.lit(0).alias("kind"), "n", "data").unionByName(_kind(spark, contexts, 1, blobs).select("chunk", F.lit(1).alias("kind"), "n", "data"))
     return texts.groupBy("chunk").cogroup(verdicts.groupBy("chunk")).applyInArrow(apply, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
 
 
