@@ -1,27 +1,32 @@
 """Token-id files: an adaptive context-mixing range coder over independently reset blocks.
 
-Block format (little endian)
-----------------------------
+Block format (numbers of the head big endian, arrays little endian)
+-------------------------------------------------------------------
 magic ``LMTB`` | version u8 | vocabulary u32 | documents u32 | ids u64 | lanes u32 | words u32 |
-crc32 of everything after this field u32 | ids per document u32[documents] | lane states u64[lanes]
-| lane word counts u32[lanes] | coded words u32[words].
+crc32 of everything after this field u32 | document ids i64[documents] | 1 where that id is null
+u8[documents] | ids per document u32[documents] | lane word counts u16[lanes] | coded words
+u32[words].
 
 A block's ids are cut into equally long lanes that are coded side by side: step t codes the t-th id
-of every lane.  The model is shared by the lanes, starts empty in each block and is updated after
-every EPOCH steps, so the decoder holds exactly the encoder's state.  An id's probability mixes
-
-* order 2: the id last seen after the two ids before it, weighted by how often that guess held,
-* order 1: the same after one id,
-* order 0: the counts of the block so far,
+of every lane.  The model is shared by the lanes, starts empty in each block and learns after every
+few steps (every 16,384 ids, more often at a block's start), so the decoder holds exactly the
+encoder's state.  An id's probability mixes
+
+* order 2: the id last seen after the two ids before it.  Its weight is the rate at which guesses of
+  the same confidence have held in this block;
+* order 1: the counts of the FOLLOWERS commonest ids after the id before it, weighted by how often
+  this context's table has held the next id;
+* order 0: the counts of the block so far;
 * a floor that gives every id of the vocabulary a share,
 
-laid out as sub-intervals of a range of 2**20; the arithmetic coder is the range variant of
-asymmetric numeral systems with 64-bit states and 32-bit words.  A damaged block fails its checksum
+laid out as sub-intervals of a range of 2**24.  The coder is a range coder with 64-bit low and range
+that emits 32-bit words and carries into words already written.  A damaged block fails its checksum
 and nothing else: blocks share no state.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import string
@@ -31,50 +36,49 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import ODD_SPACE, small_batches, stored
 
-MAGIC, VERSION = b"LMTB", 1
-HEAD = struct.Struct("<4sBIIQIII")
-RANGE_BITS = 20
+MAGIC, VERSION = b"LMTB", 2
+HEAD = struct.Struct(">4sBIIQIII")
+IDS_AT, IDS_BYTES = 14, 8  # place of the head's number of ids, counted from 1
+RANGE_BITS = 24
 RANGE = 1 << RANGE_BITS
-EPOCH = 16
 MAX_LANES = 4096
 BLOCK_IDS = 1 << 20
 SLOT_BITS = 18
 LOOK_BITS = 16
+SHARE_BITS = 12  # resolution of an order-1 table
+FOLLOWERS = 8  # one byte each in a 64-bit word
 _SURE = 7  # guesses carry a confidence of 0 to 7
-_WEIGHT2 = (np.array([0, 8, 24, 48, 72, 84, 90, 94], np.int64) * (RANGE - (1 << 17)) // 128).astype(np.int32)
-_WEIGHT1 = (np.array([0, 4, 10, 18, 24, 28, 30, 32], np.int64) * (RANGE - (1 << 17)) // 128).astype(np.int32)
-_LOW = np.uint64(1 << 31)
+_AFTER = np.array([min(c + 1, _SURE) - c if right else -1 for c in range(8) for right in (False, True)], np.int32)
+_GROWTH = 1.15  # order-0 tables are laid out anew when the ids seen have grown by this factor
+_LOW, _WORD, _SHIFT = np.uint64(1 << 32), np.uint64(32), np.uint64(RANGE_BITS)
+_PLACE = np.uint64(sum(j << (8 * (7 - j)) for j in range(8)))  # (1 << 8 j) * _PLACE >> 56 == j
+_ONES, _TOP_BYTE = np.uint64(0x0101010101010101), np.uint64(56)
 
 
 class _Model:
-    """What is known of a block so far; identical in encoder and decoder.  A guess and its
-    confidence share one int32."""
+    """The mixed predictions after what has been learnt; encoder and decoder keep one each."""
 
     def __init__(self, vocabulary: int):
+        if vocabulary > RANGE // 2:
+            raise ValueError("the vocabulary does not fit the coder's range")
         self.vocabulary = vocabulary
-        self.counts = np.zeros(vocabulary, np.int64)
-        self.order2 = np.zeros(1 << SLOT_BITS, np.int32)
-        self.order1 = np.zeros(vocabulary, np.int32)
-        self.floor = max(1, (1 << 16) // vocabulary)
-        self.top = RANGE - self.floor * vocabulary  # above it lies the floor's share of the range
+        self.top = RANGE - vocabulary  # above it lies the floor: one unit an id
+        self.counts, self.seen, self.laid = np.zeros(vocabulary, np.int64), 0, 0
         self.cum = self.share = self.look = None
-
-    def _order0(self) -> None:
-        seen = np.flatnonzero(self.counts)
-        edge = np.cumsum(self.counts[seen])
-        edge = edge * (1 << LOOK_BITS) // edge[-1]
-        width = np.diff(edge, prepend=0)
-        self.share = np.zeros(self.vocabulary, np.int64)
-        self.share[seen] = width
-        self.cum = np.zeros(self.vocabulary, np.int64)
-        self.cum[seen] = edge - width
-        self.look = np.repeat(seen.astype(np.int32), width)
+        self.order2 = np.zeros(1 << SLOT_BITS, np.int32)  # guess << 3 | confidence
+        self.held, self.tried = np.full(8, 0.5), np.full(8, 1.0)
+        self.weight2 = np.zeros(8, np.int64)
+        self.follower = np.full((vocabulary, FOLLOWERS), -1, np.int32)
+        self.often = np.zeros((vocabulary, FOLLOWERS), np.int64)
+        self.visits, self.row = np.zeros(vocabulary, np.int64), np.full(vocabulary, -1, np.int32)
+        self.below, self.upto = (np.zeros((vocabulary, FOLLOWERS), np.uint16) for _ in range(2))
 
     def slot(self, before2: np.ndarray, before1: np.ndarray) -> np.ndarray:
         h = before2.view(np.uint32) * np.uint32(0x9E3779B1)
@@ -82,103 +86,194 @@ class _Model:
         h >>= np.uint32(32 - SLOT_BITS)
         return h.view(np.int32)
 
-    def weights(self, slot: np.ndarray, before1: np.ndarray) -> tuple:
-        p2, p1 = self.order2.take(slot), self.order1.take(before1)
-        w2, w1 = _WEIGHT2.take(p2 & 7), _WEIGHT1.take(p1 & 7)
-        p2 >>= 3
-        p1 >>= 3
-        w1[p1 == p2] = 0
-        return p2, w2, p1, w1
-
-    def learn(self, slot: np.ndarray, before1: np.ndarray, ids: np.ndarray) -> None:
+    def place(self, before1: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each id is among its context's followers, and its cell in the flat tables."""
+        hit = (self.follower.take(before1, 0) == ids[:, None]).view(np.uint64).ravel()
+        cell = before1.astype(np.int64) * FOLLOWERS
+        cell += ((hit * _PLACE) >> _TOP_BYTE).view(np.int64)
+        return hit != 0, cell
+
+    def intervals(self, ids: np.ndarray, slot: np.ndarray, before1: np.ndarray, hit1: np.ndarray, cell: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and width of each id's sub-interval."""
+        held = self.order2.take(slot)
+        w2 = self.weight2.take(held & 7)
+        rest = self.top - w2
+        a, b = (self.below.ravel().take(cell) * rest) >> SHARE_BITS, (self.upto.ravel().take(cell) * rest) >> SHARE_BITS
+        width = (b - a) * hit1
+        start = w2 + a
+        far = np.flatnonzero(width == 0)
+        if len(far):
+            x, base = ids[far], w2[far] + ((self.upto[:, -1].take(before1[far]) * rest[far]) >> SHARE_BITS)
+            s, w = self.top + x.astype(np.int64), np.ones(len(far), np.int64)
+            if self.cum is not None:
+                left, c = self.top - base, self.cum.take(x)
+                a, b = (c * left) >> LOOK_BITS, ((c + self.share.take(x)) * left) >> LOOK_BITS
+                known = b > a
+                s, w = np.where(known, base + a, s), np.where(known, b - a, w)
+            start[far], width[far] = s, w
+        guess = np.flatnonzero(((held >> 3) == ids) & (w2 > width))
+        start[guess], width[guess] = 0, w2[guess]
+        return start, width
+
+    def find(self, v: np.ndarray, slot: np.ndarray, before1: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The id whose sub-interval holds v, with its start and width."""
+        held = self.order2.take(slot)
+        w2 = self.weight2.take(held & 7)
+        rest, t = self.top - w2, v - w2
+        # quotients of numbers below 2**40 round to the right integer in doubles
+        share = np.clip(((t + 1) * float(1 << SHARE_BITS) - 1) / rest, 0, (1 << 16) - 1).astype(np.uint16)
+        j = (((self.upto.take(before1, 0) <= share[:, None]).view(np.uint64).ravel() * _ONES) >> _TOP_BYTE).view(np.int64)
+        escape = j == FOLLOWERS
+        cell = before1.astype(np.int64) * FOLLOWERS + np.minimum(j, FOLLOWERS - 1)
+        x = self.follower.ravel().take(cell)
+        a, b = (self.below.ravel().take(cell) * rest) >> SHARE_BITS, (self.upto.ravel().take(cell) * rest) >> SHARE_BITS
+        start, width = w2 + a, b - a
+        far = np.flatnonzero(escape & (t >= 0))
+        if len(far):
+            vf, base = v[far], (w2 + b)[far]
+            xf = vf - self.top
+            s, w = vf.copy(), np.ones(len(far), np.int64)
+            if self.cum is not None:
+                low = np.flatnonzero(xf < 0)
+                left, base = self.top - base[low], base[low]
+                y = self.look.take((((vf[low] - base + 1) * float(1 << LOOK_BITS) - 1) / left).astype(np.int64))
+                c = self.cum.take(y)
+                a = (c * left) >> LOOK_BITS
+                xf[low], s[low], w[low] = y, base + a, ((c + self.share.take(y)) * left >> LOOK_BITS) - a
+            x[far], start[far], width[far] = xf, s, w
+        guess = np.flatnonzero(t < 0)
+        x[guess], start[guess], width[guess] = held[guess] >> 3, 0, w2[guess]
+        return x, start, width
+
+    def learn(self, ids: np.ndarray, slot: np.ndarray, before1: np.ndarray, hit1: np.ndarray, cell: np.ndarray) -> None:
+        # order 0
         self.counts += np.bincount(ids, minlength=self.vocabulary)
-        for table, at in ((self.order2, slot), (self.order1, before1)):
-            held = table.take(at)
-            sure = held & 7
-            right = (held >> 3) == ids
-            sure += np.where(right, 1, -1).astype(np.int32)
-            new = sure < 0
-            np.clip(sure, 0, _SURE, out=sure)
-            held = (held & ~7) | sure
-            held[new] = (ids[new] << 3) | 1
-            table[at] = held
-        self._order0()
-
-
-def _intervals(model: _Model, ids: np.ndarray, slot: np.ndarray, before1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Start and width of each id's sub-interval."""
-    g2, w2, g1, w1 = model.weights(slot, before1)
-    start = model.top + ids.astype(np.int64) * model.floor
-    width = np.full(len(ids), model.floor, np.int64)
-    hit2 = (g2 == ids) & (w2 > 0)
-    hit1 = (g1 == ids) & (w1 > 0) & ~hit2
-    if model.cum is not None:
-        r = np.flatnonzero(~(hit1 | hit2))
-        x, w12 = ids[r], (w2[r] + w1[r]).astype(np.int64)
-        left = model.top - w12
-        c = model.cum.take(x)
-        a, b = (c * left) >> LOOK_BITS, ((c + model.share.take(x)) * left) >> LOOK_BITS
-        ok = b > a
-        r, a, b = r[ok], a[ok], b[ok]
-        start[r], width[r] = w12[ok] + a, b - a
-    start[hit1], width[hit1] = w2[hit1], w1[hit1]
-    start[hit2], width[hit2] = 0, w2[hit2]
-    return start, width
+        self.seen += len(ids)
+        if self.seen >= self.laid * _GROWTH:
+            self._lay_out()
+        # order 1, one row for each context met: count the followers found; one not found takes the
+        # place of the rarest, which first loses what it has
+        self.row[before1] = 0
+        met = np.flatnonzero(self.row == 0)
+        self.row[met] = np.arange(len(met), dtype=np.int32)
+        row = self.row.take(before1)
+        found = row.astype(np.int64) * FOLLOWERS + (cell & (FOLLOWERS - 1))
+        often = np.bincount(found, weights=hit1, minlength=len(met) * FOLLOWERS).astype(np.int64).reshape(-1, FOLLOWERS)
+        often += self.often.take(met, 0)
+        new, miss = np.full(len(met), -1, np.int32), np.flatnonzero(~hit1)
+        new[row.take(miss)] = ids.take(miss)
+        lack = np.flatnonzero(new >= 0)
+        rarest = often[lack].argmin(1)
+        least = often[lack, rarest]
+        free = least <= 1
+        self.follower[met[lack[free]], rarest[free]] = new[lack[free]]
+        often[lack, rarest] = np.where(free, 1, least - 1)
+        self.often[met] = often
+        visits = self.visits.take(met) + np.bincount(row, minlength=len(met))
+        self.visits[met] = visits
+        self.row[met] = -1
+        edge = often.cumsum(1)
+        # the table's share of the context: how many of its visits it explains
+        edge = (edge << SHARE_BITS) // (np.maximum(edge[:, -1], visits) + 1)[:, None]
+        self.upto[met] = edge
+        self.below[met, 1:] = edge[:, :-1]
+        # order 2
+        held = self.order2.take(slot)
+        sure, right = held & 7, (held >> 3) == ids
+        rates = np.bincount((sure << 1) + right, minlength=16)
+        self.held += rates[1::2]
+        self.tried += rates[::2] + rates[1::2]
+        self.weight2 = (self.held / self.tried * 0.96 * self.top).astype(np.int64)
+        self.weight2[0] = 0
+        after = _AFTER.take((sure << 1) + right)
+        after += held
+        new = np.flatnonzero((sure == 0) & ~right)
+        after[new] = (ids.take(new) << 3) | 1
+        self.order2[slot] = after
+
+    def _lay_out(self) -> None:
+        seen = np.flatnonzero(self.counts)
+        edge = np.cumsum(self.counts[seen])
+        edge = edge * (1 << LOOK_BITS) // edge[-1]
+        width = np.diff(edge, prepend=0)
+        self.share, self.cum = np.zeros(self.vocabulary, np.int64), np.zeros(self.vocabulary, np.int64)
+        self.share[seen], self.cum[seen] = width, edge - width
+        self.look = np.repeat(seen.astype(np.int32), width)
+        self.laid = self.seen
 
 
 def _shape(n: int) -> tuple[int, int]:
-    lanes = max(1, min(MAX_LANES, n // 128))
+    lanes = max(1, min(MAX_LANES, n // 128), -(-n // 65_000))
     return lanes, -(-n // lanes)
 
 
-def encode_block(ids: np.ndarray, lengths: np.ndarray, vocabulary: int) -> bytes:
+def _epochs(steps: int) -> Iterator[tuple[int, int]]:
+    """The steps between which the model learns."""
+    at = k = 0
+    while at < steps:
+        stop = min(steps, at + (1 if k < 6 else 2 if k < 10 else 4 if k < 40 else 8))
+        yield at, stop
+        at, k = stop, k + 1
+
+
+def encode_block(ids: np.ndarray, lengths: np.ndarray, vocabulary: int, doc_ids: list | None = None) -> bytes:
     """One self-contained block of the documents' ids, in order."""
     n = len(ids)
     lanes, steps = _shape(n) if n else (0, 0)
-    body = [np.asarray(lengths, "<u4").tobytes()]
+    doc_ids = [None] * len(lengths) if doc_ids is None else doc_ids
+    body = [np.array([d or 0 for d in doc_ids], "<i8").tobytes(), bytes(d is None for d in doc_ids), np.asarray(lengths, "<u4").tobytes()]
     n_words = 0
     if n:
         grid = np.zeros(lanes * steps, np.int32)
         grid[:n] = ids
         grid = np.ascontiguousarray(grid.reshape(lanes, steps).T)
-        before1 = np.vstack([np.zeros((1, lanes), np.int32), grid[:-1]])
-        before2 = np.vstack([np.zeros((1, lanes), np.int32), before1[:-1]])
-        model, starts, widths = _Model(vocabulary), np.empty(grid.shape, np.uint64), np.empty(grid.shape, np.uint64)
-        for t in range(0, steps, EPOCH):
-            e = slice(t, min(t + EPOCH, steps))
-            x, b1 = grid[e].ravel(), before1[e].ravel()
-            slot = model.slot(before2[e].ravel(), b1)
-            s, w = _intervals(model, x, slot, b1)
-            starts[e], widths[e] = s.reshape(-1, lanes), w.reshape(-1, lanes)
-            model.learn(slot, b1, x)
-        state = np.full(lanes, _LOW, np.uint64)
-        words, owners = [], []
-        shift, out_bits = np.uint64(RANGE_BITS), np.uint64(32)
-        limit = widths << np.uint64(43)  # (2**31 >> 20 << 32) * width
-        for t in range(steps - 1, -1, -1):
-            w = widths[t]
-            full = np.flatnonzero(state >= limit[t])
-            if len(full):
-                words.append(state[full].astype(np.uint32))
-                owners.append(full)
-                state[full] >>= out_bits
-            q = state // w
-            state = (q << shift) + (state - q * w) + starts[t]
-        per_lane = np.zeros(lanes, np.int64)
-        if words:
-            owner, word = np.concatenate(owners[::-1]), np.concatenate([x for x in words[::-1]])
-            order = np.argsort(owner, kind="stable")
-            word, per_lane = word[order], np.bincount(owner, minlength=lanes)
-        else:
-            word = np.zeros(0, np.uint32)
-        n_words = len(word)
-        body += [state.astype("<u8").tobytes(), per_lane.astype("<u4").tobytes(), word.astype("<u4").tobytes()]
+        before = np.vstack([np.zeros((2, lanes), np.int32), grid])
+        model = _Model(vocabulary)
+        low, size = np.zeros(lanes, np.uint64), np.full(lanes, np.iinfo(np.uint64).max, np.uint64)
+        words, count = np.zeros((lanes, steps * RANGE_BITS // 32 + 4), np.uint32), np.zeros(lanes, np.int64)
+
+        def carry(lane: np.ndarray) -> None:
+            at = count[lane] - 1
+            while len(lane):
+                words[lane, at] += np.uint32(1)
+                over = words[lane, at] == 0
+                lane, at = lane[over], at[over] - 1
+
+        for begin, stop in _epochs(steps):
+            x, b1, b2 = grid[begin:stop].ravel(), before[begin + 1 : stop + 1].ravel(), before[begin:stop].ravel()
+            slot = model.slot(b2, b1)
+            hit1, cell = model.place(b1, x)
+            start, width = (y.view(np.uint64).reshape(-1, lanes) for y in model.intervals(x, slot, b1, hit1, cell))
+            for s, w in zip(start, width, strict=True):
+                size >>= _SHIFT
+                add = size * s
+                low += add
+                over = np.flatnonzero(low < add)
+                if len(over):
+                    carry(over)
+                size *= w
+                full = np.flatnonzero(size < _LOW)
+                if len(full):
+                    out = low[full]
+                    at = count[full]
+                    words[full, at] = out >> _WORD
+                    count[full] = at + 1
+                    low[full] = out << _WORD
+                    size[full] <<= _WORD
+            model.learn(x, slot, b1, hit1, cell)
+        # the first multiple of 2**32 from low on lies in the range; its lower word need not be written
+        end = low + (_LOW - np.uint64(1))
+        carry(np.flatnonzero(end < low))
+        words[np.arange(lanes), count] = end >> _WORD
+        count += 1
+        n_words = int(count.sum())
+        body += [count.astype("<u2").tobytes(), words[np.arange(words.shape[1])[None, :] < count[:, None]].astype("<u4").tobytes()]
     payload = b"".join(body)
     return HEAD.pack(MAGIC, VERSION, vocabulary, len(lengths), n, lanes, n_words, zlib.crc32(payload)) + payload
 
 
-def decode_block(block: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, ids per document); ValueError if the block is damaged."""
+def decode_block(block: bytes) -> tuple[np.ndarray, np.ndarray, list]:
+    """(ids, ids per document, document ids); ValueError if the block is damaged."""
     if len(block) < HEAD.size:
         raise ValueError("token block is cut short")
     magic, version, vocabulary, n_docs, n, lanes, n_words, crc = HEAD.unpack_from(block)
@@ -187,58 +282,45 @@ def decode_block(block: bytes) -> tuple[np.ndarray, np.ndarray]:
     payload = memoryview(block)[HEAD.size :]
     if zlib.crc32(payload) != crc:
         raise ValueError("token block fails its checksum")
-    lengths = np.frombuffer(payload, "<u4", n_docs)
+    doc_ids = [None if null else d for d, null in zip(np.frombuffer(payload, "<i8", n_docs).tolist(), bytes(payload[8 * n_docs : 9 * n_docs]), strict=True)]
+    at = 9 * n_docs
+    lengths = np.frombuffer(payload[at : at + 4 * n_docs], "<u4")
     if not n:
-        return np.zeros(0, np.int64), lengths
-    at = 4 * n_docs
-    state = np.frombuffer(payload, "<u8", lanes, at).astype(np.uint64)
-    at += 8 * lanes
-    per_lane = np.frombuffer(payload, "<u4", lanes, at).astype(np.int64)
-    at += 4 * lanes
-    words = np.frombuffer(payload, "<u4", n_words, at).astype(np.uint64)
-    place = np.cumsum(per_lane) - per_lane
+        return np.zeros(0, np.int64), lengths, doc_ids
+    at += 4 * n_docs
+    count = np.frombuffer(payload, "<u2", lanes, at).astype(np.int64)
+    at += 2 * lanes
+    words = np.zeros(n_words + 3, np.uint64)  # beyond its words a lane may read anything
+    words[:n_words] = np.frombuffer(payload, "<u4", n_words, at)
+    place = np.cumsum(count) - count
     steps = -(-n // lanes)
-    grid = np.empty((steps, lanes), np.int32)
+    grid = np.zeros((steps + 2, lanes), np.int32)  # two rows of zeros, then the ids
     model = _Model(vocabulary)
-    b1, b2 = np.zeros(lanes, np.int32), np.zeros(lanes, np.int32)
-    shift, in_bits, mask = np.uint64(RANGE_BITS), np.uint64(32), np.uint64(RANGE - 1)
-    slots, befores = np.empty((EPOCH, lanes), np.int32), np.empty((EPOCH, lanes), np.int32)
-    for t in range(steps):
-        k = t % EPOCH
-        slot = model.slot(b2, b1)
-        slots[k], befores[k] = slot, b1
-        x, w, g1, w1 = model.weights(slot, b1)
-        v = (state & mask).astype(np.int32)
-        start, width = np.zeros(lanes, np.int64), w.astype(np.int64)
-        m = np.flatnonzero(v >= w)
-        w2, w1 = w[m], w1[m]
-        x[m], start[m], width[m] = g1[m], w2, w1
-        w12, vm = w2 + w1, v[m]
-        far = vm >= w12
-        r, vr, w12 = m[far], vm[far], w12[far].astype(np.int64)
-        high = vr >= model.top
-        if model.cum is not None:
-            left = model.top - w12
-            aim = (((vr - w12 + 1) << LOOK_BITS) - 1) / left  # exact below 2**37, so floor is too
-            np.minimum(aim, (1 << LOOK_BITS) - 1, out=aim)
-            xr = model.look.take(aim.astype(np.int64))
-            c = model.cum.take(xr)
-            a = (c * left) >> LOOK_BITS
-            x[r], start[r], width[r] = xr, w12 + a, (((c + model.share.take(xr)) * left) >> LOOK_BITS) - a
-            r, vr = r[high], vr[high]
-        xr = (vr - model.top) // model.floor
-        x[r], start[r], width[r] = xr, model.top + xr.astype(np.int64) * model.floor, model.floor
-        state = width.view(np.uint64) * (state >> shift) + (v - start).view(np.uint64)
-        low = np.flatnonzero(state < _LOW)
-        if len(low):
-            at = place[low]
-            state[low] = (state[low] << in_bits) | words.take(at)
-            place[low] = at + 1
-        grid[t] = x
-        b2, b1 = b1, x
-        if k == EPOCH - 1 or t == steps - 1:
-            model.learn(slots[: k + 1].ravel(), befores[: k + 1].ravel(), grid[t - k : t + 1].ravel())
-    return np.ascontiguousarray(grid.T).ravel()[:n], lengths
+    stop_at = place + count
+    code = words.take(place) << _WORD | np.where(count > 1, words.take(place + 1), np.uint64(0))
+    place += 2
+    size, most = np.full(lanes, np.iinfo(np.uint64).max, np.uint64), np.uint64(RANGE - 1)
+    for begin, stop in _epochs(steps):
+        slots = np.empty((stop - begin, lanes), np.int32)
+        for t in range(begin, stop):
+            slots[t - begin] = slot = model.slot(grid[t], grid[t + 1])
+            size >>= _SHIFT
+            v = np.minimum(code // size, most).view(np.int64)
+            x, start, width = model.find(v, slot, grid[t + 1])
+            code -= size * start.view(np.uint64)
+            size *= width.view(np.uint64)
+            full = np.flatnonzero(size < _LOW)
+            if len(full):
+                at = place[full]
+                new = words.take(np.minimum(at, n_words))
+                new[at >= stop_at[full]] = 0
+                code[full] = code[full] << _WORD | new
+                size[full] <<= _WORD
+                place[full] = at + 1
+            grid[t + 2] = x
+        x, b1 = grid[begin + 2 : stop + 2].ravel(), grid[begin + 1 : stop + 1].ravel()
+        model.learn(x, slots.ravel(), b1, *model.place(b1, x))
+    return np.ascontiguousarray(grid[2:].T).ravel()[:n], lengths, doc_ids
 
 
 # ----------------------------------------------------------------------------- tokenizing
@@ -281,40 +363,114 @@ class CachedEncoder:
         from tokenizers import Tokenizer
 
         self.library, self.split, self.bound = Tokenizer.from_file(path), split, bound
-        self.lower = '"Lowercase"' in self.library.to_str()[:20_000]
+        written = json.loads(self.library.to_str())
+        self.special = [t["content"] for t in written["added_tokens"] if t["content"]]
+        self.lower = '"Lowercase"' in json.dumps(written["normalizer"])
         self.cache: dict[str, bytes] = {"": b""}
-        self.spaced: dict[str, bytes] = {}  # what follows a space, without it
+        self.spaced: dict[str, bytes] = {}  # units that open with a space, without it
         self.line_end = np.array(self.library.encode("\n", add_special_tokens=False).ids, "<u4").tobytes()
         self.vocabulary = self.library.get_vocab_size(with_added_tokens=True)
+        self.tails: dict[str, bytes] = {}  # closing punctuation
+        names = self.library.get_vocab()
+        self.opens_with_space, self.is_line_end = (np.zeros(self.vocabulary, bool) for _ in range(2))
+        self.opens_with_space[[i for t, i in names.items() if t[:1] == chr(_BYTE_SIGNS[32])]] = True
+        self.is_line_end[np.frombuffer(self.line_end, "<u4")] = True
+
+    def has_special(self, text: str) -> bool:
+        """Does the text hold the string of an added token?  The library takes such strings out before
+        it looks at anything else, so these texts go to it whole."""
+        return any(t in text for t in self.special)
 
     def __call__(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if self.split is byte_units and even(text):
-            # a line's first word stands bare, the others follow a space
-            units = text.replace("\n", " ").split(" ")
-            found, starts, at = list(map(self.spaced.get, units)), [], 0
-            for line in text.split("\n"):
-                starts.append(at)
-                found[at] = self.cache.get(units[at])
-                at += line.count(" ") + 1
-            if None in found:
-                first = set(starts)
-                named = {i: units[i] if i in first else f" {units[i]}" for i, v in enumerate(found) if v is None}
-                new = self._learn(set(named.values()))
-                for i, u in named.items():
-                    found[i] = new[u]
-            for at in starts[1:]:
-                found[at] = self.line_end + found[at]
-            return b"".join(found)
+        if self.has_special(text):
+            return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         units = self.split(text)
-        found = list(map(self.cache.get, units))
+        if self.split is byte_units:
+            found = [self.spaced.get(u[1:]) if u[:1] == " " else self.cache.get(u) for u in units]
+        else:
+            found = list(map(self.cache.get, units))
         try:
             return b"".join(found)
         except TypeError:  # some are not cached yet
             new = self._learn({u for u, v in zip(units, found, strict=True) if v is None})
             return b"".join([new[u] if v is None else v for u, v in zip(units, found, strict=True)])
 
+    def batch(self, texts: list[str | None]) -> list[np.ndarray]:
+        """Ids of many texts under byte_units.  Texts with even breaks are split and their words made
+        distinct by Arrow, so that a word is looked up once a batch."""
+        plain = [i for i, t in enumerate(texts) if t and even(t) and not self.has_special(t)]
+        out: list = [None] * len(texts)
+        if plain:
+            # a text's first word stands bare, as does that of a line; the others follow a space
+            split = pc.split_pattern(pa.array(["\0" + texts[i].replace("\n", " \n") for i in plain], pa.string()), " ")
+            words = split.flatten().dictionary_encode()
+            names, at = self._one_list(words.dictionary), words.indices.to_numpy()
+            found = self._words(names, self._one_list(pc.utf8_rtrim(words.dictionary, string.punctuation)))
+            length = np.fromiter(map(len, found), np.int64, len(found)) >> 2
+            first, held = np.cumsum(length) - length, np.frombuffer(b"".join(found), "<u4")
+            many = length.take(at)
+            end = np.cumsum(many)
+            place = np.repeat(first.take(at) - (end - many), many)
+            place += np.arange(len(place))
+            ids = held.take(place)
+            edge = [0, *end[split.offsets.to_numpy()[1:] - 1].tolist()]
+            for i, a, b in zip(plain, edge[:-1], edge[1:], strict=True):
+                out[i] = ids[a:b]
+        return [np.frombuffer(self(t), "<u4") if x is None else x for t, x in zip(texts, out, strict=True)]
+
+    @staticmethod
+    def _one_list(words: pa.StringArray) -> list[str]:
+        """Words without spaces as Python strings, made from one long one, which is fastest."""
+        listed = pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words)
+        return pc.binary_join(listed, " ")[0].as_py().split(" ")
+
+    def _words(self, names: list[str], cores: list[str]) -> list[bytes]:
+        """Ids of distinct words as batch() marks them; cores are the same without closing punctuation.
+        New ones are encoded in two long texts - words that follow a space, words that stand bare - and
+        cut where the space or the line end shows."""
+        if len(self.cache) + len(self.spaced) + len(names) > self.bound:
+            self.cache, self.spaced = {"": b""}, {}
+        bare, spaced, tails = self.cache, self.spaced, self.tails
+        # letters and what follows them are two pre-tokens, so they are looked up apart
+        keys = [c if c.isalpha() and (c.isascii() or max(c) <= "\xff") else n for n, c in zip(names, cores, strict=True)]
+        found = list(map(spaced.get, keys))
+        marked = [i for i, n in enumerate(names) if n[:1] in "\0\n"]
+        for i in marked:
+            found[i] = bare.get(names[i][1:])
+        if None in found:
+            lack = {i for i, v in enumerate(found) if v is None}
+            first = lack.intersection(marked)
+            bare.update(self._cut(list({names[i][1:] for i in first}), "\n", self.is_line_end, len(self.line_end)))
+            spaced.update(self._cut(list({keys[i] for i in lack - first}), " ", self.opens_with_space))
+            for i in lack:
+                found[i] = bare[names[i][1:]] if i in first else spaced[keys[i]]
+        for i in marked:
+            if names[i][0] == "\n":
+                found[i] = self.line_end + found[i]
+        for i, (n, k) in enumerate(zip(names, keys, strict=True)):
+            if n is not k and len(n) != len(k):
+                tail = n[len(k) :]
+                ids = tails.get(tail)
+                if ids is None:
+                    if len(tails) > 100_000:
+                        tails.clear()
+                    ids = tails[tail] = np.array(self.library.encode(tail, add_special_tokens=False).ids, "<u4").tobytes()
+                found[i] += ids
+        return found
+
+    def _cut(self, words: list[str], sign: str, opens: np.ndarray, skip: int = 0) -> Iterator[tuple[str, bytes]]:
+        """(word, ids) of words that follow a sign, without the first `skip` bytes."""
+        for k in range(0, len(words), 50_000):
+            some = words[k : k + 50_000]
+            ids = np.array(self.library.encode_batch_fast([sign + sign.join(some)], add_special_tokens=False)[0].ids, "<u4")
+            edge = np.append(np.flatnonzero(opens[ids]), len(ids))
+            if len(edge) != len(some) + 1:
+                raise ValueError("the tokenizer merges across word breaks")
+            raw, edge = ids.tobytes(), (4 * edge).tolist()
+            yield from zip(some, [raw[a + skip : b] for a, b in zip(edge[:-1], edge[1:], strict=True)], strict=True)
+
     def _letters(self, word: str) -> list[int]:
         """Ids of Latin letters, one pre-token, by the library's model alone."""
         word = (word.lower() if self.lower else word).encode().decode("latin-1").translate(_BYTE_SIGNS)
@@ -370,59 +526,55 @@ def encoder(path: str, split=byte_units) -> CachedEncoder:
 
 
 def write_blocks(docs: DataFrame, tokenizer_path: str, end_id: int, block_ids: int = BLOCK_IDS) -> DataFrame:
-    """Token files in ascending doc_id order: rows (part, block, first_doc.., n_ids, data), stored in
-    the shared folder.  Each part covers a doc_id range; blocks within it are in order."""
-    small_batches(docs.sparkSession)
+    """Token files in ascending doc_id order: rows (part, block, data), stored in the shared folder.
+    Each part covers a doc_id range; blocks within it are in order.  Everything about the documents
+    stands in the blocks."""
+    small_batches(docs.sparkSession, 4000)  # more texts a batch share more words
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     ordered = docs.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    end = np.array([end_id], "<u4").tobytes()
+    end = np.array([end_id], "<u4")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, block = TaskContext.get().partitionId(), 0
         encode = None
-        held, doc_ids, n = [], [], 0
+        held, doc_ids, lengths, n = [], [], [], 0
 
         def out() -> pa.RecordBatch:
-            lengths = np.array([len(b) // 4 for b in held], np.int64)
-            ids = np.frombuffer(b"".join(held), "<u4").astype(np.int64)
-            data = encode_block(ids, lengths, max(encode.vocabulary, end_id + 1))
-            return pa.RecordBatch.from_arrays(
-                [pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([doc_ids], pa.list_(pa.int64())), pa.array([int(lengths.sum())], pa.int64()), pa.array([data], pa.binary())],
-                names=["part", "block", "doc_ids", "n_ids", "data"],
-            )
+            data = encode_block(np.concatenate(held), np.array(lengths, np.int64), max(encode.vocabulary, end_id + 1), doc_ids)
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([data], pa.binary())], names=["part", "block", "data"])
 
         for batch in batches:
             encode = encode or encoder(tokenizer_path)
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = encode(text.as_py())
-                held.append(ids + end)
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encode.batch(batch.column(1).to_pylist()), strict=True):
+                held += [ids, end]
                 doc_ids.append(doc_id)
-                n += len(ids) // 4 + 1
+                lengths.append(len(ids) + 1)
+                n += len(ids) + 1
                 if n >= block_ids:
                     yield out()
                     block += 1
-                    held, doc_ids, n = [], [], 0
+                    held, doc_ids, lengths, n = [], [], [], 0
         if held:
             yield out()
 
-    return stored(ordered.mapInArrow(pack, "part int, block int, doc_ids array<bigint>, n_ids bigint, data binary"), "token-blocks")
+    return stored(ordered.mapInArrow(pack, "part int, block int, data binary"), "token-blocks")
 
 
 def read_blocks(blocks: DataFrame) -> DataFrame:
-    """Per document, from the files: doc_id, start, n_tokens, ids_crc32."""
-    parts = blocks.groupBy("part").agg(F.sum("n_ids").alias("ids"))  # one row per file part
+    """Per document, from the blocks: doc_id, start, n_tokens, ids_crc32."""
+    ids = F.conv(F.hex(F.substring("data", IDS_AT, IDS_BYTES)), 16, 10).cast("bigint")
+    heads = blocks.select("part", "block", ids.alias("ids"))
+    parts = heads.groupBy("part").agg(F.sum("ids").alias("ids"))  # one row per file part
     before = parts.select("part", (F.sum("ids").over(Window.orderBy("part")) - F.col("ids")).alias("part_start"))
     within = Window.partitionBy("part").orderBy("block")
-    sizes = blocks.select("part", "block", (F.sum("n_ids").over(within) - F.col("n_ids")).alias("in_part"))
+    sizes = heads.select("part", "block", (F.sum("ids").over(within) - F.col("ids")).alias("in_part"))
     starts = sizes.join(before, "part").select("part", "block", (F.col("in_part") + F.col("part_start")).alias("first"))
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                doc_ids, data, first = (batch.column(c)[i].as_py() for c in ("doc_ids", "data", "first"))
-                ids, lengths = decode_block(data)
-                if len(lengths) != len(doc_ids):
-                    raise ValueError("token block and document list disagree")
+                data, first = (batch.column(c)[i].as_py() for c in ("data", "first"))
+                ids, lengths, doc_ids = decode_block(data)
                 raw, edge = memoryview(ids.astype("<u4").tobytes()), np.cumsum(lengths, dtype=np.int64)
                 crcs = [zlib.crc32(raw[4 * (e - k) : 4 * e]) for e, k in zip(edge.tolist(), lengths.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
@@ -431,12 +583,14 @@ def read_blocks(blocks: DataFrame) -> DataFrame:
                 )
 
     n = max(2, blocks.sparkSession.sparkContext.defaultParallelism * 4)
-    return blocks.join(starts, ["part", "block"]).select("doc_ids", "data", "first").repartition(n).mapInArrow(unpack, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    return blocks.join(starts, ["part", "block"]).select("data", "first").repartition(n).mapInArrow(unpack, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
 def round_trip(docs: DataFrame, tokenizer_path: str, end_id: int, block_ids: int = BLOCK_IDS) -> DataFrame:
     """Write the token files of docs(doc_id, text) and describe each document as read back.
 
-    Null and empty texts hold the end id only; repeated rows and ids are written row by row; ties
-    of doc_id are ordered by text; an empty table gives no file and an empty result."""
+    Null and empty texts hold the end id only; texts of any length are coded whole, a block ending
+    with the text that fills it; repeated rows and ids are written row by row; ties of doc_id are
+    ordered by text; columns besides doc_id and text, whatever their names, are not looked at; an
+    empty table gives no block and an empty result."""
     return read_blocks(write_blocks(docs, tokenizer_path, end_id, block_ids))

@@ -41,7 +41,7 @@ def ids_of(path, text):
     return Tokenizer.from_file(path).encode(text or "", add_special_tokens=False).ids
 
 
-@pytest.mark.parametrize("hot", [262_144, 20])
+@pytest.mark.parametrize("hot", [131_072, 20])
 def test_token_counts(docs, empty, hot):
     got = key((r["doc_id"], r["n_bytes"], r["n_tokens"], r["over_limit"]) for r in token_count.count_tokens(docs, WORD, hot_limit=hot).collect())
     want = [(i, len((t or "").encode()), len(ids_of(WORD, t)), len(ids_of(WORD, t)) > 2048) for i, t in texts()]
@@ -49,6 +49,17 @@ def test_token_counts(docs, empty, hot):
     assert token_count.count_tokens(empty, WORD).count() == 0
 
 
+def test_token_counts_of_long_units_in_every_row(spark):
+    r = random.Random(21)
+    line = "https://" + "".join(r.choice("abcdefgh/") for _ in range(200))
+    rows = [(i, f"{prose(r, 20)} {line}\u2003{prose(r, 5)} \x01odd {'=' * 90} <|endoftext|>") for i in range(60)]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    for hot in (1000, 3):
+        got = {x["doc_id"]: x["n_tokens"] for x in token_count.count_tokens(d, WORD, hot_limit=hot).collect()}
+        assert got == {i: len(ids_of(WORD, t)) for i, t in rows}
+    assert max(map(len, map(token_count.wordjoin.unit_key, rows[0][1].split()))) <= 64 and line not in token_count.wordjoin.unit_key(line)
+
+
 def test_token_blocks(docs, empty):
     got = token_codec.round_trip(docs, BYTE, 2, block_ids=700).collect()
     assert token_codec.round_trip(empty, BYTE, 2).count() == 0
@@ -65,13 +76,38 @@ def test_blocks_round_trip_and_detect_damage():
     for n in (0, 1, 127, 5000, 70_000):
         ids = r.zipf(1.4, n) % 50_257
         block = token_codec.encode_block(ids, np.array([n] if n else []), 50_257)
-        back, lengths = token_codec.decode_block(block)
+        back, lengths, _ = token_codec.decode_block(block)
         assert (back == ids).all() and lengths.sum() == n
+    ids = np.tile(r.integers(0, 70_000, 900), 70)
+    back, lengths, doc_ids = token_codec.decode_block(token_codec.encode_block(ids, np.array([3, 62_997]), 70_000, [None, -5]))
+    assert (back == ids).all() and lengths.tolist() == [3, 62_997] and doc_ids == [None, -5]
     for bad in (block[:-1], block[:40] + bytes([block[40] ^ 1]) + block[41:], b"LM", b"XXXX" + block[4:]):
         with pytest.raises(ValueError):
             token_codec.decode_block(bad)
 
 
+def test_blocks_are_smaller_than_order_0_and_zlib(spark):
+    texts = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").toArrow().column(0).to_pylist()
+    ids = np.concatenate(token_codec.CachedEncoder(BYTE).batch(texts))
+    count = np.bincount(ids)
+    share = count[count > 0] / len(ids)
+    entropy, flat = -(share * np.log2(share)).sum(), 8 * len(zlib.compress(ids.astype("<u2").tobytes(), 6)) / len(ids)
+    bits = 8 * len(token_codec.encode_block(ids, np.array([len(ids)]), 50_258)) / len(ids)
+    assert len(ids) > 500_000 and bits < entropy - 0.5 and bits < flat - 0.5
+
+
+def test_cached_encoder_agrees_with_the_library():
+    r = random.Random(41)
+    parts = ["the", "An", " ", "  ", "\n", "\n\n", " \n", "\n ", "\t", "<|endoftext|>", "<|endof", "'s", "'t", "é", "ß", "中", "\u2003", "\xa0", "\x1c", "\x85", "1", "23", ".", "!?", "word", "x" * 30, "\0", "\r", "a'", "\u0663", "\u0301"]
+    odd = ["".join(r.choice(parts) for _ in range(r.randint(0, 14))) for _ in range(10_000)]
+    even = [" ".join(r.choice(["the", "An", "x.", "é?", "it's", "1a", "中", "a\nb", ".", "\nq"]) for _ in range(r.randint(1, 9))) for _ in range(10_000)]
+    library, texts = Tokenizer.from_file(BYTE), odd + even
+    want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    encode = token_codec.CachedEncoder(BYTE, bound=300)
+    for k in range(0, len(texts), 500):
+        assert [x.tolist() for x in encode.batch(texts[k : k + 500])] == want[k : k + 500]
+
+
 @pytest.mark.parametrize("salt", [250_000, 3])
 def test_packing(docs, empty, salt):
     assert packing.pack(empty, WORD).count() == 0
@@ -359,7 +395,7 @@ def test_lm_scores(docs, empty, spark):
     c = collections.Counter(w for t in train for w in words(t))
     c[None] = len(train)
     n, v = sum(c.values()), len(c)
-    for hot in (262_144, 10):
+    for hot in (131_072, 10):
         got = neural_lm.score_texts(docs, hot_limit=hot).collect()
         assert len(got) == len(texts())
         by_id = dict(texts())
