@@ -1,14 +1,23 @@
-"""Read quality control, trimming and filtering: row-wise expressions, then small aggregates."""
+"""Read quality control, trimming and filtering.
+
+Reads are ASCII, so a batch of them is one byte string with places where each begins.  Everything
+per base is numpy over such byte strings, one Arrow pass a table: counts per byte, moving sums as
+differences of prefix sums, first hits by binary search.  What is left for shuffles are small counts."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Iterator
+from dataclasses import dataclass, replace
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CYCLES = 1024
 REPORT_TOP = 63
+# fixed values: the adapters looked for where none are named
+DEFAULT_ADAPTERS = ("AGATCGGAAGAGC", "CTGTCTCTTATACACATCT")
 
 
 @dataclass(frozen=True)
@@ -24,6 +33,7 @@ class TrimOptions:
     min_length: int = 1
     max_n_rate: float = 1.0
     min_mean_quality: float = 0.0
+    phred64: bool = False  # qualities are Phred+64 and are rebased first
 
     def __post_init__(self) -> None:
         if min(self.front, self.tail, self.window, self.min_length) < 0 or self.min_overlap < 1 or not 0 <= self.mismatch_rate < 1:
@@ -31,57 +41,166 @@ class TrimOptions:
         if any(not a or set(a) - set("ACGTN") for a in self.adapters):
             raise ValueError("adapters are non-empty strings of ACGTN")
 
+    def with_adapters(self, *more: str) -> TrimOptions:
+        """The same with the named adapters, or with the default ones if none are named."""
+        return replace(self, adapters=more or DEFAULT_ADAPTERS)
+
 
 def well_formed(r: DataFrame) -> Column:
-    return r["id"].startswith("@") & (F.char_length(r["seq"]) == F.char_length(r["qual"])) & r["qual"].rlike("^[!-~]*$")
+    """Printable header (tabs are fine), bases and qualities of equal length, all of them printable."""
+    plain = r["id"].startswith("@") & r["id"].rlike("^[\\x20-\\x7e\\t]*$")
+    return plain & (F.char_length(r["seq"]) == F.char_length(r["qual"])) & r["seq"].rlike("^[!-~]*$") & r["qual"].rlike("^[!-~]*$")
 
 
-def qualities(qual: Column, base: int = 33) -> Column:
-    return F.transform(F.filter(F.split(qual, ""), lambda c: c != ""), lambda c: F.ascii(c) - base)
+# ----------------------------------------------------------------------------- bytes of a batch
 
 
-def _sum(a: Column) -> Column:
-    return F.aggregate(a, F.lit(0), lambda s, x: s + x)
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a string column and where each value begins, one place more than values; null
+    values are empty."""
+    column = column.cast(pa.large_binary()) if not pa.types.is_large_binary(column.type) else column
+    if column.null_count:
+        column = column.fill_null(b"")
+    _, places, data = column.buffers()
+    at = np.frombuffer(places, np.int64, len(column) + 1, column.offset * 8)
+    raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    return raw[at[0] : at[-1]], at - at[0]
 
 
-def mean_quality(qual: Column) -> Column:
-    n = F.char_length(qual)
-    return F.when(n > 0, F.greatest(F.lit(0.0), _sum(qualities(qual)) / n)).otherwise(0.0)
+def _prefix(values: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(values, dtype=np.int64)])
 
 
-def count_other(seq: Column) -> Column:
-    """Bases that are not A, C, G, T in either case."""
-    return F.char_length(F.regexp_replace(seq, "[ACGTacgt]", ""))
+def _first(places: np.ndarray, start: np.ndarray, none: np.ndarray) -> np.ndarray:
+    """The first of the ascending places at or after each start."""
+    at = np.searchsorted(places, start)
+    return np.where(at < len(places), np.append(places, 0)[at], none)
+
+
+def _front(data: np.ndarray, start: np.ndarray, stop: np.ndarray, q: int) -> np.ndarray:
+    return np.minimum(_first(np.flatnonzero(data >= 33 + q), start, stop), stop) if q > 0 else start
 
 
-def _without(seq: Column, letters: str) -> Column:
-    return F.char_length(seq) - F.char_length(F.regexp_replace(seq, f"[{letters}]", ""))
+def _tail(data: np.ndarray, start: np.ndarray, stop: np.ndarray, q: int) -> np.ndarray:
+    if q <= 0:
+        return stop
+    good = np.flatnonzero(data >= 33 + q)
+    at = np.searchsorted(good, stop) - 1
+    return np.maximum(np.where(at >= 0, np.append(good, 0)[at] + 1, 0), start)
+
+
+def _window(data: np.ndarray, start: np.ndarray, stop: np.ndarray, window: int, mean: float) -> np.ndarray:
+    """Where the first window whose sum is too small starts; reads shorter than a window stay whole."""
+    if window == 0 or len(data) < window:
+        return stop
+    below = _prefix(data.astype(np.int64) - 33)
+    bad = np.flatnonzero(below[window:] - below[:-window] < int(mean * window))
+    found = _first(bad, start, stop)
+    return np.where(found + window <= stop, np.minimum(found, stop), stop)
+
+
+def _adapter(data: np.ndarray, start: np.ndarray, stop: np.ndarray, o: TrimOptions) -> np.ndarray:
+    """Where the 5'-most adapter starts: an exact seed, then at most floor(rate * overlap) mismatches
+    over the overlap of read and adapter, at least min_overlap long."""
+    out = stop.copy()
+    for name in o.adapters:
+        a = np.frombuffer(name.encode(), np.uint8)
+        seed = min(o.seed, o.min_overlap, len(a))
+        if len(data) < seed:
+            continue
+        hit = np.ones(len(data) - seed + 1, bool)
+        for i in range(seed):
+            hit &= data[i : len(data) - seed + 1 + i] == a[i]
+        at = np.flatnonzero(hit)
+        read = np.searchsorted(start, at, side="right") - 1
+        ok = read >= 0
+        at, read = at[ok], read[ok]
+        overlap = np.minimum(len(a), stop[read] - at)
+        ok = overlap >= o.min_overlap
+        at, read, overlap = at[ok], read[ok], overlap[ok]
+        differ = np.zeros(len(at), np.int64)
+        for i in range(len(a)):
+            inside = i < overlap
+            differ += inside & (data[np.where(inside, at + i, 0)] != a[i])
+        ok = differ <= np.floor(overlap * o.mismatch_rate)
+        read, first = np.unique(read[ok], return_index=True)
+        out[read] = np.minimum(out[read], at[ok][first])
+    return out
+
+
+_OTHER = np.ones(256, bool)
+_OTHER[list(b"ACGTacgt")] = False
+
+
+# ----------------------------------------------------------------------------- counts
+
+
+def byte_counts(reads: DataFrame) -> DataFrame:
+    """(which, byte, n): how often each byte occurs among bases (which = 0) and qualities (1); which = 2
+    holds the number of reads.  At most 513 rows a task are shuffled."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros((3, 256), np.int64)
+        for batch in batches:
+            for i in range(2):
+                held[i] += np.bincount(_flat(batch.column(i))[0], minlength=256)
+            held[2, 0] += batch.num_rows
+        which, byte = np.nonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(which.astype(np.int32)), pa.array(byte.astype(np.int32)), pa.array(held[which, byte])], names=["which", "byte", "n"])
+
+    return reads.select("seq", "qual").mapInArrow(count, "which int, byte int, n bigint").groupBy("which", "byte").agg(F.sum("n").alias("n"))
 
 
 def totals(reads: DataFrame) -> DataFrame:
-    q = reads.select(
-        F.char_length("seq").alias("n"),
-        _sum(qualities(F.col("qual"))).alias("q"),
-        (F.char_length("qual") - F.char_length(F.regexp_replace("qual", "[5-~]", ""))).alias("q20"),
-        (F.char_length("qual") - F.char_length(F.regexp_replace("qual", "[?-~]", ""))).alias("q30"),
-        _without(F.col("seq"), "GCgc").alias("gc"),
-        count_other(F.col("seq")).alias("other"),
+    base, letter, n = F.col("which") == 0, F.chr("byte"), F.col("n")
+    quality, q = F.col("which") == 1, F.col("byte") - 33
+    part = lambda cond, value, name: F.coalesce(F.sum(F.when(cond, value)), F.lit(0)).cast("bigint").alias(name)
+    return byte_counts(reads).agg(
+        part(F.col("which") == 2, n, "reads"),
+        part(base, n, "bases"),
+        part(quality, q * n, "quality_sum"),
+        part(quality & (q >= 20), n, "q20_bases"),
+        part(quality & (q >= 30), n, "q30_bases"),
+        part(base & letter.isin(*"GCgc"), n, "gc_bases"),
+        part(base & ~letter.isin(*"ACGTacgt"), n, "n_bases"),
     )
-    total = lambda c, a: F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(a)
-    return q.agg(F.count("*").alias("reads"), total("n", "bases"), total("q", "quality_sum"), total("q20", "q20_bases"), total("q30", "q30_bases"), total("gc", "gc_bases"), total("other", "n_bases"))
 
 
-def quality_histogram(reads: DataFrame, fold: bool = False) -> DataFrame:
-    q = reads.select(F.explode(qualities(F.col("qual"))).alias("q"))
-    return q.groupBy((F.least("q", F.lit(REPORT_TOP)) if fold else F.col("q")).alias("q")).agg(F.count("*").alias("n"))
+def quality_histogram(reads: DataFrame, fold: bool = False, top: int = REPORT_TOP) -> DataFrame:
+    """(q, n); the report's form folds all above `top` into it."""
+    h = byte_counts(reads).filter("which = 1").select((F.col("byte") - 33).alias("q"), "n")
+    return h.groupBy(F.least("q", F.lit(top)).alias("q")).agg(F.sum("n").alias("n")) if fold else h
 
 
 def per_cycle(reads: DataFrame) -> DataFrame:
     """Mean quality and base counts of each cycle up to CYCLES."""
-    c = reads.select(F.col("seq"), F.posexplode(qualities(F.col("qual"))).alias("at", "q")).filter(F.col("at") < CYCLES)
-    c = c.select((F.col("at") + 1).alias("cycle"), "q", F.upper(F.substring(F.col("seq"), F.col("at") + 1, F.lit(1))).alias("b"))
-    n = lambda b: F.count_if(F.col("b") == b).alias(f"n_{b.lower()}")
-    return c.groupBy("cycle").agg(F.round(F.avg("q"), 6).alias("mean_quality"), *(n(b) for b in "ACGT"), F.count_if(~F.col("b").isin(*"ACGT")).alias("n_other"))
+    names = ["cycle", "q", "n", "n_a", "n_c", "n_g", "n_t"]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros((len(names) - 1, CYCLES), np.int64)
+        for batch in batches:
+            (bases, at), (quals, places) = (_flat(batch.column(i)) for i in range(2))
+            if len(bases) != len(quals) or (at != places).any():
+                raise ValueError("bases and qualities of a read differ in length")
+            cycle = np.arange(len(bases)) - np.repeat(at[:-1], np.diff(at))
+            near = np.flatnonzero(cycle < CYCLES)
+            cycle, bases, quals = cycle[near], bases[near] & 0xDF, quals[near]  # upper case
+            held[0] += np.bincount(cycle, weights=quals - 33.0, minlength=CYCLES).astype(np.int64)
+            held[1] += np.bincount(cycle, minlength=CYCLES)
+            for i, b in enumerate(b"ACGT"):
+                held[2 + i] += np.bincount(cycle[bases == b], minlength=CYCLES)
+        seen = np.flatnonzero(held[1])
+        yield pa.RecordBatch.from_arrays([pa.array((seen + 1).astype(np.int32)), *(pa.array(h[seen]) for h in held)], names=names)
+
+    d = reads.select("seq", "qual").mapInArrow(count, "cycle int, q bigint, n bigint, n_a bigint, n_c bigint, n_g bigint, n_t bigint")
+    d = d.groupBy("cycle").agg(*(F.sum(c).alias(c) for c in names[1:]))
+    other = F.col("n") - F.col("n_a") - F.col("n_c") - F.col("n_g") - F.col("n_t")
+    return d.select("cycle", F.round(F.col("q") / F.col("n"), 6).alias("mean_quality"), *names[3:], other.alias("n_other"))
+
+
+def over_cycle_limit(reads: DataFrame) -> DataFrame:
+    """One row: how many reads are longer than the cycles reported."""
+    return reads.agg(F.count_if(F.char_length("seq") > CYCLES).alias("reads_over_cycle_limit"))
 
 
 def phred64(histogram: DataFrame) -> DataFrame:
@@ -93,9 +212,20 @@ def phred64(histogram: DataFrame) -> DataFrame:
     return s.select("low", "high", "top", ((F.col("low") == 0) & (F.col("high") == 0) & (F.col("top") > 0) & (F.col("top") * 100 >= F.col("total"))).alias("phred64"))
 
 
+def is_phred64(qual: Column) -> Column:
+    return qual.rlike("^[@-~]*$")
+
+
 def to_phred33(qual: Column) -> Column:
+    """Rebased qualities; what a Phred+64 file cannot hold is an error."""
     signs = [chr(c) for c in range(64, 127)]
-    return F.translate(qual, "".join(signs), "".join(chr(ord(c) - 31) for c in signs))
+    moved = F.translate(qual, "".join(signs), "".join(chr(ord(c) - 31) for c in signs))
+    return F.when(is_phred64(qual), moved).otherwise(F.raise_error(F.concat(F.lit("not Phred+64: "), qual)))
+
+
+def count_other(seq: Column) -> Column:
+    """Bases that are not A, C, G, T in either case."""
+    return F.char_length(F.regexp_replace(seq, "[ACGTacgt]", ""))
 
 
 def reverse_complement(seq: Column) -> Column:
@@ -121,68 +251,57 @@ def cut_tail(qual: Column, q: int) -> Column:
     return F.char_length(F.regexp_replace(qual, f"{_below(q)}+$", "")) if q > 0 else F.char_length(qual)
 
 
-def cut_window(qual: Column, window: int, mean: float) -> Column:
-    """Start of the first window whose sum is too small; reads shorter than a window stay whole."""
-    n = F.char_length(qual)
-    if window == 0:
-        return n
-    least = int(mean * window)
+def _lengths(cut) -> Column:
+    """A function of (bytes, starts, stops) as one of a string column that gives lengths kept."""
 
-    def first_bad(q: Column) -> Column:
-        """One pass with a moving sum."""
+    @F.arrow_udf("int")
+    def kept(column: pa.Array) -> pa.Array:
+        data, at = _flat(column)
+        return pa.array((cut(data, at[:-1], at[1:]) - at[:-1]).astype(np.int32))
 
-        def step(a: Column, x: Column) -> Column:
-            total = a["total"] + x - F.coalesce(F.get(q, a["i"] - window), F.lit(0))
-            bad = (a["cut"] < 0) & (a["i"] >= window - 1) & (total < least)
-            return F.struct((a["i"] + 1).alias("i"), total.alias("total"), F.when(bad, a["i"] - (window - 1)).otherwise(a["cut"]).alias("cut"))
+    return kept
 
-        start = F.struct(F.lit(0).alias("i"), F.lit(0).alias("total"), F.lit(-1).alias("cut"))
-        return F.aggregate(q, start, step, lambda a: a["cut"])
 
-    # the one-element array binds the qualities to a name, so they are computed once a read
-    cut = F.get(F.transform(F.array(qualities(qual)), first_bad), F.lit(0))
-    return F.when(cut >= 0, cut).otherwise(n)
+def cut_window(qual: Column, window: int, mean: float) -> Column:
+    return _lengths(lambda d, a, b: _window(d, a, b, window, mean))(qual)
 
 
 def cut_adapter(seq: Column, adapters: tuple[str, ...], min_overlap: int = 4, seed: int = 8, rate: float = 0.1) -> Column:
-    """Start of the 5'-most adapter: an exact seed, then at most floor(rate * overlap) mismatches
-    over the overlap of read and adapter, at least min_overlap long."""
-    n = F.char_length(seq)
-    places = []
-    for a in adapters:
-        s = min(seed, min_overlap, len(a))
-        starts = F.when(n >= min_overlap, F.sequence(F.lit(0), n - min_overlap)).otherwise(F.array().cast("array<int>"))
+    o = TrimOptions(adapters=adapters, min_overlap=min_overlap, seed=seed, mismatch_rate=rate)
+    return _lengths(lambda d, a, b: _adapter(d, a, b, o))(seq)
+
+
+_VERDICT = "keep_from int, keep_to int, quality_trimmed boolean, adapter_trimmed boolean, drop_reason string"
 
-        def fits(p: Column, a: str = a, s: int = s) -> Column:
-            overlap = F.least(F.lit(len(a)), n - p)
-            differ = F.aggregate(
-                F.sequence(F.lit(1), overlap), F.lit(0), lambda t, i: t + (F.substring(seq, p + i, F.lit(1)) != F.substring(F.lit(a), i, F.lit(1))).cast("int")
-            )
-            return (overlap >= min_overlap) & (F.substring(seq, p + 1, F.lit(s)) == a[:s]) & (differ <= F.floor(overlap * rate))
 
-        seeded = lambda f: lambda p: f(p)
-        places.append(F.get(F.filter(starts, seeded(fits)), F.lit(0)))
-    return F.coalesce(F.least(*places, n) if places else n, n)
+def _judge(seq: pa.Array, qual: pa.Array, o: TrimOptions) -> pa.StructArray:
+    """What trim() adds, for a batch of reads."""
+    (bases, at), (quals, places) = _flat(seq), _flat(qual)
+    if len(bases) != len(quals) or (at != places).any():
+        raise ValueError("bases and qualities of a read differ in length")
+    begin, end = at[:-1], at[1:]
+    start = _front(quals, begin, end, o.front)
+    stop = _window(quals, start, _tail(quals, start, end, o.tail), o.window, o.window_mean)
+    cut = _adapter(bases, start, stop, o)
+    n = cut - start
+    other, quality = _prefix(_OTHER[bases]), _prefix(quals.astype(np.int64) - 33)
+    mean = np.maximum(0, (quality[cut] - quality[start]) / np.maximum(n, 1))
+    reason = np.where(n < o.min_length, "short", np.where(other[cut] - other[start] > o.max_n_rate * n, "n_rate", np.where(mean < o.min_mean_quality, "short", "kept")))
+    made = [(start - begin).astype(np.int32), (cut - begin).astype(np.int32), stop - start < end - begin, cut < stop, reason]
+    return pa.StructArray.from_arrays([pa.array(x) for x in made], names=[c.split()[0] for c in _VERDICT.split(", ")])
 
 
 def trim(reads: DataFrame, o: TrimOptions) -> DataFrame:
     """Adds keep_from, keep_to, trimmed seq and qual, and drop_reason; order: front, tail, window,
     adapter, then the filters short, N share, mean quality."""
-    d = reads.withColumn("keep_from", F.least(cut_front(F.col("qual"), o.front), F.char_length("qual")))
-    d = d.withColumn("_q", F.substring(F.col("qual"), F.col("keep_from") + 1, F.char_length("qual")))
-    d = d.withColumn("_q", F.left(F.col("_q"), cut_tail(F.col("_q"), o.tail)))
-    d = d.withColumn("_q", F.left(F.col("_q"), cut_window(F.col("_q"), o.window, o.window_mean)))
-    d = d.withColumn("quality_trimmed", F.char_length("_q") < F.char_length("qual"))
-    d = d.withColumn("_s", F.substring(F.col("seq"), F.col("keep_from") + 1, F.char_length("_q")))
-    cut = cut_adapter(F.col("_s"), o.adapters, o.min_overlap, o.seed, o.mismatch_rate)
-    d = d.withColumn("_n", cut).withColumn("adapter_trimmed", F.col("_n") < F.char_length("_s"))
-    d = d.withColumn("_s", F.left(F.col("_s"), F.col("_n"))).withColumn("_q", F.left(F.col("_q"), F.col("_n")))
-    n = F.char_length("_s")
-    reason = (
-        F.when(n < o.min_length, "short")
-        .when(count_other(F.col("_s")) > F.lit(o.max_n_rate) * n, "n_rate")
-        .when(mean_quality(F.col("_q")) < o.min_mean_quality, "short")
-        .otherwise("kept")
-    )
-    d = d.withColumn("drop_reason", reason).withColumn("keep_to", F.col("keep_from") + n)
-    return d.withColumn("seq", F.col("_s")).withColumn("qual", F.col("_q")).drop("_s", "_q", "_n")
+
+    @F.arrow_udf(_VERDICT)
+    def judge(seq: pa.Array, qual: pa.Array) -> pa.Array:
+        return _judge(seq, qual, o)
+
+    d = reads.withColumn("qual", to_phred33(F.col("qual"))) if o.phred64 else reads
+    d = d.withColumn("_t", judge("seq", "qual"))
+    n = F.col("_t.keep_to") - F.col("_t.keep_from")
+    cut = lambda c: F.substring(F.col(c), F.col("_t.keep_from") + 1, n)
+    d = d.withColumn("seq", cut("seq")).withColumn("qual", cut("qual"))
+    return d.select(*(c for c in d.columns if c != "_t"), "_t.*")

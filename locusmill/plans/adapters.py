@@ -19,6 +19,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """df on all cores: a scan of fewer pieces than cores is dealt out once; a larger one stays."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+
+
 def contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(c, CONTIG_LENGTH) for c in CONTIGS], "contig string, contig_length bigint")
 
@@ -66,7 +72,7 @@ def alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All 100-letter pieces of every document."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z]", "").alias("t"))
+    d = dealt(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z]", "").alias("t"))
     n = F.greatest(F.ceil(F.char_length("t") / PIECE), F.lit(1)).cast("int")
     d = d.select("doc_id", "t", F.explode(F.sequence(F.lit(0), n - 1)).alias("piece"))
     p = F.lower(F.substring(F.col("t"), F.col("piece") * PIECE + 1, F.lit(PIECE)))
