@@ -6,11 +6,16 @@ disjoint cover are equi-joins on (contig, bin)."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import stored
+
 BIN = 4096
 WIDE_BIN = 1_000_000
+BROADCAST_ROWS = 500_000  # a cover of at most so many intervals (12 MB) goes to every task
 
 
 def _bin(position: str, width: int) -> Column:
@@ -87,12 +92,94 @@ def weighted_below(df: DataFrame, index: DataFrame, position: Column, out: str,
     return d.withColumn(out, F.coalesce(F.col("_below"), F.lit(0)) + inside).drop("_x", "bin", "_below", "_spans")
 
 
-def overlap_bases(df: DataFrame, cover: DataFrame, out: str = "overlap", width: int = BIN) -> DataFrame:
-    """df with the bases of each interval that a disjoint cover covers."""
-    index = cover_index(cover, width=width)
-    d = weighted_below(df, index, F.col("start"), "_a", width)
-    d = weighted_below(d, index, F.col("stop"), "_b", width)
-    return d.withColumn(out, (F.col("_b") - F.col("_a")).cast("bigint")).drop("_a", "_b")
+def sums_below(points: DataFrame, events: DataFrame, values: list[str], width: int = WIDE_BIN) -> DataFrame:
+    """points (contig, pos, ...) with the sum of each value over the events (contig, pos, values) at
+    smaller positions of the contig.  Both meet in one ordered pass per position bin, and bins' totals
+    are carried over one row per bin; neither empty stretches nor pairs are ever made."""
+    extra = [c for c in points.columns if c not in ("contig", "pos")]
+    p = points.select("contig", "pos", F.lit(0).alias("_kind"), *(F.lit(0).cast("bigint").alias(f"_{v}") for v in values), *extra)
+    e = events.select("contig", "pos", F.lit(1).alias("_kind"), *(F.col(v).cast("bigint").alias(f"_{v}") for v in values))
+    totals = e.groupBy("contig", _bin("pos", width).alias("_bin")).agg(*(F.sum(f"_{v}").alias(f"_t_{v}") for v in values))
+    d = p.unionByName(e, allowMissingColumns=True).withColumn("_bin", _bin("pos", width))
+    inside = Window.partitionBy("contig", "_bin").orderBy("pos", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    d = d.select("contig", "pos", "_bin", "_kind", *extra, *(F.sum(f"_{v}").over(inside).alias(v) for v in values)).filter("_kind = 0")
+    # bins of points may hold no event, so what is carried is looked up for the union of both
+    wanted = points.select("contig", _bin("pos", width).alias("_bin")).distinct().join(totals, ["contig", "_bin"], "full_outer")
+    before = Window.partitionBy("contig").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    carried = wanted.select("contig", "_bin", *(F.coalesce(F.sum(f"_t_{v}").over(before), F.lit(0)).alias(f"_t_{v}") for v in values))
+    d = d.join(carried, ["contig", "_bin"])
+    return d.select("contig", "pos", *extra, *((F.col(v) + F.col(f"_t_{v}")).alias(v) for v in values))
+
+
+def touching(spans: DataFrame, reads: DataFrame, out: str = "n") -> DataFrame:
+    """spans (contig, start, stop, ...) with how many reads (contig, start, stop, weight n) share a base
+    with each: the reads that start before its stop, less those that stop at or before its start."""
+    ends = F.explode(F.array(F.struct(F.col("start").alias("pos"), F.col("n").alias("starts"), F.lit(0).cast("bigint").alias("stops")),
+                             F.struct(F.col("stop").alias("pos"), F.lit(0).cast("bigint").alias("starts"), F.col("n").alias("stops"))))
+    events = reads.filter("stop > start").select("contig", ends.alias("e")).groupBy("contig", F.col("e.pos").alias("pos")).agg(F.sum("e.starts").alias("starts"), F.sum("e.stops").alias("stops"))
+    s = spans.withColumn("_id", F.struct(*spans.columns))
+    # stops at or before start are the stops below start + 1
+    edges = F.explode(F.array(F.struct(F.col("stop").alias("pos"), F.lit(1).alias("sign")), F.struct((F.col("start") + 1).alias("pos"), F.lit(-1).alias("sign"))))
+    d = sums_below(s.filter("stop > start").select("contig", "_id", edges.alias("e")).select("contig", "e.pos", "_id", "e.sign"), events, ["starts", "stops"])
+    n = F.sum(F.when(F.col("sign") == 1, F.col("starts")).otherwise(-F.col("stops")))
+    return d.groupBy("_id").agg(n.alias(out)).select("_id.*", out)
+
+
+def covered(edges: DataFrame, reads: DataFrame, out: str = "covered") -> DataFrame:
+    """edges (contig, pos, ...) with the bases of reads (contig, start, stop, weight n) below pos."""
+    n, z = F.col("n").cast("bigint"), F.lit(0).cast("bigint")
+    event = lambda at, sign: F.struct(F.col(at).alias("pos"), (n * sign).alias("open"), (n * sign * F.col(at)).alias("weight"))
+    e = reads.filter("stop > start").select("contig", F.explode(F.array(event("start", 1), event("stop", -1))).alias("e"))
+    e = e.groupBy("contig", F.col("e.pos").alias("pos")).agg(F.sum("e.open").alias("open"), F.sum("e.weight").alias("weight"))
+    # each start below x adds x - start bases, each stop takes x - stop away
+    d = sums_below(edges, e, ["open", "weight"])
+    return d.withColumn(out, F.coalesce(F.col("open") * F.col("pos") - F.col("weight"), z)).drop("open", "weight")
+
+
+def overlap_bases(df: DataFrame, cover: DataFrame, out: str = "overlap", limit: int = BROADCAST_ROWS) -> DataFrame:
+    """df with the bases of each interval that a disjoint cover covers.  A cover of at most `limit`
+    intervals is sent to the tasks, which look both ends up by binary search; a larger one meets the
+    ends in order."""
+    cover = stored(cover.select("contig", "start", "stop"), "cover")
+    if cover.count() <= limit:
+        return df.withColumn(out, _cover_lookup(cover)("contig", "start", "stop"))
+    names = df.columns
+    d = df.withColumn("_row", F.struct(*names))
+    ends = F.explode(F.array(F.struct(F.col("start").alias("pos"), F.lit(-1).alias("sign")), F.struct(F.col("stop").alias("pos"), F.lit(1).alias("sign"))))
+    edges = d.withColumn("_uid", F.monotonically_increasing_id()).select("contig", "_row", "_uid", ends.alias("e")).select("contig", "e.pos", "e.sign", "_row", "_uid")
+    below = covered(edges, cover.withColumn("n", F.lit(1)), "_below")
+    return below.groupBy("_uid", "_row").agg(F.sum(F.col("sign") * F.col("_below")).alias(out)).select("_row.*", out)
+
+
+def _cover_lookup(cover: DataFrame):
+    rows = cover.toArrow()
+    held: dict[str, tuple] = {}
+    contig, start, stop = rows.column("contig").to_pandas().to_numpy(), rows.column("start").to_numpy(), rows.column("stop").to_numpy()
+    for c in set(contig.tolist()):
+        mine = np.flatnonzero(contig == c)
+        mine = mine[np.argsort(start[mine], kind="stable")]
+        s, e = start[mine], stop[mine]
+        held[c] = s, e, np.concatenate([[0], np.cumsum(e - s)])
+    shared = cover.sparkSession.sparkContext.broadcast(held)
+
+    def below(c: tuple, x: np.ndarray) -> np.ndarray:
+        s, e, total = c
+        at = np.searchsorted(s, x)  # intervals that start below x
+        return total[at] - np.where(at > 0, np.maximum(0, e[at - 1] - x), 0)
+
+    @F.arrow_udf("bigint")
+    def lookup(contig: pa.Array, start: pa.Array, stop: pa.Array) -> pa.Array:
+        names = contig.dictionary_encode()
+        which = names.indices.fill_null(-1).to_numpy(zero_copy_only=False)
+        a, b = (x.fill_null(0).to_numpy(zero_copy_only=False) for x in (start, stop))
+        found = np.zeros(len(which), np.int64)
+        for i, name in enumerate(names.dictionary.to_pylist()):
+            if name in shared.value:
+                mine = which == i
+                found[mine] = np.where(b[mine] > a[mine], below(shared.value[name], b[mine]) - below(shared.value[name], a[mine]), 0)
+        return pa.array(found)
+
+    return lookup
 
 
 def overlap_join(left: DataFrame, right: DataFrame, width: int = BIN) -> DataFrame:

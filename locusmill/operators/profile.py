@@ -8,6 +8,7 @@ from typing import Literal
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import stored
 from . import intervals
 from .fragments import flags_pass
 
@@ -24,6 +25,9 @@ class ProfileOptions:
     mode: Literal["reads", "depth"] = "reads"
     min_mapq: int = 0
     stranded: bool = True
+    extend: int = 0  # bases along the strand, for alignments that tell no fragment
+    fragments: bool = False  # proper pairs stand for their fragment
+    max_fragment: int = 0
 
     def __post_init__(self) -> None:
         if self.upstream < 0 or self.downstream < 0 or self.upstream + self.downstream < self.bins or self.bins < 1:
@@ -57,11 +61,19 @@ def windows(regions: DataFrame, contigs: DataFrame, o: ProfileOptions) -> DataFr
 
 
 def bin_bounds(b: Column, o: ProfileOptions) -> tuple[Column, Column]:
-    """First and last offset of a bin inside its window."""
+    """First offset of a bin inside its window, and the first one after it, by which depth is shared
+    out and bins are named."""
     part = lambda x: F.floor(F.lit(o.width) * x / o.bins).cast("bigint")
     return part(b), part(b + 1)
 
 
+def tally_bounds(b: Column, o: ProfileOptions) -> tuple[Column, Column]:
+    """The same for counting reads: offset x falls into bin x * bins div width, so a bin begins at the
+    first x with x * bins >= b * width."""
+    part = lambda x: F.ceil(F.lit(o.width) * x / o.bins).cast("bigint")
+    return part(b), part(b + 1)
+
+
 def bin_offset(b: Column, o: ProfileOptions) -> Column:
     lo, hi = bin_bounds(b, o)
     return (F.lit(-o.upstream) + F.floor((lo + hi) / 2)).cast("bigint")
@@ -74,22 +86,23 @@ def passing(alignments: DataFrame, o: ProfileOptions) -> DataFrame:
 
 def matrix(regions: DataFrame, alignments: DataFrame, contigs: DataFrame, o: ProfileOptions) -> DataFrame:
     """name, bin, bin_offset, value per region and bin of regions on known contigs.  Minus-strand
-    rows read along the strand."""
-    w = windows(regions, contigs, o).filter("not skipped")
-    reads = passing(alignments, o).filter("stop > start").groupBy("contig", "start", "stop").agg(F.count("*").alias("n"))
-    left = w.select("contig", F.col("w_start").alias("start"), F.col("w_stop").alias("stop"), "name", "strand")
-    hit = intervals.overlap_join(left, reads)
-    at = lambda x: F.floor((x - F.col("l_start")) * o.bins / o.width).cast("bigint")
-    first = F.greatest(at(F.greatest("r_start", "l_start")) - 1, F.lit(0).cast("bigint"))
-    last = F.least(at(F.least("r_stop", "l_stop")) + 1, F.lit(o.bins - 1).cast("bigint"))
-    hit = hit.withColumn("bin", F.explode(F.sequence(first, last)))
-    lo, hi = bin_bounds(F.col("bin"), o)
-    over = F.least(F.col("r_stop"), F.col("l_start") + hi) - F.greatest(F.col("r_start"), F.col("l_start") + lo)
-    hit = hit.withColumn("over", over).filter("over > 0")
-    value = F.sum("r_n").cast("double") if o.mode == "reads" else F.sum(F.col("over") * F.col("r_n")) / F.first(hi - lo)
-    found = hit.groupBy(F.col("l_name").alias("name"), "bin").agg(value.alias("value"))
-    grid = w.select("name", "strand").withColumn("bin", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(o.bins - 1).cast("bigint"))))
-    d = grid.join(found, ["name", "bin"], "left").withColumn("value", F.coalesce("value", F.lit(0.0)))
+    rows read along the strand.  A bin's value is a difference of running sums at its two ends, so
+    reads and regions are never paired.  Regions that share a name keep rows of their own."""
+    w = windows(regions, contigs, o).filter("not skipped").withColumn("_region", F.monotonically_increasing_id())
+    w = stored(w, "windows")  # numbered once
+    reads = passing(alignments, o).groupBy("contig", "start", "stop").agg(F.count("*").alias("n"))
+    every = F.sequence(F.lit(0).cast("bigint"), F.lit(o.bins - 1).cast("bigint"))
+    if o.mode == "reads":
+        lo, hi = tally_bounds(F.col("bin"), o)
+        spans = w.select("contig", "_region", "w_start", F.explode(every).alias("bin")).select("contig", (F.col("w_start") + lo).alias("start"), (F.col("w_start") + hi).alias("stop"), "_region", "bin")
+        found = intervals.touching(spans, reads, "value").select("_region", "bin", F.col("value").cast("double").alias("value"))
+    else:
+        lo, hi = bin_bounds(F.col("bin"), o)
+        ends = F.explode(F.array(F.struct((F.col("w_start") + lo).alias("pos"), F.lit(-1).alias("sign")), F.struct((F.col("w_start") + hi).alias("pos"), F.lit(1).alias("sign"))))
+        edges = w.select("contig", "_region", "w_start", F.explode(every).alias("bin")).select("contig", "_region", "bin", ends.alias("e")).select("contig", "e.pos", "e.sign", "_region", "bin")
+        bases = intervals.covered(edges, reads, "below").groupBy("_region", "bin").agg(F.sum(F.col("sign") * F.col("below")).alias("bases"))
+        found = bases.select("_region", "bin", F.when(hi > lo, F.col("bases") / (hi - lo)).otherwise(0.0).alias("value"))
+    d = found.join(w.select("_region", "name", "strand"), "_region")
     minus = (F.col("strand") == "-") if o.stranded else F.lit(False)
     d = d.withColumn("bin", F.when(minus, F.lit(o.bins - 1) - F.col("bin")).otherwise(F.col("bin")))
     return d.select("name", "bin", bin_offset(F.col("bin"), o).alias("bin_offset"), "value")
@@ -120,17 +133,31 @@ def top_regions(m: DataFrame, n: int) -> DataFrame:
     return row_stats(m).orderBy(F.desc("mean"), "name").limit(n)
 
 
+def placed(stats: DataFrame, buckets: int = 256) -> DataFrame:
+    """stats (name, mean, ...) with `place`, counted from 0 in descending order of mean, and `rows`.
+    Means are dealt into ranges cut at their quantiles; ranks run inside a range, and ranges' sizes are
+    added up over one row each."""
+    s = stored(stats, "row-stats")
+    cuts = s.select(F.percentile_approx("mean", [i / buckets for i in range(1, buckets)]).alias("c")).first()["c"] or []
+    bucket = F.aggregate(F.array(*(F.lit(float(c)) for c in sorted(set(cuts)))), F.lit(0), lambda a, c: a + (F.col("mean") >= c).cast("int")) if cuts else F.lit(0)
+    d = s.withColumn("_b", bucket)
+    sizes = d.groupBy("_b").agg(F.count("*").alias("_n"))
+    above = Window.orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("_b", F.coalesce(F.sum("_n").over(above), F.lit(0)).alias("_above"), F.sum("_n").over(Window.partitionBy()).alias("rows"))
+    inside = F.row_number().over(Window.partitionBy("_b").orderBy(F.desc("mean"), "name")) - 1
+    return d.withColumn("_own", inside).join(F.broadcast(sizes), "_b").withColumn("place", F.col("_own") + F.col("_above")).drop("_b", "_own", "_above")
+
+
 def top_share(m: DataFrame, share: float = 0.1) -> DataFrame:
     """The regions in the top share by mean, at least one."""
-    s = row_stats(m)
-    r = s.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("mean"), "name"))).crossJoin(s.agg(F.count("*").alias("rows")))
-    return r.filter(F.col("rank") <= F.greatest(F.lit(1), F.floor(F.col("rows") * share))).drop("rank", "rows")
+    r = placed(row_stats(m))
+    return r.filter(F.col("place") < F.greatest(F.lit(1), F.floor(F.col("rows") * share))).drop("place", "rows")
 
 
 def heatmap(m: DataFrame, bands: int) -> DataFrame:
     """Rows in descending order of mean, cut at rows * b / bands, averaged per band and bin."""
-    s = row_stats(m)
-    r = s.withColumn("place", F.row_number().over(Window.orderBy(F.desc("mean"), "name")) - 1).crossJoin(F.broadcast(s.agg(F.count("*").alias("rows"))))
+    m = stored(m, "matrix")
+    r = placed(row_stats(m))
     # the band b with rows * b / bands <= place < rows * (b + 1) / bands, in whole numbers
     band = F.floor(((F.col("place") + 1) * bands - 1) / F.col("rows"))
     return m.join(r.select("name", band.cast("bigint").alias("band")), "name").groupBy("band", "bin").agg(F.avg("value").alias("mean"))
@@ -138,24 +165,36 @@ def heatmap(m: DataFrame, bands: int) -> DataFrame:
 
 def count_reads(regions: DataFrame, alignments: DataFrame) -> DataFrame:
     """Alignments overlapping each region, regions without any included."""
-    hit = intervals.overlap_join(regions.select("contig", "start", "stop", "name"), alignments.filter("stop > start").groupBy("contig", "start", "stop").agg(F.count("*").alias("n")))
-    n = hit.groupBy(F.col("l_name").alias("name")).agg(F.sum("r_n").alias("n"))
-    return regions.select("name").join(n, "name", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    reads = alignments.groupBy("contig", "start", "stop").agg(F.count("*").alias("n"))
+    r = regions.select("contig", "start", "stop", "name")
+    found = intervals.touching(r.distinct(), reads, "_n")
+    return r.join(found, ["contig", "start", "stop", "name"], "left").select("name", F.coalesce("_n", F.lit(0)).alias("n"))
 
 
 # ----------------------------------------------------------------------------- alignments
 
 
-def alignment_spans(alignments: DataFrame, extend: int = 0, fragments: bool = True) -> DataFrame:
-    """What each alignment covers: the fragment, told once by its leftmost mate; else the aligned part
-    extended along the strand; else the aligned part."""
+def alignment_spans(alignments: DataFrame, extend: int = 0, fragments: bool = True, max_fragment: int = 0) -> DataFrame:
+    """What each alignment covers: the fragment, told once by its leftmost mate and at most
+    max_fragment long (0: any); else, with extend, that many bases along the strand; else the aligned
+    part."""
     reverse = F.col("flag").bitwiseAND(F.lit(16)) > 0
-    proper = (F.col("flag").bitwiseAND(F.lit(2)) > 0) & (F.col("tlen") != 0) if fragments else F.lit(False)
-    left = F.col("tlen") > 0
-    long_enough = F.col("stop") - F.col("start") >= extend
-    start = F.when(proper, F.col("start")).when(reverse & ~long_enough, F.greatest(F.lit(0), F.col("stop") - extend)).otherwise(F.col("start"))
-    stop = F.when(proper, F.col("start") + F.col("tlen")).when(~reverse & ~long_enough, F.col("start") + extend).otherwise(F.col("stop"))
-    return alignments.filter(~proper | left).withColumn("span_start", start).withColumn("span_stop", stop)
+    proper = (F.col("flag").bitwiseAND(F.lit(3)) == 3) & (F.col("tlen") != 0) if fragments else F.lit(False)
+    told = (F.col("tlen") > 0) & (F.lit(max_fragment <= 0) | (F.col("tlen") <= max_fragment))
+    start, stop = F.col("start"), F.col("stop")
+    end = F.greatest(F.col("start") + F.col("tlen"), stop)
+    first = F.when(proper, start).when(F.lit(extend > 0) & reverse, F.greatest(F.lit(0), stop - extend)).otherwise(start)
+    last = F.when(proper, end).when(F.lit(extend > 0) & ~reverse, start + extend).otherwise(stop)
+    return alignments.filter(~proper | told).withColumn("span_start", first).withColumn("span_stop", last)
+
+
+def signal(alignments: DataFrame, o: ProfileOptions) -> DataFrame:
+    """Alignments as the profile counts them: spans, or, for the depth of alignments as they are, the
+    stretches their CIGARs align."""
+    if o.fragments or o.extend:
+        d = alignment_spans(alignments, o.extend, o.fragments, o.max_fragment)
+        return d.withColumn("start", F.col("span_start")).withColumn("stop", F.col("span_stop")).drop("span_start", "span_stop")
+    return cigar_blocks(alignments) if o.mode == "depth" and "cigar" in alignments.columns else alignments
 
 
 def cigar_blocks(alignments: DataFrame) -> DataFrame:

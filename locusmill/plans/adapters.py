@@ -30,7 +30,7 @@ def contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem")
+    li = dealt(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_returnflag", "l_linestatus", "l_discount"))
     start = F.when(F.col("l_returnflag") == "R", 1500 + (F.col("l_partkey") % 40) * 2400 + F.col("l_orderkey") % 60).otherwise(
         (F.col("l_orderkey") * 7919 + F.col("l_partkey") * 104729 + F.col("l_linenumber") * 31) % 99000
     )
