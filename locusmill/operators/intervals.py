@@ -1,8 +1,8 @@
 """Interval algebra on (contig, start, stop), half open.
 
 A contig may hold a third of all rows, so nothing here is windowed by contig alone: ordered
-operations run in two levels (inside position bins, then over one row per bin), and lookups into a
-disjoint cover are equi-joins on (contig, bin)."""
+operations run in two levels: inside position bins, then over one row per bin.  Lookups into a set of
+intervals are running sums over both together, or binary searches where its size allows."""
 
 from __future__ import annotations
 
@@ -60,38 +60,6 @@ def prefix_cover(cover: DataFrame) -> DataFrame:
     return running(cover, ["start"], F.col("stop") - F.col("start"), "sum", "covered_before", inclusive=False).withColumn("covered_before", F.col("covered_before").cast("bigint"))
 
 
-def cover_index(cover: DataFrame, weight: Column | None = None, width: int = BIN) -> DataFrame:
-    """One row per (contig, bin) touched by a disjoint cover, up to the last one: the weighted bases
-    below the bin and the intervals inside it, at most `width` of them."""
-    w = F.lit(1) if weight is None else weight
-    d = cover.select("contig", "start", "stop", w.cast("bigint").alias("w"))
-    d = d.withColumn("bin", F.explode(F.sequence(_bin("start", width), F.floor((F.col("stop") - 1) / width).cast("bigint"))))
-    s, e = F.greatest("start", F.col("bin") * width), F.least("stop", (F.col("bin") + 1) * width)
-    d = d.select("contig", "bin", s.alias("s"), e.alias("e"), "w")
-    d = d.groupBy("contig", "bin").agg(F.sum((F.col("e") - F.col("s")) * F.col("w")).alias("inside"), F.collect_list(F.struct("s", "e", "w")).alias("spans"))
-    run = Window.partitionBy("contig").orderBy("bin")
-    d = d.withColumn("below", F.sum("inside").over(run) - F.col("inside")).withColumn("next", F.lead("bin").over(run))
-    return d.select("contig", "bin", "next", "below", "inside", "spans")
-
-
-def bins_of(contigs: DataFrame, width: int = BIN) -> DataFrame:
-    """All bins of the contigs, one beyond the end included."""
-    return contigs.select("contig", F.explode(F.sequence(F.lit(0), F.floor(F.col("contig_length") / width).cast("bigint") + 1)).alias("bin"))
-
-
-def weighted_below(df: DataFrame, index: DataFrame, position: Column, out: str, width: int = BIN) -> DataFrame:
-    """df with the weighted bases of the indexed cover below a position: one equi-join.  Bins the
-    cover does not touch take the nearest touched bin before them, found once per bin."""
-    d = df.withColumn("_x", position).withColumn("bin", F.floor(F.col("_x") / width).cast("bigint"))
-    # a touched bin also answers for the untouched ones up to the next touched one
-    last = d.groupBy("contig").agg(F.max("bin").alias("_last"))
-    gaps = index.join(last, "contig").select("contig", F.explode(F.sequence("bin", F.greatest("bin", F.coalesce(F.col("next") - 1, F.col("_last"))))).alias("at"), F.col("bin").alias("own"), "below", "inside", "spans")
-    answer = gaps.select("contig", F.col("at").alias("bin"), F.when(F.col("at") == F.col("own"), F.col("below")).otherwise(F.col("below") + F.col("inside")).alias("_below"), F.when(F.col("at") == F.col("own"), F.col("spans")).alias("_spans"))
-    d = d.join(answer, ["contig", "bin"], "left")
-    inside = F.aggregate(F.coalesce("_spans", F.array().cast("array<struct<s:bigint,e:bigint,w:bigint>>")), F.lit(0).cast("bigint"), lambda a, x: a + x["w"] * F.greatest(F.lit(0), F.least(x["e"], F.col("_x")) - x["s"]))
-    return d.withColumn(out, F.coalesce(F.col("_below"), F.lit(0)) + inside).drop("_x", "bin", "_below", "_spans")
-
-
 def sums_below(points: DataFrame, events: DataFrame, values: list[str], width: int = WIDE_BIN) -> DataFrame:
     """points (contig, pos, ...) with the sum of each value over the events (contig, pos, values) at
     smaller positions of the contig.  Both meet in one ordered pass per position bin, and bins' totals
@@ -199,3 +167,21 @@ def overlap_join(left: DataFrame, right: DataFrame, width: int = BIN) -> DataFra
 def tiles(df: DataFrame, width: int) -> DataFrame:
     """Rows with the tile that contains their start; tiles partition them exactly."""
     return df.withColumn("tile", _bin("start", width))
+
+
+def starting_in(df: DataFrame, regions: list[tuple[str, int, int]]) -> DataFrame:
+    """Rows of each region (contig, start, stop) in turn, a row belonging to the region that holds its
+    start; regions that overlap repeat rows.  The filters reach the scan."""
+    if not regions:
+        return df.filter(F.lit(False))
+    part = lambda r: df.filter((F.col("contig") == r[0]) & (F.col("start") >= r[1]) & (F.col("start") < r[2]))
+    ordered = sorted(regions)
+    if all(a[0] != b[0] or a[2] <= b[1] for a, b in zip(ordered, ordered[1:], strict=False)):  # disjoint: one scan
+        inside = F.lit(False)
+        for c, a, b in ordered:
+            inside = inside | ((F.col("contig") == c) & (F.col("start") >= a) & (F.col("start") < b))
+        return df.filter(inside)
+    out = part(regions[0])
+    for r in regions[1:]:
+        out = out.unionByName(part(r))
+    return out

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import stored
 from . import intervals
 
 
@@ -12,11 +13,22 @@ def pearson(df: DataFrame, x: str, y: str) -> DataFrame:
     return df.agg(F.corr(x, y).alias("pearson"))
 
 
+def _levels(df: DataFrame, column: str, buckets: int = 256) -> DataFrame:
+    """Distinct values with how often each occurs (_n) and how many rows lie below it (_before).  Values
+    are dealt into ranges cut at quantiles, ordered inside them, and ranges' sizes added up."""
+    c = stored(df.groupBy(column).agg(F.count("*").alias("_n")), "levels")
+    cuts = sorted(set(c.select(F.percentile_approx(F.col(column).cast("double"), [i / buckets for i in range(1, buckets)]).alias("c")).first()["c"] or []))
+    bucket = F.aggregate(F.array(*(F.lit(float(x)) for x in cuts)), F.lit(0), lambda a, x: a + (F.col(column).cast("double") >= x).cast("int")) if cuts else F.lit(0)
+    c = c.withColumn("_b", bucket)
+    sizes = c.groupBy("_b").agg(F.sum("_n").alias("_s"))
+    sizes = sizes.select("_b", F.coalesce(F.sum("_s").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_under"))
+    inside = F.sum("_n").over(Window.partitionBy("_b").orderBy(column)) - F.col("_n")
+    return c.withColumn("_own", inside).join(F.broadcast(sizes), "_b").select(column, "_n", (F.col("_own") + F.col("_under")).alias("_before"))
+
+
 def average_ranks(df: DataFrame, column: str, out: str) -> DataFrame:
     """Rank with ties averaged, through counts per distinct value rather than an order of all rows."""
-    c = df.groupBy(column).agg(F.count("*").alias("_n"))
-    c = c.withColumn("_before", F.sum("_n").over(Window.orderBy(column)) - F.col("_n"))
-    return df.join(c.select(column, (F.col("_before") + (F.col("_n") + 1) / 2).alias(out)), column)
+    return df.join(_levels(df, column).select(column, (F.col("_before") + (F.col("_n") + 1) / 2).alias(out)), column)
 
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
@@ -51,16 +63,35 @@ def interval_jaccard(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def match_peaks(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Best partner of each left peak by intersection over union; a right peak serves once, the left
-    peak that overlaps it best."""
+    """Best partner of each left peak by intersection over union, the earliest of equals; a right peak
+    serves once, the first left peak in genome order that wants it, and the others stay alone."""
     p = intervals.overlap_join(a.select("contig", "start", "stop", "name"), b.select("contig", "start", "stop", "name"))
     inter = F.least("l_stop", "r_stop") - F.greatest("l_start", "r_start")
     iou = inter / (F.greatest("l_stop", "r_stop") - F.least("l_start", "r_start"))
-    p = p.withColumn("iou", iou)
-    left = Window.partitionBy("l_name").orderBy(F.desc("iou"), "r_name")
-    p = p.withColumn("_l", F.row_number().over(left)).filter("_l = 1")
-    right = Window.partitionBy("r_name").orderBy(F.desc("iou"), "l_name")
-    return p.withColumn("_r", F.row_number().over(right)).filter("_r = 1").select(F.col("l_name").alias("a_name"), F.col("r_name").alias("b_name"), "iou")
+    # the best partner is an aggregate, so a peak with very many partners is no single task's work
+    want = F.struct((-iou).alias("worse"), "r_start", "r_stop", "r_name")
+    left = p.groupBy("l_contig", "l_start", "l_stop", "l_name").agg(F.min(want).alias("w"))
+    first = F.struct("l_start", "l_stop", "l_name", "w.worse")
+    right = left.groupBy("l_contig", "w.r_start", "w.r_stop", "w.r_name").agg(F.min(first).alias("f"))
+    return right.select(F.col("f.l_name").alias("a_name"), F.col("r_name").alias("b_name"), (-F.col("f.worse")).alias("iou"))
+
+
+def relative_error(observed: Column, expected: Column) -> Column:
+    """|observed - expected| / |expected|; two zeros agree, anything else over zero and numbers that are
+    not finite have none."""
+    finite = lambda c: c.isNotNull() & ~F.isnan(c.cast("double")) & (F.abs(c.cast("double")) != float("inf"))
+    over = F.when(expected != 0, F.abs(observed - expected) / F.abs(expected)).when(observed == 0, 0.0)
+    return F.when(finite(observed) & finite(expected), over)
+
+
+def row_agreement(df: DataFrame, row: str, x: str, y: str) -> DataFrame:
+    """Pearson's r of x and y inside each row; of the rows that have one: how many, the median, the tenth
+    percentile (by place) and the share above 0.95.  One row; ordered are rounded values of r."""
+    r = df.groupBy(row).agg(F.corr(x, y).alias("r")).filter(F.col("r").isNotNull() & ~F.isnan("r"))
+    h = r.groupBy(F.round("r", 6).alias("v")).agg(F.count("*").alias("n"))  # at most two million values
+    h = h.select("v", "n", F.sum("n").over(Window.orderBy("v")).alias("cum"), F.sum("n").over(Window.partitionBy()).alias("rows"))
+    at = lambda part: F.min(F.when(F.col("cum") > F.floor(F.col("rows") / part), F.col("v")))
+    return h.agg(F.max("rows").alias("rows"), at(2).alias("median_r"), at(10).alias("p10_r"), F.round(F.sum(F.when(F.col("v") > 0.95, F.col("n")).otherwise(0)) / F.max("rows"), 6).alias("above_95"))
 
 
 def least_squares_scale(df: DataFrame, x: str, y: str) -> DataFrame:

@@ -1,14 +1,17 @@
 """Peak calling: pileup, local background, Poisson scores, islands, summits, false discovery control.
 
-Per-base work happens only where fragments are.  The background around a base is a difference of two
-prefix values, so no sliding frame is ever evaluated; prefix values come from an equi-join on small
-position bins."""
+Per-base work is done in stretches of STRETCH bases, one task each: the runs of a stretch and of its
+surroundings become a depth array, the background around a base is a difference of two of its prefix
+sums, and what leaves the task are the bases asked for.  Only runs are ever shuffled."""
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,7 +20,8 @@ from ..storage import stored
 from . import intervals
 
 SCALES = (1000, 5000, 10000)
-PREFIX_BIN = 64
+STRETCH = 1 << 17
+REACH = max(SCALES) // 2
 MAX_FRAGMENT = 4096
 
 
@@ -57,50 +61,59 @@ def pileup_runs(fragments: DataFrame) -> DataFrame:
     return d.groupBy("contig", "island", "depth").agg(F.min("start").alias("start"), F.max("stop").alias("stop")).select("contig", "start", "stop", "depth")
 
 
-def bases(pileup: DataFrame) -> DataFrame:
-    """(contig, pos, k): one row per covered base."""
-    return pileup.select("contig", F.explode(F.sequence("start", F.col("stop") - 1)).alias("pos"), F.col("depth").alias("k"))
-
-
-def background(points: DataFrame, pileup: DataFrame, contigs: DataFrame) -> DataFrame:
-    """points(contig, pos, ...) with s_<scale> and w_<scale>: coverage sum and width of the window
-    [pos - scale / 2, pos + scale / 2), cut at the contig's ends.  Neighbouring bases share prefix
-    positions, so the prefix is evaluated once per distinct (contig, position)."""
-    index = intervals.cover_index(pileup, F.col("depth"), PREFIX_BIN)
-    p = points.join(contigs, "contig")
-    edge = lambda h: (F.greatest(F.lit(0), F.col("pos") - h), F.least("contig_length", F.col("pos") + h))
-    edges = [e for s in SCALES for e in edge(s // 2)]
-    wanted = p.select("contig", F.explode(F.array(*edges)).alias("x")).distinct()
-    prefix = intervals.weighted_below(wanted, index, F.col("x"), "below", PREFIX_BIN).select("contig", "x", "below")
-    prefix = stored(prefix, "prefix")  # six joins read it
-    for s in SCALES:
-        low, high = edge(s // 2)
-        p = p.withColumn(f"w_{s}", high - low).withColumn("_l", low).withColumn("_h", high)
-        for side in ("_l", "_h"):
-            p = p.join(prefix.select("contig", F.col("x").alias(side), F.col("below").alias(f"{side}v")), ["contig", side], "left")
-        p = p.withColumn(f"s_{s}", F.coalesce("_hv", F.lit(0)) - F.coalesce("_lv", F.lit(0))).drop("_l", "_h", "_lv", "_hv")
-    return p.drop("contig_length")
-
-
 def genome_rate(pileup: DataFrame, contigs: DataFrame) -> DataFrame:
     total = pileup.agg(F.coalesce(F.sum((F.col("stop") - F.col("start")) * F.col("depth")), F.lit(0)).alias("total"))
     return total.crossJoin(contigs.agg(F.sum("contig_length").alias("size"))).select((F.col("total") / F.col("size")).alias("lambda_bg"))  # one row each
 
 
-def local_lambda(points: DataFrame, pileup: DataFrame, contigs: DataFrame) -> DataFrame:
-    """Background plus `lam`: the largest of the genome rate and the three local rates."""
-    d = stored(background(points, pileup, contigs), "background").crossJoin(F.broadcast(genome_rate(pileup, contigs)))  # one row
-    return d.withColumn("lam", F.greatest("lambda_bg", *(F.col(f"s_{s}") / F.col(f"w_{s}") for s in SCALES)))
-
-
-def scored(d: DataFrame, cutoff: float = 0.0) -> DataFrame:
-    """Adds `score`.  Distinct (k, lam) pairs are scored once and joined back; bases below what any
-    cutoff above log10(2) could pass are left out first (the median of a Poisson variable is above
-    lam - ln 2)."""
-    if cutoff > 0.30103:
-        d = d.filter(F.col("k") > F.col("lam") - 0.6931471805599453)
-    pairs = d.select("k", "lam").distinct()
-    return d.join(pairs.withColumn("score", poisson.score(F.col("k"), F.col("lam"))), ["k", "lam"])
+_BASE = ", ".join(["contig string", "pos bigint", "k bigint", *(f"{x}_{s} bigint" for s in SCALES for x in "sw"), "lam double", "score double"])
+
+
+def _base_scan(rate: float, cutoff: float | None) -> Callable[[pa.Table], pa.Table]:
+    names = [c.split()[0] for c in _BASE.split(", ")]
+
+    def scan(table: pa.Table) -> pa.Table:
+        contig, stretch, length = (table.column(c)[0].as_py() for c in ("contig", "stretch", "contig_length"))
+        low = stretch * STRETCH - REACH
+        size = STRETCH + 2 * REACH
+        start, stop, depth = (table.column(c).to_numpy() for c in ("start", "stop", "depth"))
+        step = np.zeros(size + 1, np.int64)
+        np.add.at(step, np.clip(start - low, 0, size), depth)
+        np.add.at(step, np.clip(stop - low, 0, size), -depth)
+        depth = np.cumsum(step[:-1])
+        below = np.concatenate([[0], np.cumsum(depth)])
+        last = min(STRETCH, length - stretch * STRETCH)
+        at = np.flatnonzero(depth[REACH : REACH + max(0, last)]) + REACH
+        pos, k = at + low, depth[at]
+        made, lam = [], np.full(len(at), rate)
+        for s in SCALES:
+            a, b = np.maximum(0, pos - s // 2), np.minimum(length, pos + s // 2)
+            made += [below[b - low] - below[a - low], b - a]
+            lam = np.maximum(lam, made[-2] / made[-1])
+        keep = np.arange(len(at))
+        score = np.full(len(at), np.nan)
+        if cutoff is not None:
+            if cutoff > 0.30103:  # the median of a Poisson variable is above lam - ln 2
+                keep = keep[k > lam - 0.6931471805599453]
+            # nor can a base pass that the bound keeps below the cutoff as a float
+            keep = keep[poisson.bounds(k[keep], lam[keep]) >= cutoff - 1e-3]
+            score[keep] = poisson.scores(k[keep], lam[keep])
+        columns = [np.full(len(keep), contig, object), *(x[keep] for x in (pos, k, *made, lam, score))]
+        return pa.table([pa.array(x) if i else pa.array(x, pa.string()) for i, x in enumerate(columns)], names=names)
+
+    return scan
+
+
+def base_table(pileup: DataFrame, contigs: DataFrame, cutoff: float | None = None) -> DataFrame:
+    """(contig, pos, k, s_<scale>, w_<scale>, lam, score) of covered bases: depth, coverage sum and width
+    of the windows [pos - scale / 2, pos + scale / 2) cut at the contig's ends, and the largest of the
+    genome rate and the three local rates.  With a cutoff, bases that could reach it are scored and the
+    others left out; a cutoff of 0 scores all.  Without one score is NaN."""
+    rate = genome_rate(pileup, contigs).first()["lambda_bg"] or 0.0  # one number
+    first = F.greatest(F.lit(0), F.floor((F.col("start") - REACH) / STRETCH)).cast("bigint")
+    last = F.floor((F.col("stop") - 1 + REACH) / STRETCH).cast("bigint")
+    d = pileup.join(contigs, "contig").withColumn("stretch", F.explode(F.sequence(first, last)))
+    return d.groupBy("contig", "stretch").applyInArrow(_base_scan(rate, cutoff), _BASE)
 
 
 def candidates(d: DataFrame, o: PeakOptions) -> DataFrame:
@@ -108,6 +121,7 @@ def candidates(d: DataFrame, o: PeakOptions) -> DataFrame:
     max(2, max_gap + 1) apart; scores are compared as floats; the summit is the middle of the first
     stretch of adjacent bases that hold the maximum."""
     d = d.withColumn("score", F.col("score").cast("float")).filter(F.col("score") >= F.lit(o.cutoff).cast("float"))
+    d = stored(d, "passing")
     d = intervals.running(d, ["pos"], F.col("pos"), "max", "_before", position="pos", inclusive=False)
     d = stored(d, "above-cutoff")
     fresh = F.when(F.col("pos") - F.col("_before") <= max(2, o.max_gap + 1), 0).otherwise(1)
@@ -141,7 +155,7 @@ def call(fragments: DataFrame, contigs: DataFrame, o: PeakOptions = PeakOptions(
     """All candidates with q values."""
     f = fragments.filter((F.col("stop") - F.col("start")).between(1, MAX_FRAGMENT))
     pileup = stored(runs(f), "pileup")
-    d = stored(scored(local_lambda(bases(pileup), pileup, contigs), o.cutoff), "scores")
+    d = base_table(pileup, contigs, o.cutoff).select("contig", "pos", "k", "lam", "score")
     return benjamini_hochberg(stored(candidates(d, o), "candidates"))
 
 

@@ -182,12 +182,12 @@ def _(s, d):
 @_add(
     "overlap_all",
     """SELECT x.name AS l_name, y.name AS r_name, least(x.stop, y.stop) - greatest(x.start, y.start) AS bases FROM peaks_bed x JOIN peaks_bed y
-    ON x.contig = y.contig AND x.start < y.stop AND y.start < x.stop WHERE x.strand = '+' AND y.strand = '-'""",
+    ON x.contig = y.contig AND x.start < y.stop AND y.start < x.stop WHERE x.name < y.name""",
     "peaks_bed",
 )
 def _(s, d):
     p = a.peaks_bed(s, d)
-    return intervals.overlap_join(p.filter("strand = '+'"), p.filter("strand = '-'")).select("l_name", "r_name", (F.least("l_stop", "r_stop") - F.greatest("l_start", "r_start")).alias("bases"))
+    return intervals.overlap_join(p, p).filter("l_name < r_name").select("l_name", "r_name", (F.least("l_stop", "r_stop") - F.greatest("l_start", "r_start")).alias("bases"))
 
 
 @_add(
@@ -240,9 +240,8 @@ _CANDIDATES = _SCORED + """,
 _O = peaks.PeakOptions()
 
 
-def _points(s, d):
-    p = stored(peaks.runs(a.fragments(s, d)), "pileup")
-    return p, peaks.bases(p)
+def _pileup(s, d):
+    return stored(peaks.runs(a.fragments(s, d)), "pileup")
 
 
 @_add(
@@ -258,22 +257,26 @@ def _(s, d):
 
 @_add("background_sums", f"WITH {_DENSE} SELECT contig, pos, k, s_1000, w_1000, s_5000, w_5000, s_10000, w_10000 FROM bg", "fragments", "contigs")
 def _(s, d):
-    p, b = _points(s, d)
-    r = peaks.background(b, p, a.contigs(s, d))
-    return r.select("contig", "pos", "k", *(F.col(f"{x}_{n}").cast("bigint").alias(f"{x}_{n}") for n in peaks.SCALES for x in "sw"))
+    return peaks.base_table(_pileup(s, d), a.contigs(s, d)).drop("lam", "score")
 
 
 @_add("local_lambda", f"WITH {_DENSE} SELECT contig, pos, k, round(lam, 6) AS lam FROM lm", "fragments", "contigs")
 def _(s, d):
-    p, b = _points(s, d)
-    return peaks.local_lambda(b, p, a.contigs(s, d)).select("contig", "pos", "k", F.round("lam", 6).alias("lam"))
+    return peaks.base_table(_pileup(s, d), a.contigs(s, d)).select("contig", "pos", "k", F.round("lam", 6).alias("lam"))
 
 
 @_add("poisson_scores", f"WITH {_SCORED} SELECT k, round(lam, 6) AS lam, round(score, 4) AS score FROM sp", "fragments", "contigs")
 def _(s, d):
-    p, b = _points(s, d)
-    r = peaks.scored(peaks.local_lambda(b, p, a.contigs(s, d)), _O.cutoff)
-    return r.select("k", "lam", "score").distinct().select("k", F.round("lam", 6).alias("lam"), F.round("score", 4).alias("score"))
+    r = peaks.base_table(_pileup(s, d), a.contigs(s, d), 0.0)
+    return r.filter(F.col("k") > F.col("lam") - 0.6931471805599453).select("k", "lam", "score").distinct().select("k", F.round("lam", 6).alias("lam"), F.round("score", 4).alias("score"))
+
+
+@_add("pmf_bounds", f"WITH {_DENSE} SELECT DISTINCT k, round(lam, 6) AS lam, round((lam - k * ln(lam) + lgamma(k + 1)) / ln(10), 4) AS bound FROM lm", "fragments", "contigs")
+def _(s, d):
+    from ..functions import poisson
+
+    pairs = peaks.base_table(_pileup(s, d), a.contigs(s, d)).select("k", "lam").distinct()
+    return pairs.select("k", F.round("lam", 6).alias("lam"), F.round(poisson.pmf_bound(F.col("k"), F.col("lam")), 4).alias("bound")).distinct()
 
 
 @_add("candidate_peaks", f"WITH {_CANDIDATES} SELECT contig, start, stop, summit, round(CAST(ss AS DOUBLE), 4) AS summit_score, ts AS total_signal FROM cand", "fragments", "contigs")
@@ -329,6 +332,18 @@ def _(s, d):
     return _matrix(s, d)
 
 
+_UNEVEN = profile.ProfileOptions(bins=7)
+_REFERENCE_BINS = """w AS (SELECT name, contig, strand, CASE WHEN strand = '-' THEN stop ELSE start END - 1000 AS ws FROM peaks_bed JOIN contigs USING (contig)),
+  al AS (SELECT contig, greatest(start, 0) AS start, stop, count(*) AS n FROM alignments WHERE flag & 3844 = 0 AND stop > start GROUP BY 1, 2, 3),
+  h AS (SELECT name, n, (greatest(start, ws) - ws) * 7 // 2000 AS b0, (least(stop, ws + 2000) - 1 - ws) * 7 // 2000 AS b1 FROM w JOIN al ON al.contig = w.contig AND al.start < ws + 2000 AND ws < al.stop),
+  v AS (SELECT name, b, CAST(sum(n) AS DOUBLE) AS value FROM (SELECT name, n, unnest(range(b0, b1 + 1)) AS b FROM h) GROUP BY 1, 2)"""
+
+
+@_add("profile_uneven_bins", f"WITH {_REFERENCE_BINS} SELECT w.name, CASE WHEN strand = '-' THEN 6 - t.b ELSE t.b END AS bin, coalesce(value, 0) AS value FROM w CROSS JOIN range(0, 7) t(b) LEFT JOIN v ON v.name = w.name AND v.b = t.b", *_PV)
+def _(s, d):
+    return _matrix(s, d, _UNEVEN).select("name", "bin", "value")
+
+
 @_add("profile_depth", f"WITH {_DEPTH} SELECT name, bin, -1000 + bin * 100 + 50 AS bin_offset, round(value, 6) AS value FROM m", *_PV)
 def _(s, d):
     return _matrix(s, d, profile.ProfileOptions(mode="depth")).withColumn("value", F.round("value", 6))
@@ -572,16 +587,32 @@ _SHIFTED = "pb AS (SELECT contig, start + 40 AS start, stop + 40 AS stop, 'q' ||
 
 @_add(
     "peak_matching",
-    f"""WITH {_SHIFTED}, p AS (SELECT x.name AS a_name, y.name AS b_name, (least(x.stop, y.stop) - greatest(x.start, y.start)) / (greatest(x.stop, y.stop) - least(x.start, y.start)) AS iou
+    f"""WITH {_SHIFTED}, p AS (SELECT x.contig, x.start AS xs, x.stop AS xe, x.name AS a_name, y.start AS ys, y.stop AS ye, y.name AS b_name,
+      (least(x.stop, y.stop) - greatest(x.start, y.start)) / (greatest(x.stop, y.stop) - least(x.start, y.start)) AS iou
       FROM peaks_bed x JOIN pb y ON x.contig = y.contig AND x.start < y.stop AND y.start < x.stop),
-    l AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY a_name ORDER BY iou DESC, b_name) = 1)
-    SELECT a_name, b_name, round(iou, 6) AS iou FROM l QUALIFY row_number() OVER (PARTITION BY b_name ORDER BY iou DESC, a_name) = 1""",
+    l AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY contig, xs, xe, a_name ORDER BY iou DESC, ys, ye, b_name) = 1)
+    SELECT a_name, b_name, round(iou, 6) AS iou FROM l QUALIFY row_number() OVER (PARTITION BY contig, ys, ye, b_name ORDER BY xs, xe, a_name) = 1""",
     "peaks_bed",
 )
 def _(s, d):
     return metrics.match_peaks(a.peaks_bed(s, d), _shifted(s, d)).withColumn("iou", F.round("iou", 6))
 
 
+@_add("relative_errors", """SELECT c_custkey, CASE WHEN c_acctbal <> 0 THEN round(abs(c_nationkey * 100 - c_acctbal) / abs(c_acctbal), 6) WHEN c_nationkey = 0 THEN 0 END AS error FROM customer""")
+def _(s, d):
+    return a.table(s, d, "customer").select("c_custkey", F.round(metrics.relative_error(F.col("c_nationkey") * 100, F.col("c_acctbal")), 6).alias("error"))
+
+
+@_add(
+    "row_agreement",
+    """WITH r AS (SELECT l_partkey, corr(l_quantity, l_extendedprice) AS r FROM lineitem GROUP BY 1), v AS (SELECT round(r, 6) AS v FROM r WHERE r IS NOT NULL AND NOT isnan(r)),
+    o AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS p, count(*) OVER () AS n FROM v)
+    SELECT any_value(n) AS rows, max(v) FILTER (WHERE p = n // 2) AS median_r, max(v) FILTER (WHERE p = n // 10) AS p10_r, round(count(*) FILTER (WHERE v > 0.95) / any_value(n), 6) AS above_95 FROM o""",
+)
+def _(s, d):
+    return metrics.row_agreement(a.table(s, d, "lineitem"), "l_partkey", "l_quantity", "l_extendedprice")
+
+
 @_add(
     "interval_jaccard",
     f"""WITH {_SHIFTED}, mb AS (SELECT contig, min(start) AS start, max(stop) AS stop FROM (SELECT *, sum(CASE WHEN start <= before THEN 0 ELSE 1 END) OVER (PARTITION BY contig ORDER BY start, stop ROWS UNBOUNDED PRECEDING) AS island
@@ -665,10 +696,11 @@ def _(s, d):
     return binary.mates(pair).select(F.col("id").cast("bigint").alias("rec_idx"), "seq_1", "seq_2")
 
 
-@_add("quality_report", f"SELECT least(q, 30) AS q, count(*) AS n FROM (SELECT CAST(unnest({_Q}) AS INTEGER) AS q FROM reads) GROUP BY 1", "reads")
+@_add("quality_report", f"SELECT least(q, 63) AS q, count(*) AS n FROM (SELECT CAST(unnest({_Q}) AS INTEGER) + 30 AS q FROM reads) GROUP BY 1", "reads")
 def _(s, d):
-    h = reads.quality_histogram(a.reads(s, d), fold=True)  # folds at 63; these qualities end at 40
-    return h.groupBy(F.least("q", F.lit(30)).alias("q")).agg(F.sum("n").alias("n"))
+    # qualities 30 higher than the view's, so that some lie above the fold
+    high = a.reads(s, d).withColumn("qual", F.translate("qual", "".join(map(chr, range(33, 97))), "".join(map(chr, range(63, 127)))))
+    return reads.quality_histogram(high, fold=True)
 
 
 @_add("csr_validation", "SELECT l_suppkey AS row FROM (SELECT l_suppkey, l_partkey, count(*) AS n FROM lineitem GROUP BY 1, 2) GROUP BY 1 HAVING max(n) > 1")
@@ -699,17 +731,29 @@ def _(s, d):
     return vectors.distances(vectors.knn_sparse(a.counts(s, d), _K)).withColumn("distance", F.round("distance", 5))
 
 
+_KNN5 = f"""{_UNIT}, z AS (SELECT x.id AS src, y.id AS dst, CAST(list_cosine_similarity(x.v, y.v) AS FLOAT) AS sim FROM un x JOIN un y ON x.id <> y.id),
+    k AS (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY sim DESC, dst) AS r FROM z)"""
+
+
 @_add(
     "knn_recall",
-    f"""WITH {_UNIT}, z AS (SELECT x.id AS src, y.id AS dst, CAST(list_cosine_similarity(x.v, y.v) AS FLOAT) AS sim FROM un x JOIN un y ON x.id <> y.id),
-    k AS (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY sim DESC, dst) AS r FROM z), b AS (SELECT src, count(*) FILTER (WHERE r <= 3) AS hit, count(*) AS n FROM k WHERE r <= {_K} GROUP BY 1)
+    f"""WITH {_KNN5}, b AS (SELECT src, count(*) FILTER (WHERE r <= 1 + src % 5) AS hit, count(*) AS n FROM k WHERE r <= {_K} GROUP BY 1)
     SELECT round(sum(hit) / sum(n), 6) AS recall, round(avg(hit / n), 6) AS jaccard FROM b""",
     "cells",
 )
 def _(s, d):
     c = a.cells(s, d)
     exact = vectors.knn(c, c, _K)
-    return vectors.recall(exact.filter("rank <= 3"), exact).select(F.round("recall", 6).alias("recall"), F.round("jaccard", 6).alias("jaccard"))
+    return vectors.recall(exact.filter("rank <= 1 + src % 5"), exact).select(F.round("recall", 6).alias("recall"), F.round("jaccard", 6).alias("jaccard"))
+
+
+@_add("knn_index_recall", f"WITH {_KNN5} SELECT count(*) AS wanted, TRUE AS recall_reached FROM k WHERE r <= {_K}", "cells")
+def _(s, d):
+    """The inverted-file index against the exact product: at least 0.9 of the neighbours."""
+    c = a.cells(s, d)
+    exact, found = vectors.knn(c, c, _K), vectors.knn_cells(c, c, _K)
+    hit = exact.join(found.select("src", "dst", F.lit(1).alias("_f")), ["src", "dst"], "left")
+    return hit.agg(F.count("*").alias("wanted"), (F.count("_f") / F.count("*") >= 0.9).alias("recall_reached"))
 
 
 @_add(
@@ -722,10 +766,11 @@ def _(s, d):
     return r.select(*(F.round(c, 4).alias(c) for c in r.columns))
 
 
-@_add("region_union", "SELECT contig, CAST(sum(n) AS BIGINT) AS n FROM (SELECT contig, count(*) AS n FROM fragments WHERE start < 50000 GROUP BY 1 UNION ALL SELECT contig, count(*) FROM fragments WHERE start >= 50000 GROUP BY 1) GROUP BY 1", "fragments")
+@_add("region_union", "SELECT contig, count(*) AS n, CAST(sum(stop - start) AS BIGINT) AS bases FROM fragments WHERE start >= 1000 AND start < 30000 OR start >= 60000 AND start < 90000 AND contig <> 'chr2' GROUP BY 1", "fragments")
 def _(s, d):
-    f = a.fragments(s, d)
-    return f.filter("start < 50000").unionByName(f.filter("start >= 50000")).groupBy("contig").agg(F.count("*").alias("n"))
+    regions = [(c, 1000, 30_000) for c in a.CONTIGS] + [(c, 60_000, 90_000) for c in a.CONTIGS if c != "chr2"]
+    found = intervals.starting_in(a.fragments(s, d), regions)
+    return found.groupBy("contig").agg(F.count("*").alias("n"), F.sum(F.col("stop") - F.col("start")).alias("bases"))
 
 
 def queries() -> dict[str, Query]:

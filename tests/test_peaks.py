@@ -36,7 +36,7 @@ def test_pileup_against_counts(spark):
 def test_background_windows_are_cut_at_the_ends(spark):
     contigs = spark.createDataFrame([("c", 20000)], "contig string, contig_length bigint")
     pile = peaks.runs(spark.createDataFrame([("c", 100, 101), ("c", 19999, 20000)], "contig string, start bigint, stop bigint"))
-    got = {r["pos"]: r for r in peaks.background(peaks.bases(pile), pile, contigs).collect()}
+    got = {r["pos"]: r for r in peaks.base_table(pile, contigs).collect()}
     assert [got[100][f"w_{s}"] for s in peaks.SCALES] == [600, 2600, 5100]
     assert (got[19999]["w_1000"], got[19999]["w_10000"]) == (501, 5001)
     assert got[100]["s_1000"] == 1
