@@ -45,12 +45,17 @@ def kept(fragments: DataFrame, f: FragmentFilter = FragmentFilter()) -> DataFram
     return fragments.filter(drop_reason(f) == "kept")
 
 
+def copies(fragments: DataFrame) -> Column:
+    """What a record stands for: its copy count where the source carries one (column n), else 1."""
+    return F.col("n").cast("bigint") if "n" in fragments.columns else F.lit(1).cast("bigint")
+
+
 def drop_reasons(fragments: DataFrame, f: FragmentFilter = FragmentFilter()) -> DataFrame:
-    return fragments.groupBy(drop_reason(f).alias("reason")).agg(F.count("*").alias("n"))
+    return fragments.groupBy(drop_reason(f).alias("reason")).agg(F.sum(copies(fragments)).alias("n"))
 
 
 def size_histogram(fragments: DataFrame) -> DataFrame:
-    return fragments.groupBy((F.col("stop") - F.col("start")).alias("length")).agg(F.count("*").alias("n"))
+    return fragments.groupBy((F.col("stop") - F.col("start")).alias("length")).agg(F.sum(copies(fragments)).alias("n"))
 
 
 def nearest_rank(histogram: DataFrame, value: str, fractions: dict[str, float], cap: int | None = None) -> DataFrame:
@@ -81,7 +86,7 @@ KEY = ("contig", "start", "stop", "reverse")
 
 def duplicate_keys(fragments: DataFrame) -> DataFrame:
     """Key, copies: the first of a key's copies is kept, the others are duplicates."""
-    return fragments.groupBy(*KEY).agg(F.count("*").alias("copies"))
+    return fragments.groupBy(*KEY).agg(F.sum(copies(fragments)).alias("copies"))
 
 
 def mark_duplicates(fragments: DataFrame, order: list[str]) -> DataFrame:

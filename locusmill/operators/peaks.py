@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from ..functions import poisson
 from ..storage import stored
 from . import intervals
+from .fragments import flags_pass, out_of_order
 
 SCALES = (1000, 5000, 10000)
 STRETCH = 1 << 17
@@ -151,6 +152,33 @@ def benjamini_hochberg(peaks: DataFrame, order: tuple[str, ...] = ("contig", "st
     return peaks.join(q.select("summit_score", "q"), "summit_score")
 
 
+#: Flags of fragments that peaks are called on, for alignments: bits that exclude and that are required.
+EXCLUDE, REQUIRE = 0xF0C, 0x2
+
+
+def from_alignments(alignments: DataFrame, contigs: DataFrame, min_mapq: int = 0) -> DataFrame:
+    """Fragments of proper, primary, unmarked pairs, told by the leftmost mate, of 1 to MAX_FRAGMENT bases
+    and inside their contig."""
+    ok = flags_pass(F.col("flag"), REQUIRE, EXCLUDE) & F.col("tlen").between(1, MAX_FRAGMENT) & (F.coalesce(F.col("mapq"), F.lit(255)) >= min_mapq)
+    d = alignments.filter(ok).withColumn("stop", F.col("start") + F.col("tlen")).join(contigs.select("contig", "contig_length"), "contig")
+    return d.filter((F.col("start") >= 0) & (F.col("stop") <= F.col("contig_length"))).drop("contig_length")
+
+
+def refused(fragments: DataFrame, contigs: DataFrame, order: str | None = None) -> DataFrame:
+    """One row: how many records a strict reader refuses, by reason; with an order also records that are
+    not grouped by contig or not sorted by start."""
+    d = fragments.join(contigs.select("contig", "contig_length"), "contig", "left")
+    n = F.col("stop") - F.col("start")
+    bad = F.col("contig").isNull() | F.col("start").isNull() | F.col("stop").isNull()
+    reason = (
+        F.when(bad, "malformed").when(F.col("contig_length").isNull(), "unknown_contig").when(F.col("start") < 0, "negative_start")
+        .when(n <= 0, "empty_interval").when(F.col("stop") > F.col("contig_length"), "beyond_contig").when(n > MAX_FRAGMENT, "too_long")
+    )
+    kinds = ["malformed", "unknown_contig", "negative_start", "empty_interval", "beyond_contig", "too_long"]
+    out = d.select(reason.alias("r")).agg(F.count("*").alias("records"), *(F.count_if(F.col("r") == k).alias(k) for k in kinds))
+    return out.crossJoin(out_of_order(fragments, order).select("out_of_order")) if order else out  # one row each
+
+
 def call(fragments: DataFrame, contigs: DataFrame, o: PeakOptions = PeakOptions()) -> DataFrame:
     """All candidates with q values."""
     f = fragments.filter((F.col("stop") - F.col("start")).between(1, MAX_FRAGMENT))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import fragments as frag
 from ..operators import intervals, metrics, peaks, profile, reads, vectors
+from ..sources import sinks, text
 from ..storage import stored
 from ..streaming import events
 from . import adapters as a
@@ -773,6 +774,193 @@ def _(s, d):
     return found.groupBy("contig").agg(F.count("*").alias("n"), F.sum(F.col("stop") - F.col("start")).alias("bases"))
 
 
+# ----------------------------------------------------------------------------- files
+
+
+def _file(s, label):
+    from ..storage import shared_folder
+
+    return shared_folder(s, label)
+
+
+@_add("bed_round_trip", "SELECT contig, start, stop, count(*) AS n FROM fragments GROUP BY 1, 2, 3", "fragments")
+def _(s, d):
+    """Fragments with copy counts, written as BED and read back with them."""
+    k = a.fragments(s, d).groupBy("contig", "start", "stop").agg(F.count("*").alias("n"))
+    path = _file(s, "bed")
+    sinks.write_bed(k, path)
+    return text.fragment_bed(s, path, with_counts=True).filter("not malformed").drop("malformed")
+
+
+@_add("weighted_duplicates", "SELECT contig, start, stop, FALSE AS reverse, count(*) AS copies FROM fragments GROUP BY 1, 2, 3", "fragments")
+def _(s, d):
+    """The same copies through a column that carries them."""
+    k = a.fragments(s, d).groupBy("contig", "start", "stop").agg(F.count("*").alias("n"))
+    return frag.duplicate_keys(k.withColumn("reverse", F.lit(False)))
+
+
+@_add("bedpe_round_trip", "SELECT contig, start, stop, mapq, reverse, count(*) AS n FROM fragments GROUP BY ALL", "fragments")
+def _(s, d):
+    f, c = a.fragments(s, d), lambda x: F.col(x).cast("string")
+    half = F.floor((F.col("start") + F.col("stop")) / 2).cast("string")
+    line = F.concat_ws("\t", "contig", c("start"), half, "contig", half, c("stop"), F.lit("r"), c("mapq"), F.when(F.col("reverse"), "-").otherwise("+"), F.lit("+"))
+    path = _file(s, "bedpe")
+    f.select(line.alias("value")).write.text(path)
+    return text.bedpe(s, path).filter("drop_reason = 'kept'").groupBy("contig", "start", "stop", "mapq", "reverse").agg(F.count("*").alias("n"))
+
+
+@_add("regions_round_trip", "SELECT contig, start, stop, name, strand FROM peaks_bed", "peaks_bed")
+def _(s, d):
+    path = _file(s, "regions")
+    p = a.peaks_bed(s, d)
+    p.select(F.concat_ws("\t", "contig", F.col("start").cast("string"), F.col("stop").cast("string"), "name", F.lit("0"), "strand").alias("value")).write.text(path)
+    return text.regions_bed(s, path)
+
+
+@_add("gtf_round_trip", "SELECT contig, start, stop, name, strand FROM peaks_bed WHERE strand = '+'", "peaks_bed")
+def _(s, d):
+    path = _file(s, "genes") + ".gtf"
+    p = a.peaks_bed(s, d).withColumn("f", F.when(F.col("strand") == "+", "gene").otherwise("exon"))
+    note = F.concat(F.lit('gene_id "g"; gene_name "'), "name", F.lit('";'))
+    p.select(F.concat_ws("\t", "contig", F.lit("src"), "f", (F.col("start") + 1).cast("string"), F.col("stop").cast("string"), F.lit("."), "strand", F.lit("."), note).alias("value")).write.text(path)
+    return text.regions(s, path)
+
+
+@_add("chrom_sizes_round_trip", "SELECT contig, contig_length FROM contigs", "contigs")
+def _(s, d):
+    path = _file(s, "sizes")
+    a.contigs(s, d).select(F.concat_ws("\t", "contig", F.col("contig_length").cast("string")).alias("value")).write.text(path)
+    return text.chrom_sizes(s, path)
+
+
+@_add("fastq_round_trip", "SELECT id, seq, qual FROM reads WHERE length(seq) > 0", "reads")
+def _(s, d):
+    from ..sources import binary
+
+    path = _file(s, "fastq")
+    sinks.write_fastq(a.reads(s, d).filter("seq <> ''"), path)
+    return binary.read_fastq(s, path).select("id", "seq", "qual")
+
+
+@_add("sam_round_trip", "SELECT contig, start, stop, flag, tlen, mapq, count(*) AS n FROM alignments GROUP BY ALL", "alignments")
+def _(s, d):
+    path, c = _file(s, "sam"), lambda x: F.col(x).cast("string")
+    m = a.alignments(s, d)
+    line = F.concat_ws("\t", F.lit("q"), c("flag"), "contig", (F.col("start") + 1).cast("string"), c("mapq"), F.concat((F.col("stop") - F.col("start") - 10).cast("string"), F.lit("M10D4S")), F.lit("="), F.lit("1"), c("tlen"), F.lit("*"), F.lit("*"))
+    m.select(line.alias("value")).write.text(path)
+    return text.sam(s, path).groupBy("contig", "start", "stop", "flag", "tlen", "mapq").agg(F.count("*").alias("n"))
+
+
+@_add("matrix_file", f"WITH {_COUNT}, t AS (SELECT name, string_agg(printf('%.6f', value), chr(9) ORDER BY bin) AS v FROM m GROUP BY name) SELECT name || chr(9) || v AS value FROM t", *_PV)
+def _(s, d):
+    path = _file(s, "matrix")
+    sinks.write_matrix(_matrix(s, d), path)
+    return s.read.text(path)
+
+
+@_add("profile_file", f"WITH {_COUNT}, t AS (SELECT bin, avg(value) AS v FROM m GROUP BY bin) SELECT (-1000 + bin * 100 + 50) || chr(9) || printf('%.6f', v) AS value FROM t UNION ALL SELECT 'offset' || chr(9) || 'mean_signal'", *_PV)
+def _(s, d):
+    path = _file(s, "profile")
+    sinks.write_profile(profile.meta_profile(_matrix(s, d)), path)
+    return s.read.text(path)
+
+
+@_add("histogram_file", "SELECT stop - start AS length, count(*) AS count FROM fragments GROUP BY 1", "fragments")
+def _(s, d):
+    path = _file(s, "histogram")
+    sinks.write_histogram(frag.size_histogram(a.fragments(s, d)), path)
+    return s.read.csv(path, sep="\t", header=True, schema="length bigint, count bigint")
+
+
+@_add("index_round_trip", "SELECT vec_id AS id, vec_id * 3 AS label, CAST(len(embedding) AS INTEGER) AS dims FROM embeddings")
+def _(s, d):
+    path = _file(s, "index")
+    c = a.cells(s, d)
+    vectors.VectorIndex(c).set_labels(c.select("id", (F.col("id") * 3).alias("label"))).save(path)
+    return vectors.VectorIndex.load(s, path).vectors.select("id", "label", F.size("vec").alias("dims"))
+
+
+# ----------------------------------------------------------------------------- strict input, spans
+
+
+@_add(
+    "strict_peak_input",
+    """WITH r AS (SELECT CASE WHEN contig_length IS NULL THEN 'unknown_contig' WHEN start < 5000 THEN 'negative_start' WHEN stop > contig_length THEN 'beyond_contig' WHEN stop - start > 330 THEN 'too_long' END AS r
+      FROM (SELECT contig, start, stop, CASE WHEN contig <> 'chr4' THEN 90000 END AS contig_length FROM fragments))
+    SELECT count(*) AS records, CAST(0 AS BIGINT) AS malformed, count(*) FILTER (WHERE r = 'unknown_contig') AS unknown_contig, count(*) FILTER (WHERE r = 'negative_start') AS negative_start,
+      CAST(0 AS BIGINT) AS empty_interval, count(*) FILTER (WHERE r = 'beyond_contig') AS beyond_contig, count(*) FILTER (WHERE r = 'too_long') AS too_long FROM r""",
+    "fragments",
+)
+def _(s, d):
+    """Moved 5,000 down so that some starts are negative, stretched so that 330 becomes the limit."""
+    f = a.fragments(s, d)
+    long = peaks.MAX_FRAGMENT - 330
+    moved = f.select("contig", (F.col("start") - 5000).alias("start"), (F.col("stop") - 5000 + long).alias("stop"))
+    c = a.contigs(s, d).filter("contig <> 'chr4'").withColumn("contig_length", F.lit(90_000 - 5000 + long).cast("bigint"))
+    return peaks.refused(moved, c)
+
+
+@_add("peak_fragments", "SELECT contig, start, start + tlen AS stop, count(*) AS n FROM alignments WHERE flag & 3852 = 0 AND flag & 2 = 2 AND tlen BETWEEN 1 AND 4096 AND start + tlen <= 95000 AND mapq >= 20 GROUP BY 1, 2, 3", "alignments")
+def _(s, d):
+    c = a.contigs(s, d).withColumn("contig_length", F.lit(95_000).cast("bigint"))
+    return peaks.from_alignments(a.alignments(s, d), c, 20).groupBy("contig", "start", "stop").agg(F.count("*").alias("n"))
+
+
+@_add(
+    "cigar_depth",
+    """SELECT contig, start, stop, count(*) AS n FROM (SELECT contig, start, start + 20 AS stop FROM fragments UNION ALL SELECT contig, start + 20 + line, start + 30 + line FROM fragments UNION ALL SELECT contig, start + 35 + line, start + 40 + line FROM fragments) GROUP BY 1, 2, 3""",
+    "fragments",
+)
+def _(s, d):
+    """20 aligned, a gap as long as the line number, 10 and 5 aligned around a deletion, clipped ends."""
+    op = lambda o, n: F.struct(F.lit(o).alias("op"), n.cast("int").alias("len"))
+    n = F.lit
+    c = F.array(op("S", n(3)), op("M", n(20)), op("N", F.col("line")), op("=", n(10)), op("I", n(2)), op("D", n(5)), op("X", n(5)), op("H", n(1)))
+    return profile.cigar_blocks(a.fragments(s, d).withColumn("cigar", c)).groupBy("contig", "start", "stop").agg(F.count("*").alias("n"))
+
+
+@_add("contig_lookup", "SELECT contig, CAST(CASE WHEN contig IN ('chr1', 'chr3') THEN 100000 ELSE -1 END AS BIGINT) AS contig_length, count(*) AS n FROM fragments GROUP BY 1, 2", "fragments")
+def _(s, d):
+    known = a.contigs(s, d).filter("contig in ('chr1', 'chr3')")
+    return text.contig_lengths(a.fragments(s, d).groupBy("contig").agg(F.count("*").alias("n")), known)
+
+
+@_add("size_overflow", "SELECT CAST(count(*) AS BIGINT) AS fragments, CAST(count(*) FILTER (WHERE 10 * (stop - start) > 2000) AS BIGINT) AS overflow FROM fragments", "fragments")
+def _(s, d):
+    longer = a.fragments(s, d).withColumn("stop", F.col("start") + 10 * (F.col("stop") - F.col("start")))
+    return frag.size_report(longer).select("fragments", "overflow")
+
+
+@_add("coo_sums", "SELECT l_suppkey AS row, l_partkey AS col, CAST(sum(l_quantity) AS DOUBLE) AS value FROM lineitem GROUP BY 1, 2")
+def _(s, d):
+    li = a.table(s, d, "lineitem")
+    return vectors.sum_duplicates(li.select(F.col("l_suppkey").alias("row"), F.col("l_partkey").alias("col"), F.col("l_quantity").alias("value")))
+
+
+@_add("well_formed_reads", "SELECT length(seq) % 7 = 3 OR rec_idx % 11 = 5 AS broken, count(*) AS n FROM reads GROUP BY 1", "reads")
+def _(s, d):
+    """Reads damaged on purpose: a header with a control character, a quality too few."""
+    r = a.reads(s, d)
+    r = r.withColumn("id", F.when(F.col("rec_idx") % 11 == 5, F.concat("id", F.lit("\x07"))).otherwise(F.col("id")))
+    r = r.withColumn("qual", F.when(F.char_length("seq") % 7 == 3, F.expr("substring(qual, 2)")).otherwise(F.col("qual")))
+    return r.groupBy((~reads.well_formed(r)).alias("broken")).agg(F.count("*").alias("n"))
+
+
+@_add("phred64_rebase", "SELECT rec_idx, qual FROM reads", "reads")
+def _(s, d):
+    up = F.translate("qual", "".join(map(chr, range(33, 95))), "".join(map(chr, range(64, 126))))
+    return a.reads(s, d).select("rec_idx", reads.to_phred33(up).alias("qual"))
+
+
+@_add("mate_singletons", "SELECT rec_idx FROM reads f WHERE NOT EXISTS (SELECT 1 FROM reads g WHERE g.rec_idx = f.rec_idx + CASE WHEN f.rec_idx % 2 = 0 THEN 1 ELSE -1 END)", "reads")
+def _(s, d):
+    from ..sources import binary
+
+    r = a.reads(s, d)
+    pair = r.select(F.col("rec_idx").bitwiseAND(F.lit(-2)).cast("string").alias("id"), F.when(F.col("rec_idx") % 2 == 0, 64).otherwise(128).alias("flag"), "rec_idx")
+    return binary.singletons(pair).select("rec_idx")
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

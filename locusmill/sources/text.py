@@ -46,6 +46,37 @@ def fragment_bed(spark: SparkSession, path: str, with_counts: bool = False) -> D
     return _lines(spark, path).select(_field(0).alias("contig"), start.alias("start"), stop.alias("stop"), n.alias("n"), (~F.coalesce(ok, F.lit(False))).alias("malformed"))
 
 
+def ordered_bed(spark: SparkSession, path: str) -> DataFrame:
+    """contig, start, stop, rec_idx of a fragment BED in the order of its lines, for strict readers.  A
+    file's pieces are read in their order, so the running number follows the lines."""
+    d = _lines(spark, path, browser=False)
+    return d.select(_field(0).alias("contig"), integer(_field(1)).alias("start"), integer(_field(2)).alias("stop"), F.monotonically_increasing_id().alias("rec_idx"))
+
+
+def contig_lengths(df: DataFrame, contigs: DataFrame) -> DataFrame:
+    """df with the length of each row's contig, -1 where it is unknown."""
+    return df.join(contigs.select("contig", "contig_length"), "contig", "left").withColumn("contig_length", F.coalesce("contig_length", F.lit(-1).cast("bigint")))
+
+
+def sam(spark: SparkSession, path: str) -> DataFrame:
+    """Alignments of a SAM text file, as read_bam() gives them; lines are read wherever Spark splits them."""
+    d = spark.read.text(path).select(F.regexp_replace("value", "\r$", "").alias("line"), F.monotonically_increasing_id().alias("rec_idx"))
+    d = d.filter((F.col("line") != "") & ~F.col("line").startswith("@")).withColumn("f", F.split("line", "\t"))
+    d = _strict(d, (F.size("f") >= 11) & integer(_field(1)).between(0, 65535) & integer(_field(3)).isNotNull() & _field(5).rlike("^([*]|([0-9]+[MIDNSHP=X])+)$"), "SAM").filter(F.col("line").isNotNull())
+    known = lambda i: F.when(_field(i) != "*", _field(i))
+    ops = F.when(_field(5) == "*", F.array().cast("array<struct<op:string,len:int>>")).otherwise(
+        F.transform(F.regexp_extract_all(_field(5), F.lit("([0-9]+[MIDNSHP=X])"), F.lit(1)), lambda c: F.struct(F.right(c, F.lit(1)).alias("op"), F.substring(c, F.lit(1), F.char_length(c) - 1).cast("int").alias("len")))
+    )
+    d = d.withColumn("cigar", ops)
+    start = integer(_field(3)) - 1
+    span = F.aggregate("cigar", F.lit(0).cast("bigint"), lambda n, c: n + F.when(c["op"].isin("M", "D", "N", "=", "X"), c["len"]).otherwise(0))
+    return d.select(
+        F.lit(0).alias("file"), "rec_idx", _field(0).alias("qname"), integer(_field(1)).cast("int").alias("flag"), known(2).alias("contig"), start.alias("start"), (start + span).alias("stop"),
+        integer(_field(4)).cast("int").alias("mapq"), F.when(_field(6) == "=", known(2)).otherwise(known(6)).alias("mate_contig"), (integer(_field(7)) - 1).alias("mate_start"),
+        integer(_field(8)).alias("tlen"), "cigar", known(9).alias("seq"), known(10).alias("qual"),
+    )
+
+
 def bedpe(spark: SparkSession, path: str) -> DataFrame:
     """contig, start, stop, mapq, reverse, drop_reason: the span of both ends.  '.' is no quality, -1
     an unmapped end."""

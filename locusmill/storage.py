@@ -11,9 +11,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 def shared_folder(spark: SparkSession, label: str) -> str:
     """A new path below the folder that the session names in spark.checkpoint.dir; a temporary
-    folder only where none is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    root = root or "file://" + tempfile.mkdtemp(prefix="locusmill-")
+    folder only where none is set and the master is this process."""
+    sc = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if not root and (named := sc._jsc.sc().getCheckpointDir()).isDefined():
+        root = named.get()
+    if not root:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="locusmill-")
+        sc.setCheckpointDir(root)
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 

@@ -33,7 +33,14 @@ def drain(frame: DataFrame, label: str, mode: str = "append") -> DataFrame:
     return spark.read.schema(frame.schema).parquet(out)
 
 
-def deduplicated(spark: SparkSession, folder: str, keys: list[str]) -> DataFrame:
-    """Distinct keys of the event stream, by stateful streaming deduplication."""
+def deduplicated(spark: SparkSession, folder: str, keys: list[str], within: str | None = None) -> DataFrame:
+    """Distinct keys of the event stream, by stateful streaming deduplication.  The state holds every key
+    ever seen, which a stream that ends can afford; with `within` it forgets keys older than that, and a
+    key may come again after it."""
     schema = spark.read.parquet(f"{folder}/events.parquet").schema
-    return drain(stream(spark, folder, "events.parquet", schema).select(*keys).dropDuplicates(keys), "dedup-stream")
+    events = stream(spark, folder, "events.parquet", schema)
+    if within:
+        kept = events.withWatermark("ts", within).dropDuplicatesWithinWatermark(keys).select(*keys)
+    else:
+        kept = events.select(*keys).dropDuplicates(keys)
+    return drain(kept, "dedup-stream")

@@ -33,8 +33,8 @@ def test_overlap_bases_against_a_bitmap(spark):
     peaks, frags = make(60, 90), sorted(set(make(200, 400)))
     bits = {(c, p) for c, s, e in peaks for p in range(s, e)}
     cover = intervals.merge(spark.createDataFrame(peaks, PEAKS))
-    for width in (64, 4096):
-        got = rows(intervals.overlap_bases(spark.createDataFrame(frags, PEAKS), cover, width=width).select("contig", "start", "stop", "overlap"))
+    for limit in (0, 4096):
+        got = rows(intervals.overlap_bases(spark.createDataFrame(frags, PEAKS), cover, limit=limit).select("contig", "start", "stop", "overlap"))
         assert got == [(c, s, e, sum((c, p) in bits for p in range(s, e))) for c, s, e in frags]
 
 
