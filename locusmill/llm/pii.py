@@ -12,7 +12,9 @@ adding up lengths, which gives the positions of leftmost non-overlapping matches
 
 Edge cases: null and empty texts have no spans; a text's own mark characters are replaced by a line
 break for the search, which matches nothing and keeps positions; repeated rows are searched row by
-row; an empty table gives an empty result; extra columns are ignored.
+row; an empty table gives an empty result; extra columns are ignored, whatever their names.  Texts of
+any length and with any number of matches are searched whole; spans that start together are listed in
+the order of their kinds.
 """
 
 from __future__ import annotations
@@ -44,6 +46,8 @@ GENERATORS = {
 KINDS = BASE + list(GENERATORS)
 NEEDS = {"email": ["@"], "phone": ["+"]}  # a text without these characters cannot match
 LEFT, RIGHT = 24, 8
+PART = 256  # numbers of an array scanned at once
+CHUNK = 4096  # characters of a text cut from at once
 TARGET_PRECISION = 0.99
 N_FEATURES = 12 + len(GENERATORS)
 
@@ -56,23 +60,51 @@ def _matches(text: Column, kind: str, pattern: str) -> Column:
     return pieces
 
 
+def bound(value: Column, body) -> Column:
+    """body(value), with the value worked out once however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def before(values: Column, kind: str) -> Column:
+    """For each number of an array the sum, or the largest, of those before it; 0 for the first.  Lambdas
+    can only grow an array by copying it, so long arrays are scanned in parts of PART, whose totals are
+    scanned first: the work grows with n * sqrt(n) at worst instead of n * n."""
+    join = (lambda a, x: a + x) if kind == "sum" else (lambda a, x: F.greatest(a, x))
+    empty = F.array().cast("array<int>")
+
+    def scan(part: Column, first: Column) -> Column:
+        start = F.struct(first.alias("at"), empty.alias("out"))
+        return F.aggregate(part, start, lambda a, x: F.struct(join(a["at"], x).alias("at"), F.array_append(a["out"], a["at"]).alias("out")), lambda a: a["out"])
+
+    def whole(v: Column) -> Column:
+        places = F.sequence(F.lit(0), F.greatest(F.ceil(F.size(v) / PART).cast("int"), F.lit(1)) - 1)
+        return bound(F.transform(places, lambda i: F.slice(v, i * PART + 1, F.lit(PART))), chained)
+
+    def chained(parts: Column) -> Column:
+        totals = F.transform(parts, lambda p: F.aggregate(p, F.lit(0), join))
+        return bound(scan(totals, F.lit(0)), lambda carried: F.flatten(F.transform(parts, lambda p, i: scan(p, F.get(carried, i)))))
+
+    return bound(values, whole)
+
+
 def _spans(pieces: Column, kind: str) -> Column:
     """start, stop, match and its surroundings for each match."""
     empty = F.array().cast("array<struct<start:int,stop:int,match:string,left:string,right:string>>")
-    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("k"), empty.alias("found"))
 
-    def step(acc: Column, piece: Column) -> Column:
-        stop = acc["at"] + F.char_length(piece)
-        span = F.struct(
-            acc["at"].alias("start"),
-            stop.alias("stop"),
-            piece.alias("match"),
-            F.right(F.get(pieces, acc["k"] - 1), F.lit(LEFT)).alias("left"),
-            F.left(F.get(pieces, acc["k"] + 1), F.lit(RIGHT)).alias("right"),
-        )
-        return F.struct(stop.alias("at"), (acc["k"] + 1).alias("k"), F.when(acc["k"] % 2 == 1, F.array_append(acc["found"], span)).otherwise(acc["found"]).alias("found"))
+    def listed(starts: Column) -> Column:
+        def span(k: Column) -> Column:
+            piece = F.get(pieces, k)
+            return F.struct(
+                F.get(starts, k).alias("start"),
+                (F.get(starts, k) + F.char_length(piece)).alias("stop"),
+                piece.alias("match"),
+                F.right(F.get(pieces, k - 1), F.lit(LEFT)).alias("left"),
+                F.left(F.get(pieces, k + 1), F.lit(RIGHT)).alias("right"),
+            )
 
-    return F.when(F.size(pieces) > 1, F.aggregate(pieces, start, step, lambda a: a["found"])).otherwise(empty)
+        return F.transform(F.sequence(F.lit(1), F.size(pieces) - 2, F.lit(2)), span)
+
+    return F.when(F.size(pieces) > 1, bound(before(F.transform(pieces, lambda p: F.char_length(p)), "sum"), listed)).otherwise(empty)
 
 
 def _digits(match: Column) -> Column:
@@ -161,31 +193,48 @@ def _candidates(text: Column, pieces: dict[str, Column]) -> Column:
 
 
 class Model:
-    """Trained trees and their calibrated threshold."""
+    """Trained trees and their calibrated thresholds, one a kind."""
 
     def __init__(self, spark: SparkSession, seed: int = 5):
         rows = _examples(seed)
         d = spark.createDataFrame(rows, "text string, label int").coalesce(1)
         d = d.select("text", "label", *(_matches(F.col("text"), k, p).alias(f"p_{k}") for k, p in GENERATORS.items()))
         d = d.withColumn("c", F.explode(_candidates(F.col("text"), {k: F.col(f"p_{k}") for k in GENERATORS})))
-        d = d.select("label", F.array(*features(F.col("c.kind"), F.col("c.span"))).alias("x"))
+        d = d.select("label", F.col("c.kind").alias("kind"), F.array(*features(F.col("c.kind"), F.col("c.span"))).alias("x"))
         found = d.collect()
         x = np.array([r["x"] for r in found], float)
         y = np.array([r["label"] for r in found], float)
+        kind = np.array([r["kind"] for r in found])
         held = np.arange(len(y)) % 4 == 3
         self.base, self.trees = train_trees(x[~held], y[~held])
         score = self.base + sum(tree_values(t, x[held]) for t in self.trees)
-        # the lowest threshold whose held-out precision reaches the target
-        self.threshold = 0.0
+        self.thresholds = {k: self._threshold(score[kind[held] == k], y[held][kind[held] == k]) for k in GENERATORS}
+
+    @staticmethod
+    def _threshold(score: np.ndarray, y: np.ndarray) -> float:
+        """The lowest one whose held-out precision reaches the target."""
         for t in np.sort(score):
-            if y[held][score >= t].mean() >= TARGET_PRECISION:
-                self.threshold = float(t) - 1e-9
-                break
+            if y[score >= t].mean() >= TARGET_PRECISION:
+                return float(t) - 1e-9
+        return float("inf")
 
-    def selects(self, kind: Column, span: Column) -> Column:
+    def selects(self, kind: str, span: Column) -> Column:
         """Features are bound once per candidate, then the trees read them."""
-        bound = F.array(F.array(*features(kind, span)))
-        return F.exists(bound, lambda v: compile_trees(self.base, self.trees, [F.get(v, F.lit(j)) for j in range(N_FEATURES)]) >= self.threshold)
+        made = F.array(*features(F.lit(kind), span))
+        return bound(made, lambda v: compile_trees(self.base, self.trees, [F.get(v, F.lit(j)) for j in range(N_FEATURES)]) >= self.thresholds[kind])
+
+
+def _overlaps(spans: Column, m: Column) -> Column:
+    """Does the candidate overlap one of the spans, which come in parts with their bounds?"""
+    return F.exists(spans, lambda p: (p["low"] < m["stop"]) & (m["start"] < p["high"]) & F.exists(p["spans"], lambda b: (m["start"] < b["stop"]) & (b["start"] < m["stop"])))
+
+
+def _in_parts(spans: Column) -> Column:
+    """Sorted spans in parts of PART with the least start and the greatest stop of each."""
+    part = lambda i: F.slice(spans, i * PART + 1, F.lit(PART))
+    places = F.sequence(F.lit(0), F.greatest(F.ceil(F.size(spans) / PART).cast("int"), F.lit(1)) - 1)
+    made = F.filter(F.transform(places, part), lambda p: F.size(p) > 0)
+    return F.transform(made, lambda p: F.struct(F.get(p, F.lit(0))["start"].alias("low"), F.array_max(F.transform(p, lambda b: b["stop"])).alias("high"), p.alias("spans")))
 
 
 def find_spans(docs: DataFrame, model: Model | None = None) -> DataFrame:
@@ -203,7 +252,7 @@ def find_spans(docs: DataFrame, model: Model | None = None) -> DataFrame:
     empty = F.array().cast("array<struct<start:int,rank:int,stop:int>>")
     brief = lambda rank: lambda s: F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), s["stop"].alias("stop"))
     holds = lambda kind: lambda s: _holds(kind, s["match"])
-    selects = lambda kind: lambda s: model.selects(F.lit(kind), s)
+    selects = lambda kind: lambda s: model.selects(kind, s)
     base = [
         F.when(F.size(piece[k]) > 1, F.transform(F.filter(_spans(piece[k], k), holds(k)), brief(i))).otherwise(empty)
         for i, k in enumerate(BASE)
@@ -214,7 +263,7 @@ def find_spans(docs: DataFrame, model: Model | None = None) -> DataFrame:
         chosen = F.filter(_spans(piece[k], k), selects(k))
         more.append(F.when(F.size(piece[k]) > 1, F.transform(chosen, brief(i))).otherwise(empty))
     d = d.withColumn("_more", F.concat(*more))
-    free = F.filter("_more", lambda m: ~F.exists("base", lambda b: (m["start"] < b["stop"]) & (b["start"] < m["stop"])))
+    free = bound(_in_parts(F.col("base")), lambda parts: F.filter("_more", lambda m: ~_overlaps(parts, m)))
     d = d.withColumn("spans", F.when(F.size("_more") > 0, F.sort_array(F.concat("base", free))).otherwise(F.col("base")))
     return d.drop("_t", "_id", "_more", *(f"_p_{k}" for k in KINDS))
 
@@ -236,14 +285,23 @@ def redact(docs: DataFrame, model: Model | None = None) -> DataFrame:
     of the first kind."""
     names = F.array(*(F.lit(f"<{k.upper()}>") for k in KINDS))
     d = find_spans(docs, model)
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["at"]
-        gap = F.when(fresh, F.concat(F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), F.get(names, s["rank"]))).otherwise(F.lit(""))
-        return F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), F.concat(acc["out"], gap).alias("out"))
 
-    whole = F.aggregate("spans", start, step, lambda a: F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, F.char_length("text"))))
+    def stretch(chunks: Column, a: Column, b: Column) -> Column:
+        """Characters a to b of a text cut into chunks; a substring is searched for from its string's start."""
+        i, j = F.floor(a / CHUNK).cast("int"), F.floor(b / CHUNK).cast("int")
+        inside = F.substring(F.get(chunks, i), a % CHUNK + 1, b - a)
+        across = F.concat(F.substring(F.get(chunks, i), a % CHUNK + 1, F.lit(CHUNK)), F.array_join(F.slice(chunks, i + 2, j - i - 1), ""), F.coalesce(F.left(F.get(chunks, j), b % CHUNK), F.lit("")))
+        return F.when(a >= b, "").when(i == j, inside).otherwise(across)
+
+    def rewritten(chunks: Column) -> Column:
+        # a span that starts behind the greatest stop before it opens a mark; what lies between that stop
+        # and its start is kept
+        ends = before(F.transform("spans", lambda s: s["stop"]), "max")
+        made = bound(ends, lambda e: F.transform("spans", lambda s, i: F.when(s["start"] >= F.get(e, i), F.concat(stretch(chunks, F.get(e, i), s["start"]), F.get(names, s["rank"]))).otherwise("")))
+        last = F.array_max(F.transform("spans", lambda s: s["stop"]))
+        return F.concat(F.array_join(made, ""), stretch(chunks, last, F.char_length("text")))
+
+    whole = bound(F.regexp_extract_all("text", F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0)), rewritten)
     d = d.withColumn("text", F.when(F.size("spans") > 0, whole).otherwise(F.col("text")))
     new = {"text": F.col("text"), "n_chars": F.coalesce(F.char_length("text").cast("bigint"), F.col("row.n_chars").cast("bigint")) if "n_chars" in docs.columns else None}
     return d.select(*((F.col("row")[c] if new.get(c) is None else new[c]).alias(c) for c in docs.columns))

@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -311,6 +312,31 @@ def test_personal_data_marks_long_secrets_whole(spark):
     assert got[1].startswith("secret:2:") and got[2].startswith("secret:")
 
 
+def test_personal_data_in_texts_with_very_many_matches(spark):
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefghé") for _ in range(5))
+    parts, at, n = [], 0, 50_000
+    for i in range(n):
+        parts.append(f"{word()} u{i}@ex.org" + (" token=" + "k3J9" * 250 if i % 5000 == 7 else "") + (" +1 (017) 555-7713" if i % 3 == 0 else ""))
+    text = " ".join(parts)
+    model = pii.Model(spark)
+    d = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
+    began = time.monotonic()
+    got = pii.digest(d, model).first()
+    assert (got["n_email"], got["n_phone"], got["spans"].count("secret")) == (n, len(range(0, n, 3)), 10)
+    base = ",".join(f"{list(PATTERNS)[k]}:{a}:{b}" for a, k, b in _base_spans(text))
+    assert got["base_sha256"] == hashlib.sha256(base.encode()).hexdigest()
+    red = pii.redact(d, model).first()["text"]
+    assert red.count("<EMAIL>") == n and "@" not in red and "555" not in red and "k3J9" not in red and time.monotonic() - began < 60
+    want, place = [], 0
+    spans = sorted((int(x.split(":")[1]), list(pii.KINDS).index(x.split(":")[0]), int(x.split(":")[2])) for x in got["spans"].split(","))
+    for a, k, b in spans:
+        if a >= place:
+            want += [text[place:a], f"<{pii.KINDS[k].upper()}>"]
+        place = max(place, b)
+    assert red == "".join([*want, text[place:]])
+
+
 def test_line_cleaning(docs, empty):
     assert line_cleaning.digest(empty).count() == 0
     got = line_cleaning.digest(docs).collect()
