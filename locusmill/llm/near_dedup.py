@@ -4,14 +4,15 @@ One pass over the texts makes, per document, the set of its word shingles (64-bi
 minimum hashes, BANDS band keys of ROWS minima each, and an odd sketch: every minimum flips one bit
 of a SKETCH_BITS parity bitmap, so the population count of two sketches' XOR estimates the number of
 differing minima - sharply so at the high similarities that matter.  Documents with equal sets form
-one class and are represented once from here on.
+one class, named by a 128-bit digest of the set, and are represented once from here on.
 
 Candidates are found without listing the pairs of a bucket:
 
 1. every member of a bucket is compared with one pivot, the one it shares most buckets with;
 2. buckets whose members are then all in one component are done;
-3. in the others, small buckets pair their members across components; large ones are cut into
-   blocks, and each pair of blocks counts all its intersections by matrix products and returns only
+3. in the others, small buckets pair their members across components; large ones get up to PIVOTS
+   further pivots, each met by the members outside its component, and what is open after that is cut
+   into blocks: each pair of blocks counts all its intersections by matrix products and returns only
    a spanning forest of the links found.
 
 Pairs pass the sketch test, which is lenient by six standard deviations, and every link is confirmed
@@ -22,7 +23,8 @@ jumping.  Nothing whose size follows the corpus reaches the driver.
 Edge cases: null and empty texts and texts without words have no shingles, are linked with nothing
 and keep their own id as component; texts of fewer words than a shingle are one shingle; repeated
 rows share a component; a null doc_id names a component only where no row of it has an id; empty
-tables give an empty result; extra columns are ignored.
+tables give an empty result; extra columns are ignored, and keep_one() returns them whatever their
+names.  Texts of any length are taken whole; of documents that tie for the smallest id one row stays.
 """
 
 from __future__ import annotations
@@ -43,7 +45,8 @@ SKETCH_BITS = 1024
 MAX_DIFFERENCE = 184  # expected 92 at similarity 0.8, plus six standard deviations
 SMALL_BUCKET = 32
 BLOCK = 512
-BITMAP = 1 << 22
+PIVOTS = 2
+BITMAP = 1 << 22  # bits; up to a quarter as many members are looked up by it, more by a join
 _EMPTY = np.zeros(0, np.uint64)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -131,15 +134,15 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
                 for i, k, s in zip(full, band_keys(low), odd_sketches(low), strict=True):
                     node[i], keys[i], sketch[i] = _node(sets[i]), k, s
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n), pa.array(node, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketch, pa.list_(pa.int64()))],
+                [batch.column(0), pa.array(n), pa.array(node, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketch, pa.list_(pa.int64()))],
                 names=["doc_id", "n", "node", "keys", "sketch"],
             )
 
-    return docs.mapInArrow(sign, "doc_id bigint, n bigint, node bigint, keys array<bigint>, sketch array<bigint>")
+    return docs.mapInArrow(sign, "doc_id bigint, n bigint, node binary, keys array<bigint>, sketch array<bigint>")
 
 
-def _node(s: np.ndarray) -> int:
-    return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
+def _node(s: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(s.tobytes())
 
 
 class _Finder:
@@ -169,26 +172,32 @@ class _Finder:
         self.found = None
 
     def _sets(self, members: DataFrame) -> DataFrame:
-        """(node, set) of the classes with the given members.  The texts are filtered by a bitmap of
-        BITMAP bits, whatever the number of members; what passes by chance is dropped by the joins
-        that follow."""
-        place = lambda c: F.pmod(F.xxhash64(c), F.lit(BITMAP))
-        places = members.select(place("member").alias("p")).distinct().toArrow().column("p").to_numpy()
-        wanted = np.zeros(BITMAP, bool)
-        wanted[places] = True
-        shared, width = self.docs.sparkSession.sparkContext.broadcast(np.packbits(wanted).tobytes()), self.width
+        """(node, set) of the classes with the given members.  While members are few, a bitmap of BITMAP
+        bits, whose size does not follow them, lets their texts through the scan; what passes by chance is
+        dropped by the join with the classes.  More members meet the texts in a join."""
+        members = stored(members.distinct(), "members")
+        docs, width = self.docs.select("doc_id", "text"), self.width
+        if members.count() > BITMAP // 4:
+            same = F.col("doc_id").eqNullSafe(F.col("member"))
+            docs, passing = docs.join(members, same, "left_semi").withColumn("p", F.lit(0).cast("bigint")), None
+        else:
+            place = lambda c: F.pmod(F.xxhash64(c), F.lit(BITMAP))
+            places = members.select(place("member").alias("p")).distinct().toArrow().column("p").to_numpy()
+            wanted = np.zeros(BITMAP, bool)
+            wanted[places] = True
+            docs, passing = docs.withColumn("p", place("doc_id")), self.docs.sparkSession.sparkContext.broadcast(np.packbits(wanted).tobytes())
 
         def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            bits, shingle = np.unpackbits(np.frombuffer(shared.value, np.uint8)), Shingler(width)
+            bits, shingle = np.unpackbits(np.frombuffer(passing.value, np.uint8)) if passing else None, Shingler(width)
             for batch in batches:
-                hits = np.flatnonzero(bits[batch.column(2).to_numpy()])
+                hits = np.arange(batch.num_rows) if bits is None else np.flatnonzero(bits[batch.column(2).to_numpy()])
                 sets = [shingle(batch.column(1)[int(i)].as_py()) for i in hits]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([batch.column(0)[int(i)].as_py() for i in hits], pa.int64()), pa.array([_node(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))],
+                    [pa.array([batch.column(0)[int(i)].as_py() for i in hits], pa.int64()), pa.array([_node(s) for s in sets], pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))],
                     names=["member", "node", "set"],
                 )
 
-        found = self.docs.select("doc_id", "text", place("doc_id").alias("p")).mapInArrow(build, "member bigint, node bigint, set array<bigint>")
+        found = docs.mapInArrow(build, "member bigint, node binary, set array<bigint>")
         own = self.classes.select(F.col("node").alias("_node"), F.col("member").alias("_member"))
         found = found.join(own, (F.col("node") == F.col("_node")) & F.col("member").eqNullSafe(F.col("_member")))  # null where no row has an id
         return stored(found.dropDuplicates(["node"]).select("node", "set"), "sets")
@@ -220,8 +229,10 @@ class _Finder:
         percent = self.percent
 
         def compare(table: pa.Table) -> pa.Table:
-            order = np.argsort(table.column("node").to_numpy(), kind="stable")
-            node, component, block = (table.column(c).to_numpy()[order] for c in ("node", "component", "block"))
+            names = np.array(table.column("node").to_pylist(), object)
+            order = np.array(sorted(range(len(names)), key=names.__getitem__))
+            node, block = names[order], table.column("block").to_numpy()[order]
+            component = table.column("component").combine_chunks().dictionary_encode().indices.to_numpy()[order]
             sets = [table.column("set")[int(k)].values.to_numpy() for k in order]
             n = np.array([len(s) for s in sets], np.int64)
             found = shared_counts(sets)
@@ -230,9 +241,9 @@ class _Finder:
             if table.column("i")[0].as_py() != table.column("j")[0].as_py():
                 linked &= block[:, None] != block[None, :]
             a, b = spanning_forest(linked)
-            return pa.table({"a": pa.array(node[a], pa.int64()), "b": pa.array(node[b], pa.int64())})
+            return pa.table({"a": pa.array(node[a], pa.binary()), "b": pa.array(node[b], pa.binary())})
 
-        self._add(rows.groupBy("key", "i", "j").applyInArrow(compare, "a bigint, b bigint"))
+        self._add(rows.groupBy("key", "i", "j").applyInArrow(compare, "a binary, b binary"))
 
 
 def shared_counts(sets: list[np.ndarray], columns: int = 4096) -> np.ndarray:
@@ -307,6 +318,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, small_bu
     pairs = small.join(other, "key").filter("node < b and component <> component_b").select(F.col("node").alias("a"), "b")
     find.test(pairs)
     big = open_.filter(F.col("size") > small_bucket)
+    for turn in range(PIVOTS):  # dense groups mostly hang together through a few of their members
+        if big.isEmpty():
+            break
+        # the pivot of a turn is any member, so that the same ones do not fail twice
+        own = big.groupBy("key").agg(F.min_by(F.struct("node", "component"), F.xxhash64("node", F.lit(turn))).alias("p"))
+        met = big.join(own, "key").filter(F.col("component") != F.col("p.component")).groupBy("node", F.col("p.node").alias("pivot")).agg(F.count("*").alias("bands"))
+        best = met.groupBy("node").agg(F.max_by("pivot", F.struct("bands", "pivot")).alias("pivot"))
+        find.test(best.select(F.col("pivot").alias("a"), F.col("node").alias("b")))
+        big = stored(find.unresolved(buckets.select("key", "node"), find.labels()).filter(F.col("size") > small_bucket), "open")
     if not big.isEmpty():
         find.compare_blocks(big)
     labels = find.labels()
@@ -324,8 +344,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, small_bu
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """One row of docs for each group of near duplicates: the one with the smallest doc_id; of equal
     rows one stays."""
-    kept = near_duplicates(docs, width, percent).filter("kept").select(F.col("doc_id").alias("_kept"))
-    same = F.col("doc_id").eqNullSafe(F.col("_kept"))
+    name = "kept"
+    while name in docs.columns:
+        name += "_"
+    kept = near_duplicates(docs, width, percent).filter("kept").select(F.col("doc_id").alias(name))
+    same = docs["doc_id"].eqNullSafe(kept[name])
     return docs.join(kept, same, "left_semi").dropDuplicates(["doc_id", "text"])
 
 

@@ -6,7 +6,7 @@ import random
 
 from pyspark.sql import types as T
 
-CLASHES = ["row", "words", "lines", "spans", "base", "kept", "n", "node", "keys", "hits", "uid", "unit", "part", "chunk", "score", "length", "at", "_t", "text_", "failed"]
+CLASHES = ["_kept", "kept_", "member", "_member", "pivot", "key", "size", "row", "words", "lines", "spans", "base", "kept", "n", "node", "keys", "hits", "uid", "unit", "part", "chunk", "score", "length", "at", "_t", "text_", "failed"]
 SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("lang", T.StringType()), T.StructField("source", T.StringType()), T.StructField("n_chars", T.LongType()), *(T.StructField(c, T.StringType()) for c in CLASHES)])
 
 
