@@ -14,19 +14,22 @@ edit operations (case and kind of white space do not count).  For each document:
    the window.  TABLES follows from the target recall at the agreement expected at the budget.
 4. Kept windows are verified by Myers' bit-parallel edit distance with free ends.
 
-Items are processed in blocks of at most BLOCK_BYTES, so the broadcast is bounded for any benchmark.
+Items are processed in blocks of at most BLOCK_BYTES, one after the other, so the broadcast is bounded
+for any benchmark.
 
 Edge cases: null and empty texts are clean; items that are null or shorter than MIN_ITEM characters
 are no evidence and are skipped; repeated items are reported once, under their smallest id; repeated
 rows are judged row by row; empty tables give clean documents or an empty result; extra columns are
-ignored.
+ignored, whatever their names.  Texts of any length are searched whole; of overlapping passages of an
+item that tie, the first is reported; an item without id is reported without one.
 """
 
 from __future__ import annotations
 
+import bisect
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import ahocorasick
 import numpy as np
@@ -34,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import small_batches, stored
 
 BUDGET = 1 / 16
 MIN_ITEM = 16
@@ -112,9 +115,9 @@ class Walks:
 class Matcher:
     """Finds items in texts."""
 
-    def __init__(self, items: list[tuple[int, str]]):
-        unique: dict[str, int] = {}
-        for item_id, text in sorted(items):
+    def __init__(self, items: list[tuple[int | None, str]]):
+        unique: dict[str, int | None] = {}
+        for item_id, text in sorted(items, key=lambda x: (x[0] is None, x[0] or 0, x[1])):
             unique.setdefault(fold(text), item_id)
         self.items = [(i, t, int(len(t) * BUDGET)) for t, i in unique.items()]
         self.lengths = np.array([len(t) for _, t, _ in self.items], np.int64)
@@ -130,7 +133,7 @@ class Matcher:
         self.walks = Walks(int(self.lengths.max()))
         self.own = self.walks.samples([t for _, t, _ in self.items], self.lengths)
 
-    def __call__(self, texts: list[str]) -> list[list[tuple[int, int, int, int]]]:
+    def __call__(self, texts: list[str]) -> list[list[tuple[int | None, int, int, int]]]:
         """Per text: (item id, start, end, edits), by start."""
         folded = [fold(t) for t in texts]
         windows: dict[tuple[int, int, int], None] = {}
@@ -147,70 +150,87 @@ class Matcher:
             equal = (self.walks.samples(cut, self.lengths[which]) == self.own[which]).all(2).any(1)
             for k in np.flatnonzero(equal):
                 i, n, s = some[k]
-                item_id, item, most = self.items[n]
+                _, item, most = self.items[n]
                 if cut[k] == item:
-                    found[i].append((item_id, s, s + len(item), 0))
+                    found[i].append((n, s, s + len(item), 0))
                     continue
                 low = max(0, s - most)
                 hit = distance_within(item, folded[i][low : s + len(item) + most], most)
                 if hit:
                     end = low + hit[1]
                     back = distance_within(item[::-1], folded[i][low:end][::-1], most)
-                    found[i].append((item_id, end - (back[1] if back else len(item)), end, hit[0]))
-        return [self._best(f) for f in found]
+                    found[i].append((n, end - (back[1] if back else len(item)), end, hit[0]))
+        return [[(self.items[n][0], a, b, e) for n, a, b, e in best_of(f)] for f in found]
 
-    @staticmethod
-    def _best(found: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
-        """Of overlapping passages of one item, the one with the fewest edits."""
-        kept: list[tuple[int, int, int, int]] = []
-        for f in sorted(set(found), key=lambda x: (x[3], x[1], x[2], x[0])):
-            if all(f[0] != k[0] or f[2] <= k[1] or f[1] >= k[2] for k in kept):
-                kept.append(f)
-        return sorted(kept, key=lambda x: (x[1], x[2], x[0]))
 
+def best_of(found: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
+    """Of overlapping passages of one item, the one with the fewest edits, the first of equals.  Those
+    kept of an item are disjoint, so a new one is compared with its two neighbours only."""
+    kept: dict[int, list[tuple[int, int, int]]] = {}
+    for n, a, b, edits in sorted(set(found), key=lambda x: (x[3], x[1], x[2], x[0])):
+        mine = kept.setdefault(n, [])
+        k = bisect.bisect_left(mine, (a, b, edits))
+        if (k == 0 or mine[k - 1][1] <= a) and (k == len(mine) or mine[k][0] >= b):
+            mine.insert(k, (a, b, edits))
+    return sorted(((n, *x) for n, mine in kept.items() for x in mine), key=lambda x: (x[1], x[2], x[0]))
 
-def _item_blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[int, str]]]:
-    """The usable items in blocks of about block_bytes."""
+
+def _item_blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[tuple[list[tuple[int | None, str]], bool]]:
+    """The usable items in blocks of about block_bytes, and whether a block is the last one.  One block at
+    a time is held here."""
     items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), "text").filter(F.char_length("text") >= MIN_ITEM)
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = total // block_bytes + 1
     for block in range(blocks):
         mine = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("text"), F.lit(blocks)) == block)
-        rows = [(r["item_id"] if r["item_id"] is not None else -1, r["text"]) for r in mine.collect()]
+        rows = [(r["item_id"], r["text"]) for r in mine.collect()]
         if rows:
-            yield rows
+            yield rows, block == blocks - 1
+
+
+def _in_turn(docs: DataFrame, benchmark: DataFrame, block_bytes: int, search: Callable) -> DataFrame:
+    """docs through search(broadcast rows) block by block.  What a block leaves is stored before the next
+    one starts, so only one block's items and automaton are alive at a time."""
+    out, schema = docs, docs.schema
+    for rows, last in _item_blocks(benchmark, block_bytes):
+        shared = docs.sparkSession.sparkContext.broadcast(rows)
+        out = out.mapInArrow(search(shared), schema)
+        if not last:
+            out = stored(out, "decontaminated")
+            shared.unpersist()
+    return out
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of docs without a passage of an item; no shuffle."""
     small_batches(docs.sparkSession)
-    out, at = docs, docs.columns.index("text")
-    for rows in _item_blocks(benchmark, block_bytes):
-        shared = docs.sparkSession.sparkContext.broadcast(rows)
+    at = docs.columns.index("text")
 
-        def drop(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+    def search(shared) -> Callable:
+        def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             match = None
             for batch in batches:
                 match = match or Matcher(shared.value)
                 found = match([t or "" for t in batch.column(at).to_pylist()])
                 yield batch.filter(pa.array([not f for f in found]))
 
-        out = out.mapInArrow(drop, docs.schema)
-    return out
+        return drop
+
+    return _in_turn(docs, benchmark, block_bytes, search)
+
+
+_HITS = "array<struct<item_id:bigint,start:bigint,stop:bigint,edits:bigint>>"
 
 
 def find_items(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, contaminated, n_passages, item_id, edits, passages per row of docs(doc_id, text);
-    passages is item:start:end:edits, comma-joined, in code points."""
+    passages is item:start:end:edits, comma-joined, in code points, an item without id written null."""
     small_batches(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    out = docs.withColumn("hits", F.array().cast("array<struct<item_id:bigint,start:bigint,stop:bigint,edits:bigint>>"))
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.array().cast(_HITS).alias("hits"))
     hit_type = pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int64()), ("stop", pa.int64()), ("edits", pa.int64())]))
 
-    for rows in _item_blocks(benchmark, block_bytes):
-        shared = docs.sparkSession.sparkContext.broadcast(rows)
-
-        def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+    def search(shared) -> Callable:
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             match = None
             for batch in batches:
                 match = match or Matcher(shared.value)
@@ -218,8 +238,11 @@ def find_items(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_B
                 hits = [(old or []) + [{"item_id": a, "start": b, "stop": c, "edits": d} for a, b, c, d in new] for old, new in zip(batch.column(2).to_pylist(), found, strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(hits, hit_type)], names=["doc_id", "text", "hits"])
 
-        out = out.mapInArrow(search, "doc_id bigint, text string, hits array<struct<item_id:bigint,start:bigint,stop:bigint,edits:bigint>>")
-    best = F.array_min(F.transform("hits", lambda h: F.struct(h["edits"].alias("edits"), h["item_id"].alias("item_id"))))
-    text = F.transform(F.array_sort(F.transform("hits", lambda h: F.struct(h["start"], h["stop"], h["item_id"], h["edits"]))), lambda h: F.concat_ws(":", h["item_id"], h["start"], h["stop"], h["edits"]))
+        return add
+
+    out = _in_turn(docs, benchmark, block_bytes, search)
+    best = F.array_min(F.transform("hits", lambda h: F.struct(h["edits"].alias("edits"), h["item_id"].isNull().alias("unnamed"), h["item_id"].alias("item_id"))))
+    named = lambda h: F.concat_ws(":", F.coalesce(h["item_id"].cast("string"), F.lit("null")), h["start"], h["stop"], h["edits"])
+    text = F.transform(F.array_sort(F.transform("hits", lambda h: F.struct(h["start"], h["stop"], h["item_id"], h["edits"]))), named)
     n = F.size("hits")
     return out.select("doc_id", (n > 0).alias("contaminated"), n.cast("bigint").alias("n_passages"), best["item_id"].alias("item_id"), best["edits"].alias("edits"), F.concat_ws(",", text).alias("passages"))

@@ -414,6 +414,42 @@ def test_decontamination_recall_against_brute_force():
     assert sum(true) >= 2900 and sum(h for h, w in zip(hit, true, strict=True) if w) >= decontaminate.RECALL * sum(true)
 
 
+def test_decontamination_against_every_place(spark):
+    r = random.Random(16)
+    items = [(i, prose(r, 12 + 3 * i)) for i in range(14)]
+    rows = []
+    for n in range(120):
+        text = prose(r, 60)
+        if n % 2:
+            s = list(r.choice(items)[1])
+            for _ in range(r.randint(0, int(len(s) * 1.5 * decontaminate.BUDGET))):
+                s[r.randrange(len(s))] = r.choice("aeiq ")
+            text += " " + "".join(s) + " " + prose(r, 20)
+        rows.append((n, text))
+    want = {}
+    for n, text in rows:
+        hits = [(d[0], i) for i, t in items if (d := decontaminate.distance_within(decontaminate.fold(t), decontaminate.fold(text), int(len(t) * decontaminate.BUDGET)))]
+        want[n] = min(hits, default=None)
+    d, bench = spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    got = {x["doc_id"]: x for x in decontaminate.find_items(d, bench).collect()}
+    assert sum(w is not None for w in want.values()) > 25
+    assert {n: (x["edits"], x["item_id"]) if x["contaminated"] else None for n, x in got.items()} == want
+
+
+def test_decontamination_of_repetitive_texts_and_unnamed_items(spark):
+    found = [(n % 3, 7 * n, 7 * n + 30, n % 5) for n in range(200_000)]
+    began = time.monotonic()
+    kept = decontaminate.best_of(found)
+    assert time.monotonic() - began < 10
+    for n in range(3):
+        mine = [k for k in kept if k[0] == n]
+        assert all(a[2] <= b[1] for a, b in zip(mine, mine[1:], strict=False))
+    item = prose(random.Random(3), 30)
+    bench = spark.createDataFrame([(None, item)], "item_id bigint, text string")
+    x = decontaminate.find_items(spark.createDataFrame([(1, "so " + item)], "doc_id bigint, text string"), bench).first()
+    assert x["contaminated"] and x["item_id"] is None and x["passages"] == f"null:3:{3 + len(item)}:0"
+
+
 def test_lm_scores(docs, empty, spark):
     assert neural_lm.score_texts(empty).count() == 0
     words = lambda t: (t or "").encode().lower().split()
