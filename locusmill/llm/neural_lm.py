@@ -1,58 +1,79 @@
 """LM scoring: a log-bilinear neural model trained in numpy with noise-contrastive estimation.
 
-Words are grouped into SYMBOLS symbols: the most frequent words and the end mark have one each, all
-other words share symbols by their last bytes.  A word's probability is
+The FREQUENT commonest words and the end mark are symbols of their own; every other word shares one
+of CLASSES tail symbols with words of like endings.  Symbols lie in CLASSES classes of MEMBERS, also by
+their endings, each with one tail symbol.  A word's probability is
 
-    P(word | two symbols before) = P(symbol | two symbols before) * P(word | symbol)
+    P(class | context) * P(symbol | class, context) * P(word | symbol)
 
-The first factor is the log-bilinear model: the context predicts a vector, its products with all
-symbol vectors give the scores.  Its training counts - how often each symbol follows each pair - are
-taken over ALL training texts in one distributed pass; the fixed number of cells (SYMBOLS**3) bounds
-what reaches the driver.  Training minimises the noise-contrastive loss with the symbols' own
-frequencies as noise, over all counts in every step, so no training token is left to a draw;
-afterwards one batched matrix product over all contexts and a log-softmax
-give exactly normalised log-probabilities, which scoring looks up.  The second factor is an add-one
-estimate inside the symbol with one place for unseen words, so it needs the corpus-wide word counts,
-which reach the documents by the frequency-split join of `wordjoin`.
+The context is the CONTEXT symbols before: their vectors, each scaled by weights of its place, add up
+to the predicted vector, whose products with the vectors of the classes, and of the symbols of one
+class, are the scores.  Both levels are trained by noise-contrastive estimation with their own
+frequencies as noise, which enters by its expectation; scoring normalises both by batched matrix
+products.  The last factor is an add-one estimate inside the symbol with one place for unseen words; it
+needs the corpus-wide word counts, which reach the documents by the frequency-split join of `wordjoin`.
+
+Every training token is used once.  Each task trains on its own texts from common parameters, and the
+results are averaged by their tokens in a tree of AVERAGED at a time, ROUNDS times over the shares of
+the texts; no text and no count of contexts reaches the driver, only parameters of fixed size.
 
 Edge cases: null and empty texts consist of the end mark alone; without training rows every count
-is 0 and the model is uniform; null doc_ids are held in training (they have no remainder); repeated
-rows are scored row by row; an empty table gives an empty result.
+is 0 and the model is uniform over what the symbols allow; null doc_ids are held in training (they have
+no remainder); repeated rows are scored row by row; words that tie in frequency are taken in their
+order; texts of any length are scored whole; an empty table gives an empty result; columns besides
+doc_id and text, whatever their names, are not looked at.
 """
 
 from __future__ import annotations
 
-import zlib
+import bisect
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import wordjoin
 from .common import lower_words, remainder, small_batches, stored
 
-SYMBOLS = 128
-FREQUENT = 95  # own symbols; then the end mark; the rest are shared
-END = FREQUENT
-DIM = 24
+CLASSES, MEMBERS = 64, 64
+SYMBOLS = CLASSES * MEMBERS
+FREQUENT = SYMBOLS - CLASSES - 1  # words with a symbol of their own
+DIM = 16
+CONTEXT = 3
 NOISE = 10
-STEPS = 800  # passes over all training counts
+BATCH = 8192  # tokens a step of training sees
+ROUNDS = 2
+AVERAGED = 64
+CHUNK = 32_768  # tokens scored at once
 
 
 class Symbols:
-    """word -> symbol, with a cache whose bound changes the speed only."""
-
-    def __init__(self, frequent: list[bytes], bound: int = 1_000_000):
-        self.fixed = {w: i for i, w in enumerate(frequent[:FREQUENT])}
-        self.bound = bound
-        self.cache = dict(self.fixed)
+    """word -> symbol, with a cache whose bound changes the speed only.  Symbol c * MEMBERS + j is member
+    j of class c; the last member is the class's tail."""
+
+    def __init__(self, frequent: list[bytes], bound: int = 500_000):
+        own = sorted((w[::-1] for w in frequent[:FREQUENT]))
+        seats = CLASSES * (MEMBERS - 1) - 1  # one seat is the end mark's, the last of the last class
+        self.fixed, self.first = {}, []
+        for i, w in enumerate(own):
+            seat = i * seats // max(1, len(own))
+            self.fixed[w[::-1]] = seat // (MEMBERS - 1) * MEMBERS + seat % (MEMBERS - 1)
+        at = {s // MEMBERS: w[::-1] for w, s in sorted(self.fixed.items(), key=lambda x: x[0][::-1], reverse=True)}  # least of each class
+        self.classes = sorted(at)
+        self.first = [at[c] for c in self.classes]
+        self.end = SYMBOLS - 2
+        self.bound, self.cache = bound, dict(self.fixed)
 
     def of(self, word: bytes) -> int:
         s = self.fixed.get(word)
-        return s if s is not None else END + 1 + zlib.crc32(word[-3:]) % (SYMBOLS - END - 1)
+        if s is not None:
+            return s
+        k = bisect.bisect_right(self.first, word[::-1]) - 1
+        return (self.classes[max(k, 0)] if self.classes else 0) * MEMBERS + MEMBERS - 1
 
     def __call__(self, words: list[bytes]) -> list[int]:
         found = list(map(self.cache.get, words))
@@ -64,85 +85,161 @@ class Symbols:
                     found[i] = self.cache[words[i]] = self.of(words[i])
         return found
 
-    def contexts(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(index of the two symbols before, symbol) for every token, the end mark included.  Text
-        starts are preceded by end marks."""
-        s = np.array([END, END, *self(words), END], np.int64)
-        return s[:-2] * SYMBOLS + s[1:-1], s[2:]
-
-
-def triple_counts(docs: DataFrame, frequent: list[bytes]) -> np.ndarray:
-    """[pairs, symbol] counts over all texts of docs."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        symbols, held = Symbols(frequent), np.zeros(SYMBOLS**3, np.int64)
-        parts, n = [], 0
-
-        def fold() -> None:
-            nonlocal parts, n
-            if parts:
-                np.add(held, np.bincount(np.concatenate(parts), minlength=SYMBOLS**3), out=held)
-            parts, n = [], 0
-
-        for batch in batches:
-            for text in batch.column(0):
-                pair, s = symbols.contexts(lower_words(text.as_py()))
-                parts.append(pair * SYMBOLS + s)
-                n += len(s)
-                if n > 2_000_000:
-                    fold()
-        fold()
-        at = np.flatnonzero(held)
-        for i in range(0, len(at), 200_000):
-            some = at[i : i + 200_000]
-            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(held[some])], names=["cell", "n"])
-
-    rows = docs.select("text").mapInArrow(count, "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n"))
-    out = np.zeros(SYMBOLS**3, np.int64)
-    found = rows.toArrow()
-    out[found.column("cell").to_numpy()] = found.column("n").to_numpy()
-    return out.reshape(SYMBOLS * SYMBOLS, SYMBOLS)
-
-
-def train(counts: np.ndarray, steps: int = STEPS, seed: int = 7) -> np.ndarray:
-    """Normalised log10-probability table [pairs, symbol] of the log-bilinear model.  Every step sees
-    every training token: the loss is linear in the counts, and the noise enters by its expectation."""
-    rng = np.random.default_rng(seed)
-    r = rng.normal(0, 0.1, (SYMBOLS, DIM)).astype(np.float32)  # context vectors
-    q = rng.normal(0, 0.1, (SYMBOLS, DIM)).astype(np.float32)  # predicted vectors
-    c = (np.stack([np.eye(DIM), np.eye(DIM)]) * 0.7).astype(np.float32)  # one matrix a position
-    unigram = counts.sum(0) + 1.0
-    unigram /= unigram.sum()
-    b = np.log(unigram).astype(np.float32)
-    total = counts.sum()
-    if total:
-        seen = np.flatnonzero(counts.any(1))
-        w2, w1 = seen // SYMBOLS, seen % SYMBOLS
-        of2, of1 = (np.equal.outer(np.arange(SYMBOLS), w).astype(np.float32) for w in (w2, w1))
-        share = counts[seen] / total
-        log_noise = np.log(NOISE * unigram).astype(np.float32)
-        both = (share + share.sum(1, keepdims=True) * NOISE * unigram).astype(np.float32)  # tokens and noise
-        share = share.astype(np.float32)
-        params = [r, q, c, b]
-        sums = [np.full_like(p, 1e-30) for p in params]  # no floor: the rarest symbols learn as well
-        for step in range(steps):
-            h = (r @ c[0])[w2] + (r @ c[1])[w1]
-            score = h @ q.T + b  # all contexts and symbols at once: one matrix product
-            with np.errstate(over="ignore"):  # an infinite odds against is a share of 0
-                g = share - both / (1 + np.exp(log_noise - score))
-            gh = g @ q
-            g2, g1 = of2 @ gh, of1 @ gh
-            grads = [g2 @ c[0].T + g1 @ c[1].T, g.T @ h, np.stack([r.T @ g2, r.T @ g1]), g.sum(0)]
-            rate = np.float32(0.1 * (1 - 0.9 * step / steps))
-            for p, s, d in zip(params, sums, grads, strict=True):
-                s += d * d
-                p += rate * d / np.sqrt(s)
-        r, q, c, b = (p.astype(np.float64) for p in params)
-    vec = ((r @ c[0])[:, None, :] + (r @ c[1])[None, :, :]).reshape(-1, DIM)
-    score = vec @ q.T + b
-    score -= score.max(1, keepdims=True)
-    score -= np.log(np.exp(score).sum(1, keepdims=True))
-    return score / np.log(10)
+    def tokens(self, texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(symbols, places of tokens, text of each token) of a batch: every text's symbols and end mark
+        behind CONTEXT end marks that are not tokens."""
+        flat, sizes = [], []
+        for t in texts:
+            s = self(lower_words(t))
+            flat.extend([self.end] * CONTEXT)
+            flat.extend(s)
+            flat.append(self.end)
+            sizes.append(len(s) + 1)
+        n = np.array(sizes, np.int64)
+        of = np.repeat(np.arange(len(n)), n)
+        return np.array(flat, np.int32), np.arange(len(of)) + CONTEXT * (of + 1), of
+
+
+def usable(counts: np.ndarray, symbols: Symbols) -> np.ndarray:
+    """Symbols that some word or the end mark can take."""
+    out = np.zeros(SYMBOLS, bool)
+    out[list(symbols.fixed.values())] = True
+    out[[symbols.end, *(c * MEMBERS + MEMBERS - 1 for c in symbols.classes or [0])]] = True
+    return out
+
+
+class Model:
+    """Parameters of the log-bilinear model and what scoring and training do with them."""
+
+    def __init__(self, counts: np.ndarray, symbols: Symbols, seed: int = 7):
+        rng = np.random.default_rng(seed)
+        small = lambda *shape: rng.normal(0, 0.1, shape).astype(np.float32)
+        mass = np.where(usable(counts, symbols), counts + 0.5, 0.0)
+        by_class = mass.reshape(CLASSES, MEMBERS)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            self.class_noise = (by_class.sum(1) / mass.sum()).astype(np.float32)
+            self.member_noise = np.nan_to_num(by_class / by_class.sum(1, keepdims=True)).astype(np.float32)
+            logs = [np.maximum(np.log(x), -60) for x in (self.class_noise, self.member_noise.ravel())]
+        # context vectors, weights of places, class vectors and biases, symbol vectors and biases
+        self.params = [small(SYMBOLS, DIM), np.full((CONTEXT, DIM), 0.7, np.float32), small(CLASSES, DIM), logs[0].astype(np.float32), small(SYMBOLS, DIM), logs[1].astype(np.float32)]
+
+    def pack(self) -> bytes:
+        return np.concatenate([p.ravel() for p in self.params]).tobytes()
+
+    def unpack(self, raw: bytes) -> None:
+        flat, at = np.frombuffer(raw, np.float32), 0
+        for i, p in enumerate(self.params):
+            self.params[i] = flat[at : at + p.size].reshape(p.shape).copy()
+            at += p.size
+
+    def predicted(self, context: list[np.ndarray]) -> np.ndarray:
+        r, d = self.params[:2]
+        return sum(r.take(c, 0) * d[i] for i, c in enumerate(context))
+
+    @staticmethod
+    def _by_class(target: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+        """Tokens in order of their class, and each class's part of them."""
+        own = target // MEMBERS
+        order = np.argsort(own, kind="stable")
+        edge = np.searchsorted(own[order], np.arange(CLASSES + 1))
+        return order, [(c, int(a), int(b)) for c, (a, b) in enumerate(zip(edge[:-1], edge[1:], strict=True)) if b > a]
+
+    def log_probs(self, symbols: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """log10 P(symbol | context) of the tokens at the given places."""
+        _, _, qc, bc, qw, bw = self.params
+        out = np.empty(len(at))
+
+        def normalised(score: np.ndarray, pick: np.ndarray) -> np.ndarray:
+            score -= score.max(1, keepdims=True)
+            return score[np.arange(len(pick)), pick].astype(np.float64) - np.log(np.exp(score).sum(1, dtype=np.float64))
+
+        for k in range(0, len(at), CHUNK):
+            place = at[k : k + CHUNK]
+            target = symbols[place]
+            h = self.predicted([symbols[place - 1 - i] for i in range(CONTEXT)])
+            found = normalised(h @ qc.T + bc, target // MEMBERS)
+            order, parts = self._by_class(target)
+            hs, members = h[order], target[order] % MEMBERS
+            for c, a, b in parts:
+                w = slice(c * MEMBERS, (c + 1) * MEMBERS)
+                found[order[a:b]] += normalised(hs[a:b] @ qw[w].T + bw[w], members[a:b])
+            out[k : k + CHUNK] = found
+        return out / np.log(10)
+
+    def step(self, symbols: np.ndarray, at: np.ndarray, sums: list[np.ndarray], rate: float) -> None:
+        """One step of noise-contrastive estimation on the tokens at the given places."""
+        r, d, qc, bc, qw, bw = self.params
+        context, target = [symbols[at - 1 - i] for i in range(CONTEXT)], symbols[at]
+        h = self.predicted(context)
+
+        def slope(score: np.ndarray, noise: np.ndarray, pick: np.ndarray) -> np.ndarray:
+            """Of the loss by the scores: the target against NOISE draws from the noise."""
+            weight = np.float32(NOISE) * noise
+            with np.errstate(over="ignore", divide="ignore", invalid="ignore"):
+                true = 1 / (1 + weight * np.exp(-score))  # how likely a score's symbol is no noise
+            g = -weight * true
+            g[np.arange(len(pick)), pick] += 1 - true[np.arange(len(pick)), pick]
+            return g
+
+        g = slope(h @ qc.T + bc, self.class_noise, target // MEMBERS)
+        gh, grads = g @ qc, [None, None, g.T @ h, g.sum(0), np.zeros_like(qw), np.zeros_like(bw)]
+        order, parts = self._by_class(target)
+        hs, members, back = h[order], target[order] % MEMBERS, np.empty_like(h)
+        for c, a, b in parts:
+            w = slice(c * MEMBERS, (c + 1) * MEMBERS)
+            g = slope(hs[a:b] @ qw[w].T + bw[w], self.member_noise[c], members[a:b])
+            back[a:b] = g @ qw[w]
+            grads[4][w], grads[5][w] = g.T @ hs[a:b], g.sum(0)
+        gh[order] += back
+        grads[1] = np.stack([(gh * r.take(c, 0)).sum(0) for c in context])
+        everywhere = np.concatenate(context)
+        pulled = np.concatenate([gh * d[i] for i in range(CONTEXT)])
+        grads[0] = np.stack([np.bincount(everywhere, weights=pulled[:, j], minlength=SYMBOLS) for j in range(DIM)], 1).astype(np.float32)
+        for p, s, x in zip(self.params, sums, grads, strict=True):
+            s += x * x
+            p += np.float32(rate) * x / np.sqrt(s)
+
+    def train(self, batches: Iterator[tuple[np.ndarray, np.ndarray]], rate: float = 0.06) -> int:
+        """Steps over (symbols, places) of texts in turn; how many tokens there were."""
+        sums, seen = [np.full_like(p, 1e-8) for p in self.params], 0
+        for symbols, at in batches:
+            for k in range(0, len(at), BATCH):
+                self.step(symbols, at[k : k + BATCH], sums, rate)
+            seen += len(at)
+        return seen
+
+
+def _averaged(table: pa.Table) -> pa.Table:
+    n = np.array(table.column("n").to_pylist(), np.float64)
+    order = np.argsort(table.column("part").to_numpy(), kind="stable")
+    total = sum(n[i] * np.frombuffer(table.column("model")[int(i)].as_py(), np.float32).astype(np.float64) for i in order)
+    return pa.table({"part": pa.array([int(table.column("part")[int(order[0])].as_py())], pa.int32()), "n": pa.array([float(n.sum())]), "model": pa.array([(total / n.sum()).astype(np.float32).tobytes()], pa.binary())})
+
+
+def fit(train_docs: DataFrame, model: Model, frequent: list[bytes], rounds: int = ROUNDS) -> Model:
+    """Trains on every text of train_docs once, a share of them a round, and averages after each."""
+    share = F.pmod(F.xxhash64("doc_id", "text"), F.lit(rounds))
+    for turn in range(rounds):
+        shared = train_docs.sparkSession.sparkContext.broadcast((model, frequent))
+
+        def learn(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            start, words = shared.value
+            own = Model.__new__(Model)
+            own.__dict__.update(start.__dict__, params=[p.copy() for p in start.params])
+            symbols = Symbols(words)
+            n = own.train(symbols.tokens(b.column(0).to_pylist())[:2] for b in batches)
+            if n:
+                yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([float(n)]), pa.array([own.pack()], pa.binary())], names=["part", "n", "model"])
+
+        schema = "part int, n double, model binary"
+        made = stored(train_docs.filter(share == turn).select("text").mapInArrow(learn, schema), "models")
+        while made.count() > AVERAGED:  # neighbours are averaged AVERAGED at a time
+            made = stored(made.groupBy(F.floor(F.col("part") / AVERAGED).alias("g")).applyInArrow(lambda t: _averaged(t.drop_columns(["g"]) if "g" in t.column_names else t), schema).withColumn("part", F.floor(F.col("part") / AVERAGED).cast("int")), "models")
+        rows = made.toArrow()  # at most AVERAGED models of fixed size
+        if rows.num_rows:
+            model.unpack(_averaged(rows).column("model")[0].as_py())
+        shared.unpersist()
+    return model
 
 
 @dataclass
@@ -153,13 +250,14 @@ class Corpus:
     distinct: int  # V, the end mark included
     texts: int
     frequent: list[bytes]
+    counts: np.ndarray  # of each symbol's words
     place: np.ndarray  # log10 of (count + distinct + 1) of each symbol's words
 
 
 def learn_counts(train_docs: DataFrame) -> tuple[DataFrame, Corpus]:
     """The word table (unit, n, value = log10(n + 1)) and the corpus figures."""
     table = stored(wordjoin.count_units(train_docs, lower_words).withColumn("value", F.log10(F.col("n") + 1.0)), "words")
-    frequent = [row["unit"].encode() for row in table.orderBy(F.desc("n"), "unit").select("unit", "n").limit(FREQUENT).collect()]
+    frequent = [row["unit"].encode() for row in table.filter(~F.startswith("unit", F.lit("\x01"))).orderBy(F.desc("n"), "unit").select("unit", "n").limit(FREQUENT).collect()]
     symbol = Symbols(frequent)
 
     def by_symbol(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,8 +272,8 @@ def learn_counts(train_docs: DataFrame) -> tuple[DataFrame, Corpus]:
     texts = train_docs.count()
     n = np.array([sums.get(s, (0, 0))[0] for s in range(SYMBOLS)], float)
     v = np.array([sums.get(s, (0, 0))[1] for s in range(SYMBOLS)], float)
-    n[END], v[END] = texts, 1 if texts else 0
-    return table, Corpus(int(n.sum()), int(v.sum()), texts, frequent, np.log10(n + v + 1))
+    n[symbol.end], v[symbol.end] = texts, 1 if texts else 0
+    return table, Corpus(int(n.sum()), int(v.sum()), texts, frequent, n, np.log10(n + v + 1))
 
 
 def score_texts(docs: DataFrame, modulus: int = 7, held: int = 2, hot_limit: int = wordjoin.HOT_UNITS) -> DataFrame:
@@ -184,16 +282,18 @@ def score_texts(docs: DataFrame, modulus: int = 7, held: int = 2, hot_limit: int
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     train_docs = docs.filter(F.coalesce(remainder("doc_id", modulus), F.lit(-1)) != held)
     table, corpus = learn_counts(train_docs)
-    log_table = train(triple_counts(train_docs, corpus.frequent))
-    shared = docs.sparkSession.sparkContext.broadcast((log_table - corpus.place[None, :]).ravel())
-    frequent, end_value = corpus.frequent, float(np.log10(corpus.texts + 1))
+    model = fit(train_docs, Model(corpus.counts, Symbols(corpus.frequent)), corpus.frequent)
+    shared = docs.sparkSession.sparkContext.broadcast((model, corpus.frequent, corpus.place))
+    end_value = float(np.log10(corpus.texts + 1))
     hot = {u.encode(): v[0] for u, v in wordjoin.hot_units(table, "value", limit=hot_limit).items()}
     state: dict = {}
 
-    def extra(text: str) -> tuple:
+    def extra(texts: list) -> Iterator[tuple]:
+        model, frequent, place = shared.value
         symbols = state.get("symbols") or state.setdefault("symbols", Symbols(frequent))
-        pair, s = symbols.contexts(lower_words(text))
-        return len(s), float(shared.value[pair * SYMBOLS + s].sum())
+        flat, at, of = symbols.tokens(texts)
+        gain = model.log_probs(flat, at) - place[flat[at]]
+        return zip(np.bincount(of, minlength=len(texts)).tolist(), np.bincount(of, weights=gain, minlength=len(texts)).tolist(), strict=True)
 
     rows = wordjoin.split_rows(docs, lower_words, hot, extra, [("n_tokens", pa.int64(), "bigint"), ("model", pa.float64(), "double")])
     unknown = F.sum(F.when(F.col("value").isNull(), F.col("n")).otherwise(0)).alias("unknown")

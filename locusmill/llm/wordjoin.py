@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import hashlib
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -100,11 +100,12 @@ def split_rows(
     docs: DataFrame,
     split: Callable[[str], list],
     hot: dict[str, float],
-    extra: Callable[[str], tuple],
+    extra: Callable[[list], Iterable[tuple]],
     extra_schema: list[tuple[str, pa.DataType, str]],
 ) -> DataFrame:
     """One `unit = null-like sentinel` row per document with its hot sum, plus one row per document
-    and tail unit.  `uid` tells rows apart even when doc_id repeats or is null."""
+    and tail unit.  `uid` tells rows apart even when doc_id repeats or is null;
+    `extra` gives a batch of texts their further columns."""
     shared = docs.sparkSession.sparkContext.broadcast(hot)
     names = ["uid", "unit", "n", "doc_id", "hot", *(n for n, _, _ in extra_schema)]
     types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.float64(), *(t for _, t, _ in extra_schema)]
@@ -122,8 +123,8 @@ def split_rows(
             return found
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                text = text.as_py() or ""
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            for doc_id, text, more in zip(batch.column(0).to_pylist(), texts, extra(texts), strict=True):
                 uid += 1
                 total, tail = 0.0, []
                 for unit, n in Counter(split(text)).items():
@@ -136,7 +137,7 @@ def split_rows(
                             tail.append((key, n))
                             continue
                     total += v * n
-                for c, v in zip(cols, (uid, f"\0{uid}", 0, doc_id, total, *extra(text)), strict=True):
+                for c, v in zip(cols, (uid, f"\0{uid}", 0, doc_id, total, *more), strict=True):
                     c.append(v)
                 if tail:
                     k = len(tail)

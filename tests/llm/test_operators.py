@@ -468,28 +468,86 @@ def test_lm_scores(docs, empty, spark):
             assert r["held_out"] == (r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 7 == 2) and r["score"] < 0
 
 
+def _plain_log10(model, symbols, words):
+    """The model's log10 probability of each symbol of a text and of its end mark, spelt out."""
+    r, d, qc, bc, qw, bw = (p.astype(float) for p in model.params)
+    s = [symbols.end] * neural_lm.CONTEXT + [symbols.of(w) for w in words] + [symbols.end]
+    out = []
+    for k in range(neural_lm.CONTEXT, len(s)):
+        h = sum(r[s[k - 1 - i]] * d[i] for i in range(neural_lm.CONTEXT))
+        c, j = divmod(s[k], neural_lm.MEMBERS)
+        w = slice(c * neural_lm.MEMBERS, (c + 1) * neural_lm.MEMBERS)
+        soft = lambda x, i: x[i] - x.max() - math.log(np.exp(x - x.max()).sum())
+        out.append((soft(qc @ h + bc, c) + soft(qw[w] @ h + bw[w], j)) / math.log(10))
+    return out
+
+
+def test_lm_scores_against_brute_force(spark, monkeypatch):
+    r = random.Random(51)
+    rows = [(i, prose(r, r.randint(0, 60)) if i else None) for i in range(60)]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string")
+    made = {}
+    keep = neural_lm.fit
+    monkeypatch.setattr(neural_lm, "fit", lambda docs, model, frequent, **o: made.setdefault("m", (keep(docs, model, frequent, **o), frequent))[0])
+    monkeypatch.setattr(neural_lm, "FREQUENT", 40)
+    got = {x["doc_id"]: x["score"] for x in neural_lm.score_texts(d, hot_limit=10).collect()}
+    model, frequent = made["m"]
+    assert len(frequent) == 40
+    symbols = neural_lm.Symbols(frequent)
+    train = [t for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2]
+    c = collections.Counter(w for t in train for w in (t or "").encode().lower().split())
+    n, v = collections.Counter(), collections.Counter()
+    for w, k in c.items():
+        n[symbols.of(w)] += k
+        v[symbols.of(w)] += 1
+    n[symbols.end], v[symbols.end] = len(train), 1
+    for i, t in rows:
+        words = (t or "").encode().lower().split()
+        inside = [math.log10(((c[w] if w else len(train)) + 1) / (n[s] + v[s] + 1)) for w, s in [*((w, symbols.of(w)) for w in words), (None, symbols.end)]]
+        assert got[i] == pytest.approx(sum(_plain_log10(model, symbols, words)) + sum(inside), rel=1e-4)
+
+
 def test_lm_is_normalised_and_learns():
-    r = np.random.default_rng(0)
-    counts = np.zeros((neural_lm.SYMBOLS**2, neural_lm.SYMBOLS), np.int64)
-    for last in range(20):  # each symbol is followed by the next one
-        counts[r.integers(0, neural_lm.SYMBOLS, 30) * neural_lm.SYMBOLS + last, (last + 1) % 20] += 50
-    table = neural_lm.train(counts)
-    assert np.allclose((10**table).sum(1), 1)
-    unigram = np.log10((counts.sum(0) + 1) / (counts.sum() + neural_lm.SYMBOLS))
-    assert (counts * table).sum() > (counts * unigram).sum() * 0.6
-
-
-def test_lm_learns_from_every_training_token():
-    counts = np.zeros((neural_lm.SYMBOLS**2, neural_lm.SYMBOLS), np.int64)
-    counts[:, 0] = 10**11 // len(counts)
-    follows = {5: 7, 6: 8}  # one in 2.5 billion tokens: draws of a few million miss them
-    for last, then in follows.items():
-        counts[last * neural_lm.SYMBOLS + last, [0, then]] = 0, 20
-    table = neural_lm.train(counts)
-    for last, then in follows.items():
-        row = table[last * neural_lm.SYMBOLS + last]
-        other = table[11 * neural_lm.SYMBOLS + 11]
-        assert row[then] > other[then] + 1
+    r = random.Random(3)
+    words = [prose(r, 1).rstrip(".").encode() + b"%d" % i for i in range(600)]
+    follow = {w: r.sample(words, 3) for w in words}
+
+    def text():
+        w, out = r.choice(words), []
+        for _ in range(200):
+            out.append(w)
+            w = r.choice(follow[w])
+        return b" ".join(out).decode()
+
+    train, held = [text() for _ in range(2000)], [text() for _ in range(20)]
+    symbols = neural_lm.Symbols(words)
+    counts = np.bincount(symbols.tokens(train)[0][symbols.tokens(train)[1]], minlength=neural_lm.SYMBOLS)
+    model = neural_lm.Model(counts, symbols)
+    flat, at, _ = symbols.tokens(held)
+    before = model.log_probs(flat, at).mean()
+    model.train(symbols.tokens(train[k : k + 50])[:2] for k in range(0, len(train), 50))
+    after = model.log_probs(flat, at).mean()
+    unigram = np.log10(counts[flat[at]] / counts.sum()).mean()
+    assert after > before + 0.3 and after > unigram + 0.3
+    total = np.zeros(5)
+    for s in range(neural_lm.SYMBOLS):  # over all that may follow five contexts
+        some = np.concatenate([[*flat[at[k] - 3 : at[k]], s] for k in range(5)])
+        total += 10 ** model.log_probs(some.astype(np.int32), np.arange(5) * 4 + 3)
+    assert np.allclose(total, 1, atol=1e-4)
+
+
+def test_lm_models_are_averaged_by_their_tokens(spark, monkeypatch):
+    r = random.Random(5)
+    d = spark.createDataFrame([(i, prose(r, 30)) for i in range(40)], "doc_id bigint, text string").repartition(9)
+    words = sorted({w for x in d.collect() for w in x["text"].encode().lower().split()})
+    symbols = neural_lm.Symbols(words)
+    flat, at, _ = symbols.tokens([x["text"] for x in d.collect()])
+    counts = np.bincount(flat[at], minlength=neural_lm.SYMBOLS)
+    flatly = neural_lm.fit(d, neural_lm.Model(counts, symbols), words, rounds=1)
+    monkeypatch.setattr(neural_lm, "AVERAGED", 2)
+    by_tree = neural_lm.fit(d, neural_lm.Model(counts, symbols), words, rounds=1)
+    assert all(np.allclose(a, b, atol=1e-5) for a, b in zip(flatly.params, by_tree.params, strict=True))
+    assert not np.allclose(flatly.params[4], neural_lm.Model(counts, symbols).params[4])
 
 
 def test_quality(docs, empty, spark):
