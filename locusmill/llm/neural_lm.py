@@ -150,19 +150,25 @@ class Model:
         out = np.empty(len(at))
 
         def normalised(score: np.ndarray, pick: np.ndarray) -> np.ndarray:
-            score -= score.max(1, keepdims=True)
-            return score[np.arange(len(pick)), pick].astype(np.float64) - np.log(np.exp(score).sum(1, dtype=np.float64))
+            """Of one column a token: row pick's log-softmax."""
+            score -= score.max(0)
+            out = score[pick, np.arange(len(pick))].astype(np.float64)
+            return out - np.log(np.exp(score, out=score).sum(0))
 
         for k in range(0, len(at), CHUNK):
             place = at[k : k + CHUNK]
             target = symbols[place]
             h = self.predicted([symbols[place - 1 - i] for i in range(CONTEXT)])
-            found = normalised(h @ qc.T + bc, target // MEMBERS)
+            score = qc @ h.T
+            score += bc[:, None]
+            found = normalised(score, target // MEMBERS)
             order, parts = self._by_class(target)
             hs, members = h[order], target[order] % MEMBERS
             for c, a, b in parts:
                 w = slice(c * MEMBERS, (c + 1) * MEMBERS)
-                found[order[a:b]] += normalised(hs[a:b] @ qw[w].T + bw[w], members[a:b])
+                score = qw[w] @ hs[a:b].T
+                score += bw[w, None]
+                found[order[a:b]] += normalised(score, members[a:b])
             out[k : k + CHUNK] = found
         return out / np.log(10)
 
@@ -172,24 +178,32 @@ class Model:
         context, target = [symbols[at - 1 - i] for i in range(CONTEXT)], symbols[at]
         h = self.predicted(context)
 
-        def slope(score: np.ndarray, noise: np.ndarray, pick: np.ndarray) -> np.ndarray:
-            """Of the loss by the scores: the target against NOISE draws from the noise."""
-            weight = np.float32(NOISE) * noise
-            with np.errstate(over="ignore", divide="ignore", invalid="ignore"):
-                true = 1 / (1 + weight * np.exp(-score))  # how likely a score's symbol is no noise
-            g = -weight * true
-            g[np.arange(len(pick)), pick] += 1 - true[np.arange(len(pick)), pick]
-            return g
-
-        g = slope(h @ qc.T + bc, self.class_noise, target // MEMBERS)
-        gh, grads = g @ qc, [None, None, g.T @ h, g.sum(0), np.zeros_like(qw), np.zeros_like(bw)]
-        order, parts = self._by_class(target)
-        hs, members, back = h[order], target[order] % MEMBERS, np.empty_like(h)
-        for c, a, b in parts:
-            w = slice(c * MEMBERS, (c + 1) * MEMBERS)
-            g = slope(hs[a:b] @ qw[w].T + bw[w], self.member_noise[c], members[a:b])
-            back[a:b] = g @ qw[w]
-            grads[4][w], grads[5][w] = g.T @ hs[a:b], g.sum(0)
+        def slope(score: np.ndarray, weight: np.ndarray, pick: np.ndarray) -> np.ndarray:
+            """Of the loss by the scores, one column a token: the target against its share of noise.  A
+            score is a true symbol's with probability 1 / (1 + weight / exp(score))."""
+            np.exp(np.negative(score, out=score), out=score)
+            score *= weight
+            score += 1
+            columns = np.arange(len(pick))
+            true = 1 / score[pick, columns]
+            np.divide(-weight, score, out=score)
+            score[pick, columns] += 1 - true
+            return score
+
+        with np.errstate(over="ignore", invalid="ignore"):
+            score = qc @ h.T
+            score += bc[:, None]
+            g = slope(score, NOISE * self.class_noise[:, None], target // MEMBERS)
+            gh, grads = g.T @ qc, [None, None, g @ h, g.sum(1), np.zeros_like(qw), np.zeros_like(bw)]
+            order, parts = self._by_class(target)
+            hs, members, back = h[order], target[order] % MEMBERS, np.empty_like(h)
+            for c, a, b in parts:
+                w = slice(c * MEMBERS, (c + 1) * MEMBERS)
+                score = qw[w] @ hs[a:b].T
+                score += bw[w, None]
+                g = slope(score, NOISE * self.member_noise[c][:, None], members[a:b])
+                back[a:b] = g.T @ qw[w]
+                grads[4][w], grads[5][w] = g @ hs[a:b], g.sum(1)
         gh[order] += back
         grads[1] = np.stack([(gh * r.take(c, 0)).sum(0) for c in context])
         everywhere = np.concatenate(context)
