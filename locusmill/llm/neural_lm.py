@@ -8,9 +8,8 @@ their endings, each with one tail symbol.  A word's probability is
 
 The context is the CONTEXT symbols before: their vectors, each scaled by weights of its place, add up
 to the predicted vector, whose products with the vectors of the classes, and of the symbols of one
-class, are the scores.  Both levels are trained by noise-contrastive estimation with their own
-frequencies as noise, which enters by its expectation; scoring normalises both by batched matrix
-products.  The last factor is an add-one estimate inside the symbol with one place for unseen words; it
+class, are the scores.  Both levels are trained by noise-contrastive estimation against NOISE symbols
+drawn by their own frequencies; scoring normalises both by batched matrix products.  The last factor is an add-one estimate inside the symbol with one place for unseen words; it
 needs the corpus-wide word counts, which reach the documents by the frequency-split join of `wordjoin`.
 
 Every training token is used once.  Each task trains on its own texts from common parameters, and the
@@ -44,11 +43,11 @@ SYMBOLS = CLASSES * MEMBERS
 FREQUENT = SYMBOLS - CLASSES - 1  # words with a symbol of their own
 DIM = 16
 CONTEXT = 3
-NOISE = 10
+NOISE = 32
 BATCH = 8192  # tokens a step of training sees
 ROUNDS = 2
-AVERAGED = 64
-CHUNK = 32_768  # tokens scored at once
+AVERAGED = 16
+CHUNK = 8192  # tokens scored at once
 
 
 class Symbols:
@@ -85,12 +84,12 @@ class Symbols:
                     found[i] = self.cache[words[i]] = self.of(words[i])
         return found
 
-    def tokens(self, texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def tokens(self, texts: list, units: list | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(symbols, places of tokens, text of each token) of a batch: every text's symbols and end mark
         behind CONTEXT end marks that are not tokens."""
         flat, sizes = [], []
-        for t in texts:
-            s = self(lower_words(t))
+        for words in units or map(lower_words, texts):
+            s = self(words)
             flat.extend([self.end] * CONTEXT)
             flat.extend(s)
             flat.append(self.end)
@@ -119,6 +118,8 @@ class Model:
         with np.errstate(divide="ignore", invalid="ignore"):
             self.class_noise = (by_class.sum(1) / mass.sum()).astype(np.float32)
             self.member_noise = np.nan_to_num(by_class / by_class.sum(1, keepdims=True)).astype(np.float32)
+            self.class_draw = by_class.sum(1) / mass.sum()
+            self.member_draw = np.cumsum(np.nan_to_num(by_class / by_class.sum(1, keepdims=True)), 1) * (1 - 1e-12)
             logs = [np.maximum(np.log(x), -60) for x in (self.class_noise, self.member_noise.ravel())]
         # context vectors, weights of places, class vectors and biases, symbol vectors and biases
         self.params = [small(SYMBOLS, DIM), np.full((CONTEXT, DIM), 0.7, np.float32), small(CLASSES, DIM), logs[0].astype(np.float32), small(SYMBOLS, DIM), logs[1].astype(np.float32)]
@@ -172,53 +173,68 @@ class Model:
             out[k : k + CHUNK] = found
         return out / np.log(10)
 
-    def step(self, symbols: np.ndarray, at: np.ndarray, sums: list[np.ndarray], rate: float) -> None:
-        """One step of noise-contrastive estimation on the tokens at the given places."""
+    def step(self, symbols: np.ndarray, at: np.ndarray, sums: list[np.ndarray], rate: float, rng: np.random.Generator) -> None:
+        """One step of noise-contrastive estimation on the tokens at the given places.  At each level the
+        tokens of a step share NOISE symbols drawn from the noise."""
         r, d, qc, bc, qw, bw = self.params
         context, target = [symbols[at - 1 - i] for i in range(CONTEXT)], symbols[at]
         h = self.predicted(context)
-
-        def slope(score: np.ndarray, weight: np.ndarray, pick: np.ndarray) -> np.ndarray:
-            """Of the loss by the scores, one column a token: the target against its share of noise.  A
-            score is a true symbol's with probability 1 / (1 + weight / exp(score))."""
-            np.exp(np.negative(score, out=score), out=score)
-            score *= weight
-            score += 1
-            columns = np.arange(len(pick))
-            true = 1 / score[pick, columns]
-            np.divide(-weight, score, out=score)
-            score[pick, columns] += 1 - true
-            return score
-
-        with np.errstate(over="ignore", invalid="ignore"):
-            score = qc @ h.T
-            score += bc[:, None]
-            g = slope(score, NOISE * self.class_noise[:, None], target // MEMBERS)
-            gh, grads = g.T @ qc, [None, None, g @ h, g.sum(1), np.zeros_like(qw), np.zeros_like(bw)]
-            order, parts = self._by_class(target)
-            hs, members, back = h[order], target[order] % MEMBERS, np.empty_like(h)
-            for c, a, b in parts:
-                w = slice(c * MEMBERS, (c + 1) * MEMBERS)
-                score = qw[w] @ hs[a:b].T
-                score += bw[w, None]
-                g = slope(score, NOISE * self.member_noise[c][:, None], members[a:b])
-                back[a:b] = g.T @ qw[w]
-                grads[4][w], grads[5][w] = g @ hs[a:b], g.sum(1)
-        gh[order] += back
-        grads[1] = np.stack([(gh * r.take(c, 0)).sum(0) for c in context])
-        everywhere = np.concatenate(context)
-        pulled = np.concatenate([gh * d[i] for i in range(CONTEXT)])
-        grads[0] = np.stack([np.bincount(everywhere, weights=pulled[:, j], minlength=SYMBOLS) for j in range(DIM)], 1).astype(np.float32)
+        own = target // MEMBERS
+        grads = [None, None, *(np.zeros_like(p) for p in (qc, bc, qw, bw))]
+        back = np.zeros_like(h)
+
+        def level(q, b, gq, gb, noise, pick, drawn, parts) -> None:
+            """Adds the slopes of one level: a score is a true symbol's, and no noise, with probability
+            1 / (1 + weight / exp(score))."""
+            score = np.einsum("ij,ij->i", h, q.take(pick, 0)) + b.take(pick)
+            with np.errstate(over="ignore", invalid="ignore"):
+                up = 1 - 1 / (1 + NOISE * noise.take(pick) * np.exp(-score))
+            rows = q.take(pick, 0)
+            rows *= up[:, None]
+            np.add(back, rows, out=back)
+            pulled = (h * up[:, None]).T
+            for j in range(DIM):
+                gq[:, j] += np.bincount(pick, weights=pulled[j], minlength=len(q))
+            gb += np.bincount(pick, weights=up, minlength=len(q))
+            for k, (lo, hi, tokens) in enumerate(parts):
+                names = drawn[k]
+                hs = h[tokens] if tokens is not None else h
+                down = q[names] @ hs.T
+                down += b[names, None]
+                with np.errstate(over="ignore", invalid="ignore"):
+                    np.exp(np.negative(down, out=down), out=down)
+                    down *= NOISE * noise[names, None]
+                    down += 1
+                    np.divide(-1, down, out=down)
+                if tokens is None:
+                    back[:] += down.T @ q[names]
+                else:
+                    back[tokens] += down.T @ q[names]
+                np.add.at(gq, names, down @ hs)
+                np.add.at(gb, names, down.sum(1))
+
+        classes = rng.choice(CLASSES, NOISE, p=self.class_draw)
+        level(qc, bc, grads[2], grads[3], self.class_noise, own, [classes], [(0, len(at), None)])
+        order, parts = self._by_class(target)
+        found = [(a, b, order[a:b]) for _, a, b in parts]
+        members = [c * MEMBERS + np.searchsorted(self.member_draw[c], rng.random(NOISE)) for c, _, _ in parts]
+        level(qw, bw, grads[4], grads[5], self.member_noise.ravel(), target, members, found)
+        grads[1] = np.stack([(back * r.take(c, 0)).sum(0) for c in context])
+        grads[0] = np.zeros_like(r)
+        for i, c in enumerate(context):
+            pulled = (back * d[i]).T
+            for j in range(DIM):
+                grads[0][:, j] += np.bincount(c, weights=pulled[j], minlength=SYMBOLS)
         for p, s, x in zip(self.params, sums, grads, strict=True):
             s += x * x
             p += np.float32(rate) * x / np.sqrt(s)
 
-    def train(self, batches: Iterator[tuple[np.ndarray, np.ndarray]], rate: float = 0.06) -> int:
+    def train(self, batches: Iterator[tuple[np.ndarray, np.ndarray]], rate: float = 0.12) -> int:
         """Steps over (symbols, places) of texts in turn; how many tokens there were."""
-        sums, seen = [np.full_like(p, 1e-8) for p in self.params], 0
+        sums, seen, rng = [np.full_like(p, 1e-8) for p in self.params], 0, np.random.default_rng(17)
         for symbols, at in batches:
             for k in range(0, len(at), BATCH):
-                self.step(symbols, at[k : k + BATCH], sums, rate)
+                self.step(symbols, at[k : k + BATCH], sums, rate, rng)
             seen += len(at)
         return seen
 
@@ -302,10 +318,10 @@ def score_texts(docs: DataFrame, modulus: int = 7, held: int = 2, hot_limit: int
     hot = {u.encode(): v[0] for u, v in wordjoin.hot_units(table, "value", limit=hot_limit).items()}
     state: dict = {}
 
-    def extra(texts: list) -> Iterator[tuple]:
+    def extra(texts: list, units: list) -> Iterator[tuple]:
         model, frequent, place = shared.value
         symbols = state.get("symbols") or state.setdefault("symbols", Symbols(frequent))
-        flat, at, of = symbols.tokens(texts)
+        flat, at, of = symbols.tokens(texts, units)
         gain = model.log_probs(flat, at) - place[flat[at]]
         return zip(np.bincount(of, minlength=len(texts)).tolist(), np.bincount(of, weights=gain, minlength=len(texts)).tolist(), strict=True)
 

@@ -67,7 +67,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = LIMIT, hot_l
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     table = piece_table(docs, tokenizer_path)
     hot = {u: float(v[0]) for u, v in wordjoin.hot_units(table, "pieces", limit=hot_limit).items()}
-    rows = wordjoin.split_rows(docs, pre_tokens, hot, lambda texts: ((len(t.encode()),) for t in texts), [("n_bytes", pa.int64(), "bigint")])
+    rows = wordjoin.split_rows(docs, pre_tokens, hot, lambda texts, _: ((len(t.encode()),) for t in texts), [("n_bytes", pa.int64(), "bigint")])
     total = wordjoin.join_tail(rows, table.select("unit", "pieces"), "pieces", ["n_bytes"], 0.0)
     n = F.col("total").cast("bigint")
     return total.select("doc_id", "n_bytes", n.alias("n_tokens"), (n > limit).alias("over_limit"))

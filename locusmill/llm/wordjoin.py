@@ -100,12 +100,12 @@ def split_rows(
     docs: DataFrame,
     split: Callable[[str], list],
     hot: dict[str, float],
-    extra: Callable[[list], Iterable[tuple]],
+    extra: Callable[[list, list], Iterable[tuple]],
     extra_schema: list[tuple[str, pa.DataType, str]],
 ) -> DataFrame:
     """One `unit = null-like sentinel` row per document with its hot sum, plus one row per document
     and tail unit.  `uid` tells rows apart even when doc_id repeats or is null;
-    `extra` gives a batch of texts their further columns."""
+    `extra` gives a batch of texts, which come whole and split, their further columns."""
     shared = docs.sparkSession.sparkContext.broadcast(hot)
     names = ["uid", "unit", "n", "doc_id", "hot", *(n for n, _, _ in extra_schema)]
     types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.float64(), *(t for _, t, _ in extra_schema)]
@@ -124,10 +124,11 @@ def split_rows(
 
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            for doc_id, text, more in zip(batch.column(0).to_pylist(), texts, extra(texts), strict=True):
+            split_up = [split(t) for t in texts]
+            for doc_id, units, more in zip(batch.column(0).to_pylist(), split_up, extra(texts, split_up), strict=True):
                 uid += 1
                 total, tail = 0.0, []
-                for unit, n in Counter(split(text)).items():
+                for unit, n in Counter(units).items():
                     v = table.get(unit)
                     if v is None:
                         key = unit_key(unit)
