@@ -306,7 +306,7 @@ def learn_counts(train_docs: DataFrame) -> tuple[DataFrame, Corpus]:
     return table, Corpus(int(n.sum()), int(v.sum()), texts, frequent, n, np.log10(n + v + 1))
 
 
-def score_texts(docs: DataFrame, modulus: int = 7, held: int = 2, hot_limit: int = wordjoin.HOT_UNITS) -> DataFrame:
+def score_texts(docs: DataFrame, modulus: int = 7, held: int = 2, hot_limit: int = 2 * wordjoin.HOT_UNITS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score per row of docs."""
     small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
