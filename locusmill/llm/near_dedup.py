@@ -60,7 +60,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 class Shingler:
     """Sets of word shingles as sorted 64-bit hashes; the word cache's bound changes the speed only."""
 
-    def __init__(self, width: int, bound: int = 1_000_000):
+    def __init__(self, width: int, bound: int = 400_000):
         self.width, self.bound, self.cache = width, bound, {}
 
     def __call__(self, text: str | None) -> np.ndarray:

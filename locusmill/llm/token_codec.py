@@ -358,7 +358,7 @@ class CachedEncoder:
     so its parts are looked up on their own.  The cache is emptied when it reaches its bound, which
     changes the speed only."""
 
-    def __init__(self, path: str, split=byte_units, bound: int = 1_500_000):
+    def __init__(self, path: str, split=byte_units, bound: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
