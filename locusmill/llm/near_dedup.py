@@ -13,12 +13,13 @@ Candidates are found without listing the pairs of a bucket:
 3. in the others, small buckets pair their members across components; large ones get up to PIVOTS
    further pivots, each met by the members outside its component, and what is open after that is cut
    into blocks: each pair of blocks counts all its intersections by matrix products and returns only
-   a spanning forest of the links found.
+   a spanning forest of the components that its links connect.
 
 Pairs pass the sketch test, which is lenient by six standard deviations, and every link is confirmed
 on the full sets.  With 42 bands of 6 rows, a pair at similarity exactly 0.8 shares no band with
-probability 3e-6; at 0.9, below 1e-13.  Components come from label propagation with pointer
-jumping.  Nothing whose size follows the corpus reaches the driver.
+probability 3e-6; at 0.9, below 1e-13.  Components come from contraction: links are looked at as
+links between the components known so far, and those inside one component are dropped, so that no
+round sees again what earlier ones have settled.  Nothing whose size follows the corpus reaches the driver.
 
 Edge cases: null and empty texts and texts without words have no shingles, are linked with nothing
 and keep their own id as component; texts of fewer words than a shingle are one shingle; repeated
@@ -148,7 +149,6 @@ def _node(s: np.ndarray) -> bytes:
 class _Finder:
     def __init__(self, docs: DataFrame, classes: DataFrame, width: int, percent: int):
         self.docs, self.classes, self.width, self.percent = docs, classes, width, percent
-        self.edges: DataFrame | None = None
         self.found: DataFrame | None = None
 
     def test(self, pairs: DataFrame) -> None:
@@ -167,9 +167,7 @@ class _Finder:
         self._add(links)
 
     def _add(self, links: DataFrame) -> None:
-        links = stored(links, "links")
-        self.edges = links if self.edges is None else self.edges.unionByName(links)
-        self.found = None
+        self.found = components(stored(links, "links"), self.found)
 
     def _sets(self, members: DataFrame) -> DataFrame:
         """(node, set) of the classes with the given members.  While members are few, a bitmap of BITMAP
@@ -202,11 +200,6 @@ class _Finder:
         found = found.join(own, (F.col("node") == F.col("_node")) & F.col("member").eqNullSafe(F.col("_member")))  # null where no row has an id
         return stored(found.dropDuplicates(["node"]).select("node", "set"), "sets")
 
-    def labels(self) -> DataFrame | None:
-        if self.edges is not None and self.found is None:
-            self.found = components(self.edges)
-        return self.found
-
     def unresolved(self, buckets: DataFrame, labels: DataFrame | None) -> DataFrame:
         """(key, node, component, size) of buckets that hold several components."""
         if labels is None:
@@ -240,7 +233,7 @@ class _Finder:
             linked &= component[:, None] != component[None, :]
             if table.column("i")[0].as_py() != table.column("j")[0].as_py():
                 linked &= block[:, None] != block[None, :]
-            a, b = spanning_forest(linked)
+            a, b = connecting(linked, component)
             return pa.table({"a": pa.array(node[a], pa.binary()), "b": pa.array(node[b], pa.binary())})
 
         self._add(rows.groupBy("key", "i", "j").applyInArrow(compare, "a binary, b binary"))
@@ -281,19 +274,42 @@ def spanning_forest(linked: np.ndarray) -> tuple[list[int], list[int]]:
     return a, b
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, label): the smallest node reachable, by minimum labels and pointer jumping."""
-    both = stored(edges.select(F.col("a").alias("node"), F.col("b").alias("other")).union(edges.select("b", "a")).distinct(), "adjacent")
-    labels = stored(both.groupBy("node").agg(F.least(F.min("other"), F.first("node")).alias("label")), "labels")
-    while True:
-        near = both.join(labels.select(F.col("node").alias("other"), "label"), "other").groupBy("node").agg(F.min("label").alias("near"))
-        step = labels.join(near, "node").select("node", F.least("label", "near").alias("next"), "label")
-        ends = labels.select(F.col("node").alias("next"), F.col("label").alias("end"))
-        step = step.join(ends, "next", "left").select("node", F.least("next", "end").alias("next"), "label")
-        step = stored(step, "labels")
-        labels = step.select("node", F.col("next").alias("label"))
-        if step.filter("next <> label").isEmpty():
-            return labels
+def connecting(linked: np.ndarray, component: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links, one fewer than components at most, that connect what all links and components connect."""
+    i, j = np.nonzero(linked)
+    k = int(component.max()) + 1
+    link = np.full((k, k), -1, np.int64)
+    link[component[i], component[j]] = i * len(linked) + j
+    a, b = spanning_forest(link >= 0)
+    return np.divmod(link[np.array(a, np.int64), np.array(b, np.int64)], len(linked))
+
+
+def components(edges: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """(node, label): the smallest node reachable by the edges (a, b) and inside the components of known.
+    A round names each end of an edge by its least neighbour's least neighbour, renames the edges and
+    drops those that have become loops."""
+
+    def renamed(edges: DataFrame, names: DataFrame) -> DataFrame:
+        for side in "ab":
+            end = names.select(F.col("node").alias(side), F.col("label").alias(f"label_{side}"))
+            edges = edges.join(end, side, "left")
+        a, b = (F.coalesce(f"label_{side}", side) for side in "ab")
+        return edges.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).filter("a <> b").distinct()
+
+    ends = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    if known is None:
+        labels, live = ends.withColumn("label", F.col("node")), edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct()
+    else:
+        labels, live = known.unionByName(ends.join(known, "node", "left_anti").withColumn("label", F.col("node"))), renamed(edges, known)
+    live = stored(live, "adjacent")
+    while not live.isEmpty():
+        both = live.unionByName(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("near")), "nearest")
+        next_ = least.select(F.col("node").alias("near"), F.col("near").alias("label"))
+        step = stored(least.join(next_, "near").select("node", "label"), "steps")
+        live = stored(renamed(live, step), "adjacent")
+        labels = labels.join(step.select(F.col("node").alias("label"), F.col("label").alias("end")), "label", "left").select("node", F.coalesce("end", "label").alias("label"))
+    return stored(labels, "labels")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, small_bucket: int = SMALL_BUCKET) -> DataFrame:
@@ -312,7 +328,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, small_bu
     shared = buckets.filter("node <> pivot").groupBy("node", "pivot").agg(F.count("*").alias("bands"))
     best = shared.groupBy("node").agg(F.max_by("pivot", F.struct("bands", "pivot")).alias("pivot"))
     find.test(best.select(F.col("pivot").alias("a"), F.col("node").alias("b")))
-    open_ = stored(find.unresolved(buckets.select("key", "node"), find.labels()), "open")
+    open_ = stored(find.unresolved(buckets.select("key", "node"), find.found), "open")
     small = open_.filter(F.col("size") <= small_bucket).select("key", "node", "component")
     other = small.select("key", F.col("node").alias("b"), F.col("component").alias("component_b"))
     pairs = small.join(other, "key").filter("node < b and component <> component_b").select(F.col("node").alias("a"), "b")
@@ -326,10 +342,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, small_bu
         met = big.join(own, "key").filter(F.col("component") != F.col("p.component")).groupBy("node", F.col("p.node").alias("pivot")).agg(F.count("*").alias("bands"))
         best = met.groupBy("node").agg(F.max_by("pivot", F.struct("bands", "pivot")).alias("pivot"))
         find.test(best.select(F.col("pivot").alias("a"), F.col("node").alias("b")))
-        big = stored(find.unresolved(buckets.select("key", "node"), find.labels()).filter(F.col("size") > small_bucket), "open")
+        big = stored(find.unresolved(buckets.select("key", "node"), find.found).filter(F.col("size") > small_bucket), "open")
     if not big.isEmpty():
         find.compare_blocks(big)
-    labels = find.labels()
+    labels = find.found
     if labels is None:
         named = classes.select("node", F.col("member").alias("component_id"))
     else:

@@ -179,6 +179,43 @@ def test_near_copies_without_id_are_linked(spark, small):
     assert sorted(x["doc_id"] for x in near_dedup.keep_one(d, 4).collect()) == [7, 8]
 
 
+def test_settled_links_of_a_large_group_are_not_met_again(spark, monkeypatch):
+    r = random.Random(21)
+    base, group = prose(r, 150).split(), []
+    for i in range(60):
+        w = list(base)
+        for _ in range(r.randint(1, 5)):
+            w[r.randrange(len(w))] = "edit" + str(r.randrange(999))
+        group.append((i, " ".join(w)))
+    rows = {}
+
+    def counted(df, label, n_files=None):
+        out = stored(df, label, n_files)
+        rows.setdefault(label, []).append(out.count())
+        return out
+
+    stored = near_dedup.stored
+    monkeypatch.setattr(near_dedup, "stored", counted)
+    monkeypatch.setattr(near_dedup, "BLOCK", 8)
+    found = near_dedup.near_duplicates(spark.createDataFrame(group, "doc_id bigint, text string"), 4, small_bucket=2).collect()
+    assert {x["doc_id"]: x["component_id"] for x in found} == duplicate_components(dict(group), 4)
+    assert sum(rows["adjacent"]) <= 2 * len(group)
+
+
+def test_components_of_links_and_known_components(spark):
+    r = random.Random(8)
+    name = lambda i: b"%03d" % i
+    schema = "a binary, b binary"
+    chain, extra = [(i, i + 1) for i in range(0, 40)], [(r.randrange(200), r.randrange(200)) for _ in range(110)]
+    edges = lambda pairs: spark.createDataFrame([(name(a), name(b)) for a, b in pairs], schema)
+    got = near_dedup.components(edges(extra), near_dedup.components(edges(chain)))
+    parent = list(range(200))
+    for _ in range(200):
+        for a, b in [*chain, *extra]:
+            parent[a] = parent[b] = min(parent[a], parent[b])
+    assert {bytes(x["node"]): bytes(x["label"]) for x in got.collect()} == {name(i): name(parent[i]) for i in {i for e in [*chain, *extra] for i in e}}
+
+
 def test_odd_sketch_estimates_similarity():
     r = np.random.default_rng(3)
     shared, own = r.integers(0, 1 << 62, 900, dtype=np.uint64), r.integers(0, 1 << 62, 200, dtype=np.uint64)
