@@ -50,6 +50,18 @@ AVERAGED = 16
 CHUNK = 8192  # tokens scored at once
 
 
+class _Cache(dict):
+    """word -> symbol; looks up and keeps what it lacks."""
+
+    def __init__(self, symbols: Symbols):
+        super().__init__(symbols.fixed)
+        self.symbols = symbols
+
+    def __missing__(self, word: bytes) -> int:
+        s = self[word] = self.symbols.of(word)
+        return s
+
+
 class Symbols:
     """word -> symbol, with a cache whose bound changes the speed only.  Symbol c * MEMBERS + j is member
     j of class c; the last member is the class's tail."""
@@ -65,7 +77,7 @@ class Symbols:
         self.classes = sorted(at)
         self.first = [at[c] for c in self.classes]
         self.end = SYMBOLS - 2
-        self.bound, self.cache = bound, dict(self.fixed)
+        self.bound, self.cache = bound, _Cache(self)
 
     def of(self, word: bytes) -> int:
         s = self.fixed.get(word)
@@ -75,14 +87,9 @@ class Symbols:
         return (self.classes[max(k, 0)] if self.classes else 0) * MEMBERS + MEMBERS - 1
 
     def __call__(self, words: list[bytes]) -> list[int]:
-        found = list(map(self.cache.get, words))
-        if None in found:
-            if len(self.cache) > self.bound:
-                self.cache = dict(self.fixed)
-            for i, s in enumerate(found):
-                if s is None:
-                    found[i] = self.cache[words[i]] = self.of(words[i])
-        return found
+        if len(self.cache) > self.bound:
+            self.cache = _Cache(self)
+        return list(map(self.cache.__getitem__, words))
 
     def tokens(self, texts: list, units: list | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(symbols, places of tokens, text of each token) of a batch: every text's symbols and end mark
@@ -140,7 +147,7 @@ class Model:
     @staticmethod
     def _by_class(target: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
         """Tokens in order of their class, and each class's part of them."""
-        own = target // MEMBERS
+        own = (target // MEMBERS).astype(np.uint8)  # bytes are sorted in linear time
         order = np.argsort(own, kind="stable")
         edge = np.searchsorted(own[order], np.arange(CLASSES + 1))
         return order, [(c, int(a), int(b)) for c, (a, b) in enumerate(zip(edge[:-1], edge[1:], strict=True)) if b > a]
@@ -148,6 +155,7 @@ class Model:
     def log_probs(self, symbols: np.ndarray, at: np.ndarray) -> np.ndarray:
         """log10 P(symbol | context) of the tokens at the given places."""
         _, _, qc, bc, qw, bw = self.params
+        qc, qw = (np.concatenate([q, b[:, None]], 1) for q, b in ((qc, bc), (qw, bw)))  # beside a column of ones
         out = np.empty(len(at))
 
         def normalised(score: np.ndarray, pick: np.ndarray) -> np.ndarray:
@@ -159,72 +167,71 @@ class Model:
         for k in range(0, len(at), CHUNK):
             place = at[k : k + CHUNK]
             target = symbols[place]
-            h = self.predicted([symbols[place - 1 - i] for i in range(CONTEXT)])
-            score = qc @ h.T
-            score += bc[:, None]
-            found = normalised(score, target // MEMBERS)
+            h = np.ones((len(place), DIM + 1), np.float32)
+            h[:, :DIM] = self.predicted([symbols[place - 1 - i] for i in range(CONTEXT)])
+            found = normalised(qc @ h.T, target // MEMBERS)
             order, parts = self._by_class(target)
             hs, members = h[order], target[order] % MEMBERS
             for c, a, b in parts:
-                w = slice(c * MEMBERS, (c + 1) * MEMBERS)
-                score = qw[w] @ hs[a:b].T
-                score += bw[w, None]
+                score = qw[c * MEMBERS : (c + 1) * MEMBERS] @ hs[a:b].T
                 found[order[a:b]] += normalised(score, members[a:b])
             out[k : k + CHUNK] = found
         return out / np.log(10)
 
     def step(self, symbols: np.ndarray, at: np.ndarray, sums: list[np.ndarray], rate: float, rng: np.random.Generator) -> None:
         """One step of noise-contrastive estimation on the tokens at the given places.  At each level the
-        tokens of a step share NOISE symbols drawn from the noise."""
+        tokens of a step share NOISE symbols drawn from the noise.  Tokens lie in order of their class, one
+        row a token; a last column of ones carries the biases through the same products."""
         r, d, qc, bc, qw, bw = self.params
-        context, target = [symbols[at - 1 - i] for i in range(CONTEXT)], symbols[at]
-        h = self.predicted(context)
-        own = target // MEMBERS
-        grads = [None, None, *(np.zeros_like(p) for p in (qc, bc, qw, bw))]
-        back = np.zeros_like(h)
-
-        def level(q, b, gq, gb, noise, pick, drawn, parts) -> None:
-            """Adds the slopes of one level: a score is a true symbol's, and no noise, with probability
-            1 / (1 + weight / exp(score))."""
-            score = np.einsum("ij,ij->i", h, q.take(pick, 0)) + b.take(pick)
-            with np.errstate(over="ignore", invalid="ignore"):
-                up = 1 - 1 / (1 + NOISE * noise.take(pick) * np.exp(-score))
+        order, parts = self._by_class(symbols[at])
+        first, size = int(at[0]) - CONTEXT, int(at[-1]) + 1 - int(at[0]) + CONTEXT
+        near = symbols[first : first + size].astype(np.int64)  # the tokens and all their contexts
+        at = at[order] - first
+        target = near[at]
+        vector = r.take(near, 0)
+        h = np.ones((len(at), DIM + 1), np.float32)
+        h[:, :DIM] = sum(vector[CONTEXT - 1 - i : size - 1 - i] * d[i] for i in range(CONTEXT)).take(at - CONTEXT, 0)
+        columns, back = np.ascontiguousarray(h.T), np.zeros_like(h)
+
+        def level(q, b, noise, pick, drawn, parts) -> np.ndarray:
+            """Slopes of one level's vectors and biases: a score is a true symbol's, and no noise, with
+            probability 1 / (1 + weight / exp(score))."""
+            q = np.concatenate([q, b[:, None]], 1)
+            weight = np.log(NOISE * noise)
             rows = q.take(pick, 0)
+            score = np.einsum("ij,ij->i", h, rows)
+            up = 1 / (1 + np.exp(score - weight.take(pick)))
             rows *= up[:, None]
             np.add(back, rows, out=back)
-            pulled = (h * up[:, None]).T
-            for j in range(DIM):
-                gq[:, j] += np.bincount(pick, weights=pulled[j], minlength=len(q))
-            gb += np.bincount(pick, weights=up, minlength=len(q))
-            for k, (lo, hi, tokens) in enumerate(parts):
-                names = drawn[k]
-                hs = h[tokens] if tokens is not None else h
-                down = q[names] @ hs.T
-                down += b[names, None]
-                with np.errstate(over="ignore", invalid="ignore"):
-                    np.exp(np.negative(down, out=down), out=down)
-                    down *= NOISE * noise[names, None]
-                    down += 1
-                    np.divide(-1, down, out=down)
-                if tokens is None:
-                    back[:] += down.T @ q[names]
-                else:
-                    back[tokens] += down.T @ q[names]
-                np.add.at(gq, names, down @ hs)
-                np.add.at(gb, names, down.sum(1))
-
-        classes = rng.choice(CLASSES, NOISE, p=self.class_draw)
-        level(qc, bc, grads[2], grads[3], self.class_noise, own, [classes], [(0, len(at), None)])
-        order, parts = self._by_class(target)
-        found = [(a, b, order[a:b]) for _, a, b in parts]
-        members = [c * MEMBERS + np.searchsorted(self.member_draw[c], rng.random(NOISE)) for c, _, _ in parts]
-        level(qw, bw, grads[4], grads[5], self.member_noise.ravel(), target, members, found)
-        grads[1] = np.stack([(back * r.take(c, 0)).sum(0) for c in context])
-        grads[0] = np.zeros_like(r)
-        for i, c in enumerate(context):
-            pulled = (back * d[i]).T
-            for j in range(DIM):
-                grads[0][:, j] += np.bincount(c, weights=pulled[j], minlength=SYMBOLS)
+            pulled = columns * up
+            slopes = np.stack([np.bincount(pick, weights=x, minlength=len(q)) for x in pulled], 1).astype(np.float32)
+            names = np.concatenate(drawn)
+            noise_rows = q.take(names, 0)
+            fixed = noise_rows.copy()
+            fixed[:, DIM] -= weight.take(names)
+            found = np.empty_like(noise_rows)
+            for k, (lo, hi) in enumerate(parts):
+                own, hs = slice(k * NOISE, (k + 1) * NOISE), h[lo:hi]
+                down = fixed[own] @ hs.T
+                np.exp(np.negative(down, out=down), out=down)
+                down += 1
+                np.divide(-1, down, out=down)
+                back[lo:hi] += down.T @ noise_rows[own]
+                np.matmul(down, hs, out=found[own])
+            np.add.at(slopes, names, found)
+            return slopes
+
+        with np.errstate(over="ignore", divide="ignore", invalid="ignore"):
+            classes = level(qc, bc, self.class_noise, target // MEMBERS, [rng.choice(CLASSES, NOISE, p=self.class_draw)], [(0, len(at))])
+            drawn = [c * MEMBERS + np.searchsorted(self.member_draw[c], rng.random(NOISE)) for c, _, _ in parts]
+            members = level(qw, bw, self.member_noise.ravel(), target, drawn, [(a, b) for _, a, b in parts])
+        pull, pushed = np.zeros((size, DIM), np.float32), np.zeros((size, DIM), np.float32)
+        pull[at] = back[:, :DIM]
+        for i in range(CONTEXT):
+            pushed[: size - 1 - i] += pull[1 + i :] * d[i]
+        places = np.stack([np.einsum("ij,ij->j", pull[1 + i :], vector[: size - 1 - i]) for i in range(CONTEXT)])
+        vectors = np.stack([np.bincount(near, weights=x, minlength=SYMBOLS) for x in np.ascontiguousarray(pushed.T)], 1)
+        grads = [vectors.astype(np.float32), places, classes[:, :DIM], classes[:, DIM], members[:, :DIM], members[:, DIM]]
         for p, s, x in zip(self.params, sums, grads, strict=True):
             s += x * x
             p += np.float32(rate) * x / np.sqrt(s)

@@ -19,6 +19,7 @@ import hashlib
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -115,42 +116,43 @@ def split_rows(
         table = shared.value
         uid = TaskContext.get().partitionId() << 40
         cols: list[list] = [[] for _ in names]
-
-        def out() -> pa.RecordBatch:
-            found = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
-            for c in cols:
+        units_, times, many = [], [], []  # of the tail rows; many: how many a document has
+
+        def out() -> Iterator[pa.RecordBatch]:
+            if units_:
+                k = len(units_)
+                uids = np.repeat(np.array(cols[0], np.int64), many)
+                tail = [pa.array(uids), pa.array(units_, pa.string()), pa.array(times, pa.int64()), *(pa.nulls(k, t) for t in types[3:])]
+                yield pa.RecordBatch.from_arrays(tail, names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
+            for c in (units_, times, many, *cols):
                 c.clear()
-            return found
 
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             split_up = [split(t) for t in texts]
             for doc_id, units, more in zip(batch.column(0).to_pylist(), split_up, extra(texts, split_up), strict=True):
                 uid += 1
-                total, tail = 0.0, []
+                total, before = 0.0, len(units_)
                 for unit, n in Counter(units).items():
                     v = table.get(unit)
                     if v is None:
-                        key = unit_key(unit)
-                        if key[:1] == "\x01":
+                        # no more bytes than KEY_CHARS are no more characters either
+                        key = unit if len(unit) <= KEY_CHARS and unit[:1] not in ("\x01", b"\x01") else unit_key(unit)
+                        if key is not unit and key[:1] == "\x01":
                             v = table.get(key.encode() if isinstance(unit, bytes) else key)
                         if v is None:
-                            tail.append((key, n))
+                            units_.append(key)
+                            times.append(n)
                             continue
                     total += v * n
+                many.append(len(units_) - before)
                 for c, v in zip(cols, (uid, f"\0{uid}", 0, doc_id, total, *more), strict=True):
                     c.append(v)
-                if tail:
-                    k = len(tail)
-                    cols[0] += [uid] * k
-                    cols[1] += [u for u, _ in tail]
-                    cols[2] += [n for _, n in tail]
-                    for c in cols[3:]:
-                        c += [None] * k
-                if len(cols[0]) > OUT_ROWS:
-                    yield out()
-        if cols[0]:
-            yield out()
+                if len(units_) + len(many) > OUT_ROWS:
+                    yield from out()
+        if many:
+            yield from out()
 
     schema = "uid bigint, unit string, n bigint, doc_id bigint, hot double" + "".join(f", {n} {s}" for n, _, s in extra_schema)
     assert n_extra == len(names) - 5

@@ -573,6 +573,42 @@ def test_lm_is_normalised_and_learns():
     assert np.allclose(total, 1, atol=1e-4)
 
 
+def test_lm_training_step_against_plain_slopes(monkeypatch):
+    r = np.random.default_rng(12)
+    words = [b"w%d" % i for i in range(300)]
+    symbols = neural_lm.Symbols(words)
+    flat, at, _ = symbols.tokens([" ".join(f"w{k}" for k in r.integers(0, 330, 50)) for _ in range(6)])
+    model = neural_lm.Model(np.bincount(flat[at], minlength=neural_lm.SYMBOLS).astype(float), symbols)
+    m, k, rng = neural_lm.MEMBERS, neural_lm.NOISE, np.random.default_rng(17)
+    vec, place, qc, bc, qw, bw = (p.astype(float) for p in model.params)
+    drawn = {None: rng.choice(neural_lm.CLASSES, k, p=model.class_draw)}
+    for c in np.unique(flat[at] // m):
+        drawn[c] = c * m + np.searchsorted(model.member_draw[c], rng.random(k))
+    want = [np.zeros_like(x) for x in (vec, place, qc, bc, qw, bw)]
+    for a in at:
+        context, target = [flat[a - 1 - i] for i in range(neural_lm.CONTEXT)], flat[a]
+        h, back = sum(vec[c] * place[i] for i, c in enumerate(context)), 0
+        for q, b, gq, gb, noise, true, names in ((qc, bc, want[2], want[3], model.class_noise, target // m, drawn[None]), (qw, bw, want[4], want[5], model.member_noise.ravel(), target, drawn[target // m])):
+            for name, is_true in [(true, True), *((x, False) for x in names)]:
+                p = 1 / (1 + k * float(noise[name]) * np.exp(-(h @ q[name] + b[name])))
+                slope = 1 - p if is_true else -p
+                back = back + slope * q[name]
+                gq[name] += slope * h
+                gb[name] += slope
+        for i, c in enumerate(context):
+            want[1][i] += back * vec[c]
+            want[0][c] += back * place[i]
+    calls, bincount = [], np.bincount
+    monkeypatch.setattr(np, "bincount", lambda *a, **b: calls.append(1) or bincount(*a, **b))
+    sums = [np.zeros_like(p) for p in model.params]
+    with np.errstate(all="ignore"):
+        model.step(flat, at, sums, 0.0, np.random.default_rng(17))
+    for got, x in zip(sums, want, strict=True):
+        assert np.allclose(np.sqrt(got), np.abs(x), atol=1e-3)
+    # one pass a column for the contexts together, and one at each level
+    assert len(calls) <= 3 * (neural_lm.DIM + 1)
+
+
 def test_lm_models_are_averaged_by_their_tokens(spark, monkeypatch):
     r = random.Random(5)
     d = spark.createDataFrame([(i, prose(r, 30)) for i in range(40)], "doc_id bigint, text string").repartition(9)
