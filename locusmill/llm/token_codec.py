@@ -76,7 +76,7 @@ class _Model:
         self.held, self.tried = np.full(8, 0.5), np.full(8, 1.0)
         self.weight2 = np.zeros(8, np.int64)
         self.follower = np.full((vocabulary, FOLLOWERS), -1, np.int32)
-        self.often = np.zeros((vocabulary, FOLLOWERS), np.int64)
+        self.often = np.zeros((vocabulary, FOLLOWERS), np.int32)
         self.visits, self.row = np.zeros(vocabulary, np.int64), np.full(vocabulary, -1, np.int32)
         self.below, self.upto = (np.zeros((vocabulary, FOLLOWERS), np.uint16) for _ in range(2))
 
@@ -103,7 +103,7 @@ class _Model:
         start = w2 + a
         far = np.flatnonzero(width == 0)
         if len(far):
-            x, base = ids[far], w2[far] + ((self.upto[:, -1].take(before1[far]) * rest[far]) >> SHARE_BITS)
+            x, base = ids[far], w2[far] + ((self.upto.ravel().take(cell[far] | (FOLLOWERS - 1)) * rest[far]) >> SHARE_BITS)
             s, w = self.top + x.astype(np.int64), np.ones(len(far), np.int64)
             if self.cum is not None:
                 left, c = self.top - base, self.cum.take(x)
@@ -121,7 +121,8 @@ class _Model:
         w2 = self.weight2.take(held & 7)
         rest, t = self.top - w2, v - w2
         # quotients of numbers below 2**40 round to the right integer in doubles
-        share = np.clip(((t + 1) * float(1 << SHARE_BITS) - 1) / rest, 0, (1 << 16) - 1).astype(np.uint16)
+        share = ((t + 1) * float(1 << SHARE_BITS) - 1) / rest
+        share = np.minimum(np.maximum(share, 0, out=share), (1 << 16) - 1, out=share).astype(np.uint16)
         j = (((self.upto.take(before1, 0) <= share[:, None]).view(np.uint64).ravel() * _ONES) >> _TOP_BYTE).view(np.int64)
         escape = j == FOLLOWERS
         cell = before1.astype(np.int64) * FOLLOWERS + np.minimum(j, FOLLOWERS - 1)
@@ -174,18 +175,20 @@ class _Model:
         self.row[met] = -1
         edge = often.cumsum(1)
         # the table's share of the context: how many of its visits it explains
-        edge = (edge << SHARE_BITS) // (np.maximum(edge[:, -1], visits) + 1)[:, None]
+        # of numbers this small, doubles have the right integer quotients
+        edge = (edge * float(1 << SHARE_BITS) / (np.maximum(edge[:, -1], visits) + 1)[:, None]).astype(np.uint16)
         self.upto[met] = edge
         self.below[met, 1:] = edge[:, :-1]
         # order 2
         held = self.order2.take(slot)
         sure, right = held & 7, (held >> 3) == ids
-        rates = np.bincount((sure << 1) + right, minlength=16)
+        kind = (sure << 1) + right
+        rates = np.bincount(kind, minlength=16)
         self.held += rates[1::2]
         self.tried += rates[::2] + rates[1::2]
         self.weight2 = (self.held / self.tried * 0.96 * self.top).astype(np.int64)
         self.weight2[0] = 0
-        after = _AFTER.take((sure << 1) + right)
+        after = _AFTER.take(kind)
         after += held
         new = np.flatnonzero((sure == 0) & ~right)
         after[new] = (ids.take(new) << 3) | 1
@@ -371,6 +374,7 @@ class CachedEncoder:
         self.line_end = np.array(self.library.encode("\n", add_special_tokens=False).ids, "<u4").tobytes()
         self.vocabulary = self.library.get_vocab_size(with_added_tokens=True)
         self.tails: dict[str, bytes] = {}  # closing punctuation
+        self._forget()
         names = self.library.get_vocab()
         self.opens_with_space, self.is_line_end = (np.zeros(self.vocabulary, bool) for _ in range(2))
         self.opens_with_space[[i for t, i in names.items() if t[:1] == chr(_BYTE_SIGNS[32])]] = True
@@ -406,20 +410,50 @@ class CachedEncoder:
             # a text's first word stands bare, as does that of a line; the others follow a space
             split = pc.split_pattern(pa.array(["\0" + texts[i].replace("\n", " \n") for i in plain], pa.string()), " ")
             words = split.flatten().dictionary_encode()
-            names, at = self._one_list(words.dictionary), words.indices.to_numpy()
-            found = self._words(names, self._one_list(pc.utf8_rtrim(words.dictionary, string.punctuation)))
-            length = np.fromiter(map(len, found), np.int64, len(found)) >> 2
-            first, held = np.cumsum(length) - length, np.frombuffer(b"".join(found), "<u4")
-            many = length.take(at)
+            at = self._places(words.dictionary).take(words.indices.to_numpy())
+            many = self.known_size.take(at)
             end = np.cumsum(many)
-            place = np.repeat(first.take(at) - (end - many), many)
-            place += np.arange(len(place))
-            ids = held.take(place)
+            ids = self._spread(at, many, end)
             edge = [0, *end[split.offsets.to_numpy()[1:] - 1].tolist()]
             for i, a, b in zip(plain, edge[:-1], edge[1:], strict=True):
                 out[i] = ids[a:b]
         return [np.frombuffer(self(t), "<u4") if x is None else x for t, x in zip(texts, out, strict=True)]
 
+    def _forget(self) -> None:
+        """Words as batch() marks them, with their ids one after the other."""
+        self.known, self.known_ids = pa.array([], pa.string()), np.zeros(0, "<u4")
+        self.known_first, self.known_size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _spread(self, at: np.ndarray, many: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Ids of the known words at the given places, one after the other."""
+        place = np.repeat(self.known_first.take(at) - (end - many), many)
+        place += np.arange(len(place))
+        return self.known_ids.take(place)
+
+    def _places(self, names: pa.StringArray) -> np.ndarray:
+        """Places of distinct words among the known ones, which Arrow looks up; new words join them.  Over
+        the bound, those that this batch does not hold are forgotten, which changes the speed only."""
+        at = pc.fill_null(pc.index_in(names, value_set=self.known), -1).to_numpy().astype(np.int64)
+        lack = np.flatnonzero(at < 0)
+        if not len(lack):
+            return at
+        if len(self.known) + len(lack) > self.bound:
+            kept = at[at >= 0]
+            many = self.known_size.take(kept)
+            end = np.cumsum(many)
+            self.known, self.known_ids = self.known.take(pa.array(kept)), self._spread(kept, many, end)
+            self.known_first, self.known_size = end - many, many
+            at[at >= 0] = np.arange(len(kept))
+        new = names.take(pa.array(lack))
+        found = self._words(self._one_list(new), self._one_list(pc.utf8_rtrim(new, string.punctuation)))
+        size = np.fromiter(map(len, found), np.int64, len(found)) >> 2
+        at[lack] = np.arange(len(self.known), len(self.known) + len(lack))
+        self.known = pa.concat_arrays([self.known, new])
+        self.known_first = np.append(self.known_first, len(self.known_ids) + np.cumsum(size) - size)
+        self.known_size = np.append(self.known_size, size)
+        self.known_ids = np.append(self.known_ids, np.frombuffer(b"".join(found), "<u4"))
+        return at
+
     @staticmethod
     def _one_list(words: pa.StringArray) -> list[str]:
         """Words without spaces as Python strings, made from one long one, which is fastest."""

@@ -109,6 +109,22 @@ def test_cached_encoder_agrees_with_the_library():
         assert [x.tolist() for x in encode.batch(texts[k : k + 500])] == want[k : k + 500]
 
 
+def test_known_words_are_not_looked_up_again(monkeypatch):
+    r = random.Random(31)
+    encode = token_codec.CachedEncoder(BYTE)
+    many = [prose(r, 200).replace(". ", ".\n") for _ in range(12)]
+    want = [encode.library.encode(t, add_special_tokens=False).ids for t in many]
+    looked, words = [], encode._words
+    monkeypatch.setattr(encode, "_words", lambda names, cores: looked.extend(names) or words(names, cores))
+    for _ in range(2):
+        assert [x.tolist() for x in encode.batch(many)] == want
+    assert len(looked) == len(set(looked))
+    encode = token_codec.CachedEncoder(BYTE, bound=300)  # what a batch does not hold is forgotten, and learnt anew
+    for k in (0, 1, 2, 3, 0, 2, 1):
+        assert [x.tolist() for x in encode.batch(many[k : k + 1])] == want[k : k + 1]
+        assert len(encode.known) <= 300
+
+
 @pytest.mark.parametrize("salt", [250_000, 3])
 def test_packing(docs, empty, salt):
     assert packing.pack(empty, WORD).count() == 0
