@@ -9,7 +9,7 @@ u32[words].
 
 A block's ids are cut into equally long lanes that are coded side by side: step t codes the t-th id
 of every lane.  The model is shared by the lanes, starts empty in each block and learns after every
-few steps (every 16,384 ids, more often at a block's start), so the decoder holds exactly the
+few steps (every 65,536 ids in a long block's second half, more often before), so the decoder holds exactly the
 encoder's state.  An id's probability mixes
 
 * order 2: the id last seen after the two ids before it.  Its weight is the rate at which guesses of
@@ -43,23 +43,25 @@ from pyspark.sql import functions as F
 
 from .common import ODD_SPACE, small_batches, stored
 
-MAGIC, VERSION = b"LMTB", 2
+MAGIC, VERSION = b"LMTB", 3
 HEAD = struct.Struct(">4sBIIQIII")
 IDS_AT, IDS_BYTES = 14, 8  # place of the head's number of ids, counted from 1
 RANGE_BITS = 24
 RANGE = 1 << RANGE_BITS
-MAX_LANES = 4096
-BLOCK_IDS = 1 << 20
+MAX_LANES = 8192
+BLOCK_IDS = 1 << 21
 SLOT_BITS = 18
 LOOK_BITS = 16
 SHARE_BITS = 12  # resolution of an order-1 table
-FOLLOWERS = 8  # one byte each in a 64-bit word
+FOLLOWERS = 8  # one byte each in a 64-bit word, or 16 bits each in two
 _SURE = 7  # guesses carry a confidence of 0 to 7
 _AFTER = np.array([min(c + 1, _SURE) - c if right else -1 for c in range(8) for right in (False, True)], np.int32)
-_GROWTH = 1.15  # order-0 tables are laid out anew when the ids seen have grown by this factor
+_GROWTH = 1.25  # order-0 tables are laid out anew when the ids seen have grown by this factor
 _LOW, _WORD, _SHIFT = np.uint64(1 << 32), np.uint64(32), np.uint64(RANGE_BITS)
 _PLACE = np.uint64(sum(j << (8 * (7 - j)) for j in range(8)))  # (1 << 8 j) * _PLACE >> 56 == j
-_ONES, _TOP_BYTE = np.uint64(0x0101010101010101), np.uint64(56)
+_TOP_BYTE = np.uint64(56)
+_FOURS, _HIGHS = np.uint64(0x0001000100010001), np.uint64(0x8000800080008000)  # four numbers of 16 bits side by side
+_LAST_OF_FOUR, _SIGN_OF_FOUR = np.uint64(48), np.uint64(15)
 
 
 class _Model:
@@ -71,98 +73,123 @@ class _Model:
         self.vocabulary = vocabulary
         self.top = RANGE - vocabulary  # above it lies the floor: one unit an id
         self.counts, self.seen, self.laid = np.zeros(vocabulary, np.int64), 0, 0
-        self.cum = self.share = self.look = None
+        self.cum, self.share, self.look = np.zeros(vocabulary, np.int64), np.zeros(vocabulary, np.int64), None
         self.order2 = np.zeros(1 << SLOT_BITS, np.int32)  # guess << 3 | confidence
         self.held, self.tried = np.full(8, 0.5), np.full(8, 1.0)
-        self.weight2 = np.zeros(8, np.int64)
+        self.weight2 = np.zeros(8, np.int32)
         self.follower = np.full((vocabulary, FOLLOWERS), -1, np.int32)
         self.often = np.zeros((vocabulary, FOLLOWERS), np.int32)
-        self.visits, self.row = np.zeros(vocabulary, np.int64), np.full(vocabulary, -1, np.int32)
-        self.below, self.upto = (np.zeros((vocabulary, FOLLOWERS), np.uint16) for _ in range(2))
+        self.visits, self.row = np.zeros(vocabulary, np.int64), np.zeros(vocabulary, np.int64)
+        self.edge = np.zeros((vocabulary, FOLLOWERS + 1), np.int32)  # of the followers' shares, from 0 on
+        self.upto = [np.zeros(vocabulary, np.uint64) for _ in range(2)]  # the same from 1 on, four in a word
 
     def slot(self, before2: np.ndarray, before1: np.ndarray) -> np.ndarray:
         h = before2.view(np.uint32) * np.uint32(0x9E3779B1)
         h += before1.view(np.uint32) * np.uint32(0x85EBCA6B)
         h >>= np.uint32(32 - SLOT_BITS)
-        return h.view(np.int32)
+        return h.astype(np.int64)
 
     def place(self, before1: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Whether each id is among its context's followers, and its cell in the flat tables."""
+        """Whether each id is among its context's followers, and its cell in the flat table."""
         hit = (self.follower.take(before1, 0) == ids[:, None]).view(np.uint64).ravel()
-        cell = before1.astype(np.int64) * FOLLOWERS
+        cell = before1 * FOLLOWERS
         cell += ((hit * _PLACE) >> _TOP_BYTE).view(np.int64)
         return hit != 0, cell
 
-    def intervals(self, ids: np.ndarray, slot: np.ndarray, before1: np.ndarray, hit1: np.ndarray, cell: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def intervals(self, ids: np.ndarray, held: np.ndarray, right: np.ndarray, before1: np.ndarray, hit1: np.ndarray, cell: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Start and width of each id's sub-interval."""
-        held = self.order2.take(slot)
         w2 = self.weight2.take(held & 7)
-        rest = self.top - w2
-        a, b = (self.below.ravel().take(cell) * rest) >> SHARE_BITS, (self.upto.ravel().take(cell) * rest) >> SHARE_BITS
-        width = (b - a) * hit1
-        start = w2 + a
+        unit, edge, cell = (self.top - w2) >> SHARE_BITS, self.edge.ravel(), cell + before1
+        start = edge.take(cell)
+        cell += 1
+        width = (edge.take(cell) - start) * unit
+        width *= hit1
+        start *= unit
+        start += w2
         far = np.flatnonzero(width == 0)
         if len(far):
-            x, base = ids[far], w2[far] + ((self.upto.ravel().take(cell[far] | (FOLLOWERS - 1)) * rest[far]) >> SHARE_BITS)
-            s, w = self.top + x.astype(np.int64), np.ones(len(far), np.int64)
-            if self.cum is not None:
-                left, c = self.top - base, self.cum.take(x)
-                a, b = (c * left) >> LOOK_BITS, ((c + self.share.take(x)) * left) >> LOOK_BITS
-                known = b > a
-                s, w = np.where(known, base + a, s), np.where(known, b - a, w)
+            x, base = ids[far].astype(np.int64), w2[far] + edge.take(before1[far] * (FOLLOWERS + 1) + FOLLOWERS) * unit[far]
+            s, w = self.top + x, 1
+            if self.look is not None:
+                left, c = self.top - base.astype(np.int64), self.cum.take(x)
+                a = (c * left) >> LOOK_BITS
+                c += self.share.take(x)
+                w = ((c * left) >> LOOK_BITS) - a
+                s = np.where(w, base + a, s)
+                w = np.maximum(w, 1)
             start[far], width[far] = s, w
-        guess = np.flatnonzero(((held >> 3) == ids) & (w2 > width))
+        guess = np.flatnonzero(right & (w2 > width))
         start[guess], width[guess] = 0, w2[guess]
         return start, width
 
-    def find(self, v: np.ndarray, slot: np.ndarray, before1: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def find(self, v: np.ndarray, held: np.ndarray, before1: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The id whose sub-interval holds v, with its start and width."""
-        held = self.order2.take(slot)
         w2 = self.weight2.take(held & 7)
-        rest, t = self.top - w2, v - w2
-        # quotients of numbers below 2**40 round to the right integer in doubles
-        share = ((t + 1) * float(1 << SHARE_BITS) - 1) / rest
-        share = np.minimum(np.maximum(share, 0, out=share), (1 << 16) - 1, out=share).astype(np.uint16)
-        j = (((self.upto.take(before1, 0) <= share[:, None]).view(np.uint64).ravel() * _ONES) >> _TOP_BYTE).view(np.int64)
+        unit, t = (self.top - w2) >> SHARE_BITS, v - w2
+        # quotients of numbers this small have the right integer part in doubles
+        share = t / unit
+        share = np.minimum(np.maximum(share, 0, out=share), 0x7FFF, out=share).astype(np.uint64)
+        share *= _FOURS
+        share |= _HIGHS  # less an edge that is not above it, a share keeps its highest bit
+        below = ((share - self.upto[0].take(before1)) & _HIGHS) >> _SIGN_OF_FOUR
+        share -= self.upto[1].take(before1)
+        share &= _HIGHS
+        share >>= _SIGN_OF_FOUR
+        below += share
+        below *= _FOURS
+        below >>= _LAST_OF_FOUR
+        j = below.view(np.int64)
         escape = j == FOLLOWERS
-        cell = before1.astype(np.int64) * FOLLOWERS + np.minimum(j, FOLLOWERS - 1)
-        x = self.follower.ravel().take(cell)
-        a, b = (self.below.ravel().take(cell) * rest) >> SHARE_BITS, (self.upto.ravel().take(cell) * rest) >> SHARE_BITS
-        start, width = w2 + a, b - a
-        far = np.flatnonzero(escape & (t >= 0))
+        cell = before1 * FOLLOWERS
+        cell += np.minimum(j, FOLLOWERS - 1, out=j)
+        x, edge = self.follower.ravel().take(cell), self.edge.ravel()
+        cell += before1
+        start = edge.take(cell)
+        cell += 1
+        width = (edge.take(cell) - start) * unit
+        start *= unit
+        start += w2
+        escape &= t >= 0
+        far = np.flatnonzero(escape)
         if len(far):
-            vf, base = v[far], (w2 + b)[far]
-            xf = vf - self.top
-            s, w = vf.copy(), np.ones(len(far), np.int64)
-            if self.cum is not None:
+            s, base = v[far], start[far] + width[far]
+            xf, w = s - self.top, np.ones(len(far), np.int64)
+            if self.look is not None:
                 low = np.flatnonzero(xf < 0)
-                left, base = self.top - base[low], base[low]
-                y = self.look.take((((vf[low] - base + 1) * float(1 << LOOK_BITS) - 1) / left).astype(np.int64))
+                base = base[low]
+                left = self.top - base.astype(np.int64)
+                # and so have those of numbers below 2**40
+                y = self.look.take((((s[low] - base + 1) * float(1 << LOOK_BITS) - 1) / left).astype(np.int64))
                 c = self.cum.take(y)
                 a = (c * left) >> LOOK_BITS
-                xf[low], s[low], w[low] = y, base + a, ((c + self.share.take(y)) * left >> LOOK_BITS) - a
+                c += self.share.take(y)
+                xf[low], s[low], w[low] = y, base + a, (c * left >> LOOK_BITS) - a
             x[far], start[far], width[far] = xf, s, w
         guess = np.flatnonzero(t < 0)
         x[guess], start[guess], width[guess] = held[guess] >> 3, 0, w2[guess]
         return x, start, width
 
-    def learn(self, ids: np.ndarray, slot: np.ndarray, before1: np.ndarray, hit1: np.ndarray, cell: np.ndarray) -> None:
-        # order 0
-        self.counts += np.bincount(ids, minlength=self.vocabulary)
+    def learn(self, ids: np.ndarray, lanes: int, slot: np.ndarray, held: np.ndarray, right: np.ndarray, before1: np.ndarray, hit1: np.ndarray, cell: np.ndarray) -> None:
+        # order 0: all ids but the last step's have been contexts since; the first contexts are none
+        times = np.bincount(before1, minlength=self.vocabulary)
+        met = np.flatnonzero(times != 0)
+        times = times.take(met)
+        if self.seen:
+            self.counts[met] += times
         self.seen += len(ids)
         if self.seen >= self.laid * _GROWTH:
-            self._lay_out()
+            self._lay_out(self.counts + np.bincount(ids[-lanes:], minlength=self.vocabulary))
         # order 1, one row for each context met: count the followers found; one not found takes the
         # place of the rarest, which first loses what it has
-        self.row[before1] = 0
-        met = np.flatnonzero(self.row == 0)
-        self.row[met] = np.arange(len(met), dtype=np.int32)
-        row = self.row.take(before1)
-        found = row.astype(np.int64) * FOLLOWERS + (cell & (FOLLOWERS - 1))
-        often = np.bincount(found, weights=hit1, minlength=len(met) * FOLLOWERS).astype(np.int64).reshape(-1, FOLLOWERS)
+        visits = self.visits.take(met) + times
+        self.visits[met] = visits
+        self.row[met] = np.arange(0, len(met) * FOLLOWERS, FOLLOWERS)
+        found = self.row.take(before1)
+        found += cell & (FOLLOWERS - 1)
+        often = np.bincount(found, weights=hit1, minlength=len(met) * FOLLOWERS).astype(np.int32).reshape(-1, FOLLOWERS)
         often += self.often.take(met, 0)
         new, miss = np.full(len(met), -1, np.int32), np.flatnonzero(~hit1)
-        new[row.take(miss)] = ids.take(miss)
+        new[found.take(miss) // FOLLOWERS] = ids.take(miss)
         lack = np.flatnonzero(new >= 0)
         rarest = often[lack].argmin(1)
         least = often[lack, rarest]
@@ -170,43 +197,39 @@ class _Model:
         self.follower[met[lack[free]], rarest[free]] = new[lack[free]]
         often[lack, rarest] = np.where(free, 1, least - 1)
         self.often[met] = often
-        visits = self.visits.take(met) + np.bincount(row, minlength=len(met))
-        self.visits[met] = visits
-        self.row[met] = -1
-        edge = often.cumsum(1)
-        # the table's share of the context: how many of its visits it explains
-        # of numbers this small, doubles have the right integer quotients
-        edge = (edge * float(1 << SHARE_BITS) / (np.maximum(edge[:, -1], visits) + 1)[:, None]).astype(np.uint16)
-        self.upto[met] = edge
-        self.below[met, 1:] = edge[:, :-1]
+        # the table's share of the context: how many of its visits it explains.  A follower counts once
+        # a visit at most, so the shares' sums fit 16 bits and can be made four at a time
+        share = (often * (float(1 << SHARE_BITS) / (visits + 1))[:, None]).astype(np.uint16).view(np.uint64)
+        share *= _FOURS
+        share[:, 1] += (share[:, 0] >> _LAST_OF_FOUR) * _FOURS
+        self.upto[0][met], self.upto[1][met] = share[:, 0], share[:, 1]
+        self.edge[met, 1:] = share.view(np.uint16)
         # order 2
-        held = self.order2.take(slot)
-        sure, right = held & 7, (held >> 3) == ids
-        kind = (sure << 1) + right
+        kind = (held & 7) << 1
+        kind += right
         rates = np.bincount(kind, minlength=16)
         self.held += rates[1::2]
         self.tried += rates[::2] + rates[1::2]
-        self.weight2 = (self.held / self.tried * 0.96 * self.top).astype(np.int64)
+        self.weight2 = (self.held / self.tried * 0.96 * self.top).astype(np.int32)
         self.weight2[0] = 0
         after = _AFTER.take(kind)
         after += held
-        new = np.flatnonzero((sure == 0) & ~right)
+        new = np.flatnonzero(kind == 0)
         after[new] = (ids.take(new) << 3) | 1
         self.order2[slot] = after
 
-    def _lay_out(self) -> None:
-        seen = np.flatnonzero(self.counts)
-        edge = np.cumsum(self.counts[seen])
+    def _lay_out(self, counts: np.ndarray) -> None:
+        seen = np.flatnonzero(counts != 0)  # what was seen stays seen
+        edge = np.cumsum(counts[seen])
         edge = edge * (1 << LOOK_BITS) // edge[-1]
         width = np.diff(edge, prepend=0)
-        self.share, self.cum = np.zeros(self.vocabulary, np.int64), np.zeros(self.vocabulary, np.int64)
         self.share[seen], self.cum[seen] = width, edge - width
         self.look = np.repeat(seen.astype(np.int32), width)
         self.laid = self.seen
 
 
 def _shape(n: int) -> tuple[int, int]:
-    lanes = max(1, min(MAX_LANES, n // 128), -(-n // 65_000))
+    lanes = max(1, min(MAX_LANES, max(n // 256, min(MAX_LANES // 2, n // 128))), -(-n // 65_000))
     return lanes, -(-n // lanes)
 
 
@@ -214,7 +237,7 @@ def _epochs(steps: int) -> Iterator[tuple[int, int]]:
     """The steps between which the model learns."""
     at = k = 0
     while at < steps:
-        stop = min(steps, at + (1 if k < 6 else 2 if k < 10 else 4 if k < 40 else 8))
+        stop = min(steps, at + (1 if k < 10 else 2 if k < 30 else 4 if k < 50 else 8))
         yield at, stop
         at, k = stop, k + 1
 
@@ -229,48 +252,53 @@ def encode_block(ids: np.ndarray, lengths: np.ndarray, vocabulary: int, doc_ids:
     if n:
         grid = np.zeros(lanes * steps, np.int32)
         grid[:n] = ids
-        grid = np.ascontiguousarray(grid.reshape(lanes, steps).T)
-        before = np.vstack([np.zeros((2, lanes), np.int32), grid])
+        grid, before = grid.reshape(lanes, steps), np.zeros((steps + 2, lanes), np.int32)
+        for k in range(0, lanes, 64):  # a few lanes at once stay in the cache
+            before[2:, k : k + 64] = grid[k : k + 64].T
         model = _Model(vocabulary)
         low, size = np.zeros(lanes, np.uint64), np.full(lanes, np.iinfo(np.uint64).max, np.uint64)
-        words, count = np.zeros((lanes, steps * RANGE_BITS // 32 + 4), np.uint32), np.zeros(lanes, np.int64)
+        room = steps * RANGE_BITS // 32 + 4
+        words, first = np.zeros(lanes * room, np.uint32), np.arange(0, lanes * room, room)
+        place = first.copy()
 
-        def carry(lane: np.ndarray) -> None:
-            at = count[lane] - 1
-            while len(lane):
-                words[lane, at] += np.uint32(1)
-                over = words[lane, at] == 0
-                lane, at = lane[over], at[over] - 1
+        def carry(at: np.ndarray) -> None:
+            while len(at):
+                more = words.take(at) + np.uint32(1)
+                words[at] = more
+                at = at[more == 0] - 1
 
         for begin, stop in _epochs(steps):
-            x, b1, b2 = grid[begin:stop].ravel(), before[begin + 1 : stop + 1].ravel(), before[begin:stop].ravel()
+            x, b1, b2 = (before[begin + i : stop + i].ravel() for i in (2, 1, 0))
             slot = model.slot(b2, b1)
+            b1 = b1.astype(np.int64)
             hit1, cell = model.place(b1, x)
-            start, width = (y.view(np.uint64).reshape(-1, lanes) for y in model.intervals(x, slot, b1, hit1, cell))
+            held = model.order2.take(slot)
+            right = (held >> 3) == x
+            start, width = (y.astype(np.uint64).reshape(-1, lanes) for y in model.intervals(x, held, right, b1, hit1, cell))
             for s, w in zip(start, width, strict=True):
                 size >>= _SHIFT
                 add = size * s
                 low += add
                 over = np.flatnonzero(low < add)
                 if len(over):
-                    carry(over)
+                    carry(place[over] - 1)
                 size *= w
                 full = np.flatnonzero(size < _LOW)
                 if len(full):
-                    out = low[full]
-                    at = count[full]
-                    words[full, at] = out >> _WORD
-                    count[full] = at + 1
+                    out, at = low.take(full), place.take(full)
+                    words[at] = out >> _WORD
+                    at += 1
+                    place[full] = at
                     low[full] = out << _WORD
-                    size[full] <<= _WORD
-            model.learn(x, slot, b1, hit1, cell)
+                    size[full] = size.take(full) << _WORD
+            model.learn(x, lanes, slot, held, right, b1, hit1, cell)
         # the first multiple of 2**32 from low on lies in the range; its lower word need not be written
         end = low + (_LOW - np.uint64(1))
-        carry(np.flatnonzero(end < low))
-        words[np.arange(lanes), count] = end >> _WORD
-        count += 1
+        carry(place[end < low] - 1)
+        words[place] = end >> _WORD
+        count = place + 1 - first
         n_words = int(count.sum())
-        body += [count.astype("<u2").tobytes(), words[np.arange(words.shape[1])[None, :] < count[:, None]].astype("<u4").tobytes()]
+        body += [count.astype("<u2").tobytes(), words.reshape(lanes, room)[np.arange(room)[None, :] < count[:, None]].astype("<u4").tobytes()]
     payload = b"".join(body)
     return HEAD.pack(MAGIC, VERSION, vocabulary, len(lengths), n, lanes, n_words, zlib.crc32(payload)) + payload
 
@@ -304,25 +332,30 @@ def decode_block(block: bytes) -> tuple[np.ndarray, np.ndarray, list]:
     place += 2
     size, most = np.full(lanes, np.iinfo(np.uint64).max, np.uint64), np.uint64(RANGE - 1)
     for begin, stop in _epochs(steps):
-        slots = np.empty((stop - begin, lanes), np.int32)
+        # slots and contexts of the steps are as they were coded: only what is learnt changes them
+        slots, b1s = (np.empty((stop - begin, lanes), np.int64) for _ in range(2))
+        helds = np.empty((stop - begin, lanes), np.int32)
         for t in range(begin, stop):
             slots[t - begin] = slot = model.slot(grid[t], grid[t + 1])
+            b1s[t - begin] = grid[t + 1]
+            helds[t - begin] = held = model.order2.take(slot)
             size >>= _SHIFT
-            v = np.minimum(code // size, most).view(np.int64)
-            x, start, width = model.find(v, slot, grid[t + 1])
-            code -= size * start.view(np.uint64)
-            size *= width.view(np.uint64)
+            v = np.minimum(code // size, most).astype(np.int32)
+            x, start, width = model.find(v, held, b1s[t - begin])
+            code -= size * start.astype(np.uint64)
+            size *= width.astype(np.uint64)
             full = np.flatnonzero(size < _LOW)
             if len(full):
-                at = place[full]
+                at = place.take(full)
                 new = words.take(np.minimum(at, n_words))
-                new[at >= stop_at[full]] = 0
-                code[full] = code[full] << _WORD | new
-                size[full] <<= _WORD
-                place[full] = at + 1
+                new[at >= stop_at.take(full)] = 0
+                code[full] = code.take(full) << _WORD | new
+                size[full] = size.take(full) << _WORD
+                at += 1
+                place[full] = at
             grid[t + 2] = x
-        x, b1 = grid[begin + 2 : stop + 2].ravel(), grid[begin + 1 : stop + 1].ravel()
-        model.learn(x, slots.ravel(), b1, *model.place(b1, x))
+        x, b1, held = grid[begin + 2 : stop + 2].ravel(), b1s.ravel(), helds.ravel()
+        model.learn(x, lanes, slots.ravel(), held, (held >> 3) == x, b1, *model.place(b1, x))
     return np.ascontiguousarray(grid[2:].T).ravel()[:n], lengths, doc_ids
 
 
@@ -336,12 +369,11 @@ def byte_units(text: str) -> list[str]:
     return [text] if ODD_SPACE.search(text) else _UNITS.findall(text)
 
 
-def even(text: str) -> bool:
-    """Are all breaks of the text single spaces and single line ends, and no space beside a line end?
-    isprintable() rejects every other white space and control character."""
-    return (
-        text.replace("\n", "").isprintable() and "  " not in text and "\n\n" not in text and " \n" not in text and "\n " not in text and text[:1] != " " and text[-1:] != " "
-    )
+#: What rules out words cut at single spaces and line ends: white space of another kind, control
+#: characters, and breaks that stand together or at a text's edge.
+_UNEVEN = r"[\x00-\x09\x0b-\x1f\x7f-\xa0\x{1680}\x{180e}\x{2000}-\x{200f}\x{2028}-\x{202f}\x{205f}-\x{206f}\x{3000}\x{feff}]|[ \n][ \n]|\A | \z"
+#: Latin letters, one pre-token of every tokenizer used here; at a line's start after the line end.
+_LETTERS = "A-Za-z\\x{aa}\\x{b5}\\x{ba}\\x{c0}-\\x{d6}\\x{d8}-\\x{f6}\\x{f8}-\\x{ff}"
 
 
 def _byte_signs() -> dict[int, int]:
@@ -354,16 +386,78 @@ def _byte_signs() -> dict[int, int]:
 _BYTE_SIGNS = _byte_signs()
 
 
+# a byte as such vocabularies write it; a line end parts words
+_WRITTEN = np.arange(256, dtype="<u4")
+_WRITTEN[list(_BYTE_SIGNS)] = list(_BYTE_SIGNS.values())
+_WRITTEN[10] = 32
+
+
+def _stretches(pool: np.ndarray, first: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Stretches of a pool one after the other, and where each ends."""
+    end = np.cumsum(many)
+    n = int(end[-1]) if len(end) else 0
+    kind = np.int32 if max(n, len(pool)) < 1 << 31 else np.int64
+    place = np.repeat((first - (end - many)).astype(kind), many)
+    place += np.arange(n, dtype=kind)
+    return pool.take(place), end
+
+
+def _ends(words: pa.StringArray, cores: pa.StringArray) -> pa.StringArray:
+    """What follows its core in each word."""
+    size, core = (pc.binary_length(x).to_numpy().astype(np.int64) for x in (words, cores))
+    start = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words)]
+    raw, end = _stretches(np.frombuffer(words.buffers()[2] or b"", np.uint8), start + core, size - core)
+    return pa.StringArray.from_buffers(len(words), pa.py_buffer(np.append(0, end).astype(np.int32)), pa.py_buffer(raw))
+
+
+class _Table:
+    """Words, which Arrow looks up, with their ids one after the other."""
+
+    def __init__(self):
+        self.words, self.ids = pa.array([], pa.string()), np.zeros(0, "<u4")
+        self.first, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def __len__(self) -> int:
+        return len(self.words)
+
+    def ids_at(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words at the given places, one after the other, and where each word ends."""
+        return _stretches(self.ids, self.first.take(at), self.size.take(at))
+
+    def places(self, names: pa.StringArray, learn, bound: int) -> np.ndarray:
+        """Places of distinct words.  Those that lack are learnt: learn() gives their numbers of ids and
+        the ids.  Over the bound, words that are not asked for here are forgotten, which changes the
+        speed only."""
+        at = pc.fill_null(pc.index_in(names, value_set=self.words), -1).to_numpy().astype(np.int64)
+        lack = np.flatnonzero(at < 0)
+        if not len(lack):
+            return at
+        if len(self) + len(lack) > bound:
+            kept = at[at >= 0]
+            self.ids, end = self.ids_at(kept)
+            self.size = self.size.take(kept)
+            self.words, self.first = self.words.take(pa.array(kept)), end - self.size
+            at[at >= 0] = np.arange(len(kept))
+        new = names.take(pa.array(lack))
+        size, ids = learn(new)
+        at[lack] = np.arange(len(self), len(self) + len(lack))
+        self.words = pa.concat_arrays([self.words, new])
+        self.first = np.append(self.first, len(self.ids) + np.cumsum(size) - size)
+        self.size = np.append(self.size, size)
+        self.ids = np.append(self.ids, ids)
+        return at
+
+
 class CachedEncoder:
     """Ids as little-endian u32 bytes; the library encodes each distinct unit once per worker.
 
     A unit made of letters and closing punctuation is two pre-tokens for every tokenizer used here,
-    so its parts are looked up on their own.  The cache is emptied when it reaches its bound, which
-    changes the speed only."""
+    so its parts are looked up on their own.  What is kept is bounded, which changes the speed only."""
 
     def __init__(self, path: str, split=byte_units, bound: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import CharDelimiterSplit
 
         self.library, self.split, self.bound = Tokenizer.from_file(path), split, bound
         written = json.loads(self.library.to_str())
@@ -374,7 +468,11 @@ class CachedEncoder:
         self.line_end = np.array(self.library.encode("\n", add_special_tokens=False).ids, "<u4").tobytes()
         self.vocabulary = self.library.get_vocab_size(with_added_tokens=True)
         self.tails: dict[str, bytes] = {}  # closing punctuation
-        self._forget()
+        self.known, self.cores = _Table(), _Table()  # words as batch() marks them; the same without closing punctuation
+        self.letters = None  # the library's model on words that are one pre-token and written as its vocabulary writes them
+        if written["normalizer"] is None and written["pre_tokenizer"] == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}:
+            self.letters = Tokenizer(self.library.model)
+            self.letters.pre_tokenizer = CharDelimiterSplit(" ")
         names = self.library.get_vocab()
         self.opens_with_space, self.is_line_end = (np.zeros(self.vocabulary, bool) for _ in range(2))
         self.opens_with_space[[i for t, i in names.items() if t[:1] == chr(_BYTE_SIGNS[32])]] = True
@@ -401,98 +499,88 @@ class CachedEncoder:
             new = self._learn({u for u, v in zip(units, found, strict=True) if v is None})
             return b"".join([new[u] if v is None else v for u, v in zip(units, found, strict=True)])
 
-    def batch(self, texts: list[str | None]) -> list[np.ndarray]:
+    def batch(self, texts: list[str | None] | pa.Array) -> list[np.ndarray]:
         """Ids of many texts under byte_units.  Texts with even breaks are split and their words made
         distinct by Arrow, so that a word is looked up once a batch."""
-        plain = [i for i, t in enumerate(texts) if t and even(t) and not self.has_special(t)]
+        texts = texts.cast(pa.string()) if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        odd = pc.or_(pc.equal(pc.binary_length(texts), 0), pc.match_substring_regex(texts, _UNEVEN))
+        for t in self.special:
+            odd = pc.or_(odd, pc.match_substring(texts, t))
+        plain = pc.invert(pc.fill_null(odd, True))
         out: list = [None] * len(texts)
-        if plain:
-            # a text's first word stands bare, as does that of a line; the others follow a space
-            split = pc.split_pattern(pa.array(["\0" + texts[i].replace("\n", " \n") for i in plain], pa.string()), " ")
+        even = texts.filter(plain)
+        if len(even):
+            # a line's first word stands after the line end, the others follow a space; the line end
+            # put before each text is left out again
+            split = pc.split_pattern(pc.binary_join_element_wise("\n", pc.replace_substring(even, "\n", " \n"), ""), " ")
             words = split.flatten().dictionary_encode()
             at = self._places(words.dictionary).take(words.indices.to_numpy())
-            many = self.known_size.take(at)
-            end = np.cumsum(many)
-            ids = self._spread(at, many, end)
+            ids, end = self.known.ids_at(at)
             edge = [0, *end[split.offsets.to_numpy()[1:] - 1].tolist()]
-            for i, a, b in zip(plain, edge[:-1], edge[1:], strict=True):
-                out[i] = ids[a:b]
-        return [np.frombuffer(self(t), "<u4") if x is None else x for t, x in zip(texts, out, strict=True)]
-
-    def _forget(self) -> None:
-        """Words as batch() marks them, with their ids one after the other."""
-        self.known, self.known_ids = pa.array([], pa.string()), np.zeros(0, "<u4")
-        self.known_first, self.known_size = np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def _spread(self, at: np.ndarray, many: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Ids of the known words at the given places, one after the other."""
-        place = np.repeat(self.known_first.take(at) - (end - many), many)
-        place += np.arange(len(place))
-        return self.known_ids.take(place)
+            skip = len(self.line_end) >> 2
+            for i, a, b in zip(np.flatnonzero(plain.to_numpy(zero_copy_only=False)).tolist(), edge[:-1], edge[1:], strict=True):
+                out[i] = ids[a + skip : b]
+        return [np.frombuffer(self(texts[i].as_py()), "<u4") if x is None else x for i, x in enumerate(out)]
 
     def _places(self, names: pa.StringArray) -> np.ndarray:
-        """Places of distinct words among the known ones, which Arrow looks up; new words join them.  Over
-        the bound, those that this batch does not hold are forgotten, which changes the speed only."""
-        at = pc.fill_null(pc.index_in(names, value_set=self.known), -1).to_numpy().astype(np.int64)
-        lack = np.flatnonzero(at < 0)
-        if not len(lack):
-            return at
-        if len(self.known) + len(lack) > self.bound:
-            kept = at[at >= 0]
-            many = self.known_size.take(kept)
-            end = np.cumsum(many)
-            self.known, self.known_ids = self.known.take(pa.array(kept)), self._spread(kept, many, end)
-            self.known_first, self.known_size = end - many, many
-            at[at >= 0] = np.arange(len(kept))
-        new = names.take(pa.array(lack))
-        found = self._words(self._one_list(new), self._one_list(pc.utf8_rtrim(new, string.punctuation)))
-        size = np.fromiter(map(len, found), np.int64, len(found)) >> 2
-        at[lack] = np.arange(len(self.known), len(self.known) + len(lack))
-        self.known = pa.concat_arrays([self.known, new])
-        self.known_first = np.append(self.known_first, len(self.known_ids) + np.cumsum(size) - size)
-        self.known_size = np.append(self.known_size, size)
-        self.known_ids = np.append(self.known_ids, np.frombuffer(b"".join(found), "<u4"))
-        return at
-
-    @staticmethod
-    def _one_list(words: pa.StringArray) -> list[str]:
-        """Words without spaces as Python strings, made from one long one, which is fastest."""
-        listed = pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words)
-        return pc.binary_join(listed, " ")[0].as_py().split(" ")
-
-    def _words(self, names: list[str], cores: list[str]) -> list[bytes]:
-        """Ids of distinct words as batch() marks them; cores are the same without closing punctuation.
-        New ones are encoded in two long texts - words that follow a space, words that stand bare - and
-        cut where the space or the line end shows."""
-        if len(self.cache) + len(self.spaced) + len(names) > self.bound:
-            self.cache, self.spaced = {"": b""}, {}
-        bare, spaced, tails = self.cache, self.spaced, self.tails
-        # letters and what follows them are two pre-tokens, so they are looked up apart
-        keys = [c if c.isalpha() and (c.isascii() or max(c) <= "\xff") else n for n, c in zip(names, cores, strict=True)]
-        found = list(map(spaced.get, keys))
-        marked = [i for i, n in enumerate(names) if n[:1] in "\0\n"]
-        for i in marked:
-            found[i] = bare.get(names[i][1:])
-        if None in found:
-            lack = {i for i, v in enumerate(found) if v is None}
-            first = lack.intersection(marked)
-            bare.update(self._cut(list({names[i][1:] for i in first}), "\n", self.is_line_end, len(self.line_end)))
-            spaced.update(self._cut(list({keys[i] for i in lack - first}), " ", self.opens_with_space))
-            for i in lack:
-                found[i] = bare[names[i][1:]] if i in first else spaced[keys[i]]
-        for i in marked:
-            if names[i][0] == "\n":
-                found[i] = self.line_end + found[i]
-        for i, (n, k) in enumerate(zip(names, keys, strict=True)):
-            if n is not k and len(n) != len(k):
-                tail = n[len(k) :]
-                ids = tails.get(tail)
-                if ids is None:
-                    if len(tails) > 100_000:
-                        tails.clear()
-                    ids = tails[tail] = np.array(self.library.encode(tail, add_special_tokens=False).ids, "<u4").tobytes()
-                found[i] += ids
-        return found
+        """Places of distinct words among the known ones; new words join them."""
+        return self.known.places(names, lambda new: self._words(new, pc.utf8_rtrim(new, string.punctuation)), self.bound)
+
+    def _words(self, names: pa.StringArray, cores: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of ids of distinct words as batch() marks them, and the ids; cores are the same
+        without closing punctuation.  Letters and what follows them are two pre-tokens, so they are
+        looked up apart."""
+        parted = pc.match_substring_regex(cores, rf"\A\n?[{_LETTERS}]+\z")
+        keys = pc.if_else(parted, cores, names)
+        distinct = keys.dictionary_encode()
+        at = self.cores.places(distinct.dictionary, self._learn_cores, self.bound).take(distinct.indices.to_numpy())
+        tails = _ends(names, keys).dictionary_encode()
+        ends = [self._tail(t) for t in tails.dictionary.to_pylist()]
+        size = np.fromiter(map(len, ends), np.int64, len(ends)) >> 2
+        tail = tails.indices.to_numpy()
+        # a word is two stretches of ids: its core's and its tail's, which lie behind all cores
+        first = np.column_stack([self.cores.first.take(at), (len(self.cores.ids) + np.cumsum(size) - size).take(tail)])
+        many = np.column_stack([self.cores.size.take(at), size.take(tail)])
+        pool = np.append(self.cores.ids, np.frombuffer(b"".join(ends), "<u4"))
+        return many.sum(1), _stretches(pool, first.ravel(), many.ravel())[0]
+
+    def _tail(self, tail: str) -> bytes:
+        """Ids of closing punctuation."""
+        ids = self.tails.get(tail)
+        if ids is None:
+            if len(self.tails) > 100_000:
+                self.tails.clear()
+            ids = self.tails[tail] = np.array(self.library.encode(tail, add_special_tokens=False).ids, "<u4").tobytes()
+        return ids
+
+    def _learn_cores(self, keys: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of ids of distinct words, and the ids.  They are encoded in long texts - Latin letters
+        after a space as the vocabulary writes them, other words that follow a space, words that
+        stand after a line end - and cut where the space or the line end shows."""
+        kind = np.zeros(len(keys), bool)
+        if self.letters is not None:
+            kind = pc.match_substring_regex(keys, rf"\A[{_LETTERS}]+\z").to_numpy(zero_copy_only=False)
+        plain, rest = np.flatnonzero(kind), np.flatnonzero(~kind)
+        size, parts = np.zeros(len(keys), np.int64), []
+        for k in range(0, len(plain), 50_000):
+            some = keys.take(pa.array(plain[k : k + 50_000]))
+            joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(some)], pa.int32()), some), "\n ")[0].as_py()
+            written = _WRITTEN.take(np.frombuffer(b" " + joined.encode(), np.uint8)).tobytes().decode("utf-32-le")
+            ids = np.array(self.letters.encode_batch_fast([written], add_special_tokens=False)[0].ids, "<u4")
+            edge = np.append(np.flatnonzero(self.opens_with_space[ids]), len(ids))
+            if len(edge) != len(some) + 1:
+                raise ValueError("the tokenizer merges across word breaks")
+            size[plain[k : k + 50_000]] = np.diff(edge)
+            parts.append(ids)
+        names = keys.take(pa.array(rest)).to_pylist()
+        bare = {"": b""} | dict(self._cut([n[1:] for n in names if n[:1] == "\n" and n != "\n"], "\n", self.is_line_end, len(self.line_end)))
+        spaced = dict(self._cut([n for n in names if n[:1] != "\n"], " ", self.opens_with_space))
+        found = [self.line_end + bare[n[1:]] if n[:1] == "\n" else spaced[n] for n in names]
+        size[rest] = np.fromiter(map(len, found), np.int64, len(found)) >> 2
+        many = size[np.append(plain, rest)]
+        first = np.empty_like(many)
+        first[np.append(plain, rest)] = np.cumsum(many) - many
+        return size, _stretches(np.concatenate([*parts, np.frombuffer(b"".join(found), "<u4")]), first, size)[0]
 
     def _cut(self, words: list[str], sign: str, opens: np.ndarray, skip: int = 0) -> Iterator[tuple[str, bytes]]:
         """(word, ids) of words that follow a sign, without the first `skip` bytes."""
@@ -579,7 +667,7 @@ def write_blocks(docs: DataFrame, tokenizer_path: str, end_id: int, block_ids: i
 
         for batch in batches:
             encode = encode or encoder(tokenizer_path)
-            for doc_id, ids in zip(batch.column(0).to_pylist(), encode.batch(batch.column(1).to_pylist()), strict=True):
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encode.batch(batch.column(1)), strict=True):
                 held += [ids, end]
                 doc_ids.append(doc_id)
                 lengths.append(len(ids) + 1)

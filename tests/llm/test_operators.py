@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -10,6 +11,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -125,6 +127,45 @@ def test_known_words_are_not_looked_up_again(monkeypatch):
         assert len(encode.known) <= 300
 
 
+class Counting:
+    """A tokenizer that notes the texts it is given."""
+
+    def __init__(self, library, given):
+        self.library, self.given, self.model = library, given, library.model
+
+    def encode(self, text, **options):
+        self.given.append(text)
+        return self.library.encode(text, **options)
+
+    def encode_batch_fast(self, texts, **options):
+        self.given.extend(texts)
+        return self.library.encode_batch_fast(texts, **options)
+
+
+def test_words_in_use_are_not_encoded_again_over_the_bound():
+    library, given = Tokenizer.from_file(BYTE), []
+    encode = token_codec.CachedEncoder(BYTE, bound=300)
+    for name in ("library", "letters"):
+        if getattr(encode, name, None) is not None:
+            setattr(encode, name, Counting(getattr(encode, name), given))
+    stems = ["".join(c) for c in itertools.islice(itertools.product("bdfgklmnprst", "aeiou\xe9", "bdglmnrst"), 200)]
+    for k, tail in enumerate([",", ".", "!?", ");"]):
+        text = " ".join(["start", *(w + tail for w in stems)])
+        assert encode.batch([text])[0].tolist() == library.encode(text, add_special_tokens=False).ids
+        assert len("".join(given).split()) <= 202 + k  # each stem once, and the new punctuation
+
+
+def test_batches_agree_with_the_library_on_line_starts_and_odd_letters():
+    r = random.Random(43)
+    words = ["the", "An", "it's", "x'", "\xaa\xb5\xba", "a\xd7b", "\xd7", "\xf7.", "\xdf!", "\xff),", "\u0101b,", "\xadz", "\ue000", "e\u0301.", "1.", "2b", "\u4e2d\u6587.", "...", "<|endof", "'s", "\u200bq", "a\xa0b", "a\x85b", "\x00"]
+    texts = ["", None, "\n", "\nthe", "the\n", "<|endoftext|>", " ", "a <|endoftext|> b"]
+    texts += ["".join(r.choice(words) + r.choice([" ", " ", " ", "\n", "\n\n"][: r.randint(3, 5)]) for _ in range(r.randint(1, 9))).strip(" " * r.randint(0, 1)) for _ in range(6000)]
+    want = [ids_of(BYTE, t) if not t else e.ids for t, e in zip(texts, Tokenizer.from_file(BYTE).encode_batch([t or "" for t in texts], add_special_tokens=False), strict=True)]
+    encode, column = token_codec.CachedEncoder(BYTE, bound=200), pa.array(texts, pa.large_string())
+    for k in range(0, len(texts), 700):
+        assert [x.tolist() for x in encode.batch(column.slice(k, 700))] == want[k : k + 700]
+
+
 @pytest.mark.parametrize("salt", [250_000, 3])
 def test_packing(docs, empty, salt):
     assert packing.pack(empty, WORD).count() == 0
