@@ -392,60 +392,42 @@ _WRITTEN[list(_BYTE_SIGNS)] = list(_BYTE_SIGNS.values())
 _WRITTEN[10] = 32
 
 
-def _stretches(pool: np.ndarray, first: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Stretches of a pool one after the other, and where each ends."""
-    end = np.cumsum(many)
-    n = int(end[-1]) if len(end) else 0
-    kind = np.int32 if max(n, len(pool)) < 1 << 31 else np.int64
-    place = np.repeat((first - (end - many)).astype(kind), many)
-    place += np.arange(n, dtype=kind)
-    return pool.take(place), end
-
-
 def _ends(words: pa.StringArray, cores: pa.StringArray) -> pa.StringArray:
     """What follows its core in each word."""
     size, core = (pc.binary_length(x).to_numpy().astype(np.int64) for x in (words, cores))
     start = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words)]
-    raw, end = _stretches(np.frombuffer(words.buffers()[2] or b"", np.uint8), start + core, size - core)
+    size -= core
+    end = np.cumsum(size)
+    place = np.repeat(start + core - (end - size), size)
+    place += np.arange(len(place))
+    raw = np.frombuffer(words.buffers()[2] or b"", np.uint8).take(place)
     return pa.StringArray.from_buffers(len(words), pa.py_buffer(np.append(0, end).astype(np.int32)), pa.py_buffer(raw))
 
 
 class _Table:
-    """Words, which Arrow looks up, with their ids one after the other."""
+    """Words, which Arrow looks up, and their ids."""
 
     def __init__(self):
-        self.words, self.ids = pa.array([], pa.string()), np.zeros(0, "<u4")
-        self.first, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.words, self.ids = pa.array([], pa.string()), pa.array([], pa.large_binary())
 
     def __len__(self) -> int:
         return len(self.words)
 
-    def ids_at(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the words at the given places, one after the other, and where each word ends."""
-        return _stretches(self.ids, self.first.take(at), self.size.take(at))
-
-    def places(self, names: pa.StringArray, learn, bound: int) -> np.ndarray:
-        """Places of distinct words.  Those that lack are learnt: learn() gives their numbers of ids and
-        the ids.  Over the bound, words that are not asked for here are forgotten, which changes the
-        speed only."""
+    def places(self, names: pa.StringArray, learn, bound: int) -> pa.Array:
+        """Places of distinct words.  Those that lack are learnt: learn() gives their ids.  Over the
+        bound, words that are not asked for here are forgotten, which changes the speed only."""
         at = pc.fill_null(pc.index_in(names, value_set=self.words), -1).to_numpy().astype(np.int64)
         lack = np.flatnonzero(at < 0)
-        if not len(lack):
-            return at
-        if len(self) + len(lack) > bound:
-            kept = at[at >= 0]
-            self.ids, end = self.ids_at(kept)
-            self.size = self.size.take(kept)
-            self.words, self.first = self.words.take(pa.array(kept)), end - self.size
-            at[at >= 0] = np.arange(len(kept))
-        new = names.take(pa.array(lack))
-        size, ids = learn(new)
-        at[lack] = np.arange(len(self), len(self) + len(lack))
-        self.words = pa.concat_arrays([self.words, new])
-        self.first = np.append(self.first, len(self.ids) + np.cumsum(size) - size)
-        self.size = np.append(self.size, size)
-        self.ids = np.append(self.ids, ids)
-        return at
+        if len(lack):
+            if len(self) + len(lack) > bound:
+                kept = pa.array(at[at >= 0])
+                self.words, self.ids = self.words.take(kept), self.ids.take(kept)
+                at[at >= 0] = np.arange(len(kept))
+            new = names.take(pa.array(lack))
+            ids = learn(new)
+            at[lack] = np.arange(len(self), len(self) + len(lack))
+            self.words, self.ids = pa.concat_arrays([self.words, new]), pa.concat_arrays([self.ids, ids])
+        return pa.array(at)
 
 
 class CachedEncoder:
@@ -505,7 +487,7 @@ class CachedEncoder:
         texts = texts.cast(pa.string()) if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
         odd = pc.or_(pc.equal(pc.binary_length(texts), 0), pc.match_substring_regex(texts, _UNEVEN))
         for t in self.special:
-            odd = pc.or_(odd, pc.match_substring(texts, t))
+            odd = pc.or_(odd, pc.match_substring_regex(texts, "".join(f"\\x{{{ord(c):x}}}" for c in t)))
         plain = pc.invert(pc.fill_null(odd, True))
         out: list = [None] * len(texts)
         even = texts.filter(plain)
@@ -514,35 +496,28 @@ class CachedEncoder:
             # put before each text is left out again
             split = pc.split_pattern(pc.binary_join_element_wise("\n", pc.replace_substring(even, "\n", " \n"), ""), " ")
             words = split.flatten().dictionary_encode()
-            at = self._places(words.dictionary).take(words.indices.to_numpy())
-            ids, end = self.known.ids_at(at)
-            edge = [0, *end[split.offsets.to_numpy()[1:] - 1].tolist()]
+            at = self._places(words.dictionary)
+            of_word = self.known.ids.take(at).take(words.indices)
+            ids = np.frombuffer(of_word.buffers()[2], "<u4")
+            edge = (np.frombuffer(of_word.buffers()[1], np.int64)[split.offsets.to_numpy()] >> 2).tolist()
             skip = len(self.line_end) >> 2
             for i, a, b in zip(np.flatnonzero(plain.to_numpy(zero_copy_only=False)).tolist(), edge[:-1], edge[1:], strict=True):
                 out[i] = ids[a + skip : b]
         return [np.frombuffer(self(texts[i].as_py()), "<u4") if x is None else x for i, x in enumerate(out)]
 
-    def _places(self, names: pa.StringArray) -> np.ndarray:
+    def _places(self, names: pa.StringArray) -> pa.Array:
         """Places of distinct words among the known ones; new words join them."""
         return self.known.places(names, lambda new: self._words(new, pc.utf8_rtrim(new, string.punctuation)), self.bound)
 
-    def _words(self, names: pa.StringArray, cores: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers of ids of distinct words as batch() marks them, and the ids; cores are the same
-        without closing punctuation.  Letters and what follows them are two pre-tokens, so they are
-        looked up apart."""
+    def _words(self, names: pa.StringArray, cores: pa.StringArray) -> pa.LargeBinaryArray:
+        """Ids of distinct words as batch() marks them; cores are the same without closing punctuation.
+        Letters and what follows them are two pre-tokens, so they are looked up apart."""
         parted = pc.match_substring_regex(cores, rf"\A\n?[{_LETTERS}]+\z")
         keys = pc.if_else(parted, cores, names)
-        distinct = keys.dictionary_encode()
-        at = self.cores.places(distinct.dictionary, self._learn_cores, self.bound).take(distinct.indices.to_numpy())
-        tails = _ends(names, keys).dictionary_encode()
-        ends = [self._tail(t) for t in tails.dictionary.to_pylist()]
-        size = np.fromiter(map(len, ends), np.int64, len(ends)) >> 2
-        tail = tails.indices.to_numpy()
-        # a word is two stretches of ids: its core's and its tail's, which lie behind all cores
-        first = np.column_stack([self.cores.first.take(at), (len(self.cores.ids) + np.cumsum(size) - size).take(tail)])
-        many = np.column_stack([self.cores.size.take(at), size.take(tail)])
-        pool = np.append(self.cores.ids, np.frombuffer(b"".join(ends), "<u4"))
-        return many.sum(1), _stretches(pool, first.ravel(), many.ravel())[0]
+        distinct, tails = keys.dictionary_encode(), _ends(names, keys).dictionary_encode()
+        at = self.cores.places(distinct.dictionary, self._learn_cores, self.bound).take(distinct.indices)
+        ends = pa.array([self._tail(t) for t in tails.dictionary.to_pylist()], pa.large_binary())
+        return pc.binary_join_element_wise(self.cores.ids.take(at), ends.take(tails.indices), pa.scalar(b"", pa.large_binary()))
 
     def _tail(self, tail: str) -> bytes:
         """Ids of closing punctuation."""
@@ -553,34 +528,28 @@ class CachedEncoder:
             ids = self.tails[tail] = np.array(self.library.encode(tail, add_special_tokens=False).ids, "<u4").tobytes()
         return ids
 
-    def _learn_cores(self, keys: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers of ids of distinct words, and the ids.  They are encoded in long texts - Latin letters
-        after a space as the vocabulary writes them, other words that follow a space, words that
-        stand after a line end - and cut where the space or the line end shows."""
-        kind = np.zeros(len(keys), bool)
+    def _learn_cores(self, keys: pa.StringArray) -> pa.LargeBinaryArray:
+        """Ids of distinct words.  They are encoded in long texts - Latin letters after a space as the
+        vocabulary writes them, other words that follow a space, words that stand after a line
+        end - and cut where the space or the line end shows."""
+        plain = np.zeros(len(keys), bool)
         if self.letters is not None:
-            kind = pc.match_substring_regex(keys, rf"\A[{_LETTERS}]+\z").to_numpy(zero_copy_only=False)
-        plain, rest = np.flatnonzero(kind), np.flatnonzero(~kind)
-        size, parts = np.zeros(len(keys), np.int64), []
-        for k in range(0, len(plain), 50_000):
-            some = keys.take(pa.array(plain[k : k + 50_000]))
+            plain = pc.match_substring_regex(keys, rf"\A[{_LETTERS}]+\z").to_numpy(zero_copy_only=False)
+        order, n_plain, parts = np.argsort(~plain, kind="stable"), int(plain.sum()), []
+        for k in range(0, n_plain, 50_000):
+            some = keys.take(pa.array(order[k : min(n_plain, k + 50_000)]))
             joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(some)], pa.int32()), some), "\n ")[0].as_py()
             written = _WRITTEN.take(np.frombuffer(b" " + joined.encode(), np.uint8)).tobytes().decode("utf-32-le")
             ids = np.array(self.letters.encode_batch_fast([written], add_special_tokens=False)[0].ids, "<u4")
             edge = np.append(np.flatnonzero(self.opens_with_space[ids]), len(ids))
             if len(edge) != len(some) + 1:
                 raise ValueError("the tokenizer merges across word breaks")
-            size[plain[k : k + 50_000]] = np.diff(edge)
-            parts.append(ids)
-        names = keys.take(pa.array(rest)).to_pylist()
+            parts.append(pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(some), [None, pa.py_buffer(4 * edge), pa.py_buffer(ids)]))
+        names = keys.take(pa.array(order[n_plain:])).to_pylist()
         bare = {"": b""} | dict(self._cut([n[1:] for n in names if n[:1] == "\n" and n != "\n"], "\n", self.is_line_end, len(self.line_end)))
         spaced = dict(self._cut([n for n in names if n[:1] != "\n"], " ", self.opens_with_space))
-        found = [self.line_end + bare[n[1:]] if n[:1] == "\n" else spaced[n] for n in names]
-        size[rest] = np.fromiter(map(len, found), np.int64, len(found)) >> 2
-        many = size[np.append(plain, rest)]
-        first = np.empty_like(many)
-        first[np.append(plain, rest)] = np.cumsum(many) - many
-        return size, _stretches(np.concatenate([*parts, np.frombuffer(b"".join(found), "<u4")]), first, size)[0]
+        parts.append(pa.array([self.line_end + bare[n[1:]] if n[:1] == "\n" else spaced[n] for n in names], pa.large_binary()))
+        return pa.concat_arrays(parts).take(pa.array(np.argsort(order)))
 
     def _cut(self, words: list[str], sign: str, opens: np.ndarray, skip: int = 0) -> Iterator[tuple[str, bytes]]:
         """(word, ids) of words that follow a sign, without the first `skip` bytes."""
@@ -651,7 +620,7 @@ def write_blocks(docs: DataFrame, tokenizer_path: str, end_id: int, block_ids: i
     """Token files in ascending doc_id order: rows (part, block, data), stored in the shared folder.
     Each part covers a doc_id range; blocks within it are in order.  Everything about the documents
     stands in the blocks."""
-    small_batches(docs.sparkSession, 4000)  # more texts a batch share more words
+    small_batches(docs.sparkSession, 8000, "24m")  # more texts a batch share more words
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     ordered = docs.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
     end = np.array([end_id], "<u4")
