@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from ..storage import stored
 
-BIN = 4096
 WIDE_BIN = 1_000_000
+SLICE = 1024  # rows of one side of a bin that meet the other side in one piece
 BROADCAST_ROWS = 500_000  # a cover of at most so many intervals (12 MB) goes to every task
 
 
@@ -150,18 +150,42 @@ def _cover_lookup(cover: DataFrame):
     return lookup
 
 
-def overlap_join(left: DataFrame, right: DataFrame, width: int = BIN) -> DataFrame:
+def _width_for(left: DataFrame, right: DataFrame) -> int:
+    """A bin width of four mean lengths: bins then repeat a quarter of the rows and pair few rows that
+    do not overlap."""
+    n = left.select("start", "stop").unionAll(right.select("start", "stop")).filter("stop > start").agg(F.avg(F.col("stop") - F.col("start")).alias("m")).first()["m"]
+    return int(min(WIDE_BIN, max(64, 4 * (n or 0))))
+
+
+def overlap_join(left: DataFrame, right: DataFrame, width: int = 0, most: int = SLICE) -> DataFrame:
     """All overlapping pairs, nested ones included; columns of left are l_*, of right r_*.  A pair is
-    made once: in the bin where the later of the two starts lies."""
+    made once: in the bin where the later of the two starts lies.  A bin's rows of either side are dealt
+    into slices of about `most`; each pair of slices is a key of its own, so the pairs of a deep bin are
+    spread over all tasks.  width 0: by the lengths."""
+    width = width or _width_for(left, right)
 
     def binned(df: DataFrame, side: str) -> DataFrame:
         d = df.filter("stop > start").select(*(F.col(c).alias(f"{side}_{c}") for c in df.columns))
         first, last = F.floor(F.col(f"{side}_start") / width), F.floor((F.col(f"{side}_stop") - 1) / width)
         return d.withColumn("_contig", F.col(f"{side}_contig")).withColumn("_bin", F.explode(F.sequence(first.cast("bigint"), last.cast("bigint"))))
 
-    d = binned(left, "l").join(binned(right, "r"), ["_contig", "_bin"])
+    lb, rb = binned(left, "l"), binned(right, "r")
+    slices = lambda d, name: d.groupBy("_contig", "_bin").agg(F.ceil(F.count("*") / most).cast("int").alias(name))
+    sizes = slices(lb, "_ls").join(slices(rb, "_rs"), ["_contig", "_bin"])  # bins that hold both sides
+    spark = left.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    keys = ["_contig", "_bin", "_i", "_j"]
+
+    def dealt(d: DataFrame, own: str, other: str, n_own: str, n_other: str) -> DataFrame:
+        d = d.withColumn("_h", F.xxhash64(*(c for c in d.columns if c[1] == "_"))).join(sizes, ["_contig", "_bin"])
+        d = d.withColumn(own, F.pmod("_h", n_own).cast("int")).drop("_h")
+        d = d.withColumn(other, F.explode(F.sequence(F.lit(0), F.col(n_other) - 1))).drop("_ls", "_rs")
+        return d.repartition(tasks, *keys)  # a given number is kept: few rows may make very many pairs
+
+    d = dealt(lb, "_i", "_j", "_ls", "_rs").hint("merge").join(dealt(rb, "_j", "_i", "_rs", "_ls"), keys)
     d = d.filter((F.col("l_start") < F.col("r_stop")) & (F.col("r_start") < F.col("l_stop")))
-    return d.filter(F.floor(F.greatest("l_start", "r_start") / width) == F.col("_bin")).drop("_contig", "_bin")
+    # both rows reach into the bin, so the later start lies in it unless it lies before it
+    return d.filter(F.greatest("l_start", "r_start") >= F.col("_bin") * width).drop(*keys)
 
 
 def tiles(df: DataFrame, width: int) -> DataFrame:

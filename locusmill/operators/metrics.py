@@ -54,7 +54,7 @@ def set_jaccard(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
 
 def interval_jaccard(a: DataFrame, b: DataFrame) -> DataFrame:
     """Shared over covered bases of two interval sets."""
-    ma, mb = intervals.merge(a), intervals.merge(b)
+    ma, mb = stored(intervals.merge(a), "merged"), stored(intervals.merge(b), "merged")
     size = lambda d, n: d.agg(F.coalesce(F.sum(F.col("stop") - F.col("start")), F.lit(0)).alias(n))
     hit = intervals.overlap_join(ma, mb).agg(F.coalesce(F.sum(F.least("l_stop", "r_stop") - F.greatest("l_start", "r_start")), F.lit(0)).alias("shared"))
     d = size(ma, "a").crossJoin(size(mb, "b")).crossJoin(hit)  # one row each

@@ -47,6 +47,13 @@ def test_overlap_join_makes_each_pair_once(spark):
     assert got == want
 
 
+def test_pairs_of_one_deep_bin_are_spread_over_tasks(spark):
+    p = spark.createDataFrame([("c", i % 7, 100 + i % 5, f"p{i}") for i in range(300)], PEAKS + ", name string").coalesce(1)
+    d = intervals.overlap_join(p, p, width=4096, most=50)
+    assert d.count() == 300 * 300 and d.select("l_name", "r_name").distinct().count() == 300 * 300
+    assert d.groupBy(F.spark_partition_id()).count().count() > 1
+
+
 FRIP = [
     ([(1000, 2000), (5000, 6000)], [(1100, 1300), (900, 1050), (3000, 3200), (5900, 6100), (900, 1000)], (5, 3, 850, 350)),
     ([(1000, 1500), (1200, 1700), (1600, 1800)], [(1000, 1800)], (1, 1, 800, 800)),
