@@ -65,7 +65,9 @@ def interval_jaccard(a: DataFrame, b: DataFrame) -> DataFrame:
 def match_peaks(a: DataFrame, b: DataFrame) -> DataFrame:
     """Best partner of each left peak by intersection over union, the earliest of equals; a right peak
     serves once, the first left peak in genome order that wants it, and the others stay alone."""
-    p = intervals.overlap_join(a.select("contig", "start", "stop", "name"), b.select("contig", "start", "stop", "name"))
+    # equal intervals want the same partner, and of equal ones only the first by name wants or is wanted first
+    one = lambda d: d.groupBy("contig", "start", "stop").agg(F.min("name").alias("name"))
+    p = intervals.overlap_join(one(a), one(b))
     inter = F.least("l_stop", "r_stop") - F.greatest("l_start", "r_start")
     iou = inter / (F.greatest("l_stop", "r_stop") - F.least("l_start", "r_start"))
     # the best partner is an aggregate, so a peak with very many partners is no single task's work

@@ -54,6 +54,23 @@ def test_pairs_of_one_deep_bin_are_spread_over_tasks(spark):
     assert d.groupBy(F.spark_partition_id()).count().count() > 1
 
 
+def test_equal_peaks_meet_once_in_matching(spark, monkeypatch):
+    r = random.Random(6)
+    make = lambda n, q: [("c", s, s + r.choice([30, 50]), f"{q}{i}") for i, s in enumerate(r.choice([0, 10, 25, 60]) for _ in range(n))]
+    a, b = make(90, "a"), make(80, "b")
+    met, join = [], intervals.overlap_join
+    monkeypatch.setattr(intervals, "overlap_join", lambda x, y: met.append((x.count(), y.count())) or join(x, y))
+    got = metrics.match_peaks(*(spark.createDataFrame(x, PEAKS + ", name string") for x in (a, b)))
+    got = {(x["a_name"], x["b_name"], round(x["iou"], 9)) for x in got.collect()}
+    first = {}
+    for _, s, e, name in sorted(a, key=lambda x: x[1:]):
+        near = [(-(min(e, y) - max(s, x)) / (max(e, y) - min(s, x)), x, y, q) for _, x, y, q in b if s < y and x < e]
+        if near:
+            first.setdefault(min(near)[3], (name, round(-min(near)[0], 9)))
+    assert got == {(v[0], k, v[1]) for k, v in first.items()}
+    assert max(met[0]) <= 8
+
+
 FRIP = [
     ([(1000, 2000), (5000, 6000)], [(1100, 1300), (900, 1050), (3000, 3200), (5900, 6100), (900, 1000)], (5, 3, 850, 350)),
     ([(1000, 1500), (1200, 1700), (1600, 1800)], [(1000, 1800)], (1, 1, 800, 800)),
