@@ -73,10 +73,10 @@ def alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All 100-letter pieces of every document."""
     d = dealt(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z]", "").alias("t"))
-    n = F.greatest(F.ceil(F.char_length("t") / PIECE), F.lit(1)).cast("int")
-    d = d.select("doc_id", "t", F.explode(F.sequence(F.lit(0), n - 1)).alias("piece"))
-    p = F.lower(F.substring(F.col("t"), F.col("piece") * PIECE + 1, F.lit(PIECE)))
-    return d.select("doc_id", "piece", p.alias("p")).select(
+    # the pieces are what is exploded: a row per piece that still held its document would fill a Python function's queue
+    d = d.select("doc_id", F.posexplode_outer(F.regexp_extract_all("t", F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))).alias("piece", "p"))
+    d = d.select("doc_id", F.coalesce("piece", F.lit(0)).alias("piece"), F.lower(F.coalesce("p", F.lit(""))).alias("p"))
+    return d.select(
         (F.col("doc_id") * 1_000_000 + F.col("piece")).alias("rec_idx"),
         F.concat(F.lit("@r"), "doc_id", F.lit("."), "piece").alias("id"),
         F.translate("p", LETTERS, TO_BASE).alias("seq"),

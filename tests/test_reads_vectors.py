@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from locusmill import api
 from locusmill.operators import profile, reads, vectors
+from locusmill.plans import registry
 from locusmill.sources import binary, sinks, text
 
 
@@ -133,3 +134,14 @@ def test_api_refuses_mismatched_names(spark):
     with pytest.raises(text.InvalidInput):
         api.frip(spark, f, peaks, 1000)
     assert api.fragment_sizes(spark, f).metrics["median"] == 45
+
+
+def test_rows_that_wait_for_a_python_function_hold_no_document(spark):
+    def nodes(p):
+        yield p
+        for i in range(p.children().size()):
+            yield from nodes(p.children().apply(i))
+
+    d = registry.queries()["trim_adapter"](spark, "/root/testdata/sf0.001")
+    found = [p for p in nodes(d._jdf.queryExecution().optimizedPlan()) if p.nodeName() == "ArrowEvalPython"]
+    assert len(found) == 1 and "t" not in {c.split("#")[0] for c in found[0].children().apply(0).output().mkString(",").split(",")}
