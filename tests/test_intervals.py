@@ -71,6 +71,17 @@ def test_equal_peaks_meet_once_in_matching(spark, monkeypatch):
     assert max(met[0]) <= 8
 
 
+def test_equal_spans_are_counted_once_and_all_kept(spark):
+    r = random.Random(7)
+    spans = [("c", s, s + 50, i) for i, s in enumerate(r.choice([0, 40, 80]) for _ in range(60))]
+    reads = [("c", s, s + 30, 2) for s in (r.randint(0, 200) for _ in range(40))]
+    s = spark.createDataFrame(spans, PEAKS + ", region int")
+    d = spark.createDataFrame(reads, PEAKS + ", n bigint")
+    want = sorted((c, a, b, 2 * sum(x < b and a < y for _, x, y, _ in reads)) for c, a, b, _ in spans)
+    assert rows(intervals.touching(s.drop("region"), d)) == want
+    assert rows(intervals.touching(s, d)) == sorted((*x, 2 * sum(p < x[2] and x[1] < q for _, p, q, _ in reads)) for x in spans)
+
+
 FRIP = [
     ([(1000, 2000), (5000, 6000)], [(1100, 1300), (900, 1050), (3000, 3200), (5900, 6100), (900, 1000)], (5, 3, 850, 350)),
     ([(1000, 1500), (1200, 1700), (1600, 1800)], [(1000, 1800)], (1, 1, 800, 800)),
