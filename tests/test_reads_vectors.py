@@ -145,3 +145,25 @@ def test_rows_that_wait_for_a_python_function_hold_no_document(spark):
     d = registry.queries()["trim_adapter"](spark, "/root/testdata/sf0.001")
     found = [p for p in nodes(d._jdf.queryExecution().optimizedPlan()) if p.nodeName() == "ArrowEvalPython"]
     assert len(found) == 1 and "t" not in {c.split("#")[0] for c in found[0].children().apply(0).output().mkString(",").split(",")}
+
+
+def test_products_of_a_range_of_columns_leave_a_row_a_pair(spark, monkeypatch):
+    import numpy as np
+
+    r = np.random.default_rng(5)
+    m = (r.random((30, 400)) < 0.4) * r.integers(-3, 4, (30, 400))
+    coo = [(int(i), int(j), float(m[i, j])) for i, j in zip(*np.nonzero(m), strict=True)] + [(0, 400, 1.0), (7, 400, -1.0)]
+    have = {(i, j): v for i, j, v in coo}
+    want = {}
+    for a in range(30):
+        for b in range(a + 1, 30):
+            if both := [j for j in range(401) if (a, j) in have and (b, j) in have]:
+                want[a, b] = sum(have[a, j] * have[b, j] for j in both)
+    df = spark.createDataFrame(coo, "row bigint, col bigint, value double")
+    for hot, products in ((2048, 4_000_000), (2048, 50), (10, 4_000_000)):
+        monkeypatch.setattr(vectors, "HOT_COLUMN", hot)
+        monkeypatch.setattr(vectors, "PRODUCTS", products)
+        parts = vectors._dots(df)
+        assert {(x["a"], x["b"]): x["s"] for x in parts.groupBy("a", "b").agg(F.sum("dot").alias("s")).collect()} == want
+        if (hot, products) == (2048, 4_000_000):
+            assert parts.count() <= len(want) * spark.sparkContext.defaultParallelism  # not one a product: 400 columns
