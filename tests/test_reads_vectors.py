@@ -167,3 +167,26 @@ def test_products_of_a_range_of_columns_leave_a_row_a_pair(spark, monkeypatch):
         assert {(x["a"], x["b"]): x["s"] for x in parts.groupBy("a", "b").agg(F.sum("dot").alias("s")).collect()} == want
         if (hot, products) == (2048, 4_000_000):
             assert parts.count() <= len(want) * spark.sparkContext.defaultParallelism  # not one a product: 400 columns
+
+
+def test_slices_meet_once_and_none_is_broadcast(spark, monkeypatch):
+    import numpy as np
+
+    x = np.random.default_rng(9).normal(size=(90, 4))
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "id bigint, vec array<double>")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    sim = (u @ u.T).astype(np.float32)
+    for block in (200, 45, 30, 23):  # 1 to 4 slices
+        monkeypatch.setattr(vectors, "BLOCK", block)
+        for queries, same in ((df, True), (df.filter("id % 9 = 0"), False)):
+            d = vectors.knn(queries, df, 3, same)
+            assert "Broadcast" not in d._jdf.queryExecution().executedPlan().toString()
+            got = {}
+            for r in d.collect():
+                got.setdefault(r["src"], {})[r["rank"]] = r["dst"]
+            for i in got:
+                s = sim[i].copy()
+                if same:
+                    s[i] = -np.inf
+                assert [got[i][r] for r in (1, 2, 3)] == np.argsort(-s, kind="stable")[:3].tolist()
+            assert len(got) == queries.count()
