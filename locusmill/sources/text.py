@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 MAX_COORDINATE = 2**31 - 1
 MAX_COPIES = 1_000_000
+FEW = 4  # operations of a CIGAR that are added up without a loop
 
 
 class InvalidInput(ValueError):
@@ -19,7 +20,18 @@ class InvalidInput(ValueError):
 
 def integer(field: Column) -> Column:
     """A whole-field integer: no plus sign, no blanks, no suffix; null otherwise."""
-    return F.when(field.rlike("^-?[0-9]+$"), field.try_cast("bigint"))
+    digit = lambda at: field.substr(at, 1).between("0", "9")  # noqa: E731  the cast itself lets blanks and a plus sign pass
+    return F.when((digit(1) | field.startswith("-")) & digit(-1), field.try_cast("bigint"))
+
+
+def once(d: DataFrame, /, **columns: Column) -> DataFrame:
+    """d with columns worked out once a row.  Filters and projections are not moved below a generator; below a
+    projection they are, and then repeat its expressions wherever they use one."""
+    return d.select("*", F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
+
+
+def _no_return(value: str) -> Column:
+    return F.when(F.col(value).endswith("\r"), F.left(value, F.char_length(value) - 1)).otherwise(F.col(value))
 
 
 def _lines(spark: SparkSession, path: str, browser: bool = True) -> DataFrame:
@@ -60,20 +72,24 @@ def contig_lengths(df: DataFrame, contigs: DataFrame) -> DataFrame:
 
 def sam(spark: SparkSession, path: str) -> DataFrame:
     """Alignments of a SAM text file, as read_bam() gives them; lines are read wherever Spark splits them."""
-    d = spark.read.text(path).select(F.regexp_replace("value", "\r$", "").alias("line"), F.monotonically_increasing_id().alias("rec_idx"))
-    d = d.filter((F.col("line") != "") & ~F.col("line").startswith("@")).withColumn("f", F.split("line", "\t"))
-    d = _strict(d, (F.size("f") >= 11) & integer(_field(1)).between(0, 65535) & integer(_field(3)).isNotNull() & _field(5).rlike("^([*]|([0-9]+[MIDNSHP=X])+)$"), "SAM").filter(F.col("line").isNotNull())
+    d = spark.read.text(path).select(_no_return("value").alias("line"), F.monotonically_increasing_id().alias("rec_idx"))
+    d = once(d.filter((F.col("line") != "") & ~F.col("line").startswith("@")), f=F.split("line", "\t"))
+    d = once(d, flag=integer(_field(1)), pos=integer(_field(3)))
+    d = _strict(d, (F.size("f") >= 11) & F.col("flag").between(0, 65535) & F.col("pos").isNotNull() & _field(5).rlike("^([*]|([0-9]+[MIDNSHP=X])+)$"), "SAM").filter(F.col("line").isNotNull())
     known = lambda i: F.when(_field(i) != "*", _field(i))
-    ops = F.when(_field(5) == "*", F.array().cast("array<struct<op:string,len:int>>")).otherwise(
-        F.transform(F.regexp_extract_all(_field(5), F.lit("([0-9]+[MIDNSHP=X])"), F.lit(1)), lambda c: F.struct(F.right(c, F.lit(1)).alias("op"), F.substring(c, F.lit(1), F.char_length(c) - 1).cast("int").alias("len")))
-    )
-    d = d.withColumn("cigar", ops)
-    start = integer(_field(3)) - 1
-    span = F.aggregate("cigar", F.lit(0).cast("bigint"), lambda n, c: n + F.when(c["op"].isin("M", "D", "N", "=", "X"), c["len"]).otherwise(0))
+    # functions over an array's elements are interpreted, at over a microsecond an element: short CIGARs, most of all, do without
+    sizes = F.when(_field(5) == "*", F.array().cast("array<int>")).otherwise(F.split(F.left(_field(5), F.char_length(_field(5)) - 1), "[MIDNSHP=X]").cast("array<int>"))
+    d = once(d, sizes=sizes, letters=F.translate(_field(5), "0123456789*", ""))
+    spans = lambda i, n: F.when(F.substring("letters", i + 1, F.lit(1)).isin(*"MDN=X"), n.cast("bigint")).otherwise(0)
+    few = sum((spans(F.lit(i), F.get("sizes", F.lit(i))) for i in range(1, FEW)), spans(F.lit(0), F.get("sizes", F.lit(0))))
+    many = F.aggregate(F.transform("sizes", lambda n, i: spans(i, n)), F.lit(0).cast("bigint"), lambda n, x: n + x)
+    span = F.when(F.size("sizes") <= FEW, few).otherwise(many)  # with its loop, it would keep a generator from being compiled
+    cigar = F.transform("sizes", lambda n, i: F.struct(F.substring("letters", i + 1, F.lit(1)).alias("op"), n.alias("len")))
+    start = F.col("pos") - 1
     return d.select(
-        F.lit(0).alias("file"), "rec_idx", _field(0).alias("qname"), integer(_field(1)).cast("int").alias("flag"), known(2).alias("contig"), start.alias("start"), (start + span).alias("stop"),
+        F.lit(0).alias("file"), "rec_idx", _field(0).alias("qname"), F.col("flag").cast("int").alias("flag"), known(2).alias("contig"), start.alias("start"), (start + span).alias("stop"),
         integer(_field(4)).cast("int").alias("mapq"), F.when(_field(6) == "=", known(2)).otherwise(known(6)).alias("mate_contig"), (integer(_field(7)) - 1).alias("mate_start"),
-        integer(_field(8)).alias("tlen"), "cigar", known(9).alias("seq"), known(10).alias("qual"),
+        integer(_field(8)).alias("tlen"), cigar.alias("cigar"), known(9).alias("seq"), known(10).alias("qual"),
     )
 
 

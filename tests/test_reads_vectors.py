@@ -190,3 +190,19 @@ def test_slices_meet_once_and_none_is_broadcast(spark, monkeypatch):
                     s[i] = -np.inf
                 assert [got[i][r] for r in (1, 2, 3)] == np.argsort(-s, kind="stable")[:3].tolist()
             assert len(got) == queries.count()
+
+
+def _parsed_once(d):
+    plan = d._jdf.queryExecution().executedPlan().toString()
+    assert plan.count(", \t, -1)") == 1 and plan.count("try_cast") <= 5, plan
+
+
+def test_sam_lines_are_split_once(spark, tmp_path):
+    """A filter or an aggregate over parsed lines repeats neither the split nor a number's parsing."""
+    cigars = {"*": 0, "10M": 10, "3S10M2I4D": 14, "3S10M2I4D5N6=7X8P9H": 32, "1M2N3M4N5M": 15}
+    (tmp_path / "s").write_text("".join(f"q\t{i}\tchr1\t{5 + i}\t60\t{c}\t=\t7\t{-i}\t*\t*\n" for i, c in enumerate(cigars)))
+    s = text.sam(spark, str(tmp_path / "s"))
+    rows = s.orderBy("flag").collect()
+    assert [r["stop"] - r["start"] for r in rows] == list(cigars.values())
+    assert ["".join(f"{o.len}{o.op}" for o in r["cigar"]) or "*" for r in rows] == list(cigars)
+    _parsed_once(s.filter("stop > start and flag < 9").groupBy("contig", "start", "stop", "flag").count())
