@@ -35,11 +35,11 @@ def _no_return(value: str) -> Column:
 
 
 def _lines(spark: SparkSession, path: str, browser: bool = True) -> DataFrame:
-    d = spark.read.text(path).select(F.regexp_replace("value", "\r$", "").alias("line"))
+    d = spark.read.text(path).select(_no_return("value").alias("line"))
     skip = (F.col("line") == "") | F.col("line").startswith("#") | F.col("line").startswith("track")
     if browser:
         skip = skip | F.col("line").startswith("browser")
-    return d.filter(~skip).select("line", F.split("line", "\t").alias("f"))
+    return once(d.filter(~skip), f=F.split("line", "\t"))
 
 
 def _field(i: int) -> Column:
@@ -52,10 +52,9 @@ def _bounds(start: Column, stop: Column) -> Column:
 
 def fragment_bed(spark: SparkSession, path: str, with_counts: bool = False) -> DataFrame:
     """contig, start, stop, n, malformed; column 5 is a copy count only on request."""
-    start, stop = integer(_field(1)), integer(_field(2))
-    n = integer(_field(4)) if with_counts else F.lit(1).cast("bigint")
-    ok = (F.size("f") >= 3) & _bounds(start, stop) & (F.coalesce(n, F.lit(0)).between(1, MAX_COPIES))
-    return _lines(spark, path).select(_field(0).alias("contig"), start.alias("start"), stop.alias("stop"), n.alias("n"), (~F.coalesce(ok, F.lit(False))).alias("malformed"))
+    d = once(_lines(spark, path), start=integer(_field(1)), stop=integer(_field(2)), n=integer(_field(4)) if with_counts else F.lit(1).cast("bigint"))
+    ok = (F.size("f") >= 3) & _bounds(F.col("start"), F.col("stop")) & (F.coalesce("n", F.lit(0)).between(1, MAX_COPIES))
+    return d.select(_field(0).alias("contig"), "start", "stop", "n", (~F.coalesce(ok, F.lit(False))).alias("malformed"))
 
 
 def ordered_bed(spark: SparkSession, path: str) -> DataFrame:
@@ -96,12 +95,13 @@ def sam(spark: SparkSession, path: str) -> DataFrame:
 def bedpe(spark: SparkSession, path: str) -> DataFrame:
     """contig, start, stop, mapq, reverse, drop_reason: the span of both ends.  '.' is no quality, -1
     an unmapped end."""
-    a, b, c, d = (integer(_field(i)) for i in (1, 2, 4, 5))
-    mapq = F.when(_field(7) == ".", None).otherwise(integer(_field(7)))
+    numbers = {"a": 1, "b": 2, "c": 4, "d": 5, "mapq": 7}
+    lines = once(_lines(spark, path), **{n: integer(_field(i)) for n, i in numbers.items()})  # of '.', null
+    a, b, c, d, mapq = map(F.col, numbers)
     bad = (F.size("f") < 6) | a.isNull() | b.isNull() | c.isNull() | d.isNull() | ((F.size("f") > 7) & (_field(7) != ".") & mapq.isNull())
     unmapped = (a < 0) | (c < 0) | (_field(0) == ".") | (_field(3) == ".")
     reason = F.when(F.coalesce(bad, F.lit(True)), "malformed").when(unmapped, "unmapped").when(_field(0) != _field(3), "other_contig").when(F.greatest(b, d) > MAX_COORDINATE, "malformed").otherwise("kept")
-    return _lines(spark, path).select(_field(0).alias("contig"), F.least(a, c).alias("start"), F.greatest(b, d).alias("stop"), mapq.cast("int").alias("mapq"), (_field(8) == "-").alias("reverse"), reason.alias("drop_reason"))
+    return lines.select(_field(0).alias("contig"), F.least(a, c).alias("start"), F.greatest(b, d).alias("stop"), mapq.cast("int").alias("mapq"), (_field(8) == "-").alias("reverse"), reason.alias("drop_reason"))
 
 
 def _strict(d: DataFrame, ok: Column, what: str) -> DataFrame:
@@ -113,9 +113,9 @@ def peaks_bed(spark: SparkSession, path: str) -> DataFrame:
     d = _lines(spark, path)
     if d.isEmpty():
         raise InvalidInput(f"no peaks in {path}")
-    start, stop = integer(_field(1)), integer(_field(2))
-    d = _strict(d, (F.size("f") >= 3) & _bounds(start, stop), "peak")
-    return d.filter(F.col("line").isNotNull()).select(_field(0).alias("contig"), start.alias("start"), stop.alias("stop"))
+    d = once(d, start=integer(_field(1)), stop=integer(_field(2)))
+    d = _strict(d, (F.size("f") >= 3) & _bounds(F.col("start"), F.col("stop")), "peak")
+    return d.filter(F.col("line").isNotNull()).select(_field(0).alias("contig"), "start", "stop")
 
 
 def clean_name(name: Column) -> Column:
@@ -125,8 +125,8 @@ def clean_name(name: Column) -> Column:
 
 def regions_bed(spark: SparkSession, path: str) -> DataFrame:
     """contig, start, stop, name, strand; a missing name is made from the place."""
-    start, stop = integer(_field(1)), integer(_field(2))
-    d = _strict(_lines(spark, path), (F.size("f") >= 3) & _bounds(start, stop), "region").filter(F.col("line").isNotNull())
+    d, start, stop = once(_lines(spark, path), start=integer(_field(1)), stop=integer(_field(2))), F.col("start"), F.col("stop")
+    d = _strict(d, (F.size("f") >= 3) & _bounds(start, stop), "region").filter(F.col("line").isNotNull())
     place = F.concat_ws("", _field(0), F.lit(":"), start.cast("string"), F.lit("-"), stop.cast("string"))
     name = F.when(F.coalesce(_field(3), F.lit(".")).isin(".", ""), place).otherwise(clean_name(_field(3)))
     strand = F.when(_field(5).isin("+", "-"), _field(5)).otherwise(".")
@@ -150,8 +150,8 @@ def regions(spark: SparkSession, path: str) -> DataFrame:
 
 def chrom_sizes(spark: SparkSession, path: str) -> DataFrame:
     """contig, contig_length; repeated names and lengths that are not positive are errors."""
-    n = integer(_field(1))
-    d = _strict(_lines(spark, path, browser=False), (F.size("f") >= 2) & n.between(1, MAX_COORDINATE), "contig").filter(F.col("line").isNotNull())
+    d, n = once(_lines(spark, path, browser=False), n=integer(_field(1))), F.col("n")
+    d = _strict(d, (F.size("f") >= 2) & n.between(1, MAX_COORDINATE), "contig").filter(F.col("line").isNotNull())
     d = d.select(_field(0).alias("contig"), n.alias("contig_length"))
     if not d.groupBy("contig").count().filter("count > 1").isEmpty():
         raise InvalidInput(f"a contig is listed twice in {path}")

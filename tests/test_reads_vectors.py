@@ -206,3 +206,11 @@ def test_sam_lines_are_split_once(spark, tmp_path):
     assert [r["stop"] - r["start"] for r in rows] == list(cigars.values())
     assert ["".join(f"{o.len}{o.op}" for o in r["cigar"]) or "*" for r in rows] == list(cigars)
     _parsed_once(s.filter("stop > start and flag < 9").groupBy("contig", "start", "stop", "flag").count())
+
+
+def test_bedpe_and_bed_lines_are_split_once(spark, tmp_path):
+    (tmp_path / "b").write_text("c\t1\t5\tc\t3\t9\tr\t.\t-\t+\nc\t1\t5\tc\t3\t9\tr\t+1\t-\t+\n")
+    b = text.bedpe(spark, str(tmp_path / "b"))
+    assert sorted(r["drop_reason"] for r in b.collect()) == ["kept", "malformed"]
+    _parsed_once(b.filter("drop_reason = 'kept'").groupBy("contig", "start", "stop").count())
+    _parsed_once(text.fragment_bed(spark, str(tmp_path / "b")).filter("not malformed").groupBy("start", "stop").count())
