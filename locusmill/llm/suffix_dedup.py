@@ -43,6 +43,7 @@ CHUNKS_PER_PART = 1  # more saves disk (larger messages compress better) and tak
 SHORT = 16  # hash bits left out where a chance match only costs a context
 LAST = np.iinfo(np.int64).max
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+_HIGH, _LOW = np.uint64(0xFFFFFFFF00000000), np.uint64(0xFFFFFFFF)  # of a hash; of a place, as texts are under 2 GB
 
 
 def _blob(*arrays: np.ndarray) -> bytes:
@@ -81,46 +82,20 @@ def anchors(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
     h += load(ANCHOR - 8)
     h *= _M1
     h ^= h >> np.uint64(31)
-    low, width = h, 1
+    low = h & _HIGH
+    low |= np.arange(m, dtype=np.uint64)  # of equal hashes (their upper halves here) the leftmost is the least
+    width = 1
     while 2 * width <= SPAN:
-        low = np.minimum(low[: len(low) - width], low[width:])
+        low = np.minimum(low[:-width], low[width:])
         width *= 2
     low = np.minimum(low[:n], low[SPAN - width : SPAN - width + n])
-    # the leftmost position that attains each window's minimum
-    at = np.flatnonzero(low[1:] != low[:-1]) + 1
-    first = np.concatenate([[0], at])
-    last = np.concatenate([at - 1, [n - 1]])
-    pos, first, last = _leftmost(h, low[first], first, last)
+    at = np.flatnonzero(low[1:] != low[:-1])
+    first = np.concatenate([[0], at + 1])
+    last = np.concatenate([at, [n - 1]])
+    pos = (low[first] & _LOW).astype(np.int64)
     return h[pos], pos, first, last
 
 
-def _leftmost(h: np.ndarray, value: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places of the minima.  A run of windows first..last shares a minimum that lies in
-    [last, first + SPAN) if it occurs once; repeats of the same hash move the leftmost place."""
-    pos = np.full(len(first), -1, np.int64)
-    for k in range(SPAN):  # the leftmost place in the first window of the run
-        open_ = np.flatnonzero(pos < 0)
-        if not len(open_):
-            break
-        hit = open_[h[first[open_] + k] == value[open_]]
-        pos[hit] = first[hit] + k
-    late = np.flatnonzero(pos < last)  # the place leaves the window before the run ends: it repeats
-    if not len(late):
-        return pos, first, last
-    out = [(pos[np.setdiff1d(np.arange(len(pos)), late)], *(x[np.setdiff1d(np.arange(len(pos)), late)] for x in (first, last)))]
-    for i in late:
-        s, e, v = int(first[i]), int(last[i]), value[i]
-        places = s + np.flatnonzero(h[s : e + SPAN] == v)
-        while s <= e:
-            p = int(places[np.searchsorted(places, s)])
-            stop = min(e, p)
-            out.append((np.array([p]), np.array([s]), np.array([stop])))
-            s = stop + 1
-    pos, first, last = (np.concatenate([o[k] for o in out]) for k in range(3))
-    order = np.argsort(first, kind="stable")
-    return pos[order], first[order], last[order]
-
-
 # ----------------------------------------------------------------------------- the interval tree
 
 
@@ -320,7 +295,7 @@ def remove_repeats(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame
             rows = [(m[SPAN - 1 :].tobytes(), m[: SPAN - 1][::-1].tobytes(), int(a), int(b)) for m, a, b in zip(mat[s:e], lo[s:e], hi[s:e], strict=True)]
             for lefts, inside in repeat_groups(rows):
                 at = s + np.array(inside)
-                window[np.ix_(at, list(lefts))] = least[at].min()
+                window[at, lefts.start : lefts.stop] = least[at].min()
         window[(own < lo[:, None]) | (own > hi[:, None])] = LAST
         keep = np.flatnonzero(window.min(1) < most)
         keep = keep[np.argsort(chunk[keep], kind="stable")]

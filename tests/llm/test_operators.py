@@ -337,6 +337,22 @@ def test_anchors_follow_content():
             assert seen.setdefault(data[s : s + 50], (p - s, x)) == (p - s, x) and 0 <= p - s <= 30
 
 
+def test_op5_anchors_of_a_repeating_text_take_no_step_a_place():
+    import sys
+
+    def calls(data: bytes) -> int:
+        seen = []
+        sys.setprofile(lambda frame, event, arg: seen.append(event))
+        try:
+            suffix_dedup.anchors(data)
+        finally:
+            sys.setprofile(None)
+        return len(seen)
+
+    suffix_dedup.anchors(b"ab" * 100)
+    assert calls(b"ab" * 50_000) == calls(b"ab" * 500)
+
+
 def test_interval_tree_groups_are_exact():
     r = random.Random(8)
     text = ["".join(r.choice("ab") for _ in range(80)) for _ in range(12)]
